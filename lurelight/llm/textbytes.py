@@ -83,6 +83,15 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(value, begin) + (end - start).astype(U64))
 
 
+def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each of the non-empty byte ranges, which are apart and in order."""
+    cuts = [0]
+    while cuts[-1] < len(start):  # pieces of about _STEP bytes, so that a very long text needs little room
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(end, start[cuts[-1]] + _STEP, "right"))))
+    parts = [_hashes(data, start[a:b], end[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return np.concatenate(parts) if parts else np.zeros(0, U64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     """The words of the rows of one slice, in order."""
     n = len(data)
@@ -101,11 +110,7 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     doc = np.searchsorted(offsets, start, "right") - 1
     if not hashed:
         return Words(start, end, doc, np.zeros(0, U64))
-    cuts = [0]
-    while cuts[-1] < len(start):  # pieces of about _STEP bytes, so that a very long text needs little room
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(end, start[cuts[-1]] + _STEP, "right"))))
-    parts = [_hashes(data, start[a:b], end[a:b]) for a, b in zip(cuts, cuts[1:])]
-    return Words(start, end, doc, np.concatenate(parts) if parts else np.zeros(0, U64))
+    return Words(start, end, doc, segment_hashes(data, start, end))
 
 
 def runs(doc: np.ndarray, rows: int) -> np.ndarray:
