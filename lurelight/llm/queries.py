@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, planes, rules
 from .neardup import near_duplicates
+from .scratch import Scratch
+
+#: Folder of the public tokenizers' files, on every executor.
+TOKENIZERS = os.environ.get("LURELIGHT_TOKENIZERS", "/opt/tokenizers")
 
 ORACLES: dict[str, str] = {}
 
@@ -15,11 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(parts: int):
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents (links at 85 % of the union)."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written, read back and digested."""
+    path = Scratch(spark, "planes").base
+    planes.write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return planes.document_digests(spark, path)
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, fixed limits and the forest's verdict."""
+    out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from three folds of four."""
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.filter(fold(4) != 2))
+    return langid.predict(docs, net).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
+    "op2_planes": op2_planes,
+    "op8_rules": op8_rules,
+    "op10_langid": op10_langid,
 }
