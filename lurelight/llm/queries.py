@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid, planes, rules
 from .neardup import near_duplicates
+from .repeats import without_repeats
 from .scratch import Scratch
 
 #: Folder of the public tokenizers' files, on every executor.
@@ -38,6 +39,11 @@ def op2_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.document_digests(spark, path)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of passages that also occur in documents with smaller ids."""
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics, fixed limits and the forest's verdict."""
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,6 +60,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_planes": op2_planes,
+    "op4_repeats": op4_repeats,
     "op8_rules": op8_rules,
     "op10_langid": op10_langid,
 }
