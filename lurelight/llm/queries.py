@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, planes, rules
+from . import langid, planes, quality, rules
 from .neardup import near_duplicates
 from .repeats import without_repeats
 from .scratch import Scratch
+from .secrets import find_secrets
 
 #: Folder of the public tokenizers' files, on every executor.
 TOKENIZERS = os.environ.get("LURELIGHT_TOKENIZERS", "/opt/tokenizers")
@@ -39,11 +40,24 @@ def op2_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.document_digests(spark, path)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents by fixed patterns and sliding entropy."""
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of passages that also occur in documents with smaller ids."""
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from four folds of five."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(fold(5) != 0))
+    held_out = fold(5) == 0
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics, fixed limits and the forest's verdict."""
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -60,7 +74,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_planes": op2_planes,
+    "op3_secrets": op3_secrets,
     "op4_repeats": op4_repeats,
+    "op5_quality": op5_quality,
     "op8_rules": op8_rules,
     "op10_langid": op10_langid,
 }
