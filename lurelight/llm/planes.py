@@ -111,33 +111,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
             yield chunk()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges from the ids alone: repartitionByRange would read the texts once more for its sample
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    range_of = F.lit(0) if not bounds else F.size(F.filter(F.lit(bounds), lambda x: x <= F.col("doc_id")))
+    rows = rows.repartitionById(len(bounds) + 1, range_of).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
 
 
+def _decoded(rows: pa.RecordBatch):
+    """(ids of the chunk, ends and lengths of its documents, the row's fields)."""
+    for r in rows.to_pylist():
+        every = unpack(r["n_ids"], r["block_ids"], r["planes"], r["kind"], r["plane_bytes"], r["payload"])
+        lengths = np.frombuffer(r["lengths"], "<i8")
+        yield every, np.cumsum(lengths), lengths, r
+
+
+def _numbered(r: dict, ends: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+    n = len(ends)
+    return [pa.array(np.full(n, r["part"], np.int32)), pa.array(np.full(n, r["chunk"], np.int32)), pa.array(ends - lengths), pa.array(np.frombuffer(r["doc_ids"], "<i8"))]
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """part, chunk, pos (of the document in its chunk), before (ids of the
-    chunk's documents before it), doc_id, ids (binary, u4)."""
+    """part, chunk, before (ids of the chunk's documents before this one),
+    doc_id, ids (binary, u4)."""
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                every = unpack(r["n_ids"], r["block_ids"], r["planes"], r["kind"], r["plane_bytes"], r["payload"])
-                doc_ids, lengths = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["lengths"], "<i8")
-                ends = np.cumsum(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(ends), r["part"], np.int32)),
-                        pa.array(np.full(len(ends), r["chunk"], np.int32)),
-                        pa.array(np.arange(len(ends), dtype=np.int32)),
-                        pa.array(ends - lengths),
-                        pa.array(doc_ids),
-                        pa.array([every[e - n : e].tobytes() for e, n in zip(ends, lengths)], pa.binary()),
-                    ],
-                    names=["part", "chunk", "pos", "before", "doc_id", "ids"],
-                )
-
-    return spark.read.parquet(path).mapInArrow(run, "part int, chunk int, pos int, before long, doc_id long, ids binary")
+            for every, ends, lengths, r in _decoded(b):
+                ids = pa.array([every[e - n : e].tobytes() for e, n in zip(ends, lengths)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*_numbered(r, ends, lengths), ids], names=["part", "chunk", "before", "doc_id", "ids"])
+
+    return spark.read.parquet(path).mapInArrow(run, "part int, chunk int, before long, doc_id long, ids binary")
 
 
 def chunk_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -156,10 +161,9 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = b.column(5)
-            n = [len(x.as_buffer()) // 4 for x in ids]
-            crc = [zlib.crc32(x.as_buffer()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), b.column(4), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["part", "chunk", "before", "doc_id", "n_tokens", "ids_crc32"])
+            for every, ends, lengths, r in _decoded(b):
+                crc = [zlib.crc32(every[e - n : e]) for e, n in zip(ends, lengths)]
+                yield pa.RecordBatch.from_arrays([*_numbered(r, ends, lengths), pa.array(lengths), pa.array(crc, pa.int64())], names=["part", "chunk", "before", "doc_id", "n_tokens", "ids_crc32"])
 
-    docs = read_tokens(spark, path).mapInArrow(run, "part int, chunk int, before long, doc_id long, n_tokens long, ids_crc32 long")
+    docs = spark.read.parquet(path).mapInArrow(run, "part int, chunk int, before long, doc_id long, n_tokens long, ids_crc32 long")
     return docs.join(chunk_starts(spark, path), ["part", "chunk"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
