@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textbytes import U64, grams, mix, sliced, text_slices, words
 
-WINDOW, PHRASE = 50, 8
+WINDOW, PHRASE, LETTERS = 50, 8, 3
 #: Characters of text in a bucket, about.
-BUCKET_CHARS = 16 << 20
+BUCKET_CHARS = 8 << 20
 
 
 def _named(h: np.ndarray, doc: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +55,17 @@ def _named(h: np.ndarray, doc: np.ndarray, window: int, phrase: int) -> tuple[np
     return starts, at[starts]
 
 
-def _codes(h: np.ndarray) -> np.ndarray:
-    """24 bits of each word, the letters of phrases and automata."""
-    return (h >> U64(40)).astype(np.uint32)
+def _letters(h: np.ndarray) -> np.ndarray:
+    """Three letters of 5 bits for each word: automata search a node's branches
+    one by one, so a large alphabet would make them slow."""
+    out = np.empty((len(h), LETTERS), np.uint8)
+    for i in range(LETTERS):
+        out[:, i] = (h >> U64(59 - 5 * i)).astype(np.uint8) & 31
+    return out
 
 
-def _phrases(codes: np.ndarray, at: np.ndarray, phrase: int) -> list[bytes]:
-    three = codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    flat = np.ascontiguousarray(three[at[:, None] + np.arange(phrase)]).reshape(len(at), 3 * phrase)
+def _phrases(letters: np.ndarray, at: np.ndarray, phrase: int) -> list[bytes]:
+    flat = letters[at[:, None] + np.arange(phrase)].reshape(len(at), LETTERS * phrase)
     return [x.tobytes() for x in flat]
 
 
@@ -75,31 +78,29 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             _, at = _named(w.hash, w.doc, window, phrase)
             at = np.unique(at)
             of = pa.array(w.doc[at])
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(of), rows.column(1).take(of), pa.array(_phrases(_codes(w.hash), at, phrase), pa.binary())], names=["doc_id", "bucket", "phrase"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(of), rows.column(1).take(of), pa.array(_phrases(_letters(w.hash), at, phrase), pa.binary())], names=["doc_id", "bucket", "phrase"])
 
     return docs.select("doc_id", "bucket", "text").mapInArrow(run, "doc_id long, bucket int, phrase binary")
 
 
-def _located(codes: np.ndarray, automaton: ahocorasick.Automaton, phrase: int) -> np.ndarray:
+def _located(letters: np.ndarray, automaton: ahocorasick.Automaton, phrase: int) -> np.ndarray:
     """Whether a phrase of the automaton starts at each word of the slice."""
-    hit = np.zeros(len(codes), bool)
-    ends = [end for end, _ in automaton.iter(tuple(codes.tolist()))] if len(codes) else []
-    hit[np.array(ends, np.int64) - phrase + 1] = True
+    hit = np.zeros(len(letters), bool)
+    ends = np.array([end for end, _ in automaton.iter(letters.tobytes().decode("latin-1"))], np.int64) + 1
+    hit[ends[ends % LETTERS == 0] // LETTERS - phrase] = True
     return hit
 
 
 def _streamed(window: int, phrase: int):
     """For cogroups of a bucket's documents and its recurring phrases."""
     schema = [("doc_id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string())]
-    schema += [(c, pa.list_(pa.int64())) for c in ("named", "run", "start", "length")] + [("hashes", pa.list_(pa.int64()))]
+    schema += [(c, pa.list_(pa.int64())) for c in ("named", "run", "start", "length", "before")] + [("hashes", pa.list_(pa.int64()))]
     schema = pa.schema(schema)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in found.column("phrase").to_pylist():
-            raw = np.zeros((phrase, 4), np.uint8)
-            raw[:, :3] = np.frombuffer(p, np.uint8).reshape(phrase, 3)
-            automaton.add_word(tuple(raw.view("<u4").ravel().tolist()))
+            automaton.add_word(p.decode("latin-1"))
         if len(automaton):
             automaton.make_automaton()
         out, text, ids, rids = [], docs.column("text").combine_chunks(), docs.column("doc_id").to_pylist(), docs.column("rid").to_pylist()
@@ -109,7 +110,7 @@ def _streamed(window: int, phrase: int):
             by: dict[int, list] = {}
             if len(automaton):
                 starts, at = _named(w.hash, w.doc, window, phrase)
-                keep = _located(_codes(w.hash), automaton, phrase)[at]
+                keep = _located(_letters(w.hash), automaton, phrase)[at]
                 starts, at = starts[keep], at[keep]
                 if len(starts):
                     h = grams(w.hash, window)[starts]
@@ -119,23 +120,24 @@ def _streamed(window: int, phrase: int):
                     inside = np.arange(len(starts)) - np.repeat(new, size)
                     key = mix(np.add.reduceat(mix(h + mix(inside.astype(U64))), new) + size.astype(U64))
                     first = np.searchsorted(w.doc, np.arange(hi - lo))
-                    for i, a in enumerate(new.tolist()):
-                        n, d = int(size[i]), int(w.doc[starts[a]])
-                        by.setdefault(d, []).append((int(code[at[a]].view(np.int64)), int(key[i].view(np.int64)), int(starts[a] - first[d]), n, h[a : a + n].view(np.int64)))
-            raw, edge = data.tobytes(), offsets.tolist()
+                    doc, h = w.doc[starts[new]], h.view(np.int64)
+                    fields = code[at[new]].view(np.int64), key.view(np.int64), starts[new] - first[doc], size
+                    edge = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(new)]
+                    for i, j in zip(edge, edge[1:]):  # the runs of one document
+                        own = h[new[i] : new[j - 1] + size[j - 1]]
+                        by[int(doc[i])] = [*(f[i:j] for f in fields), new[i:j] - new[i], own]
+            raw, bound = data.tobytes(), offsets.tolist()
             for d in range(hi - lo):
-                own = raw[edge[d] : edge[d + 1]]
-                runs = by.get(d, [])
+                own = raw[bound[d] : bound[d + 1]]
+                runs = by.get(d)
                 sha = "" if runs else hashlib.sha256(b" ".join(own.split())).hexdigest()
-                named, key, start, length = ([r[k] for r in runs] for k in range(4))
-                hashes = np.concatenate([r[4] for r in runs]) if runs else np.zeros(0, np.int64)
-                out.append((ids[lo + d], rids[lo + d], int(counts[d]), sha, own.decode() if runs else None, named, key, start, length, hashes))
+                out.append((ids[lo + d], rids[lo + d], int(counts[d]), sha, own.decode() if runs else None, *(runs or [[]] * 6)))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run
 
 
-STREAMED = "doc_id long, rid long, n_words long, sha string, text string, named array<long>, run array<long>, start array<long>, length array<long>, hashes array<long>"
+STREAMED = "doc_id long, rid long, n_words long, sha string, text string, named array<long>, run array<long>, start array<long>, length array<long>, before array<long>, hashes array<long>"
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -171,7 +173,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phr
     streamed = docs.select("bucket", "doc_id", "rid", "text").groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_streamed(window, phrase), STREAMED)
     streamed = scratch.table(streamed)
 
-    one = streamed.filter("text is not null").select("doc_id", "rid", "hashes", F.explode(F.arrays_zip("named", "run", "start", "length", F.expr("transform(length, (x, i) -> aggregate(slice(length, 1, i), 0L, (a, b) -> a + b))").alias("before"))).alias("r"))
+    one = streamed.filter("text is not null").select("doc_id", "rid", "hashes", F.explode(F.arrays_zip("named", "run", "start", "length", "before")).alias("r"))
     one = one.select("doc_id", "rid", "r.named", "r.run", "r.start", "r.length", F.slice("hashes", (F.col("r.before") + 1).cast("int"), F.col("r.length").cast("int")).alias("hashes"))
     one = scratch.table(one)
     first = scratch.table(one.groupBy("named", "run").agg(F.min("doc_id").alias("lo")))
