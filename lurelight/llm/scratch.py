@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -40,3 +41,9 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def near(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if it has at most so many (short) rows; else as it
+    is, and Spark joins it by a shuffle. ``df`` should be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
