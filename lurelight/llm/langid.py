@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import sliced
+from .textbytes import text_slices
 
 UNKNOWN = "und"
 
@@ -180,26 +180,49 @@ def windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return x.reshape(-1, length), first[:-1], np.clip(left, 1, length).astype(np.float32)
 
 
+def _predicted(texts: pa.Array, letters: np.ndarray, scorer: Scorer | None, block: int) -> tuple[list[str], np.ndarray]:
+    if scorer is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    names, score = [], []
+    for lo, hi, data, offsets in text_slices(texts):
+        x, first, weight = windows(data, offsets, scorer.net.window)
+        p = np.concatenate([scorer.probabilities(x[i : i + block]) for i in range(0, len(x), block)])
+        p = np.add.reduceat(p * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
+        best = p.argmax(axis=1)
+        names += [scorer.net.labels[k] if ok else UNKNOWN for k, ok in zip(best, letters[lo:hi])]
+        score.append(np.where(letters[lo:hi], np.clip(p[np.arange(len(p)), best], 0, 1), 0.0))
+    return names, np.concatenate(score) if score else np.zeros(0)
+
+
+def _has_letters() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, net: Network | None, block: int = 128) -> DataFrame:
     """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text)."""
-    has: Column = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches):
         scorer = Scorer(net) if net else None
-        for rows, data, offsets in sliced(batches, "text"):
-            letters = rows.column(2).to_numpy(zero_copy_only=False)
-            if scorer is None:
-                names, score = [UNKNOWN] * rows.num_rows, np.zeros(rows.num_rows)
-            else:
-                x, first, weight = windows(data, offsets, net.window)
-                p = np.concatenate([scorer.probabilities(x[i : i + block]) for i in range(0, len(x), block)])
-                p = np.add.reduceat(p * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
-                best = p.argmax(axis=1)
-                names = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best, letters)]
-                score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text", has.alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+        for b in batches:
+            names, score = _predicted(b.column(1), b.column(2).to_numpy(zero_copy_only=False), scorer, block)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", _has_letters().alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4, block: int = 128) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is one of the network's
+    with a score of at least ``least``; rows stay in their tasks."""
+    names = docs.columns
+
+    def run(batches):
+        scorer = Scorer(net) if net else None
+        for b in batches:
+            own = b.select(range(len(names)))
+            said, score = _predicted(own.column(names.index("text")), b.column(len(names)).to_numpy(zero_copy_only=False), scorer, block)
+            yield own.filter(pa.array([s != UNKNOWN and x >= least for s, x in zip(said, score)], pa.bool_()))
+
+    return docs.select("*", _has_letters().alias("_letters")).mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, options: Fit | None = None) -> Network | None:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, planes, quality, rules
+from . import chat, langid, mixing, planes, quality, rules, sql
+from .decontaminate import contaminated
 from .neardup import near_duplicates
 from .repeats import without_repeats
 from .scratch import Scratch
@@ -17,7 +18,10 @@ from .secrets import find_secrets
 #: Folder of the public tokenizers' files, on every executor.
 TOKENIZERS = os.environ.get("LURELIGHT_TOKENIZERS", "/opt/tokenizers")
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat": sql.CHAT}
+#: The mix of op9: an eighth of the tokens is left out, two epochs at most.
+MIX = mixing.Mix(share=0.875, epochs=2, weights={"domain": {"d0": 3.0, "d1": 2.0}, "lang": {"en": 2.0}})
+ORACLES["op9_mixing"] = sql.mixing(MIX)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +62,31 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that consists of control strings, formatted;
+    digests of what the parser and the loss mask find in the written output."""
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.chat_digests(Scratch(spark, "chat").table(chat.format_chats(rows))).drop("identical")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold copies, edited or not, of benchmark items."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics, fixed limits and the forest's verdict."""
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and epochs that the target weights select."""
+    got = mixing.mix(table(spark, sf_dir, "documents"), MIX)
+    return got.select("doc_id", "mix_domain", "mix_lang", "mix_source", F.col("mix_epoch").cast("long").alias("mix_epoch"), "mix_tokens")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from three folds of four."""
     docs = table(spark, sf_dir, "documents")
@@ -71,12 +94,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_planes": op2_planes,
     "op3_secrets": op3_secrets,
     "op4_repeats": op4_repeats,
     "op5_quality": op5_quality,
+    "op6_chat": op6_chat,
+    "op7_decontaminate": op7_decontaminate,
     "op8_rules": op8_rules,
+    "op9_mixing": op9_mixing,
     "op10_langid": op10_langid,
+    "pipeline": pipeline,
 }
