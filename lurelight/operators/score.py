@@ -28,19 +28,20 @@ def score_hosts(hosts: DataFrame, ref: Reference, as_of: Column, host: str = "ho
     base = sig.prepared(hosts, host, ref).withColumn("suppressed", allowlisted(F.col("registrable"), ref))
     # each family is worked out once; later columns read its result
     live = ~F.col("suppressed")
-    base = base.withColumns(
+    base = sig.once(
+        base,
         {
             "_brand": F.when(live, sig.brand_signals(ref, F.col(host))).otherwise(sig.no_signals()),
             "_kw": F.when(live, sig.keyword_signals(ref)).otherwise(sig.no_signals()),
             "_scheme": F.when(live, sig.scheme_signals(ref, as_of)).otherwise(sig.no_signals()),
-        }
+        },
     )
     has_kw, has_brand = F.size("_kw") > 0, F.exists("_brand", lambda s: F.startswith(s["type"], F.lit("brand:")))
     combo = F.when(has_brand & has_kw, F.array(sig.signal("combo_brand_keyword", w["combo_brand_keyword"]))).when((F.size("_scheme") > 0) & has_kw, F.array(sig.signal("combo_scheme_keyword", w["combo_scheme_keyword"]))).otherwise(sig.no_signals())
     every = F.when(F.col("suppressed"), F.array(sig.signal("allowlist", 0, registrable=F.col("registrable")))).otherwise(F.concat("_brand", "_kw", "_scheme", combo))
-    out = base.withColumn("signals", F.transform(every, lambda s: s.withField("domain", F.col(host))))
+    out = sig.once(base, {"signals": F.transform(every, lambda s: s.withField("domain", F.col(host)))})
     points = F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"])
-    out = out.withColumn("score", F.least(points, F.lit(ref.scoring.cap)))
+    out = sig.once(out, {"score": F.least(points, F.lit(ref.scoring.cap))})
     out = out.withColumns({"severity": severity(F.col("score"), ref.scoring), "scoring_version": F.lit(ref.scoring.version)})
     return out.select(*hosts.columns, "registrable", "score", "scoring_version", "severity", "suppressed", "signals")
 
@@ -66,17 +67,20 @@ def finding_id(e: DataFrame, top_domain: Column, top_registrable: Column) -> Col
 
 def score_certificates(entries: DataFrame, ref: Reference, as_of: Column) -> DataFrame:
     """Findings of ``entries`` (schemas.ENTRY; other columns stay): one row for
-    each certificate with an active host. A certificate's names are scored in its
-    row, as an exploded detail that is gathered again by its row key."""
-    named = entries.withColumn("all_domains", text.extract_domains(entries)).withColumn("_row", F.monotonically_increasing_id())
-    hosts = named.select("_row", F.posexplode("all_domains").alias("ord", "host"))
-    scored = score_hosts(hosts, ref, as_of).filter("not suppressed and score > 0")
+    each certificate with an active host. Names are exploded, each distinct host
+    is scored once, and what it gives returns to the certificates by a digest of
+    their fields, so equal certificates share it."""
+    fields = [F.col(f.name) for f in schemas.ENTRY]
+    named = entries.withColumns({"all_domains": text.extract_domains(entries), "_k1": F.xxhash64(*fields), "_k2": F.xxhash64(F.lit(1), *fields)})
+    key = ["_k1", "_k2"]
+    hosts = named.select(*key, "all_domains").dropDuplicates(key).select(*key, F.posexplode("all_domains").alias("ord", "host"))
+    scored = score_distinct_hosts(hosts, ref, as_of).filter("not suppressed and score > 0")
     one = F.struct("ord", "host", "registrable", "score", "severity", "signals")
-    per = scored.groupBy("_row").agg(
+    per = scored.groupBy(*key).agg(
         F.max_by(F.struct("host", "registrable", "score", "severity"), F.struct(F.col("score"), -F.col("ord"))).alias("top"),
         F.flatten(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["signals"])).alias("signals"),
     )
-    e = named.join(per, "_row")
+    e = named.join(per, key)
     truthy_distinct = lambda name: F.array_distinct(F.filter(F.transform("signals", lambda s: s[name]), lambda x: x.isNotNull() & (x != "")))
     kinds = F.coalesce("entry_types", F.array(F.lit("x509")))
     none_if_zero = F.when(F.col("cert_index") != 0, F.col("cert_index"))

@@ -29,18 +29,27 @@ def no_signals() -> Column:
     return F.array().cast(f"array<{schemas.SIGNAL.simpleString()}>")
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns that are worked out once a row. The optimizer would
+    write their expressions into all that read them; a generator of one row
+    stands between."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("_once", one).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def prepared(hosts: DataFrame, host: str, ref: Reference) -> DataFrame:
     """The columns that signals read, beside those of ``hosts``: registrable,
     suffix, compact host and labels. Rows stay where they are."""
     h = F.col(host)
-    out = hosts.withColumns({"registrable": suffix.registrable(h, ref.suffixes), "host_compact": F.regexp_replace(h, text.COMPACT, "")})
+    out = once(hosts, {"registrable": suffix.registrable(h, ref.suffixes), "host_compact": F.regexp_replace(h, text.COMPACT, "")})
     pieces = lambda labels: F.transform(labels, lambda x: F.regexp_replace(x, text.COMPACT, ""))
-    return out.withColumns(
+    return once(
+        out,
         {
             "suffix": F.coalesce(suffix.public_suffix(F.col("registrable"), ref.suffixes), F.lit("")),
             "labels": pieces(F.split(h, "\\.")),
             "sub_labels": pieces(suffix.subdomain_labels(h, F.col("registrable"))),
-        }
+        },
     )
 
 

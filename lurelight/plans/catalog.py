@@ -4,8 +4,575 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions import binary, distance, suffix, text
+from ..operators import findings, health, logs, quality, signals, validate
+from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
+from ..streaming import jobs
+from . import neutral
 
 FLAGSHIP = "severity_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+REF = neutral.REFERENCE
+AS_OF = F.lit
+SEASON = "1996-06-01"
+NOW = "2024-01-31 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def season() -> Column:
+    return F.lit(SEASON).cast("timestamp")
+
+
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), neutral.page_host().alias("host"))
+
+
+def part_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neutral.part_hosts(read(spark, sf_dir, "part"))
+
+
+def scored_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_distinct_hosts(part_hosts(spark, sf_dir), REF, season())
+
+
+SCORES = neutral.score_sql(neutral.PART_SQL, f"DATE '{SEASON}'")
+
+# hosts
+
+
+@query(f"""SELECT id, CASE WHEN n = '' OR regexp_matches(n, '[ /:]') THEN NULL ELSE n END AS name, starts_with(p, '*.') AS wildcard, regexp_replace(n, '[^a-z0-9]', '', 'g') AS compacted, instr(n, '.') > 0 AS dotted
+FROM (SELECT id, p, regexp_replace(p, '^\\*\\.', '') AS n FROM (SELECT id, regexp_replace(lower(trim(raw)), '\\.$', '') AS p FROM (SELECT id, CASE id % 4 WHEN 0 THEN '*.' || upper(host) WHEN 1 THEN ' ' || host || '. ' WHEN 2 THEN host || '/x' ELSE host END AS raw FROM ({neutral.PAGE_SQL}))))""")
+def host_normalise(spark, sf_dir):
+    """Names with wildcards, case, dots and paths, normalised."""
+    k = F.col("id") % 4
+    raw = F.when(k == 0, F.concat(F.lit("*."), F.upper("host"))).when(k == 1, F.concat(F.lit(" "), "host", F.lit(". "))).when(k == 2, F.concat("host", F.lit("/x"))).otherwise(F.col("host"))
+    d = page_hosts(spark, sf_dir).select("id", raw.alias("raw"))
+    host = text.ingest_host(F.regexp_replace(F.trim("raw"), "\\.$", ""))
+    return d.select("id", text.normalise_name(F.col("raw")).alias("name"), text.is_wildcard(F.col("raw")).alias("wildcard"), F.regexp_replace(host, text.COMPACT, "").alias("compacted"), text.is_dotted(host).alias("dotted"))
+
+
+@query(f"WITH {SCORES} SELECT DISTINCT host, registrable, suffix FROM h")
+def registrable_domain(spark, sf_dir):
+    """Registrable domains and suffixes of part hosts, from rules in the plan."""
+    d = part_hosts(spark, sf_dir).select("host").distinct().withColumn("registrable", suffix.registrable(F.col("host"), REF.suffixes))
+    return d.withColumn("suffix", F.coalesce(suffix.public_suffix(F.col("registrable"), REF.suffixes), F.lit("")))
+
+
+@query(f"WITH {SCORES} SELECT DISTINCT host, registrable, suffix FROM h")
+def registrable_by_join(spark, sf_dir):
+    """The same with the rules as a table."""
+    rules = spark.createDataFrame([(r,) for r in REF.suffixes], "rule string")
+    d = suffix.with_registrable(part_hosts(spark, sf_dir).select("host").distinct(), "host", rules)
+    return d.select("host", "registrable", F.when(F.col("registrable").isNull(), "").otherwise(F.col("suffix")).alias("suffix"))
+
+
+@query(f"WITH {neutral.score_sql(neutral.PAGE_SQL)} SELECT host, coalesce(string_agg(label, '/'), '') AS labels, count(label) AS n FROM h LEFT JOIN (SELECT host, regexp_replace(unnest(string_split(host[:length(host) - length(registrable) - 1], '.')), '[^a-z0-9-]', '', 'g') AS label FROM h WHERE length(host) > length(registrable) + 1) USING (host) GROUP BY host")
+def subdomain_labels(spark, sf_dir):
+    """Labels left of the registrable domain of page hosts."""
+    d = page_hosts(spark, sf_dir).select("host").distinct()
+    got = suffix.subdomain_labels(F.col("host"), suffix.registrable(F.col("host"), REF.suffixes))
+    return d.select("host", F.array_join(got, "/").alias("labels"), F.size(got).cast("long").alias("n"))
+
+
+_AFFIXES = [k.token for k in REF.keywords if k.affix]
+
+
+@query(f"""WITH w AS (SELECT DISTINCT replace(p_name, ' ', '') AS label FROM part), k(a) AS (VALUES {", ".join(f"('{a}')" for a in _AFFIXES)}),
+f AS (SELECT label, label AS form FROM w UNION SELECT label, substr(label, length(a) + 1) FROM w, k WHERE starts_with(label, a) AND length(label) > length(a) UNION SELECT label, substr(label, 1, length(label) - length(a)) FROM w, k WHERE ends_with(label, a) AND length(label) > length(a))
+SELECT label, string_agg(form, ',' ORDER BY form) AS forms FROM f GROUP BY label""")
+def affix_decompose(spark, sf_dir):
+    """Labels and what one affix less leaves of them."""
+    d = read(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("label")).distinct()
+    return d.select("label", F.array_join(F.array_sort(text.decompose(F.col("label"), _AFFIXES)), ",").alias("forms"))
+
+
+@query(f"WITH {SCORES} SELECT count(*) AS hosts, count(*) FILTER (WHERE suppressed) AS suppressed, count(*) FILTER (WHERE NOT suppressed) AS live FROM scores")
+def allowlist_suppress(spark, sf_dir):
+    """Hosts that verified entries suppress, by semi and anti joins."""
+    d = part_hosts(spark, sf_dir).select("host").distinct().withColumn("registrable", suffix.registrable(F.col("host"), REF.suffixes))
+    allowed = spark.createDataFrame([(r,) for r in REF.verified()], "registrable string")
+    one = d.join(allowed, "registrable", "left_semi").select(F.lit(True).alias("s")).unionAll(d.join(allowed, "registrable", "left_anti").select(F.lit(False)))
+    return one.agg(F.count("*").alias("hosts"), F.count_if("s").alias("suppressed"), F.count_if(~F.col("s")).alias("live"))
+
+
+# signals and scores
+
+
+def _signal_rows(spark, sf_dir, *kinds: str) -> DataFrame:
+    hosts = part_hosts(spark, sf_dir).select("host").distinct()
+    rows = score_hosts(hosts, REF, season()).filter("not suppressed").select("host", F.explode("signals").alias("s"))
+    return rows.filter(F.col("s.type").isin(*kinds))
+
+
+@query(f"WITH {SCORES} SELECT host, token, points FROM signals WHERE type = 'kw'")
+def keyword_signals(spark, sf_dir):
+    """Keyword hits up to the cap."""
+    return _signal_rows(spark, sf_dir, "kw").select("host", "s.token", "s.points")
+
+
+@query(f"WITH {SCORES} SELECT host, brand, token, points FROM signals WHERE type = 'brand:exact'")
+def brand_exact_signals(spark, sf_dir):
+    """Brands whose token the host contains."""
+    return _signal_rows(spark, sf_dir, "brand:exact").select("host", "s.brand", "s.token", "s.points")
+
+
+@query(f"WITH {SCORES} SELECT host, brand, token, points FROM signals WHERE type = 'brand:fuzzy'")
+def brand_fuzzy_k1(spark, sf_dir):
+    """Brands with a token within one edit of part of a label."""
+    return _signal_rows(spark, sf_dir, "brand:fuzzy").select("host", "s.brand", "s.token", "s.points")
+
+
+@query()
+def brand_fuzzy_k2(spark, sf_dir):
+    """Labels within two edits of a token: optimal string alignment, which
+    DuckDB lacks; the tests hold it against a table of distances."""
+    d = read(spark, sf_dir, "part").select(F.explode(F.split(neutral.part_host(), "\\.")).alias("label")).distinct()
+    tokens = ["wdigte", "ecnoomy", "standarrd", "smalll"]
+    return d.select("label", *[distance.window_within(F.col("label"), F.lit(t), 2).alias(t) for t in tokens])
+
+
+@query(f"WITH {SCORES} SELECT host, brand, token, points FROM signals WHERE type = 'subdomain_brand_squat'")
+def subdomain_squat(spark, sf_dir):
+    return _signal_rows(spark, sf_dir, "subdomain_brand_squat").select("host", "s.brand", "s.token", "s.points")
+
+
+@query(f"WITH {SCORES} SELECT host, brand, points FROM signals WHERE type = 'brand_in_path_position'")
+def path_position(spark, sf_dir):
+    return _signal_rows(spark, sf_dir, "brand_in_path_position").select("host", "s.brand", "s.points")
+
+
+@query(f"WITH {SCORES} SELECT s.host, s.brand, h.suffix AS actual, s.points FROM signals s JOIN h USING (host) WHERE type = 'tld:mismatch'")
+def tld_mismatch(spark, sf_dir):
+    return _signal_rows(spark, sf_dir, "tld:mismatch").select("host", "s.brand", "s.actual", "s.points")
+
+
+@query(f"WITH {SCORES}, d AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), l AS (SELECT host, scheme, token, st, en FROM lure_hits) SELECT y AS year, scheme, count(*) AS hits, count(*) FILTER (WHERE make_date(y, 7, 1) BETWEEN st::DATE AND en::DATE) AS boosted FROM d, l GROUP BY y, scheme")
+def scheme_signals(spark, sf_dir):
+    """Lures of part hosts, scored as of the middle of each order year."""
+    hosts = signals.prepared(part_hosts(spark, sf_dir).select("host").distinct(), "host", REF)
+    years = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    hosts = hosts.filter(~F.coalesce(F.col("registrable").isin(*REF.verified()), F.lit(False)))
+    d = hosts.crossJoin(F.broadcast(years))  # years: a handful
+    d = d.select("year", F.explode(signals.scheme_signals(REF, F.make_timestamp("year", F.lit(7), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))).alias("s"))
+    return d.groupBy("year", F.col("s.scheme").alias("scheme")).agg(F.count_if(F.col("s.type") == "scheme").alias("hits"), F.count_if(F.col("s.type") == "scheme_seasonal_boost").alias("boosted"))
+
+
+@query(f"WITH {SCORES} SELECT id, host, registrable, score, severity, suppressed, n_signals FROM ({neutral.PART_SQL}) p JOIN scores USING (host)")
+def score_hosts_all(spark, sf_dir):
+    """Every part host's score; distinct hosts are scored once."""
+    return scored_parts(spark, sf_dir).select("id", "host", "registrable", "score", "severity", "suppressed", F.size("signals").cast("long").alias("n_signals"))
+
+
+@query(f"WITH {SCORES} SELECT severity, count(*) AS hosts, sum(score)::BIGINT AS points FROM ({neutral.PART_SQL}) p JOIN scores USING (host) GROUP BY severity")
+def severity_counts(spark, sf_dir):
+    return scored_parts(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("hosts"), F.sum("score").alias("points"))
+
+
+# certificates: an order is a certificate, its parts are the names
+
+_CERT_NAMES = f"SELECT DISTINCT l_orderkey, host FROM lineitem JOIN ({neutral.PART_SQL}) p ON l_partkey = id"
+_CERTS = f"""WITH {SCORES}, names AS ({_CERT_NAMES}), act AS (SELECT l_orderkey, host, registrable, score, severity FROM names JOIN scores USING (host) WHERE NOT suppressed AND score > 0),
+top AS (SELECT * FROM act QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, host) = 1)"""
+
+
+def _certificates(spark, sf_dir) -> DataFrame:
+    names = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part_hosts(spark, sf_dir), F.col("l_partkey") == F.col("id")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("host")).alias("dns_names"))
+    made = {"entry_id": F.col("l_orderkey"), "dns_names": F.col("dns_names"), "cert_serial": F.col("l_orderkey").cast("string"), "cert_issuer_dn_sha256": F.sha2(F.lit("issuer"), 256), "seen": F.lit(1.0e9) + F.col("l_orderkey"), "source": F.lit("direct_ct")}
+    from ..sources.decode import as_entries
+
+    return as_entries(names, made, ["l_orderkey"])
+
+
+@query(_CERTS + " SELECT l_orderkey, host, registrable, score, severity, (SELECT count(*) FROM names n WHERE n.l_orderkey = top.l_orderkey) AS names FROM top")
+def certificate_top_host(spark, sf_dir):
+    """The top host of each certificate."""
+    rows = _certificates(spark, sf_dir).select("l_orderkey", F.explode("dns_names").alias("host"))
+    s = score_distinct_hosts(rows, REF, season())
+    act = s.filter("not suppressed and score > 0").groupBy("l_orderkey").agg(F.max_by(F.struct("host", "registrable", "score", "severity"), F.struct("score")).alias("t"))
+    # equal scores: the first name; ties are broken by a second aggregate over the few rows at the top
+    best = s.filter("not suppressed and score > 0").join(act.select("l_orderkey", F.col("t.score").alias("score")), ["l_orderkey", "score"]).groupBy("l_orderkey").agg(F.min_by(F.struct("host", "registrable", "score", "severity"), "host").alias("t"))
+    return best.join(rows.groupBy("l_orderkey").agg(F.count("*").alias("names")), "l_orderkey").select("l_orderkey", "t.*", "names")
+
+
+@query(_CERTS + ", b AS (SELECT l_orderkey, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands, sum(1) AS n FROM act JOIN signals USING (host) WHERE brand IS NOT NULL GROUP BY l_orderkey) SELECT l_orderkey, substr(sha256(sha256('issuer') || '|' || l_orderkey || '|' || coalesce(registrable, 'null')), 1, 32) AS id, registrable, score, severity, coalesce(brands, '') AS brands FROM top LEFT JOIN b USING (l_orderkey)")
+def score_certificates_all(spark, sf_dir):
+    """Findings of all certificates."""
+    f = score_certificates(_certificates(spark, sf_dir), REF, season())
+    return f.select("l_orderkey", "id", "registrable", "score", "severity", F.array_join(F.array_sort("matched_brands"), ",").alias("brands"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN substr(sha256(sha256(o_orderpriority) || '|' || o_custkey || '|example.com'), 1, 32) WHEN o_orderkey % 3 = 1 THEN substr(sha256(sha256(o_orderstatus) || '|null'), 1, 32) ELSE substr(sha256('www.example.com||' || o_orderpriority || '|' || o_orderstatus), 1, 32) END AS id FROM orders")
+def finding_ids(spark, sf_dir):
+    """Ids by each of the three rules."""
+    k = F.col("o_orderkey") % 3
+    d = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k == 0, F.sha2("o_orderpriority", 256)).alias("cert_issuer_dn_sha256"), F.when(k == 0, F.col("o_custkey").cast("string")).alias("cert_serial"), F.when(k == 1, F.sha2("o_orderstatus", 256)).alias("cert_fingerprint"),
+        F.col("o_orderpriority").alias("issuer_aggregated"), F.lit(None).cast("string").alias("issuer_cn"), F.col("o_orderstatus").alias("not_before"), F.lit(0.0).alias("seen"), F.when(k == 0, "example.com").alias("reg"),
+    )
+    return d.select("o_orderkey", finding_id(d, F.lit("www.example.com"), F.col("reg")).alias("id"))
+
+
+# findings: a user is a finding, an event type a source
+
+
+def _event_findings(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("observed_at"), F.floor("value").cast("int").alias("score"), F.array("event_type").alias("entry_types"),
+        F.array(F.concat(F.lit("h"), (F.col("event_id") % 7).cast("string"))).alias("domains"), F.lit(1).alias("san_count"), F.when(F.col("event_id") % 5 == 0, F.col("event_id").cast("string")).alias("cert_serial"), F.lit(None).cast("string").alias("cert_issuer_dn_sha256"),
+        F.col("event_id").alias("arrival"),
+    )
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS id, ts, floor(value)::INT AS score, event_type, 'h' || (event_id % 7) AS dom, CASE WHEN event_id % 5 = 0 THEN event_id::VARCHAR END AS serial, event_id FROM events)
+SELECT id, min(ts) AS observed_at, arg_min(score, event_id) AS score, (SELECT string_agg(event_type, ',' ORDER BY o) FROM (SELECT event_type, min(event_id) AS o FROM e e2 WHERE e2.id = e.id GROUP BY event_type)) AS entry_types,
+(SELECT string_agg(dom, ',' ORDER BY o) FROM (SELECT dom, min(event_id) AS o FROM e e2 WHERE e2.id = e.id GROUP BY dom)) AS domains, CASE WHEN count(*) > 1 THEN count(DISTINCT dom) ELSE 1 END::INT AS san_count, arg_min(serial, event_id) FILTER (WHERE serial IS NOT NULL) AS cert_serial FROM e GROUP BY id""")
+def findings_dedup(spark, sf_dir):
+    """Arrivals merged by id."""
+    d = findings.unique_findings(_event_findings(spark, sf_dir))
+    return d.select("id", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "score", F.array_join("entry_types", ",").alias("entry_types"), F.array_join("domains", ",").alias("domains"), "san_count", "cert_serial")
+
+
+@query("SELECT user_id::VARCHAR AS finding_id, event_type AS source, arg_max(ts, event_id) AS observed_at, arg_max(floor(value)::INT, event_id) AS score FROM events GROUP BY 1, 2")
+def finding_sources_dedup(spark, sf_dir):
+    """Sightings by finding and source; the last arrival wins."""
+    e = read(spark, sf_dir, "events")
+    nothing = F.lit(None).cast("string")
+    d = e.select(
+        F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("run_source"), F.col("ts").alias("observed_at"), F.floor("value").cast("int").alias("score"), F.col("event_id").alias("arrival"), F.array(F.lit("h")).alias("domains"), nothing.alias("registrable"),
+        nothing.alias("severity"), nothing.alias("cert_serial"), F.array(F.lit("x509")).alias("entry_types"), F.lit(1).alias("san_count"),
+        F.struct(nothing.alias("name"), nothing.alias("label"), F.lit(None).cast("long").alias("cert_index"), nothing.alias("cert_link"), F.lit("ref").alias("source_ref"), nothing.alias("fingerprint"), nothing.alias("log_name"), nothing.alias("log_operator")).alias("source"),
+    )
+    return findings.sightings(d).select("finding_id", "source", "observed_at", F.col("details.score").alias("score"))
+
+
+@query("SELECT event_id, ts, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'click' THEN 'crtsh' WHEN event_type = 'purchase' THEN 'direct_ct' ELSE event_type END AS source FROM events WHERE value >= 10 ORDER BY ts DESC, event_id LIMIT 50")
+def findings_feed(spark, sf_dir):
+    """The newest visible findings with their sources."""
+    e = read(spark, sf_dir, "events")
+    t = F.col("event_type")
+    src = F.struct(F.when(~t.isin("view", "click", "purchase"), t).alias("name"), F.when(t == "click", "https://crt.sh/?id=1").when(t == "purchase", "https://log/ct/v1/get-entries?start=0").alias("cert_link"))
+    d = e.select(F.col("event_id").alias("id"), F.col("ts").alias("observed_at"), (F.col("value") < 10).alias("suppressed"), src.alias("source"))
+    return findings.annotated(findings.feed(d, "zero")).select(F.col("id").alias("event_id"), F.col("observed_at").alias("ts"), F.get("sources", F.lit(0)).alias("source"))
+
+
+@query("SELECT event_id AS source, ts AS checked_at FROM events ORDER BY ts DESC, event_id LIMIT 24")
+def recent_runs(spark, sf_dir):
+    return findings.recent_runs(read(spark, sf_dir, "events").select(F.col("event_id").alias("source"), F.col("ts").alias("checked_at")))
+
+
+@query("SELECT t.event_type AS source, t.n AS scanned_entries, coalesce(m.n, 0)::INT AS matched, coalesce(p.n, 0)::INT AS persisted FROM (SELECT event_type, count(*)::INT AS n FROM events GROUP BY 1) t LEFT JOIN (SELECT event_type, count(*) AS n FROM events WHERE value > 90 GROUP BY 1) m USING (event_type) LEFT JOIN (SELECT event_type, count(DISTINCT user_id) AS n FROM events WHERE value > 95 AND event_type <> 'view' GROUP BY 1) p USING (event_type)")
+def run_summary(spark, sf_dir):
+    """Matched and persisted counts of each source's run."""
+    e = read(spark, sf_dir, "events").withColumnRenamed("event_type", "source")
+    runs = e.groupBy("source").agg(F.count("*").cast("int").alias("scanned_entries"))
+    return findings.summarize_runs(runs, e.filter("value > 90"), e.filter("value > 95 and source <> 'view'").select("source", "user_id").distinct())
+
+
+@query("WITH r AS (SELECT event_type, avg(value) > 50 AS ok, count(*) AS n, count(*) FILTER (WHERE value > 99.5) AS bad FROM events GROUP BY 1) SELECT coalesce(bool_or(ok), false) AS ok, CASE WHEN bool_and(ok) THEN 'healthy' WHEN bool_or(ok) THEN 'partial' ELSE 'down' END AS health, sum(n)::BIGINT AS scanned_entries, count(*) AS sources, sum(bad)::BIGINT AS errors FROM r")
+def poll_status(spark, sf_dir):
+    """The status of a poll over all sources."""
+    bad = F.filter(F.collect_list(F.when(F.col("value") > 99.5, F.struct(F.lit("high").alias("message")))), lambda x: x.isNotNull())
+    runs = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg((F.avg("value") > 50).alias("ok"), F.count("*").alias("scanned_entries"), bad.alias("errors"))
+    return findings.poll_status(runs)
+
+
+# logs and health: suppliers and customers are two log lists
+
+
+def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    key = lambda c: F.concat(F.lit("log"), (c % 400).cast("string"))
+    nation = lambda c: F.when(c % 5 == 0, logs.MANY).otherwise(F.concat(F.lit("op"), c.cast("string")))
+
+    def made(d: DataFrame, c: str, n: str, bal: str, tag: str) -> DataFrame:
+        k = F.col(c)
+        return d.filter(k < 700).dropDuplicates([c]).select(
+            key(k).alias("log_id"), nation(F.col(n)).alias("operator"), F.concat(F.lit(tag), k.cast("string")).alias("description"), F.when(k % 2 == 0, "static-ct-api").otherwise("rfc6962").alias("protocol"),
+            logs.slashed(F.concat(F.lit(f"https://{tag}/"), k.cast("string"))).alias("submission_url"), logs.slashed(F.concat(F.lit(f"https://{tag}/m"), k.cast("string"))).alias("monitoring_url"), F.lit("").alias("public_key_der"),
+            F.when(F.col(bal) > 5000, "usable").when(F.col(bal) > 2000, "qualified").otherwise("retired").alias("state"), F.when(k % 3 == 0, F.concat((2020 + k % 10).cast("string"), F.lit("-01-01T00:00:00Z"))).alias("not_after_start"),
+            F.when(k % 3 == 0, F.concat((2021 + k % 10).cast("string"), F.lit("-01-01T00:00:00Z"))).alias("not_after_limit"), F.lit(NOW).cast("timestamp").alias("refreshed_at"),
+        ).filter(k < 400)
+
+    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
+    return made(s, "s_suppkey", "s_nationkey", "s_acctbal", "s"), made(c, "c_custkey", "c_nationkey", "c_acctbal", "c")
+
+
+def _list_sql(t: str, k: str, n: str, bal: str, tag: str) -> str:
+    return f"""SELECT 'log' || {k} AS log_id, CASE WHEN {n} % 5 = 0 THEN '{logs.MANY}' ELSE 'op' || {n} END AS operator, '{tag}' || {k} AS description, CASE WHEN {k} % 2 = 0 THEN 'static-ct-api' ELSE 'rfc6962' END AS protocol,
+'https://{tag}/m' || {k} || '/' AS monitoring_url, CASE WHEN {bal} > 5000 THEN 'usable' WHEN {bal} > 2000 THEN 'qualified' ELSE 'retired' END AS state,
+CASE WHEN {k} % 3 = 0 THEN make_date(2020 + ({k} % 10)::INT, 1, 1) END AS st, CASE WHEN {k} % 3 = 0 THEN make_date(2021 + ({k} % 10)::INT, 1, 1) END AS en FROM {t} WHERE {k} < 400"""
+
+
+_MERGED = f"""WITH a AS ({_list_sql("supplier", "s_suppkey", "s_nationkey", "s_acctbal", "s")}), b AS ({_list_sql("customer", "c_custkey", "c_nationkey", "c_acctbal", "c")}),
+m AS (SELECT coalesce(a.log_id, b.log_id) AS log_id, CASE WHEN a.log_id IS NULL THEN b.operator WHEN a.operator = '{logs.MANY}' AND b.operator <> '{logs.MANY}' THEN b.operator ELSE a.operator END AS operator, coalesce(a.description, b.description) AS description,
+CASE WHEN a.log_id IS NULL OR b.protocol = 'static-ct-api' THEN b.protocol ELSE a.protocol END AS protocol, CASE WHEN a.log_id IS NULL OR b.protocol = 'static-ct-api' THEN b.monitoring_url ELSE a.monitoring_url END AS monitoring_url,
+CASE WHEN a.log_id IS NULL THEN b.state ELSE a.state END AS state, CASE WHEN a.log_id IS NULL THEN b.st ELSE a.st END AS st, CASE WHEN a.log_id IS NULL THEN b.en ELSE a.en END AS en FROM a FULL JOIN b USING (log_id))"""
+
+
+@query(_MERGED + " SELECT log_id, operator, description, protocol, monitoring_url, state FROM m")
+def log_list_merge(spark, sf_dir):
+    """Two log lists by id."""
+    return logs.merge_lists(*_lists(spark, sf_dir)).select("log_id", "operator", "description", "protocol", "monitoring_url", "state")
+
+
+@query(_MERGED + f" SELECT log_id, state FROM m WHERE state IN ('qualified', 'usable') AND (st IS NULL OR (greatest(st, TIMESTAMP '{NOW}' - INTERVAL 1 DAY) < least(en, TIMESTAMP '{NOW}' + INTERVAL 400 DAY)))")
+def log_selected(spark, sf_dir):
+    """Logs that a poll reads at a given time."""
+    return logs.selected(logs.merge_lists(*_lists(spark, sf_dir)), F.lit(NOW).cast("timestamp")).select("log_id", "state")
+
+
+_HEALTH = _MERGED + f""", c AS (SELECT 'log' || user_id AS log_id, count(*) * 3000 AS tree_size, count(*) AS next_index, max(ts) AS checked_at, CASE WHEN user_id % 11 = 0 THEN 'invalid note' WHEN user_id % 7 = 0 THEN 'timeout' ELSE '' END AS last_error FROM events GROUP BY user_id),
+h AS (SELECT m.log_id, m.protocol, coalesce(tree_size, 0)::BIGINT AS tree_size, greatest(0, coalesce(tree_size, 0) - coalesce(next_index, 0))::BIGINT AS lag_entries, CASE WHEN last_error = 'invalid note' THEN 'failed' WHEN last_error = 'timeout' THEN 'degraded'
+WHEN coalesce(checked_at, TIMESTAMP '{NOW}') < TIMESTAMP '{NOW}' - INTERVAL 20 MINUTE THEN 'stale' WHEN greatest(0, coalesce(tree_size, 0) - coalesce(next_index, 0)) > 100000 THEN 'degraded' ELSE 'ok' END AS status FROM m LEFT JOIN c USING (log_id))"""
+
+
+def _health(spark, sf_dir) -> DataFrame:
+    u = F.col("user_id")
+    cursors = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").cast("timestamp").alias("checked_at"))
+    cursors = cursors.select(F.concat(F.lit("log"), u.cast("string")).alias("key"), (F.col("n") * 3000).alias("tree_size"), F.col("n").alias("next_index"), "checked_at", F.when(u % 11 == 0, "invalid note").when(u % 7 == 0, "timeout").otherwise("").alias("last_error"))
+    return health.log_health(logs.merge_lists(*_lists(spark, sf_dir)), cursors, F.lit(NOW).cast("timestamp"))
+
+
+@query(_HEALTH + " SELECT * FROM h")
+def source_status(spark, sf_dir):
+    """Lag and status of each log by its cursor."""
+    return _health(spark, sf_dir).select("log_id", "protocol", "tree_size", "lag_entries", "status")
+
+
+@query(_HEALTH + " SELECT protocol, count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'degraded') AS degraded, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'failed') AS failed FROM h GROUP BY protocol")
+def health_rollup(spark, sf_dir):
+    return health.protocol_counts(_health(spark, sf_dir))
+
+
+@query(_HEALTH + " SELECT CASE WHEN bool_and(status = 'ok') THEN 'healthy' WHEN bool_or(status IN ('ok', 'degraded')) THEN 'degraded' ELSE 'down' END AS overall FROM h")
+def health_overall(spark, sf_dir):
+    return health.overall(_health(spark, sf_dir))
+
+
+@query("WITH o AS (SELECT *, event_type <> 'error' AS ok, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM events) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS failures, count(*) >= 3 AS opened FROM o WHERE NOT ok GROUP BY user_id, i")
+def circuit_breaker(spark, sf_dir):
+    """Stretches of failures of each source."""
+    return health.breakers(read(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "ok").select("user_id", "first", "last", "failures", "opened")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in logs.poll_tokens(REF)) + ") t(token)")
+def poll_tokens(spark, sf_dir):
+    """The vocabulary of the identity search, from the tables as DataFrames."""
+    from ..reference import frames
+
+    t = frames(spark, REF)
+    words = t["schemes"].select(F.explode("tokens").alias("t")).select(text.ingest_compact(F.col("t")).alias("token")).union(t["brands"].select(F.explode("tokens").alias("t")).select(text.ingest_compact(F.col("t")).alias("token")).filter("length(token) >= 3"))
+    return words.distinct().orderBy("token")
+
+
+@query("WITH t AS (SELECT DISTINCT p_name AS token FROM part), o AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS place, count(*) OVER () AS n FROM t) SELECT token, place, (65 % n)::BIGINT AS next_index FROM o WHERE ((place - 60) % n + n) % n < least(5, n)")
+def round_robin(spark, sf_dir):
+    """Five tokens from place 60 on, around the end."""
+    t = read(spark, sf_dir, "part").select(F.col("p_name").alias("token")).distinct()
+    return logs.round_robin(t, ["token"], 60, 5).select("token", F.col("place").cast("long").alias("place"), "next_index")
+
+
+@query(f"SELECT * FROM (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank FROM (SELECT event_type, event_id, CASE WHEN event_id % 13 <> 0 THEN ts END AS ts FROM events) WHERE ts IS NULL OR ts >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY) WHERE rank <= 15")
+def lookback_top15(spark, sf_dir):
+    """Search rows inside the lookback or without a time, the first of each token."""
+    e = read(spark, sf_dir, "events").select("event_type", "event_id", F.when(F.col("event_id") % 13 != 0, F.col("ts")).alias("ts"))
+    return logs.search_window(e, "event_type", "ts", F.lit(NOW).cast("timestamp_ntz"), order="event_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+# binary
+
+
+@query("SELECT event_id, CASE WHEN length(p) = 3 THEN p ELSE array_to_string(['x' || substr(p, i * 3 + 1, 3) for i in range(0, length(p) // 3 - 1)], '/') || '/' || right(p, 3) END AS path FROM (SELECT event_id, lpad(event_id * 997 || '', (ceil(length(event_id * 997 || '') / 3.0) * 3)::INT, '0') AS p FROM events)")
+def tile_path(spark, sf_dir):
+    """Paths of tiles."""
+    return read(spark, sf_dir, "events").select("event_id", binary.tile_path(F.col("event_id") * 997).alias("path"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 1700000000000 + event_id END AS timestamp_ms, CASE event_id % 5 WHEN 0 THEN 'x509' WHEN 1 THEN 'precert' END AS entry_type, CASE event_id % 5 WHEN 0 THEN lower(hex(event_type)) WHEN 1 THEN lower('30' || lpad(to_hex(length(event_type) + 20), 2, '0')) || lower(hex(event_type)) || '300d06092a864886f70d01010b05000303000000' END AS der FROM events")
+def leaf_decode(spark, sf_dir):
+    """Leaves of both kinds, a cut one, an unknown one and an empty one."""
+    k, body = F.col("event_id") % 5, F.encode("event_type", "UTF-8")
+    head = lambda kind, pad: F.concat(F.unhex(F.lit("0000")), F.unhex(F.lpad(F.hex(1700000000000 + F.col("event_id")), 16, "0")), F.unhex(F.lit(kind + "00" * pad)), F.unhex(F.lpad(F.hex(F.octet_length("event_type")), 6, "0")))
+    raw = F.when(k == 0, F.concat(head("0000", 0), body)).when(k == 1, F.concat(head("0001", 32), body)).when(k == 2, head("0000", 0)).when(k == 3, F.concat(head("0007", 0), body)).otherwise(F.unhex(F.lit("00")))
+    leaf = binary.leaf(raw)
+    return read(spark, sf_dir, "events").select("event_id", leaf["timestamp_ms"].alias("timestamp_ms"), leaf["entry_type"].alias("entry_type"), F.lower(F.hex(leaf["der"])).alias("der"))
+
+
+# quality: a document's length is its score, its label the truth
+
+_ITEMS = "WITH i AS (SELECT doc_id, coalesce(lang, 'none') AS lang, (n_chars // 50 % 100)::INT AS score, quality = 0 AS positive, doc_id % 17 = 0 AS suppressed FROM labels JOIN documents USING (doc_id))"
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.pmod(F.floor(F.col("n_chars") / 50), F.lit(100)).cast("int").alias("score"))
+    return read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("positive")).join(d, "doc_id").withColumn("suppressed", F.col("doc_id") % 17 == 0)
+
+
+_RATES = "round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall"
+
+
+def rounded(d: DataFrame, *columns: str) -> DataFrame:
+    return d.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(_ITEMS + f", m AS (SELECT threshold::INT AS threshold, count(*) FILTER (WHERE score >= threshold AND NOT suppressed AND positive) AS tp, count(*) FILTER (WHERE score >= threshold AND NOT suppressed AND NOT positive) AS fp, count(*) FILTER (WHERE NOT (score >= threshold AND NOT suppressed) AND NOT positive) AS tn, count(*) FILTER (WHERE NOT (score >= threshold AND NOT suppressed) AND positive) AS fn FROM i, range(30, 91, 10) t(threshold) GROUP BY 1) SELECT threshold, tp, fp, tn, fn, {_RATES}, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM m")
+def threshold_sweep(spark, sf_dir):
+    """Confusion counts at all thresholds in one pass."""
+    return rounded(quality.sweep(_items(spark, sf_dir)), "precision", "recall", "f1")
+
+
+@query(_ITEMS + ", m AS (SELECT lang, count(*) FILTER (WHERE score >= 70 AND NOT suppressed AND positive) AS tp, count(*) FILTER (WHERE score >= 70 AND NOT suppressed AND NOT positive) AS fp, count(*) FILTER (WHERE NOT (score >= 70 AND NOT suppressed) AND NOT positive) AS tn, count(*) FILTER (WHERE NOT (score >= 70 AND NOT suppressed) AND positive) AS fn FROM i GROUP BY lang) SELECT lang, tp, fp, tn, fn, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 6) AS recall FROM m")
+def group_confusion(spark, sf_dir):
+    return rounded(quality.by_group(_items(spark, sf_dir), "lang"), "precision", "recall")
+
+
+@query(_ITEMS + ", m AS (SELECT count(*) FILTER (WHERE score >= 70 AND NOT suppressed AND positive) AS tp, count(*) FILTER (WHERE score >= 70 AND NOT suppressed AND NOT positive) AS fp, count(*) FILTER (WHERE NOT (score >= 70 AND NOT suppressed) AND positive) AS fn FROM i) SELECT round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(0.1 - coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_drop, 0.1 - coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) <= 0.02 AS passed FROM m")
+def quality_gate(spark, sf_dir):
+    at = quality.sweep(_items(spark, sf_dir)).filter("threshold = 70")
+    return rounded(quality.gate(at, 0.1, F.lit(0)), "f1", "f1_drop")
+
+
+@query(f"WITH {SCORES}, f AS (SELECT registrable, host, score, suppressed, id FROM ({neutral.PART_SQL}) p JOIN scores USING (host) WHERE registrable IS NOT NULL QUALIFY row_number() OVER (PARTITION BY registrable ORDER BY id) = 1) SELECT registrable, host, score FROM f WHERE NOT suppressed AND score >= 10 AND score < 120")
+def band_candidates(spark, sf_dir):
+    """Hard negatives: the first host of each registrable domain, in the band."""
+    d = scored_parts(spark, sf_dir).select(F.col("id").alias("ord"), "host", "registrable", "score", "suppressed")
+    return quality.band_candidates(d, 10, 120).select("registrable", "host", "score")
+
+
+def _in_sql(values: list[str], i: str) -> str:
+    return f"({values!r})[({i}) % {len(values)} + 1]"
+
+
+_CORPUS = f"""SELECT CASE WHEN b = 'stanchart' THEN CASE WHEN i % 2 = 0 THEN 'sc' ELSE 'stanchart' END ELSE b END || '-' || {_in_sql(quality.WORDS, "i * 3")} || '-' || {_in_sql(quality.WORDS, "i * 3 + 1")} || '.' || {_in_sql(quality.RISKY, "length(b) + i")} AS domain, b AS brand, 'credential_phish' AS category
+FROM (SELECT {_in_sql(quality.PHISHED, "n // 5")} AS b, n % 5 AS i FROM range({5 * len(quality.PHISHED)}) r(n))
+UNION ALL SELECT CASE WHEN b IN ({", ".join(f"'{g}'" for g in quality.GOVERNMENT)}) THEN b || '.gov.sg' WHEN b = 'stanchart' THEN 'sc.com.sg' WHEN b IN ({", ".join(f"'{g}'" for g in quality.PLAIN_COM)}) THEN b || '.com' ELSE b || '.com.sg' END || '.verify-login-portal-' || (n + 1) || '.' || {_in_sql(quality.RISKY, "n")}, b, 'subdomain_squat' FROM (SELECT {_in_sql(quality.PHISHED, "n")} AS b, n FROM range(35) r(n))
+UNION ALL SELECT {_in_sql([t for _, t in quality.LURES], "n")} || '-claim-portal-2026-' || (n + 1) || '.' || {_in_sql(quality.RISKY, "n")}, {_in_sql([s for s, _ in quality.LURES], "n")}, 'scheme_phish' FROM range(20) r(n)"""
+
+
+@query(_CORPUS)
+def corpus_generate(spark, sf_dir):
+    """The labelled phishing hosts, from their rules."""
+    return quality.positives(spark)
+
+
+# explorer and validation
+
+
+@query("SELECT p_type, count(*) AS parts FROM part WHERE p_type = 'PROMO' AND instr(lower(to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_brand': p_brand, 'p_type': p_type})), 'red') > 0 GROUP BY p_type")
+def dataset_search(spark, sf_dir):
+    """Rows of a category whose JSON holds a text."""
+    d = read(spark, sf_dir, "part").filter("p_type = 'PROMO'")
+    found = F.instr(F.lower(F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_type"))), "red") > 0
+    return d.filter(found).groupBy("p_type").agg(F.count("*").alias("parts"))
+
+
+@query("SELECT DISTINCT p_type AS category FROM part WHERE p_type <> '' ORDER BY 1")
+def category_list(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_type").alias("category")).filter("category <> ''").distinct().orderBy("category")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE c_acctbal < 0) AS negative, count(DISTINCT c_mktsegment) AS segments FROM customer")
+def summary_counts(spark, sf_dir):
+    return read(spark, sf_dir, "customer").agg(F.count("*").alias("rows"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), F.count_distinct("c_mktsegment").alias("segments"))
+
+
+@query("SELECT 'nation_unique' AS expectation, count(*) AS broken FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'nation_region', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 4) UNION ALL SELECT 'nation_name', count(*) FROM nation WHERE NOT regexp_matches(n_name, '^NATION_[0-9]$') UNION ALL SELECT 'supplier_balance', count(*) FROM supplier WHERE NOT (s_acctbal BETWEEN 0 AND 9000) UNION ALL SELECT 'supplier_order', count(*) FROM supplier WHERE NOT (s_nationkey <= s_suppkey) UNION ALL SELECT 'supplier_top', count(*) FROM (SELECT s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier) WHERE r <= 3 GROUP BY 1 HAVING sum(s_acctbal) > 20000)")
+def validate_tables(spark, sf_dir):
+    """Expectations: uniqueness, reference, pattern, range, order, cap."""
+    nation, region, supplier = (read(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    checks = {
+        "nation_unique": validate.duplicates(nation, "n_nationkey"),
+        "nation_region": validate.orphans(nation, "n_regionkey", region.filter("r_regionkey < 4"), "r_regionkey"),
+        "nation_name": validate.mismatches(nation, "n_name", "^NATION_[0-9]$"),
+        "supplier_balance": validate.outside(supplier, "s_acctbal", 0, 9000),
+        "supplier_order": validate.unordered(supplier, "s_nationkey", "s_suppkey"),
+        "supplier_top": validate.cap_below_top(supplier, "s_nationkey", "s_acctbal", F.lit(20000)),
+    }
+    out = None
+    for name, d in checks.items():
+        one = d.agg(F.lit(name).alias("expectation"), F.count("*").alias("broken"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 1::BIGINT AS one WHERE false")
+def validate_reference(spark, sf_dir):
+    """Broken expectations of the built-in tables: none."""
+    from ..reference import default, frames
+
+    return validate.reference_report(frames(spark, default())).filter("broken > 0").select(F.col("broken").alias("one"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, arg_max(event_type, ts) AS last_type FROM events GROUP BY user_id")
+def state_merge(spark, sf_dir):
+    """Two state maps of each user merged; the later patch wins."""
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").cast("string").alias("clicks"), F.max_by("event_type", "ts").alias("last"))
+    state = F.create_map(F.lit("clicks"), F.lit("0"), F.lit("last"), F.lit(""))
+    merged = logs.merge_state(state, F.create_map(F.lit("clicks"), "clicks"), F.create_map(F.lit("last"), "last"))
+    return e.select("user_id", F.try_element_at(merged, F.lit("clicks")).cast("long").alias("clicks"), F.try_element_at(merged, F.lit("last")).alias("last_type"))
+
+
+@query("SELECT event_type AS source, count(*) AS entries FROM events GROUP BY 1 UNION ALL SELECT 'orders', count(*) FROM orders")
+def entries_union(spark, sf_dir):
+    """Sources with different columns, by name."""
+    a = read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), "event_id")
+    b = read(spark, sf_dir, "orders").select(F.lit("orders").alias("source"), "o_orderkey")
+    return a.unionByName(b, allowMissingColumns=True).groupBy("source").agg(F.count("*").alias("entries"))
+
+
+# streams over the events file, drained
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    import uuid
+
+    name = f"drained_{uuid.uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS entries FROM events GROUP BY 1, 2")
+def stream_windowed_issuance(spark, sf_dir):
+    """Entries by day and source, as a stream."""
+    d = _drained(spark, jobs.issuance(_events_stream(spark, sf_dir), "at", "1 day", "event_type"), "complete")
+    return d.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "entries")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    """Exact deduplication by key, as a stream."""
+    return _drained(spark, jobs.deduplicated(_events_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"]), "append")
+
+
+@query(f"WITH {SCORES.replace('raw AS', 'events_hosts AS (SELECT event_id, host FROM events JOIN (' + neutral.PART_SQL + ') p ON p.id = event_id % 1000), raw AS', 1)} SELECT event_id, host, score, severity FROM events_hosts JOIN scores USING (host)")
+def stream_entries_scored(spark, sf_dir):
+    """Hosts of a stream, scored in flight; a static table supplies the names."""
+    names = part_hosts(spark, sf_dir)
+    s = _events_stream(spark, sf_dir).select("event_id", (F.col("event_id") % 1000).alias("id")).join(names, "id").select("event_id", "host")
+    return _drained(spark, score_hosts(s, REF, season()).select("event_id", "host", "score", "severity"), "append")
