@@ -73,8 +73,8 @@ def window_span(s: Column, bits: Column, w: int) -> Column:
         changed = F.transform(a["counts"], lambda c, k: c + (k == enter).cast("int") - (k == leave).cast("int"))
         up, down = F.get(a["counts"], enter), F.when(leave >= 0, F.get(a["counts"], leave))
         grown = F.get(terms, up + 1) - F.get(terms, up)
-        shrunk = F.when(leave == enter, -grown).when(leave >= 0, F.get(terms, down - 1) - F.get(terms, down)).otherwise(0.0)
-        total = a["sum"] + grown + shrunk
+        shrunk = F.when(leave >= 0, F.get(terms, down - 1) - F.get(terms, down)).otherwise(0.0)
+        total = a["sum"] + F.when(leave == enter, 0.0).otherwise(grown + shrunk)
         hot = (i >= w) & (F.lit(w).cast("double") * (F.log2(F.lit(float(w))) - bits) >= total - 1e-9)
         return F.struct(
             changed.alias("counts"),
