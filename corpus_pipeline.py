@@ -14,7 +14,7 @@ from lurelight.llm import langid, mixing, planes
 from lurelight.llm.decontaminate import contaminated
 from lurelight.llm.neardup import near_duplicates
 from lurelight.llm.queries import TOKENIZERS
-from lurelight.llm.scratch import Scratch, near
+from lurelight.llm.scratch import Scratch, near, small_batches
 
 #: Least probability of a language; only texts in no known language fall below.
 LEAST_SCORE = 0.3
@@ -28,6 +28,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts that are null, have no letter or are in no known language."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.fit(docs), LEAST_SCORE)
 
 

@@ -16,8 +16,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces in each of the two generations that a worker remembers (some 100 MB each).
-REMEMBERED = 500_000
+#: Pieces in each of the two generations that a worker remembers (some 60 MB each).
+REMEMBERED = 300_000
 _LONG = 1 << 20
 _MARKS = ".,;:!?"
 #: White space but the space and the line break, and what some libraries take for it.
@@ -33,6 +33,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    _encoders.clear()
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import text_slices
+from .textbytes import release, text_slices
 
 UNKNOWN = "und"
 
@@ -206,6 +206,7 @@ def predict(docs: DataFrame, net: Network | None, block: int = 128) -> DataFrame
         for b in batches:
             names, score = _predicted(b.column(1), b.column(2).to_numpy(zero_copy_only=False), scorer, block)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text", _has_letters().alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -221,6 +222,7 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4, block:
             own = b.select(range(len(names)))
             said, score = _predicted(own.column(names.index("text")), b.column(len(names)).to_numpy(zero_copy_only=False), scorer, block)
             yield own.filter(pa.array([s != UNKNOWN and x >= least for s, x in zip(said, score)], pa.bool_()))
+        release()
 
     return docs.select("*", _has_letters().alias("_letters")).mapInArrow(run, docs.schema)
 

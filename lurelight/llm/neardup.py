@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textbytes import LOWER, U64, grams, lists, mix, runs, sliced, words
+from .textbytes import LOWER, U64, grams, lists, mix, release, runs, sliced, words
 
 SAMPLES, BANDS, ROWS, BITS, SHINGLE = 128, 20, 4, 512, 5
 #: Standard errors below the wanted similarity down to which a sketch still allows it.
@@ -151,6 +151,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok = [similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(b.column(2), b.column(3))]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return both.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
 

@@ -12,7 +12,7 @@ from . import chat, langid, mixing, planes, quality, rules, sql
 from .decontaminate import contaminated
 from .neardup import near_duplicates
 from .repeats import without_repeats
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .secrets import find_secrets
 
 #: Folder of the public tokenizers' files, on every executor.
@@ -25,6 +25,7 @@ ORACLES["op9_mixing"] = sql.mixing(MIX)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,6 +21,15 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and Python at most. Texts are long, and
+#: a batch is held several times on both sides.
+BATCH_BYTES = "2m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Scratch:
     """Parquet tables of one operator call. ``drop`` removes those that the
     returned DataFrame does not read."""

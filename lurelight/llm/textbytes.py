@@ -7,6 +7,8 @@ characters are all at least 0x80, so this equals the character class
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -132,11 +134,25 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def release() -> None:
+    """Gives memory back between the tasks of a worker that Spark keeps: what
+    the allocators hold, and the token encoder's tables of an earlier operator."""
+    if encode := sys.modules.get(f"{__package__}.encode"):
+        encode.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of slices of all batches."""
+    release()
     for b in batches:
         for lo, hi, data, offsets in text_slices(b.column(b.schema.get_field_index(column))):
             yield b.slice(lo, hi - lo), data, offsets
+    release()
 
 
 def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
