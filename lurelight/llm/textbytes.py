@@ -79,7 +79,9 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     value += U64(1)
     value *= _POWERS[at & 0xFFF]
     if int(seg.max()) > 0x1000:  # very long words: a second power for each 4096 bytes
-        high = np.multiply.accumulate(np.full(int(at.max() >> 12) + 1, U64(0xD6E8FEB86659FD93), U64))
+        high = np.full(int(at.max() >> 12) + 1, U64(0xD6E8FEB86659FD93), U64)
+        high[0] = 1  # shorter words have the same hash whatever stands beside them
+        high = np.multiply.accumulate(high)
         value *= high[at >> 12]
     value[at >= np.repeat(end - start, seg)] = 0
     return mix(np.add.reduceat(value, begin) + (end - start).astype(U64))
