@@ -18,7 +18,7 @@ from .secrets import find_secrets
 #: Folder of the public tokenizers' files, on every executor.
 TOKENIZERS = os.environ.get("LURELIGHT_TOKENIZERS", "/opt/tokenizers")
 
-ORACLES: dict[str, str] = {"op6_chat": sql.CHAT}
+ORACLES: dict[str, str] = {"op1_neardup": sql.NEARDUP, "op4_repeats": sql.REPEATS, "op6_chat": sql.CHAT}
 #: The mix of op9: an eighth of the tokens is left out, two epochs at most.
 MIX = mixing.Mix(share=0.875, epochs=2, weights={"domain": {"d0": 3.0, "d1": 2.0}, "lang": {"en": 2.0}})
 ORACLES["op9_mixing"] = sql.mixing(MIX)
