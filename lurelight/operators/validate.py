@@ -37,14 +37,17 @@ def unordered(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def cap_below_top(rows: DataFrame, group: str, value: str, cap: Column, n: int = 3) -> DataFrame:
-    """Groups whose ``n`` largest values add up to more than the cap."""
+    """Groups whose ``n`` largest values add up to more than the cap (an aggregate
+    or a literal)."""
     top = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value)))).filter(F.col("_r") <= n)
-    return top.groupBy(group).agg(F.sum(value).alias("top_sum")).filter(F.col("top_sum") > cap)
+    return top.groupBy(group).agg(F.sum(value).alias("top_sum"), cap.alias("cap")).filter("top_sum > cap").drop("cap")
 
 
 def reference_report(tables: dict[str, DataFrame]) -> DataFrame:
     """(expectation, broken rows) over the frames of ``reference.frames``."""
     b, k, s, a = (tables[n] for n in ("brands", "keywords", "schemes", "allowlist"))
+    w, t = tables["weights"], tables["thresholds"]
+    single = w.filter(~F.col("name").isin("keyword_cap")).withColumn("all", F.lit("all")).crossJoin(F.broadcast(t.select("cap")))  # one row
     tokens = b.select("id", F.explode("tokens").alias("token"))
     tlds = b.select("id", F.explode("known_tlds").alias("tld"))
     checks = {
@@ -61,6 +64,9 @@ def reference_report(tables: dict[str, DataFrame]) -> DataFrame:
         "allowlist_registrable": mismatches(a, "registrable", NAME),
         "allowlist_brand": orphans(a, "brand", b, "id"),
         "allowlist_unique": duplicates(a, "registrable", "brand"),
+        "weights_not_negative": outside(w, "points", 0, 1_000_000),
+        "thresholds_ordered": unordered(t, "medium", "high", "critical"),
+        "cap_above_top_three": cap_below_top(single, "all", "points", F.max("cap")),
     }
     parts = [d.agg(F.lit(n).alias("expectation"), F.count("*").alias("broken")) for n, d in checks.items()]
     return reduce(DataFrame.unionByName, parts)

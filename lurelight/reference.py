@@ -144,4 +144,6 @@ def frames(spark: SparkSession, ref: Reference) -> dict[str, DataFrame]:
         "keywords": spark.createDataFrame([(k.token, k.category, k.affix) for k in ref.keywords], schemas.KEYWORD),
         "schemes": spark.createDataFrame([(x.id, x.display, list(x.tokens), x.max_edit_distance, x.official_registrable, (x.start, x.end) if x.start else None) for x in ref.schemes], schemas.SCHEME),
         "allowlist": spark.createDataFrame([(a.registrable, a.brand, a.verified) for a in ref.allowlist], schemas.ALLOWED),
+        "weights": spark.createDataFrame(sorted(ref.scoring.weights.items()), "name string, points int"),
+        "thresholds": spark.createDataFrame([(ref.scoring.medium, ref.scoring.high, ref.scoring.critical, ref.scoring.cap)], "medium int, high int, critical int, cap int"),
     }

@@ -104,3 +104,16 @@ def test_reference_from_files(spark, tmp_path):
     r = reference.load(spark, str(tmp_path))
     assert r.scoring.version == 9 and r.scoring.weights["kw"] == 4 and r.scoring.weights["brand:exact"] == 35 and r.verified() == []
     assert scored(spark, r, ["alpha.com"])["alpha.com"].score == 7
+
+
+def test_broken_tables_are_told(spark, ref):
+    from lurelight.reference import Allowed, Brand, Keyword, Scoring
+
+    bad = ref.with_(
+        brands=(*ref.brands, Brand("dbs", "D", "bank", ("Bad Token", "dbs"), 3, known_tlds=("x1",)), Brand("other", "O", "bank", ("posb",))),
+        keywords=(*ref.keywords, Keyword("login", "credential")),
+        allowlist=(*ref.allowlist, Allowed("nodots", "nobody")),
+        scoring=Scoring(medium=60, high=50, cap=10, weights={**ref.scoring.weights, "kw": -1}),
+    )
+    broken = {r.expectation for r in validate.reference_report(reference.frames(spark, bad)).filter("broken > 0").collect()}
+    assert broken >= {"brand_ids_unique", "brand_tokens", "brand_tokens_own", "brand_distance", "brand_tlds", "keywords_unique", "allowlist_registrable", "allowlist_brand", "weights_not_negative", "thresholds_ordered", "cap_above_top_three"}
