@@ -72,3 +72,22 @@ def window_within(label: Column, token: Column, k: int) -> Column:
     found = F.exists(widths, lambda w: (w <= n) & F.exists(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: within(F.substr(label, i, w), token, k)))
     # the cheap tests first: most labels lack too many of the token's characters
     return F.when((label == "") | (token == "") | (n < t - k) | (missing(token, label) > k), False).otherwise(found)
+
+
+def traces(token: str, k: int) -> list[list[str]]:
+    """Parts of the token of which one list must be whole in any text that holds
+    the token within k edits. Of k + 1 pieces one survives k edits, but for swaps
+    across a boundary, which spoil the ends of both pieces; then the rest of
+    those two pieces is there (or, with two such swaps, of all three)."""
+    if k <= 0 or k > 2:
+        return [[token]] if k <= 0 else []
+    n = len(token)
+    cuts = [n * i // (k + 1) for i in range(k + 2)]
+    p = [token[a:b] for a, b in zip(cuts, cuts[1:])]
+    out = [[x] for x in p] + [[a[:-1], b[1:]] for a, b in zip(p, p[1:])]
+    return out + ([[p[0][:-1], p[1][1:-1], p[2][1:]]] if k == 2 else [])
+
+
+def may_hold(text: Column, lists: Column) -> Column:
+    """Whether the text holds all parts of one of the lists."""
+    return F.exists(lists, lambda parts: F.forall(parts, lambda p: F.instr(text, p) > 0))

@@ -65,14 +65,14 @@ def _brand_rows(ref: Reference) -> Column:
     """Brands with all that their signals need, as an array of structs."""
     rows = []
     for b in ref.brands:
-        tokens = [F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact"), F.lit(b.distance(compact(t))).alias("most")) for t in b.tokens]
+        tokens = [F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact"), F.lit(b.distance(compact(t))).alias("most"), parts_of(compact(t), b.distance(compact(t))).alias("parts")) for t in b.tokens]
         rows.append(
             F.struct(
                 F.lit(b.id).alias("id"),
                 F.lit(b.display).alias("display"),
                 F.lit(b.require_context).alias("gated"),
                 strings([compact(t) for t in b.context_tokens]).alias("context"),
-                (F.array(*tokens) if tokens else F.array().cast("array<struct<token:string,compact:string,most:int>>")).alias("tokens"),
+                (F.array(*tokens) if tokens else F.array().cast("array<struct<token:string,compact:string,most:int,parts:array<array<string>>>>")).alias("tokens"),
                 strings(b.known_tlds).alias("tlds"),
                 strings(ref.verified(b.id)).alias("regs"),
             )
@@ -80,13 +80,22 @@ def _brand_rows(ref: Reference) -> Column:
     return F.array(*rows)
 
 
-def fuzzy(labels: Column, token: Column, most: Column) -> Column:
+def parts_of(token: str, most: int) -> Column:
+    lists = [strings(parts) for parts in distance.traces(token, most)]
+    return F.array(*lists) if lists else F.array().cast("array<array<string>>")
+
+
+def fuzzy(labels: Column, t: Column) -> Column:
     """Whether a label holds the token within ``most`` (0 to 2) edits. The bound
-    is a value, so each form stands behind its own test."""
-    return F.exists(
-        labels,
-        lambda x: F.when(most == 0, (x != "") & (F.instr(x, token) > 0)).when(most == 1, distance.window_within(x, token, 1)).otherwise(distance.window_within(x, token, 2)),
-    )
+    is a value, so each form stands behind its own test. Parts that any such text
+    holds are looked for first, in the whole host, then in the label."""
+    token, most = t["compact"], t["most"]
+
+    def held(x: Column) -> Column:
+        windows = F.when(most == 1, distance.window_within(x, token, 1)).otherwise(distance.window_within(x, token, 2))
+        return F.when(most == 0, (x != "") & (F.instr(x, token) > 0)).when(distance.may_hold(x, t["parts"]), windows).otherwise(False)
+
+    return F.when(distance.may_hold(F.col("host_compact"), t["parts"]), F.exists(labels, held)).otherwise(False)
 
 
 def brand_signals(ref: Reference, host: Column) -> Column:
@@ -103,13 +112,13 @@ def brand_signals(ref: Reference, host: Column) -> Column:
 
     def of(b: Column) -> Column:
         gate = ~b["gated"] | F.exists(b["context"], lambda c: F.instr(hc, c) > 0)
-        hit = F.get(F.filter(b["tokens"], lambda t: exact(t) | fuzzy(F.col("labels"), t["compact"], t["most"])), F.lit(0))
+        hit = F.get(F.filter(b["tokens"], lambda t: exact(t) | fuzzy(F.col("labels"), t)), F.lit(0))
         # one token is bound by a one-element array, so its match runs once
         return F.when(gate, F.flatten(F.transform(F.array(hit), lambda t: F.when(t.isNotNull(), signals_of(b, t))))).otherwise(no_signals())
 
     def signals_of(b: Column, t: Column) -> Column:
         found = exact(t)
-        squat = fuzzy(F.col("sub_labels"), t["compact"], t["most"])
+        squat = fuzzy(F.col("sub_labels"), t)
         path = F.exists(b["regs"], lambda r: F.startswith(host, F.concat(r, F.lit("."))) | (F.instr(host, F.concat(F.lit("."), r, F.lit("."))) > 0))
         odd = (F.size(b["tlds"]) > 0) & ~F.array_contains(b["tlds"], F.col("suffix"))
         about = {"brand": b["id"], "display": b["display"], "token": t["token"]}
@@ -146,7 +155,7 @@ def scheme_signals(ref: Reference, as_of: Column) -> Column:
     w, hc = ref.scoring.weights, F.col("host_compact")
     out = []
     for s in ref.schemes:
-        tokens = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact")) for t in s.tokens])
+        tokens = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact"), parts_of(compact(t), s.max_edit_distance).alias("parts")) for t in s.tokens])
         hit = F.get(F.filter(tokens, _held(hc, s.max_edit_distance)), F.lit(0))
         season = F.lit(False)
         if s.start and s.end:
@@ -161,7 +170,7 @@ def scheme_signals(ref: Reference, as_of: Column) -> Column:
 
 
 def _held(hc: Column, most: int):
-    return lambda t: (F.instr(hc, t["compact"]) > 0) | distance.window_within(hc, t["compact"], most)
+    return lambda t: (F.instr(hc, t["compact"]) > 0) | (distance.may_hold(hc, t["parts"]) & distance.window_within(hc, t["compact"], most))
 
 
 def _once(f):

@@ -35,6 +35,29 @@ def test_distances_against_a_table(spark):
             assert x[f"w{k}"] == part, x
 
 
+def test_traces_lose_no_match():
+    r = random.Random(6)
+    for _ in range(30_000):
+        t = "".join(r.choice("abcd") for _ in range(r.randint(3, 9)))
+        k, w = r.choice([1, 2]), list(t)
+        i = 0
+        for _ in range(k):  # edits from left to right, none on a swapped pair
+            if i >= len(w):
+                break
+            i = r.randrange(i, len(w))
+            kind = r.choice("sdix")
+            if kind == "x" and i + 1 < len(w):
+                w[i], w[i + 1] = w[i + 1], w[i]
+                i += 2
+            elif kind == "d":
+                del w[i]
+            else:
+                w[i : i + (kind == "s")] = [r.choice("abcde")]
+                i += 1
+        text = "zz" + "".join(w) + "zz"
+        assert any(all(p in text for p in parts) for parts in distance.traces(t, k)), (t, text, k)
+
+
 def test_registrable_domains(spark):
     cases = {
         "www.dbs.com.sg": "dbs.com.sg", "dbs.com.sg": "dbs.com.sg", "com.sg": None, "sg": None, "internet-banking.posb.com.sg": "posb.com.sg", "nus.edu.sg": "nus.edu.sg", "a.b.c.singpass.gov.sg": "singpass.gov.sg",
