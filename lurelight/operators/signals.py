@@ -110,21 +110,19 @@ def brand_signals(ref: Reference, host: Column) -> Column:
     def exact(t: Column) -> Column:
         return F.instr(hc, t["compact"]) > 0
 
-    def of(b: Column) -> Column:
+    def found(b: Column) -> Column:
         gate = ~b["gated"] | F.exists(b["context"], lambda c: F.instr(hc, c) > 0)
-        hit = F.get(F.filter(b["tokens"], lambda t: exact(t) | fuzzy(F.col("labels"), t)), F.lit(0))
-        # one token is bound by a one-element array, so its match runs once
-        return F.when(gate, F.flatten(F.transform(F.array(hit), lambda t: F.when(t.isNotNull(), signals_of(b, t))))).otherwise(no_signals())
+        return F.when(gate, F.get(F.filter(b["tokens"], lambda t: exact(t) | fuzzy(F.col("labels"), t)), F.lit(0)))
 
     def signals_of(b: Column, t: Column) -> Column:
-        found = exact(t)
+        whole = exact(t)
         squat = fuzzy(F.col("sub_labels"), t)
         path = F.exists(b["regs"], lambda r: F.startswith(host, F.concat(r, F.lit("."))) | (F.instr(host, F.concat(F.lit("."), r, F.lit("."))) > 0))
         odd = (F.size(b["tlds"]) > 0) & ~F.array_contains(b["tlds"], F.col("suffix"))
         about = {"brand": b["id"], "display": b["display"], "token": t["token"]}
         return F.filter(
             F.array(
-                signal(F.when(found, "brand:exact").otherwise("brand:fuzzy"), F.when(found, w["brand:exact"]).otherwise(w["brand:fuzzy"]), **about),
+                signal(F.when(whole, "brand:exact").otherwise("brand:fuzzy"), F.when(whole, w["brand:exact"]).otherwise(w["brand:fuzzy"]), **about),
                 F.when(squat, signal("subdomain_brand_squat", w["subdomain:brand_squat"], **about)),
                 F.when(path, signal("brand_in_path_position", w["brand_in_path_position"], **about)),
                 F.when(odd, signal("tld:mismatch", w["tld:mismatch"], brand=b["id"], expected=b["tlds"], actual=F.col("suffix"))),
@@ -132,7 +130,13 @@ def brand_signals(ref: Reference, host: Column) -> Column:
             lambda s: s.isNotNull(),
         )
 
-    return F.flatten(F.filter(F.transform(_brand_rows(ref), of), lambda x: x.isNotNull()))
+    return F.flatten(F.transform(_hits(_brand_rows(ref), found), lambda h: signals_of(h["row"], h["token"])))
+
+
+def _hits(rows: Column, found) -> Column:
+    """The rows with a matching token, as struct(row, token); most rows have none,
+    and only those left are made into signals."""
+    return F.filter(F.transform(rows, lambda r: F.struct(r.alias("row"), found(r).alias("token"))), lambda h: h["token"].isNotNull())
 
 
 def keyword_signals(ref: Reference) -> Column:
@@ -153,26 +157,30 @@ def scheme_signals(ref: Reference, as_of: Column) -> Column:
     if not ref.schemes:
         return no_signals()
     w, hc = ref.scoring.weights, F.col("host_compact")
-    out = []
+    rows = []
     for s in ref.schemes:
-        tokens = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact"), parts_of(compact(t), s.max_edit_distance).alias("parts")) for t in s.tokens])
-        hit = F.get(F.filter(tokens, _held(hc, s.max_edit_distance)), F.lit(0))
-        season = F.lit(False)
-        if s.start and s.end:
-            season = F.coalesce(as_of.between(F.try_to_timestamp(F.lit(s.start)), F.try_to_timestamp(F.lit(s.end))), F.lit(False))
-        about = {"scheme": F.lit(s.id), "display": F.lit(s.display)}
-
-        def of(t: Column, about=about, season=season) -> Column:
-            return F.filter(F.array(signal("scheme", w["scheme"], token=t["token"], **about), F.when(season, signal("scheme_seasonal_boost", w["scheme_seasonal_boost"], token=t["token"], **about))), lambda x: x.isNotNull())
-
-        out.append(F.flatten(F.transform(F.filter(F.array(hit), lambda t: t.isNotNull()), _once(of))))
-    return F.concat(*out)
+        tokens = [F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact"), parts_of(compact(t), s.max_edit_distance).alias("parts")) for t in s.tokens]
+        rows.append(
+            F.struct(
+                F.lit(s.id).alias("id"),
+                F.lit(s.display).alias("display"),
+                F.lit(s.max_edit_distance).alias("most"),
+                F.try_to_timestamp(F.lit(s.start)).alias("start"),
+                F.try_to_timestamp(F.lit(s.end)).alias("end"),
+                F.array(*tokens).alias("tokens"),
+            )
+        )
 
+    def found(s: Column) -> Column:
+        def held(t: Column) -> Column:
+            windows = F.when(s["most"] == 1, distance.window_within(hc, t["compact"], 1)).when(s["most"] == 2, distance.window_within(hc, t["compact"], 2)).otherwise(False)
+            return (F.instr(hc, t["compact"]) > 0) | (distance.may_hold(hc, t["parts"]) & windows)
 
-def _held(hc: Column, most: int):
-    return lambda t: (F.instr(hc, t["compact"]) > 0) | (distance.may_hold(hc, t["parts"]) & distance.window_within(hc, t["compact"], most))
+        return F.get(F.filter(s["tokens"], held), F.lit(0))
 
+    def signals_of(s: Column, t: Column) -> Column:
+        season = F.coalesce(as_of.between(s["start"], s["end"]), F.lit(False))
+        about = {"scheme": s["id"], "display": s["display"], "token": t["token"]}
+        return F.filter(F.array(signal("scheme", w["scheme"], **about), F.when(season, signal("scheme_seasonal_boost", w["scheme_seasonal_boost"], **about))), lambda x: x.isNotNull())
 
-def _once(f):
-    """One-argument form: a default argument would read as the element's place."""
-    return lambda t: f(t)
+    return F.flatten(F.transform(_hits(F.array(*rows), found), lambda h: signals_of(h["row"], h["token"])))

@@ -114,22 +114,20 @@ def default() -> Reference:
     )
 
 
-def load(spark: SparkSession, folder: str) -> Reference:
-    """The five JSON documents of ``folder``: watchlist, keywords, schemes,
-    allowlist, scoring; any store that Spark reads."""
-
-    def one(name: str, schema) -> list:
-        row = spark.read.schema(schema).json(f"{folder}/{name}.json", multiLine=True).first()
-        return row
-
-    brands = one("watchlist", schemas.WATCHLIST_FILE).brands or []
-    words = one("keywords", schemas.KEYWORDS_FILE).keywords or []
-    lures = one("schemes", schemas.SCHEMES_FILE).schemes or []
-    allowed = one("allowlist", schemas.ALLOWLIST_FILE).entries or []
-    s = one("scoring", schemas.SCORING_FILE)
+def load(spark: SparkSession, brands: str, keywords: str, schemes: str, allowlist: str, scoring: str) -> Reference:
+    """From five JSON documents, given by path, in any store that Spark reads."""
+
+    def one(path: str, schema):
+        return spark.read.schema(schema).json(path, multiLine=True).first()
+
+    watched = one(brands, schemas.BRANDS_FILE).brands or []
+    words = one(keywords, schemas.KEYWORDS_FILE).keywords or []
+    lures = one(schemes, schemas.SCHEMES_FILE).schemes or []
+    allowed = one(allowlist, schemas.ALLOWLIST_FILE).entries or []
+    s = one(scoring, schemas.SCORING_FILE)
     weights = {**fixed.WEIGHTS, **{k: v for k, v in (s.weights or {}).items() if v is not None}}
     return Reference(
-        tuple(Brand(b.id, b.display, b.category, tuple(b.tokens or ()), b.max_edit_distance, bool(b.require_context), bool(b.allow_affix), tuple(b.context_tokens or ()), tuple(b.known_tlds or ())) for b in brands),
+        tuple(Brand(b.id, b.display, b.category, tuple(b.tokens or ()), b.max_edit_distance, bool(b.require_context), bool(b.allow_affix), tuple(b.context_tokens or ()), tuple(b.known_tlds or ())) for b in watched),
         tuple(Keyword(k.token, k.category, bool(k.affix)) for k in words),
         tuple(Scheme(x.id, x.display, tuple(x.tokens or ()), x.max_edit_distance or 0, x.official_registrable or "", x.active_window.start if x.active_window else None, x.active_window.end if x.active_window else None) for x in lures),
         tuple(Allowed(a.registrable, a.brand, bool(a.verified)) for a in allowed),

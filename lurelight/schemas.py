@@ -14,7 +14,7 @@ _BRAND = "id string, display string, category string, tokens array<string>, max_
 _KEYWORD = "token string, category string, affix boolean"
 _SCHEME = "id string, display string, tokens array<string>, max_edit_distance int, official_registrable string, active_window struct<start:string,end:string>"
 _ALLOWED = "registrable string, brand string, verified boolean"
-_WATCHLIST_FILE = f"brands array<struct<{_BRAND}>>"
+_BRANDS_FILE = f"brands array<struct<{_BRAND}>>"
 _KEYWORDS_FILE = f"keywords array<struct<{_KEYWORD}>>"
 _SCHEMES_FILE = f"schemes array<struct<{_SCHEME}>>"
 _ALLOWLIST_FILE = f"entries array<struct<{_ALLOWED}>>"

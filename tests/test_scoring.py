@@ -93,7 +93,7 @@ def test_reference_from_files(spark, tmp_path):
     import json
 
     docs = {
-        "watchlist": {"brands": [{"id": "a", "display": "A", "category": "c", "tokens": ["alpha"], "max_edit_distance": 1}]},
+        "brands": {"brands": [{"id": "a", "display": "A", "category": "c", "tokens": ["alpha"], "max_edit_distance": 1}]},
         "keywords": {"keywords": [{"token": "login", "category": "c", "affix": True}]},
         "schemes": {"schemes": []},
         "allowlist": {"entries": [{"registrable": "alpha.com", "brand": "a", "verified": False}]},
@@ -101,7 +101,7 @@ def test_reference_from_files(spark, tmp_path):
     }
     for name, doc in docs.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=1))
-    r = reference.load(spark, str(tmp_path))
+    r = reference.load(spark, **{name: str(tmp_path / f"{name}.json") for name in docs})
     assert r.scoring.version == 9 and r.scoring.weights["kw"] == 4 and r.scoring.weights["brand:exact"] == 35 and r.verified() == []
     assert scored(spark, r, ["alpha.com"])["alpha.com"].score == 7
 
