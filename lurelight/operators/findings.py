@@ -22,28 +22,31 @@ def first_by(value: Column, order: Column) -> Column:
     return F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), order))
 
 
-def union_in_order(arrays: str, order: str) -> Column:
-    """Distinct elements of the arrays of a group, first appearance first."""
-    every = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(arrays).alias("a"))))
-    return F.array_distinct(F.flatten(F.transform(every, lambda x: F.coalesce(x["a"], F.array().cast("array<string>")))))
+def union_in_order(rows: DataFrame, arrays: str, order: str) -> DataFrame:
+    """id and the distinct elements of the arrays of its rows, first appearance
+    first. Elements are reduced to one row each before they meet, so an id that
+    arrives very often is no large group."""
+    each = rows.select("id", F.col(order).alias("_o"), F.posexplode(arrays).alias("_p", "_v")).groupBy("id", "_v").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+    return each.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(arrays))
 
 
 def unique_findings(findings: DataFrame, order: str = "arrival") -> DataFrame:
     """One row for each id: the first arrival's fields, but entry types and
     domains in union, the earliest time, the first serial and issuer hash that are
-    there, and after a merge as many names as domains. Each column is its own
-    aggregate, so whole rows are not gathered."""
+    there, and after a merge as many names as domains. All aggregates are partial,
+    so no id's rows are gathered."""
     o = F.col(order)
     kept = [c for c in findings.columns if c not in ("id", order, "entry_types", "domains", "observed_at", "san_count", "cert_serial", "cert_issuer_dn_sha256")]
     out = findings.groupBy("id").agg(
         F.min_by(F.struct(*kept, "san_count"), o).alias("_first"),
-        union_in_order("entry_types", order).alias("entry_types"),
-        union_in_order("domains", order).alias("domains"),
         F.min("observed_at").alias("observed_at"),
         first_by(text.truthy(F.col("cert_serial")), o).alias("cert_serial"),
         first_by(text.truthy(F.col("cert_issuer_dn_sha256")), o).alias("cert_issuer_dn_sha256"),
         F.count("*").alias("_n"),
     )
+    none = F.array().cast("array<string>")
+    for c in ("entry_types", "domains"):
+        out = out.join(union_in_order(findings, c, order), "id", "left").withColumn(c, F.coalesce(c, none))
     many = F.when(F.col("_n") > 1, F.size("domains")).otherwise(F.col("_first.san_count"))
     made = {c: F.col(f"_first.{c}") for c in kept} | {"san_count": many.cast("int")}
     return out.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in findings.columns if c != order])
