@@ -1,19 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased; words are runs of bytes but white space and ASCII
 punctuation.
 
-1. The n-grams of the test items are the seeds. One scan of all texts finds every
-   place where a seed occurs and keeps the words around it; texts are not
-   shuffled. Test items go to the tasks in blocks of a bounded number of seeds,
-   one scan for each block.
-2. A seed's document frequency over the whole corpus tells whether it is rare:
-   those count that are at most ``spread`` times as frequent as the rarest seed
-   of their item. So phrases of common words fall out, but a passage that many
-   documents hold keeps its seeds.
-3. Rare seeds join passages to items; the local alignment of an item's words with
-   the passage (match 1, mismatch and gap -``penalty``) divided by the item's
-   length is the score. A copy has 1; edits and paraphrases lower it.
+1. The n-grams of the test items are the seeds. Items go to the tasks in blocks of
+   a bounded number of seeds; one scan of all texts for each block finds every
+   place where a seed occurs. Texts are not shuffled, and nothing depends on how
+   often a seed occurs in the corpus.
+2. Every item that shares a seed with a text meets the words around it, as far as
+   an alignment that counts can reach. An item is left aside there only if too few
+   of its words occur in them for the wanted score.
+3. The local alignment of the item's words with these (match 1, mismatch and gap
+   -``penalty``) divided by the item's length is the score. A copy has 1; edits
+   and paraphrases lower it.
 
 Defined results: null and empty texts, and items with fewer than ``seed`` words,
 match nothing. Repeated items and documents are matched each; pairs are distinct.
@@ -22,6 +21,7 @@ Rows with a null id are left out. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,68 +29,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
 from .textbytes import U64, grams, runs, sliced, words
 
 NORMAL = np.arange(256, dtype=np.uint8)
 NORMAL[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = 0x20
+FEW = U64((1 << 22) - 1)
 
 
 @dataclass
 class Search:
     seed: int = 4
-    spread: float = 4.0
     penalty: float = 0.5
     score: float = 0.5
-    #: Seeds that one scan looks for at most (8 bytes each in every task).
+    #: Seeds that one scan looks for at most (a few dozen bytes each in every task), but for a longer item.
     block_seeds: int = 1_000_000
-    #: Words of context before and after seeds, at most; longer items are aligned in part.
-    context: int = 400
 
 
-def item_words(items: DataFrame, n: int) -> DataFrame:
-    """item_id, words (binary, u8 hashes) and the n-gram seeds of each item."""
+def item_words(items: DataFrame) -> DataFrame:
+    """item_id and words (binary, u8 hashes) of each item."""
 
     def run(batches):
         for rows, data, offsets in sliced(batches, "text"):
             w = words(NORMAL[data], offsets)
             first = runs(w.doc, rows.num_rows)
-            own = [w.hash[a:b] for a, b in zip(first, first[1:])]
-            seeds = [np.unique(grams(x, n)).view(np.int64) for x in own]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "item", "seeds"])
-
-    return items.select(F.col("item_id").cast("long"), F.lower("text").alias("text")).filter("item_id is not null").mapInArrow(run, "item_id long, item binary, seeds array<long>").filter("size(seeds) > 0")
-
-
-def passages(docs: DataFrame, seeds: np.ndarray, n: int, reach: int) -> DataFrame:
-    """doc_id, passage (binary, u8 hashes), hit (seeds) and at (their places in
-    the passage): the surroundings of seeds that are at most ``reach`` words apart."""
-    seeds = np.sort(seeds)
-
-    def run(batches):
-        few = np.zeros(1 << 22, bool)
-        few[(seeds & U64((1 << 22) - 1)).astype(np.int64)] = True
-        for rows, data, offsets in sliced(batches, "text"):
-            w = words(NORMAL[data], offsets)
-            g = grams(w.hash, n)
-            if not len(g):
-                continue
-            at = np.flatnonzero(few[(g & U64((1 << 22) - 1)).astype(np.int64)] & (w.doc[: len(g)] == w.doc[n - 1 :]))
-            at = at[seeds[np.minimum(np.searchsorted(seeds, g[at]), len(seeds) - 1)] == g[at]]
-            if not len(at):
-                continue
-            doc = w.doc[at]
-            new = np.flatnonzero((np.diff(at, prepend=-reach - 1) > reach) | (np.diff(doc, prepend=-1) != 0))
-            first = runs(w.doc, rows.num_rows)
-            out = []
-            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)]):
-                d = int(doc[a])
-                lo, hi = max(int(first[d]), int(at[a]) - reach), min(int(first[d + 1]), int(at[b - 1]) + n + reach)
-                out.append((d, w.hash[lo:hi].tobytes(), g[at[a:b]].view(np.int64), (at[a:b] - lo).astype(np.int32)))
-            d, p, h, i = zip(*out)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(d)), pa.array(p, pa.binary()), pa.array(h, pa.list_(pa.int64())), pa.array(i, pa.list_(pa.int32()))], names=["doc_id", "passage", "hit", "at"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).filter("doc_id is not null").mapInArrow(run, "doc_id long, passage binary, hit array<long>, at array<int>")
+            own = [w.hash[a:b].tobytes() for a, b in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(own, pa.binary())], names=["item_id", "item"])
+
+    return items.select(F.col("item_id").cast("long"), F.lower("text").alias("text")).filter("item_id is not null").mapInArrow(run, "item_id long, item binary")
+
+
+def reach(n: int, o: Search) -> int:
+    """Words of a text that an alignment with an item of ``n`` words spans at
+    most: each word put in costs a penalty."""
+    return n + int((1 - o.score) * n / o.penalty) if o.penalty > 0 else 1 << 40
+
+
+class Block:
+    """Items of one scan: their ids, their words as places in ``vocabulary``, how
+    far they reach, and ``seeds``: sorted seeds, where their items start, items."""
+
+    def __init__(self, items: dict[bytes, list[int]], o: Search):
+        own = [np.frombuffer(x, U64) for x in items]
+        self.ids = list(items.values())
+        self.vocabulary = np.unique(np.concatenate(own))
+        self.items = [np.searchsorted(self.vocabulary, x).astype(np.int32) for x in own]
+        self.reach = np.array([reach(len(x), o) for x in own], np.int64)
+        self.seeds = {}
+        by = np.array([o.seed for _ in own])
+        for k in np.unique(by).tolist():
+            mine = np.flatnonzero(by == k)
+            keys = [np.unique(grams(own[i], k)) for i in mine]
+            who, keys = np.repeat(mine, [len(x) for x in keys]), np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")
+            seeds, start = np.unique(keys[order], return_index=True)
+            self.seeds[k] = seeds, np.append(start, len(keys)), who[order]
+
+    def hits(self, w, few: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of all seeds in the words of a slice."""
+        places, items = [], []
+        for k, (seeds, start, who) in self.seeds.items():
+            g = grams(w.hash, k)
+            at = np.flatnonzero(few[k][(g & FEW).astype(np.int64)] & (w.doc[: len(g)] == w.doc[k - 1 :]))
+            s = np.minimum(np.searchsorted(seeds, g[at]), len(seeds) - 1)
+            at, s = at[seeds[s] == g[at]], s[seeds[s] == g[at]]
+            m = start[s + 1] - start[s]
+            places.append(np.repeat(at, m))
+            items.append(who[np.repeat(start[s] - np.cumsum(m) + m, m) + np.arange(m.sum())])
+        return np.concatenate(places), np.concatenate(items)
+
+
+def blocks(items: DataFrame, o: Search) -> Iterator[Block]:
+    mine, size = {}, 0
+    for i, item in items.filter(F.length("item") >= 8 * o.seed).toLocalIterator():
+        if mine and size + len(item) // 8 > o.block_seeds:
+            yield Block(mine, o)
+            mine, size = {}, 0
+        if bytes(item) not in mine:
+            size += len(item) // 8
+        mine.setdefault(bytes(item), []).append(i)
+    if mine:
+        yield Block(mine, o)
 
 
 def align(item: np.ndarray, passage: np.ndarray, penalty: float) -> float:
@@ -107,46 +125,56 @@ def align(item: np.ndarray, passage: np.ndarray, penalty: float) -> float:
     return best
 
 
-def _scored(pairs: DataFrame, o: Search) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            score = []
-            for p, i, lo, hi in zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist()):
-                item, passage = np.frombuffer(i.as_buffer(), U64), np.frombuffer(p.as_buffer(), U64)
-                part = passage[max(0, lo - len(item)) : hi + o.seed + len(item)]
-                score.append(align(item, part, o.penalty) / len(item))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["doc_id", "item_id", "score"])
+def _scored(docs: DataFrame, block: Block, o: Search) -> DataFrame:
+    """(doc_id, item_id, score) of the texts and the block's items, one scan."""
 
-    return pairs.select("doc_id", "item_id", "passage", "item", "lo", "hi").mapInArrow(run, "doc_id long, item_id long, score double")
+    def run(batches):
+        few = {k: np.zeros(1 << 22, bool) for k in block.seeds}
+        for k, (seeds, _, _) in block.seeds.items():
+            few[k][(seeds & FEW).astype(np.int64)] = True
+        other = len(block.vocabulary)  # any word of no item
+        there = np.zeros(other + 1, bool)
+        for rows, data, offsets in sliced(batches, "text"):
+            w = words(NORMAL[data], offsets)
+            at, who = block.hits(w, few)
+            if not len(at):
+                continue
+            order = np.lexsort((at, who, w.doc[at]))
+            at, who = at[order], who[order]
+            doc = w.doc[at]
+            new = np.flatnonzero((np.diff(at, prepend=0) > 2 * block.reach[who]) | (np.diff(who, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+            last = at[np.append(new[1:], len(at)) - 1]
+            first = runs(w.doc, rows.num_rows)
+            lo = np.maximum(first[doc[new]], at[new] - block.reach[who[new]])
+            hi = np.minimum(first[doc[new] + 1], last + block.reach[who[new]])
+            text = np.searchsorted(block.vocabulary, w.hash)
+            text[block.vocabulary[np.minimum(text, other - 1)] != w.hash] = other
+            best = {}
+            for d, i, a, b in zip(doc[new].tolist(), who[new].tolist(), lo.tolist(), hi.tolist()):
+                item, part = block.items[i], text[a:b]
+                there[part] = True
+                there[other] = False
+                able = np.count_nonzero(there[item])
+                there[part] = False
+                if able < o.score * len(item):
+                    continue
+                score = align(item, part, o.penalty) / len(item)
+                if score >= max(o.score, best.get((d, i), 0.0)):
+                    best[d, i] = score
+            out = [(d, j, score) for (d, i), score in best.items() for j in block.ids[i]]
+            if out:
+                d, j, score = zip(*out)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(d)), pa.array(j, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "item_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).filter("doc_id is not null").mapInArrow(run, "doc_id long, item_id long, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search | None = None) -> DataFrame:
     """(doc_id, item_id, score) of all pairs with a score of ``search.score`` or more."""
-    o = search or Search()
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
-    items = scratch.table(item_words(benchmark, o.seed))
-    seeds = items.select("item_id", F.explode("seeds").alias("seed"))
-    blocks = max(1, -(-seeds.count() // o.block_seeds))
-    reach = min(o.context, (items.agg(F.max(F.length("item"))).first()[0] or 0) // 8)
-    out = None
-    for k in range(blocks):
-        # a margin: hashing deals seeds out nearly evenly, items' seeds stay distinct
-        mine = seeds.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k).select("seed").distinct()
-        wanted = np.array([r[0] for r in mine.toLocalIterator()], np.int64).view(U64)
-        if not len(wanted):
-            continue
-        got = passages(docs, wanted, o.seed, reach)
+    o, out = search or Search(), None
+    for block in blocks(item_words(benchmark), o):
+        got = _scored(docs, block, o)
         out = got if out is None else out.unionByName(got)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double")
-    found = scratch.table(out.withColumn("part", F.monotonically_increasing_id()))
-    hits = found.select("doc_id", "part", F.explode(F.arrays_zip(F.col("hit").alias("seed"), F.col("at").alias("at"))).alias("h")).select("doc_id", "part", "h.*")
-    df = scratch.table(hits.select("seed", "doc_id").distinct().groupBy("seed").agg(F.count("*").alias("df")))
-    known = seeds.join(df, "seed")
-    least = known.groupBy("item_id").agg(F.min("df").alias("least"))
-    rare = scratch.table(known.join(least, "item_id").filter(F.col("df") <= F.lit(o.spread) * F.col("least")).select("item_id", "seed"))
-    pairs = hits.join(rare, "seed").groupBy("doc_id", "part", "item_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    pairs = pairs.join(found.select("part", "passage"), "part").join(items.select("item_id", "item"), "item_id")
-    best = _scored(pairs, o).groupBy("doc_id", "item_id").agg(F.max("score").alias("score")).filter(F.col("score") >= o.score)
-    return best.select("doc_id", "item_id", "score")
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

@@ -336,6 +336,19 @@ def test_contamination(spark):
     assert decontaminate.contaminated(awkward(spark), bench).count() == 0
 
 
+def test_contamination_whatever_else_is_frequent(spark):
+    r = random.Random(5)
+    new = lambda n: [f"u{r.randrange(5000)}" for _ in range(n)]
+    item = new(40)
+    edited = [w if i % 6 != 5 else "zzz" for i, w in enumerate(item)]
+    rows = [(i, new(30) + edited + new(30)) for i in range(40)] + [(100, item), (101, new(20) + item[3:9] + new(20))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: x.score for x in decontaminate.contaminated(docs, bench).collect()}
+    want = {i: decontaminate.align(np.array([hash(x) for x in item]), np.array([hash(x) for x in w]), 0.5) / 40 for i, w in rows}
+    assert got == pytest.approx({i: s for i, s in want.items() if s >= 0.5}) and set(got) == {*range(40), 100}
+
+
 def test_alignment_against_a_table():
     def brute(a, b, p):
         h = np.zeros((len(a) + 1, len(b) + 1))
