@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -543,13 +545,29 @@ def entries_union(spark, sf_dir):
 # streams over the events file, drained
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    import uuid
+def _shared(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share;
+    only on one machine, where it is unset, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lurelight-")
+    return f"{named.rstrip('/')}/drained-{uuid.uuid4().hex}"
+
 
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What the stream gives for all that is there, written by the executors. In
+    complete mode each batch replaces the one before it."""
+    base = _shared(spark)
+    out = f"{base}/out"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:
+        w = w.format("parquet").option("path", out)
+    w.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

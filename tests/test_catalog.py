@@ -33,6 +33,13 @@ def test_query(spark, sf, db, name):
         assert rows == sorted(tuple(plain(r[at.index(n)]) for n in names) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_entries_scored", "stream_windowed_issuance"])
+def test_streams_are_written_to_the_shared_folder(spark, sf, name):
+    d = entry.queries()[name](spark, sf)
+    shared, files = spark.conf.get("spark.checkpoint.dir"), d.inputFiles()
+    assert d.count() and files and all(shared in f and "/drained-" in f for f in files)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
