@@ -3,20 +3,23 @@
 Texts are lower-cased; words are runs of bytes but white space and ASCII
 punctuation.
 
-1. The n-grams of the test items are the seeds. Items go to the tasks in blocks of
-   a bounded number of seeds; one scan of all texts for each block finds every
-   place where a seed occurs. Texts are not shuffled, and nothing depends on how
-   often a seed occurs in the corpus.
+1. The n-grams of the test items are the seeds, as long as an item's length and
+   the wanted score allow (``seed_words``). Items go to the tasks in blocks of a
+   bounded number of seeds; one scan of all texts for each block finds every place
+   where a seed occurs. Texts are not shuffled, and nothing depends on how often a
+   seed occurs in the corpus.
 2. Every item that shares a seed with a text meets the words around it, as far as
    an alignment that counts can reach. An item is left aside there only if too few
-   of its words occur in them for the wanted score.
+   of its words occur in them, or too far apart, for the wanted score: both bounds
+   are never below the alignment's score.
 3. The local alignment of the item's words with these (match 1, mismatch and gap
    -``penalty``) divided by the item's length is the score. A copy has 1; edits
    and paraphrases lower it.
 
-Defined results: null and empty texts, and items with fewer than ``seed`` words,
-match nothing. Repeated items and documents are matched each; pairs are distinct.
-Rows with a null id are left out. Other columns are ignored.
+Defined results: null and empty texts, and items without words, match nothing. A
+text with words put in between nearly all of an item's words shares no seed and is
+not found. Repeated items and documents are matched each; pairs are distinct. Rows
+with a null id are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,6 +61,14 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), F.lower("text").alias("text")).filter("item_id is not null").mapInArrow(run, "item_id long, item binary")
 
 
+def seed_words(n: int, o: Search) -> int:
+    """Length of the seeds of an item of ``n`` words: of the words that are left
+    after as many replaced or left-out ones as the score allows, some run has at
+    least that many (pigeonhole), ``o.seed`` at most."""
+    edits = int((1 - o.score) * n / (1 + o.penalty) + 1e-9)
+    return max(1, min(o.seed, -(-(n - edits) // (edits + 1))))
+
+
 def reach(n: int, o: Search) -> int:
     """Words of a text that an alignment with an item of ``n`` words spans at
     most: each word put in costs a penalty."""
@@ -75,7 +86,7 @@ class Block:
         self.items = [np.searchsorted(self.vocabulary, x).astype(np.int32) for x in own]
         self.reach = np.array([reach(len(x), o) for x in own], np.int64)
         self.seeds = {}
-        by = np.array([o.seed for _ in own])
+        by = np.array([seed_words(len(x), o) for x in own])
         for k in np.unique(by).tolist():
             mine = np.flatnonzero(by == k)
             keys = [np.unique(grams(own[i], k)) for i in mine]
@@ -100,7 +111,7 @@ class Block:
 
 def blocks(items: DataFrame, o: Search) -> Iterator[Block]:
     mine, size = {}, 0
-    for i, item in items.filter(F.length("item") >= 8 * o.seed).toLocalIterator():
+    for i, item in items.filter(F.length("item") > 0).toLocalIterator():
         if mine and size + len(item) // 8 > o.block_seeds:
             yield Block(mine, o)
             mine, size = {}, 0
@@ -158,6 +169,11 @@ def _scored(docs: DataFrame, block: Block, o: Search) -> DataFrame:
                 there[part] = False
                 if able < o.score * len(item):
                     continue
+                there[item] = True
+                sums = np.cumsum(np.where(there[part], 1.0, -o.penalty))
+                there[item] = False
+                if (sums - np.minimum(np.minimum.accumulate(sums), 0)).max() + 1 < o.score * len(item):
+                    continue  # each word of an alignment's part of the text gains 1 at most, others cost
                 score = align(item, part, o.penalty) / len(item)
                 if score >= max(o.score, best.get((d, i), 0.0)):
                     best[d, i] = score

@@ -349,6 +349,24 @@ def test_contamination_whatever_else_is_frequent(spark):
     assert got == pytest.approx({i: s for i, s in want.items() if s >= 0.5}) and set(got) == {*range(40), 100}
 
 
+def test_contamination_of_short_items(spark):
+    r = random.Random(6)
+    new = lambda n: [f"s{r.randrange(50000)}" for _ in range(n)]
+    item, three = new(15), new(3)
+    spaced = [w if i not in (3, 7, 11) else "zzz" for i, w in enumerate(item)]
+    rows = [(1, new(40) + spaced + new(40)), (2, new(9) + three + new(9)), (3, [three[0], "zzz", three[2]]), (4, new(80))]
+    for k in range(20, 60):  # five of fifteen replaced: a score of 0.5
+        at = set(r.sample(range(15), 5))
+        rows.append((k, [w if i not in at else "zzz" for i, w in enumerate(item)]))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(three))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(docs, bench).collect()}
+    score = lambda x, w: decontaminate.align(np.array([hash(v) for v in x]), np.array([hash(v) for v in w]), 0.5) / len(x)
+    want = {(d, i): score(x, w) for d, w in rows for i, x in ((1, item), (2, three))}
+    assert got == pytest.approx({k: s for k, s in want.items() if s >= 0.5})
+    assert {(1, 1), (2, 2), (3, 2)} < set(got)
+
+
 def test_alignment_against_a_table():
     def brute(a, b, p):
         h = np.zeros((len(a) + 1, len(b) + 1))
