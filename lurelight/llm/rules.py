@@ -1,15 +1,24 @@
-"""Quality rules: text statistics, fixed limits, and an isolation forest.
+"""Quality rules: text statistics, fixed limits, and isolation forests.
 
-The statistics of every text are exact. Texts that the fixed limits pass get an
-anomaly score: the mean path length over trees of random splits, each grown on
+The statistics of every text are exact. Texts that the fixed limits pass get
+anomaly scores: mean path lengths over trees of random splits, each grown on
 ``tree_rows`` rows drawn by the hash of their id, so that texts unlike the others
-end in short paths. The limit on the score is the ``1 - clean_loss`` quantile of
-all labelled clean rows (labels.quality = 1) that pass the fixed limits.
+end in short paths. One forest splits on all rule statistics together; one for
+each statistic splits on that alone, so that a text odd in one respect is not
+hidden by texts that are odd, but fine, in others.
+
+Each forest's limit is calibrated on labelled rows of both classes that pass the
+fixed limits: the lowest score that at most ``clean_loss`` of the clean rows
+(labels.quality = 1) exceed. Of the forests, that which rejects most bad rows is
+used first, and another only if it adds ``pays`` times as large a share of the bad
+rows as of the clean ones; the others reject nothing. A fold of the labelled rows
+(``apart``) takes no part in this; ``outcome`` tells what is rejected there.
 
 Defined results: null, empty and blank texts have no words and fail. Without
-clean labelled rows nothing is rejected by its score. Repeated ids are judged
-row by row; an id labelled twice counts as clean if one of its rows says so.
-Other columns are ignored. Documents with a null id are left out.
+clean or without bad labelled rows nothing is rejected by its score. Repeated ids
+are judged row by row; an id labelled twice counts as clean if one of its rows
+says so. An empty table gives an empty result. Other columns are ignored.
+Documents with a null id are left out.
 """
 
 from __future__ import annotations
@@ -36,12 +45,16 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 @dataclass
 class Forest:
-    """``trees`` grown on ``tree_rows`` rows each; ``clean_loss``: share of the
-    labelled clean rows that the limit may reject."""
+    """``trees`` (``single_trees`` for one statistic) grown on ``tree_rows`` rows
+    each; ``clean_loss``: share of the labelled clean rows that a limit may reject."""
 
     trees: int = 100
+    single_trees: int = 30
     tree_rows: int = 256
     clean_loss: float = 0.005
+    pays: float = 5.0
+    #: One labelled id in so many takes no part in the calibration.
+    apart: int = 4
     seed: int = 11
 
 
@@ -109,6 +122,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+#: The statistics that the forests split on.
+FEATURES = ["length", "word_length", "symbols", "duplicate_lines", "repeated_words", "distinct_words", "line_length", "upper_case", "digits", "punctuation"]
+#: Their places in each forest. Length alone says nothing about quality.
+FORESTS = {"all": list(range(len(FEATURES)))} | {name: [i] for i, name in enumerate(FEATURES) if not name.endswith("length") or name == "word_length"}
+
+
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
     n, lines = np.maximum(c["n_words"], 1).astype(float), np.maximum(c["n_lines"], 1).astype(float)
     chars = np.maximum(c["word_chars"], 1).astype(float)
@@ -159,11 +178,11 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarra
     return np.array(feature), np.array(value), np.array(left)
 
 
-def grow_forest(x: np.ndarray, options: Forest) -> list:
+def grow_forest(x: np.ndarray, options: Forest, trees: int) -> list:
     rng = np.random.default_rng(options.seed)
     rows = min(options.tree_rows, len(x))
     depth = max(1, math.ceil(math.log2(max(2, rows))))
-    return [grow(x[rng.choice(len(x), rows, replace=False)], rng, depth) for _ in range(options.trees)] if len(x) else []
+    return [grow(x[rng.choice(len(x), rows, replace=False)], rng, depth) for _ in range(trees)] if len(x) else []
 
 
 def anomaly(x: np.ndarray, forest: list, tree_rows: int) -> np.ndarray:
@@ -179,28 +198,70 @@ def anomaly(x: np.ndarray, forest: list, tree_rows: int) -> np.ndarray:
     return 2.0 ** (-total / max(1, len(forest)) / max(_expected(tree_rows), 1e-9)) if forest else np.full(len(x), 0.5)
 
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    """doc_id, quality (0 or 1), once for each id."""
+    return labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+
+
+def _apart(o: Forest):
+    return F.pmod(F.xxhash64(F.lit(o.seed + 1), F.col("doc_id")), F.lit(o.apart)) == 0
+
+
+def calibrated(scored: DataFrame, labels: DataFrame | None, o: Forest) -> list[float]:
+    """The forests' limits; 1, which no score exceeds, where one does not pay."""
+    never = [1.0] * len(FORESTS)
+    if labels is None:
+        return never
+    known = scored.filter("not base_failed").join(_labelled(labels).filter(~_apart(o)), "doc_id").select("quality", *[F.get("scores", F.lit(k)).alias(f"s{k}") for k in range(len(FORESTS))])
+    limits = known.filter("quality = 1").agg(*[F.percentile_approx(f"s{k}", 1 - o.clean_loss, 10000) for k in range(len(FORESTS))]).first()
+    if limits[0] is None:
+        return never
+    over = sum((F.when(F.col(f"s{k}") > x, 1 << k).otherwise(0) for k, x in enumerate(limits)), F.lit(0))
+    left = {(r["quality"], r["over"]): r["count"] for r in known.groupBy("quality", over.alias("over")).count().collect()}  # 2 ** forests masks at most
+    rows = [max(1, sum(n for (q, _), n in left.items() if q == quality)) for quality in (0, 1)]
+    used: set[int] = set()
+    while True:  # the forest that adds most, as long as it pays
+        gain = {k: [sum(n for (q, mask), n in left.items() if q == quality and mask >> k & 1) / rows[quality] for quality in (0, 1)] for k in range(len(FORESTS))}
+        best = max(gain, key=lambda k: (gain[k][0] - gain[k][1], -k))
+        bad, clean = gain[best]
+        if not bad or bad < o.pays * clean:
+            return [x if k in used else 1.0 for k, x in enumerate(limits)]
+        used.add(best)
+        left = {key: n for key, n in left.items() if not key[1] >> best & 1}
+
+
+def outcome(judged: DataFrame, labels: DataFrame, options: Forest | None = None) -> DataFrame:
+    """quality, rows and rejected of the labelled rows that the fixed limits pass
+    and that took no part in the calibration."""
+    known = judged.filter("not base_failed").join(_labelled(labels).filter(_apart(options or Forest())), "doc_id")
+    return known.groupBy("quality").agg(F.count("*").alias("rows"), F.count_if(~F.col("kept")).alias("rejected"))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame | None = None, options: Forest | None = None) -> DataFrame:
-    """doc_id, the counts, base_failed, anomaly and kept of each row."""
-    options = options or Forest()
+    """doc_id, the counts, base_failed, scores (one for each of ``FORESTS``),
+    anomaly (of the forest over all statistics) and kept of each row."""
+    o = options or Forest()
     scratch = Scratch(docs.sparkSession, "rules")
     stats = scratch.table(statistics(docs))
     passed = stats.filter("not base_failed")
-    n, want = passed.count(), options.trees * options.tree_rows
-    at = F.pmod(F.xxhash64(F.lit(options.seed), F.col("doc_id")), F.lit(1 << 40))
-    some = passed.filter(at < int(min(1.0, want / max(n, 1)) * (1 << 40))).select("doc_id", *COUNTS).toPandas().sort_values(["doc_id", *COUNTS]).iloc[: 2 * want]
-    forest = grow_forest(features({c: some[c].to_numpy() for c in COUNTS}), options)
-    tree_rows = min(options.tree_rows, max(len(some), 1))
+    n, want = passed.count(), o.trees * o.tree_rows
+    at = F.pmod(F.xxhash64(F.lit(o.seed), F.col("doc_id")), F.lit(1 << 40))
+    # distinct and limited in Spark: an id that repeats very often is no large sample
+    some = passed.filter(at < int(min(1.0, want / max(n, 1)) * (1 << 40))).select("doc_id", *COUNTS).distinct().orderBy("doc_id", *COUNTS).limit(2 * want).toPandas()
+    x = features({c: some[c].to_numpy() for c in COUNTS})
+    forests = [(places, grow_forest(x[:, places], o, o.trees if name == "all" else o.single_trees)) for name, places in FORESTS.items()]
+    tree_rows = min(o.tree_rows, max(len(some), 1))
 
     def run(batches):
         for b in batches:
-            c = {k: b.column(b.schema.get_field_index(k)).to_numpy() for k in COUNTS}
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly(features(c), forest, tree_rows))], names=[*b.schema.names, "anomaly"])
+            c = features({k: b.column(b.schema.get_field_index(k)).to_numpy() for k in COUNTS})
+            every = np.stack([anomaly(c[:, places], trees, tree_rows) for places, trees in forests], axis=1)
+            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(forests)), pa.array(every.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "scores"])
 
     names = ["doc_id", *COUNTS, "base_failed"]
-    scored = scratch.table(stats.select(names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names[:-1]), "base_failed boolean", "anomaly double"])))
-    limit = None
-    if labels is not None:
-        clean = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-        limit = scored.filter("not base_failed").join(clean, "doc_id").agg(F.percentile_approx("anomaly", 1 - options.clean_loss, 10000)).first()[0]
+    scored = scratch.table(stats.select(names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names[:-1]), "base_failed boolean", "scores array<double>"])))
+    limits = calibrated(scored, labels, o)
     scratch.drop(stats)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(limit if limit is not None else 1.0)))
+    odd = F.exists(F.zip_with("scores", F.lit(limits), lambda s, limit: s > limit), lambda x: x)
+    return scored.withColumns({"anomaly": F.get("scores", F.lit(0)), "kept": ~F.col("base_failed") & ~odd})
