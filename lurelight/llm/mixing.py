@@ -12,14 +12,19 @@ Each leaf then takes a prefix of its seeded epochs: epoch by epoch its documents
 in the order of a seeded hash, up to the budget; a document is taken while the
 tokens before it are below the budget. The prefix is found by sums over ranges of
 the hash, and only the range in which the budget ends is sorted, so a leaf with
-most of the rows never meets in one task. Tokens are words [^\\x20\\x09-\\x0D]+.
-
-Defined results: a null language or source has the name ""; a text that is null
-or has no word costs nothing and is taken if its place is before the budget's
-end; leaves without a word are taken whole, once. Equal hashes are ordered by id;
-rows that share an id are taken together. A
-weight that is missing, null or negative counts as 0, but where all of a family
-are 0 its members weigh the same. Extra columns stay.
+most of the rows never meets in one task. Tokens are words [^\\x20\\x09-\\x0D]+
+unless another measure is given. Sources belong to domains by a catalogue; where
+none is given, a digest of the source's name stands in for one.
+
+Defined results: a null language, source or domain has the name ""; a text that is
+null or has no word costs nothing and is taken if its place is before the budget's
+end; leaves without a word are taken whole, once. Equal hashes are ordered by id,
+null ids first; rows that share an id are taken together. A name without a weight
+has the default; a weight that is null or negative counts as 0, but where all of a
+family are 0 its members weigh the same. An empty table gives an empty one. Extra
+columns stay, whatever their names: inner columns have names that the table lacks.
+Only columns called like one of the results (mix_domain, mix_lang, mix_source,
+mix_epoch, mix_tokens) are replaced by ``mix``; ``take`` leaves these too.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, near
+from .scratch import Scratch, near, quoted
 
 LEVELS = ["domain", "lang", "source"]
 
@@ -44,8 +49,8 @@ class Mix:
     seed: int = 17
     default: float = 1.0
     weights: dict[str, dict[str, float]] = field(default_factory=dict)
-    #: Hash ranges of a leaf; each holds one part in so many of its tokens.
-    ranges: int = 256
+    #: Rows of a hash range, about: so many are sorted in one task for each leaf.
+    range_rows: int = 50_000
 
 
 def domain_of(source: Column) -> Column:
@@ -92,7 +97,7 @@ def budgets(leaves: DataFrame, o: Mix) -> DataFrame:
         share = F.when(F.col("zero"), F.least(F.lit(1.0), F.col("spare")) * F.col("cap")).when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.greatest(F.col("level"), F.lit(0.0)) * F.col("w")))
         granted = here.select(*key, share.alias("share"))
         family = key
-    return leaves.join(granted, LEVELS).select(*LEVELS, "tokens", F.least(F.ceil("share"), F.col("tokens") * o.epochs).cast("long").alias("budget"))
+    return leaves.join(granted, LEVELS).select(*leaves.columns, F.least(F.ceil("share"), F.col("tokens") * o.epochs).cast("long").alias("budget"))
 
 
 def _key(epoch: Column, doc_id: Column, seed: int) -> Column:
@@ -100,24 +105,35 @@ def _key(epoch: Column, doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, options: Mix | None = None, domain: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, source) that the epochs take,
-    with mix_domain, mix_lang, mix_source, mix_epoch (from 0) and mix_tokens."""
-    o = options or Mix()
-    scratch = Scratch(docs.sparkSession, "mix")
+RESULTS = [*LEVELS, "epoch", "tokens"]
+
+
+def _chosen(docs: DataFrame, o: Mix, domain: Column | None, catalogue: DataFrame | None, tokens: Column | None) -> tuple[DataFrame, str]:
+    """The rows that the epochs take, and the prefix of their new columns, with
+    which no column of ``docs`` starts."""
+    scratch, taken_names = Scratch(docs.sparkSession, "mix"), [c.lower() for c in docs.columns]
+    prefix = "_m"
+    while any(c.startswith(prefix) for c in taken_names):
+        prefix = "_" + prefix
+    own = lambda c: F.col(f"{prefix}{c}")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    names = dict(mix_domain=F.coalesce(domain_of(source) if domain is None else domain, F.lit("")), mix_lang=F.coalesce(F.col("lang").cast("string"), F.lit("")), mix_source=source)
-    leaf = [f"mix_{c}" for c in LEVELS]
-    named = docs.withColumns(names | {"mix_tokens": tokens_of(F.col("text"))})
-    size = scratch.table(named.select("doc_id", *leaf, "mix_tokens").toDF("doc_id", *LEVELS, "tokens"))
-    leaves = size.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
+    named = docs.withColumns({f"{prefix}source": source, f"{prefix}lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), f"{prefix}tokens": tokens_of(F.col("text")) if tokens is None else F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0))})
+    if catalogue is not None:
+        of = catalogue.filter("source is not null").groupBy(F.col("source").cast("string").alias(f"{prefix}source")).agg(F.min("domain").cast("string").alias(f"{prefix}domain"))
+        named = named.join(near(of), f"{prefix}source", "left")
+        domain = own("domain")
+    named = named.withColumn(f"{prefix}domain", F.coalesce(domain_of(own("source")) if domain is None else domain, F.lit("")))
+    size = scratch.table(named.select("doc_id", *[own(c).alias(c) for c in [*LEVELS, "tokens"]]))
+    leaves = size.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     plan = budgets(leaves, o).filter("tokens = 0 or budget > 0")
     # tokens that each epoch of a leaf may still take
     plan = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("budget") / F.greatest("tokens", F.lit(1))) - 1, F.lit(0)).cast("int"))))
     plan = scratch.table(plan.withColumn("left", F.col("budget") - F.col("epoch") * F.col("tokens")).withColumn("full", F.col("left") >= F.col("tokens")))
 
-    part = size.join(near(plan.filter("not full").select(*LEVELS, "epoch", "left")), LEVELS).withColumn("key", _key(F.col("epoch"), F.col("doc_id"), o.seed))
-    part = part.withColumn("range", F.floor(F.col("key") / (2**60 // o.ranges)))
+    # as many ranges as the leaf's rows ask for
+    width = F.lit(2**60) / F.ceil(F.col("rows") / o.range_rows)
+    part = size.join(near(plan.filter("not full").select(*LEVELS, "epoch", "left", width.alias("width"))), LEVELS).withColumn("key", _key(F.col("epoch"), F.col("doc_id"), o.seed))
+    part = part.withColumn("range", F.floor(F.col("key") / F.col("width")))
     one = [*LEVELS, "epoch"]
     sums = part.groupBy(*one, "left", "range").agg(F.sum("tokens").alias("tokens"))
     so_far = Window.partitionBy(*one).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,9 +142,24 @@ def mix(docs: DataFrame, options: Mix | None = None, domain: Column | None = Non
     inside = Window.partitionBy(*one, "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     last = part.join(near(cut), [*one, "range"]).withColumn("sofar", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     last = last.filter("sofar < left").groupBy(*one).agg(F.max(F.struct("key", "doc_id")).alias("last"))
-    taken = scratch.table(plan.join(last, one, "left").filter("full or last is not null").select(*(F.col(c).alias(f"mix_{c}") for c in [*LEVELS, "epoch"]), "full", F.col("last.key").alias("mix_key"), F.col("last.doc_id").alias("mix_last")))
-    out = named.join(near(taken), leaf)
-    key = _key(F.col("mix_epoch"), F.col("doc_id"), o.seed)
-    before = (key < F.col("mix_key")) | ((key == F.col("mix_key")) & (F.coalesce(F.col("doc_id"), F.lit(-(2**63))) <= F.coalesce("mix_last", F.lit(-(2**63)))))
-    out = out.filter(F.col("full") | before)
-    return out.select(*(F.col(c) for c in docs.columns if not c.startswith("mix_")), *leaf, "mix_epoch", "mix_tokens")
+    taken = plan.join(last, one, "left").filter("full or last is not null")
+    taken = scratch.table(taken.select(*(F.col(c).alias(f"{prefix}{c}") for c in one), F.col("full").alias(f"{prefix}full"), F.col("last.key").alias(f"{prefix}key"), F.col("last.doc_id").alias(f"{prefix}last")))
+    out = named.join(near(taken), [f"{prefix}{c}" for c in LEVELS])
+    key, least = _key(own("epoch"), F.col("doc_id"), o.seed), F.lit(-(2**63))
+    before = (key < own("key")) | ((key == own("key")) & (F.coalesce(F.col("doc_id").cast("long"), least) <= F.coalesce(own("last").cast("long"), least)))
+    return out.filter(own("full") | before), prefix
+
+
+def mix(docs: DataFrame, options: Mix | None = None, domain: Column | None = None, catalogue: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source) that the epochs take,
+    with mix_domain, mix_lang, mix_source, mix_epoch (from 0) and mix_tokens. The
+    domain is what ``catalogue`` (source, domain) says, or a column of ``docs``;
+    ``tokens`` is what a row costs."""
+    out, prefix = _chosen(docs, options or Mix(), domain, catalogue, tokens)
+    results = [f"mix_{c}" for c in RESULTS]
+    return out.select(*quoted(c for c in docs.columns if c.lower() not in results), *[F.col(f"{prefix}{c}").alias(r) for c, r in zip(RESULTS, results)])
+
+
+def take(docs: DataFrame, options: Mix | None = None, domain: Column | None = None, catalogue: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
+    """The same rows with the columns of ``docs`` alone."""
+    return _chosen(docs, options or Mix(), domain, catalogue, tokens)[0].select(*quoted(docs.columns))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,3 +58,15 @@ def near(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """Marked for broadcast if it has at most so many (short) rows; else as it
     is, and Spark joins it by a shuffle. ``df`` should be cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id), with their
+    columns in their order; a null id stays."""
+    gone = near(ids)
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

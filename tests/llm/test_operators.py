@@ -284,13 +284,51 @@ def test_rule_statistics(spark, sf):
 def test_quality_rules(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    p = rules.quality_rules(docs, labels).join(labels, "doc_id", "left").toPandas()
+    judged = rules.quality_rules(docs, labels)
+    p = judged.join(labels, "doc_id", "left").toPandas()
     assert not p[p.base_failed].kept.any() and ((p.n_words < 50) <= p.base_failed).all()
     fine = p[~p.base_failed]
     assert fine[fine.quality == 1].kept.mean() > 0.98
     good, bad = fine[fine.quality == 1].anomaly.to_numpy(), fine[fine.quality == 0].anomaly.to_numpy()
     assert (bad[:, None] > good[None]).mean() > 0.9  # short paths for odd texts
     assert rules.quality_rules(awkward(spark), labels).count() == len(AWKWARD) - 1 and rules.quality_rules(empty(spark), labels.filter("false")).count() == 0
+    # without one of the classes nothing is rejected
+    for one in (labels.filter("quality = 1"), labels.filter("quality = 0"), None):
+        assert rules.quality_rules(docs, one).filter("not base_failed and not kept").isEmpty()
+
+
+def test_quality_rules_on_rows_held_apart(spark):
+    """Shares of labelled rows that took no part in setting the limits."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.quality: r for r in rules.outcome(rules.quality_rules(docs, labels), labels).collect()}
+    assert got[0]["rows"] > 40 and got[0].rejected > 0.9 * got[0]["rows"] and got[1].rejected < 0.02 * got[1]["rows"]
+    # bad for another reason: some documents in upper case are labelled so
+    loud = F.pmod("doc_id", F.lit(50)) == 3
+    strange = docs.withColumn("text", F.when(loud, F.upper("text")).otherwise(F.regexp_replace("text", "[#*$%&|<>]+", "")))
+    ours = docs.select("doc_id", F.when(loud, 0).otherwise(1).alias("quality"))
+    got = {r.quality: r for r in rules.outcome(rules.quality_rules(strange, ours), ours).collect()}
+    assert got[0].rejected > 0.9 * got[0]["rows"] and got[1].rejected < 0.02 * got[1]["rows"]
+
+
+def test_forest_paths_against_a_walk():
+    r = np.random.default_rng(8)
+    x, options = r.normal(size=(300, 3)), rules.Forest(tree_rows=64)
+    forest = rules.grow_forest(x, options, 20)
+
+    def walk(tree, row, at=0):
+        feature, value, left = tree
+        return value[at] if feature[at] < 0 else walk(tree, row, left[at] + (1 if row[feature[at]] > value[at] else 0))
+
+    def depths(tree, at=0, d=0):
+        feature, _, left = tree
+        return [d] if feature[at] < 0 else depths(tree, left[at], d + 1) + depths(tree, left[at] + 1, d + 1)
+
+    expected = 2 * sum(1 / i for i in range(1, 64)) - 2 * 63 / 64  # mean path of 64 rows, by its sum
+    got = rules.anomaly(x, forest, 64)
+    assert got == pytest.approx([2 ** (-np.mean([walk(t, row) for t in forest]) / expected) for row in x], rel=0.01)
+    assert all(max(depths(t)) <= 6 for t in forest)
+    assert rules.anomaly(np.array([[9.0, 9.0, 9.0]]), forest, 64)[0] > got.max()
 
 
 # chats
@@ -431,7 +469,7 @@ def brute_mix(rows, o):
     return out
 
 
-@pytest.mark.parametrize("o", [mixing.Mix(), mixing.Mix(share=0.8, epochs=2, weights={"lang": {"en": 1, "es": 3, "fr": 0}}), mixing.Mix(share=1.7, epochs=2, ranges=4), mixing.Mix(share=0.05, weights={"domain": {"d0": 5}})])
+@pytest.mark.parametrize("o", [mixing.Mix(), mixing.Mix(share=0.8, epochs=2, weights={"lang": {"en": 1, "es": 3, "fr": 0}}), mixing.Mix(share=1.7, epochs=2, range_rows=9), mixing.Mix(share=0.05, weights={"domain": {"d0": 5}})])
 def test_mixing(spark, sf, o):
     docs = sample(spark, sf).withColumn("lang", F.when(F.col("doc_id") % 20 == 1, None).otherwise(F.col("lang")))
     for d in (docs, awkward(spark).filter("doc_id is not null"), empty(spark)):
