@@ -8,8 +8,10 @@ means over its windows, weighted by their bytes. Since embedding and filters are
 linear, applying them sums table rows looked up by pairs of bytes.
 
 Defined results: a text that is null or has no letter (Unicode class L) is
-``und`` with score 0. Repeated rows are predicted one by one. Without labelled
-rows every text is ``und``. Other columns are ignored.
+``und`` with score 0. Rows with a null id are predicted like others; repeated rows
+are predicted one by one, and count once in the training. Equal probabilities go to
+the first label. Without labelled rows every text is ``und``; an empty table gives
+an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import near
 from .textbytes import release, text_slices
 
 UNKNOWN = "und"
@@ -28,12 +31,13 @@ UNKNOWN = "und"
 
 @dataclass
 class Fit:
-    """``per_label``: rows of each label that training uses at most; ``labels``:
-    most different labels; ``crop``: characters of a sampled text, from a place
-    that depends on its id."""
+    """``per_label``: rows of each label that training uses at most; ``rows``: of
+    all labels together, dealt evenly where there are very many labels (at least
+    one each); ``crop``: characters of a sampled text, from a place that depends on
+    its id."""
 
     per_label: int = 2000
-    labels: int = 500
+    rows: int = 100_000
     crop: int = 700
     window: int = 256
     embed: int = 8
@@ -57,22 +61,24 @@ class Network:
 
 
 def sample(docs: DataFrame, fit: Fit, id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """(label, text) of at most ``per_label`` rows of each label: those whose id
-    has the smallest hashes, by a threshold that the label's count sets."""
-    rows = docs.filter("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit.labels).collect()}
+    """(label, text) of at most ``per_label`` rows of every label: those whose id
+    has the smallest hashes. A threshold that the label's count sets comes first,
+    and equal rows fall together, so neither a frequent label nor an id that
+    repeats very often is a large group; the rest is cut before it is collected."""
+    counts = docs.filter("lang is not null").groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n"))
+    labels = counts.count()
+    if not labels:
+        return []
+    each = max(1, min(fit.per_label, fit.rows // labels))
     at = F.pmod(F.xxhash64(F.lit(fit.seed), F.col(id_col)), F.lit(1 << 30))
-    keep = F.lit(False)
-    for label, n in counts.items():
-        # a margin above the wanted number; the surplus is cut below
-        keep = keep | ((F.col("lang") == label) & (at < int(min(1.0, (fit.per_label + 4 * fit.per_label**0.5) / n) * (1 << 30))))
     length = F.greatest(F.length("text") - fit.crop, F.lit(0)) + 1
     crop = F.substring("text", (F.pmod(F.xxhash64(F.lit(fit.seed + 1), F.col(id_col)), length) + 1).cast("int"), F.lit(fit.crop))
-    got = rows.filter(keep).select(at.alias("at"), F.col(id_col).alias("id"), "lang", crop.alias("text")).collect() if counts else []
-    by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r.at, r.id)):
-        by.setdefault(r.lang, []).append((r.lang, r.text))
-    return [x for label in sorted(by) for x in by[label][: fit.per_label]]
+    rows = docs.filter("lang is not null and text is not null").select(F.col("lang").alias("label"), at.alias("at"), F.col(id_col).alias("id"), crop.alias("text"))
+    margin = (each + 4 * each**0.5 + 8) * (1 << 30)  # above the wanted number; the surplus is cut below
+    some = rows.join(near(counts), "label").filter(F.col("at") < margin / F.col("n")).select(*rows.columns).distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("at", "id", "text"))
+    got = some.withColumn("place", place).filter(F.col("place") <= each).select("label", "place", "text").collect()
+    return [(r.label, r.text) for r in sorted(got, key=lambda r: (r.label, r.place))]
 
 
 def train(rows: list[tuple[str, str]], fit: Fit) -> Network | None:
@@ -224,7 +230,10 @@ def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4, block:
             yield own.filter(pa.array([s != UNKNOWN and x >= least for s, x in zip(said, score)], pa.bool_()))
         release()
 
-    return docs.select("*", _has_letters().alias("_letters")).mapInArrow(run, docs.schema)
+    free = "_letters"
+    while free in {n.lower() for n in names}:
+        free = "_" + free
+    return docs.select("*", _has_letters().alias(free)).mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, options: Fit | None = None) -> Network | None:

@@ -10,9 +10,11 @@ two-layer numpy network with temperature-calibrated probabilities.
    labelled rows (the bound of the fit), a fifth of which sets the temperature.
 
 Defined results: null and empty texts have zero vectors and get a score like any
-other. Without labelled rows of both classes every score is the share of label 1
-(0.5 without any). Repeated rows are scored one by one; an id labelled twice has
-the larger label. Other columns are ignored.
+other, and so have rows with a null id. Without labelled rows of both classes (ten
+at least) every score is the share of label 1 (0.5 without any). Repeated rows are
+scored one by one; an id labelled twice has the larger label, and of the texts of
+an id the network learns one. An empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -163,9 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, options: Options | None = None) -> M
     at = F.pmod(F.xxhash64(F.lit(o.seed), "doc_id"), F.lit(1 << 30))
     share = min(1.0, (o.train_rows + 4 * o.train_rows**0.5) / max(n, 1))
     some = known.filter(at < int(share * (1 << 30))).limit(2 * o.train_rows)
-    got = features(docs.join(F.broadcast(some), "doc_id", "left_semi"), vectors).join(F.broadcast(some), "doc_id")  # bounded by train_rows
-    got = got.toPandas().sort_values("doc_id")
-    got = got.drop_duplicates("doc_id").iloc[: o.train_rows]
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id", "left_semi")  # bounded by train_rows
+    got = features(own, vectors).groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(some), "doc_id")  # a row for each id
+    got = got.toPandas().sort_values("doc_id").iloc[: o.train_rows]
     y = got["quality"].to_numpy(float)
     if len(y) < 10 or y.min() == y.max():
         return Model(vectors, np.zeros(1), np.ones(1), [], 1.0, float(y.mean()) if len(y) else 0.5)
