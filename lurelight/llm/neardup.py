@@ -7,16 +7,21 @@
 2. Documents with the same set collapse to the smallest id first, so groups of
    exact copies cost one row each.
 3. In each band the members are paired with the band's smallest id. Pairs whose
-   sketches allow the wanted similarity are confirmed on full sets, the likeliest
-   pair of each document first, and only while both ends are in different
-   components. Last, bands whose members still are in several components give
-   the pairs across components; so no link between different texts is lost to
-   the choice of centres, and a large group never expands into all its pairs.
+   sketches allow the wanted similarity are confirmed on full sets; the pairs of
+   an id that is the smallest of very many are dealt to several tasks. Last, bands
+   whose members still are in several components are compared across components,
+   first by sketches alone, then by the full sets of those documents that have a
+   partner left; so no link between different texts is lost to the choice of
+   centres, and a large group never expands into all its pairs.
 4. Components come from hooking and pointer jumping over DataFrames.
 
+Bands are as many as leave a pair of just the wanted similarity without a common
+one with a probability of 4e-7 (20 for 0.85, 28 for 0.8).
+
 Defined results: null and empty texts and texts without words have no shingle
-and link with nothing. Repeated rows of a document id count once (the smallest
-text stays). Other columns are ignored. Documents with a null id are left out.
+and link with nothing. Repeated rows of a document id count once (the text with the
+smallest fingerprint stays). An empty table gives an empty result. Other columns
+are ignored. Documents with a null id are left out.
 """
 
 from __future__ import annotations
@@ -28,12 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, near
 from .textbytes import LOWER, U64, grams, lists, mix, release, runs, sliced, words
 
-SAMPLES, BANDS, ROWS, BITS, SHINGLE = 128, 20, 4, 512, 5
+SAMPLES, ROWS, BITS, SHINGLE, MISSED = 128, 4, 512, 5, 4e-7
 #: Standard errors below the wanted similarity down to which a sketch still allows it.
 MARGIN = 4.5
+#: Pairs of one centre in a task, about.
+DEALT = 512
+
+
+def bands_for(percent: int) -> int:
+    s = min(max(percent / 100, 0.01), 0.999)
+    return min(SAMPLES // ROWS, math.ceil(math.log(MISSED) / math.log1p(-(s**ROWS)) - 1e-6))
+
 
 _A = mix(np.arange(1001, 1001 + SAMPLES, dtype=U64)) | U64(1)
 _B = mix(np.arange(5001, 5001 + SAMPLES, dtype=U64))
@@ -64,9 +77,9 @@ def _samples(s: np.ndarray) -> np.ndarray:
 _WEIGHTS = mix(np.arange(9001, 9001 + SAMPLES, dtype=U64)) | U64(1)
 
 
-def _bands(v: np.ndarray) -> np.ndarray:
-    use = v[: BANDS * ROWS] * _WEIGHTS[: BANDS * ROWS]
-    return mix(use.reshape(BANDS, ROWS).sum(axis=1, dtype=U64) + np.arange(BANDS, dtype=U64))
+def _bands(v: np.ndarray, bands: int) -> np.ndarray:
+    use = v[: bands * ROWS] * _WEIGHTS[: bands * ROWS]
+    return mix(use.reshape(bands, ROWS).sum(axis=1, dtype=U64) + np.arange(bands, dtype=U64))
 
 
 def _odd(v: np.ndarray) -> np.ndarray:
@@ -75,7 +88,7 @@ def _odd(v: np.ndarray) -> np.ndarray:
     return np.packbits(parity).view(U64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, bands_of: int) -> DataFrame:
     """doc_id, n (set size), s1, s2 (fingerprint of the set), bands, odd."""
 
     def run(batches):
@@ -87,7 +100,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 two.append(int(mix(s ^ U64(0xA5A5A5A55A5A5A5A)).sum(dtype=U64)))
                 if len(s):
                     v = _samples(s)
-                    bands.append(_bands(v))
+                    bands.append(_bands(v, bands_of))
                     odd.append(_odd(v))
                 else:
                     bands.append(np.zeros(0, U64))
@@ -143,9 +156,23 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _dealt(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v, part): the pairs of a frequent u in several parts. Frequent ones are
+    at most one in DEALT pairs."""
+    hot = scratch.table(pairs.groupBy("u").agg(F.ceil(F.count("*") / DEALT).alias("parts")).filter("parts > 1"))
+    return pairs.join(near(hot), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).alias("part"))
+
+
+def _with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (u, v, part) with the columns that ``of`` (doc_id, ...) has for both
+    ends, named with u and v at the end. The centre's come once for each part."""
+    mine = lambda end: of.select(F.col("doc_id").alias(end), *[F.col(c).alias(c + end) for c in of.columns if c != "doc_id"])
+    centers = pairs.select("u", "part").distinct().join(mine("u"), "u")
+    return pairs.join(mine("v"), "v").join(centers, ["u", "part"])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv")), "v")
+    """The pairs (u, v, part) whose sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         for b in batches:
@@ -153,7 +180,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
         release()
 
-    return both.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
+    return _with_both(pairs, sets).select("u", "v", "hashesu", "hashesv").mapInArrow(run, "u long, v long")
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -170,38 +197,64 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     straight = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ss") + F.col("gs") - 1), lambda j: F.struct(F.least("mine", j).alias("a"), F.greatest("mine", j).alias("b")))
     giant = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ss") - 1), lambda j: F.struct(j.alias("a"), (F.col("ss") + F.col("mine")).alias("b")))
     x = x.withColumn("to", F.explode(F.when(F.col("giant"), giant).otherwise(straight)))
-    return x.select("i", "key", "to.a", "to.b", "doc_id", "root", "n", "bands", "odd", "hashes")
+    return x.select("i", "key", "to.a", "to.b", "doc_id", "root", "n", "bands", "odd")
+
+
+class _Group:
+    """The members of two blocks in a task: which of them may be linked."""
+
+    def __init__(self, t: pa.Table, percent: int, bits: int):
+        rows = t.num_rows
+        self.doc, self.root, self.n = (t.column(c).to_numpy() for c in ("doc_id", "root", "n"))
+        self.odd = t.column("odd").combine_chunks().flatten().to_numpy().view(U64).reshape(rows, BITS // 64)
+        self.bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(rows, -1)
+        self.band, self.percent, self.bits = t.column("i")[0].as_py(), percent, bits
+
+    def partners(self, a: int) -> np.ndarray:
+        """Later members that size, sketch and component let be linked with ``a``."""
+        rest = slice(a + 1, len(self.doc))
+        small, large = np.minimum(self.n[a], self.n[rest]), np.maximum(self.n[a], self.n[rest])
+        fit = (self.root[rest] != self.root[a]) & (100 * small >= self.percent * large)
+        fit &= np.bitwise_count(self.odd[a] ^ self.odd[rest]).sum(axis=1) <= self.bits
+        if self.band:  # an earlier band that both share has compared them
+            fit &= ~(self.bands[rest, : self.band] == self.bands[a, : self.band]).any(axis=1)
+        return np.flatnonzero(fit) + a + 1
+
+
+def _hopeful(blocks: DataFrame, percent: int, bits: int) -> DataFrame:
+    """(i, key, a, b, doc_id) of the members with a partner in their pair of blocks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        g, some = _Group(t, percent, bits), np.zeros(t.num_rows, bool)
+        for a in range(t.num_rows - 1):
+            at = g.partners(a)
+            some[at] = True
+            some[a] |= len(at) > 0
+        return t.select(["i", "key", "a", "b", "doc_id"]).filter(pa.array(some))
+
+    return blocks.groupBy("i", "key", "a", "b").applyInArrow(run, "i int, key long, a long, b long, doc_id long")
 
 
 def _links(blocks: DataFrame, percent: int, bits: int) -> DataFrame:
     """Links between members of different components within each pair of blocks."""
 
     def run(t: pa.Table) -> pa.Table:
-        u, v, rows = [], [], t.num_rows
-        doc, root, n = (t.column(c).to_numpy() for c in ("doc_id", "root", "n"))
-        odd = t.column("odd").combine_chunks().flatten().to_numpy().view(U64).reshape(rows, BITS // 64)
-        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(rows, BANDS)
+        u, v, g = [], [], _Group(t, percent, bits)
         sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("hashes")]
-        band, up = t.column("i")[0].as_py(), {int(r): int(r) for r in root}
+        up = {int(r): int(r) for r in g.root}
 
         def top(r):
             while up[r] != r:
                 up[r] = r = up[up[r]]
             return r
 
-        for a in range(rows - 1):
-            rest = slice(a + 1, rows)
-            small, large = np.minimum(n[a], n[rest]), np.maximum(n[a], n[rest])
-            fit = (root[rest] != root[a]) & (100 * small >= percent * large)
-            fit &= np.bitwise_count(odd[a] ^ odd[rest]).sum(axis=1) <= bits
-            if band:  # an earlier band that both share has compared them
-                fit &= ~(bands[rest, :band] == bands[a, :band]).any(axis=1)
-            for b in np.flatnonzero(fit) + a + 1:
-                x, y = top(int(root[a])), top(int(root[b]))
+        for a in range(t.num_rows - 1):
+            for b in g.partners(a):
+                x, y = top(int(g.root[a])), top(int(g.root[b]))
                 if x != y and similar(sets[a], sets[b], percent):
                     up[max(x, y)] = min(x, y)
-                    u.append(int(doc[a]))
-                    v.append(int(doc[b]))
+                    u.append(int(g.doc[a]))
+                    v.append(int(g.doc[b]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return blocks.groupBy("i", "key", "a", "b").applyInArrow(run, "u long, v long")
@@ -239,7 +292,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return done if done is not None else edges.sparkSession.createDataFrame([], "node long, root long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document id of ``docs``
     (doc_id, text); see the module's text. ``percent``: a link needs
     100 * intersection >= percent * union of the shingle sets."""
@@ -247,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 256) -> Dat
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     one = Window.partitionBy("doc_id").orderBy("s1", "s2")
-    raw = scratch.table(sketches(docs))
+    raw = scratch.table(sketches(docs, bands_for(percent)))
     sk = scratch.table(raw.withColumn("r", F.row_number().over(one)).filter("r = 1").drop("r"))
     same = scratch.table(sk.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
 
@@ -255,10 +308,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 256) -> Dat
     keyed = reps.select("doc_id", F.posexplode("bands").alias("i", "key"))
     shared = keyed.groupBy("i", "key").agg(F.min("doc_id").alias("center"), F.count("*").alias("c")).filter("c > 1")
     member = scratch.table(keyed.join(shared, ["i", "key"]))  # of bands with several members
-    pairs = member.filter("doc_id <> center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct()
-    of = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
-    allowed = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)") & (differing_bits(F.col("ou"), F.col("ov")) <= bits)
-    pairs = pairs.join(of("u"), "u").join(of("v"), "v").filter(allowed).select("u", "v")
+    every = scratch.table(member.filter("doc_id <> center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct())
+    allowed = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)") & (differing_bits(F.col("oddu"), F.col("oddv")) <= bits)
+    pairs = scratch.table(_with_both(_dealt(every, scratch), reps.select("doc_id", "n", "odd")).filter(allowed).select("u", "v", "part"))
 
     some = member.select("doc_id").distinct().join(sk.select("doc_id", "s1"), "doc_id")
     sets = docs.join(some.select("doc_id"), "doc_id", "left_semi")
@@ -268,8 +320,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 256) -> Dat
     root = components(edges, scratch)
     left = member.select("i", "key", "doc_id").join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     several = left.groupBy("i", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi and c > 2").select("i", "key")
-    left = left.join(several, ["i", "key"]).join(reps.select("doc_id", "n", "bands", "odd"), "doc_id").join(sets, "doc_id")
-    more = scratch.table(_links(_blocks(left, block), percent, bits))
+    about = reps.select("doc_id", "n", "bands", "odd")
+    blocks = scratch.table(_blocks(left.join(several, ["i", "key"]).join(about, "doc_id"), block))
+    # sets go only where sketches leave a partner
+    more = scratch.table(_links(_hopeful(blocks, percent, bits).join(blocks, ["i", "key", "a", "b", "doc_id"]).join(sets, "doc_id"), percent, bits))
     if not more.isEmpty():
         old, root = root, components(edges.unionByName(more), scratch)
         if hasattr(old, "scratch_path"):
@@ -283,5 +337,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 256) -> Dat
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
-    scratch.drop(raw, sk, same, member, sets, edges, more, of_rep, *([root] if hasattr(root, "scratch_path") else []))
+    scratch.drop(raw, sk, same, member, every, pairs, sets, edges, blocks, more, of_rep, *([root] if hasattr(root, "scratch_path") else []))
     return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,8 @@ from .repeats import without_repeats
 from .scratch import Scratch, small_batches
 from .secrets import find_secrets
 
-#: Folder of the public tokenizers' files, on every executor.
-TOKENIZERS = os.environ.get("LURELIGHT_TOKENIZERS", "/opt/tokenizers")
+#: A public tokenizer's file, on every executor.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 ORACLES: dict[str, str] = {"op1_neardup": sql.NEARDUP, "op4_repeats": sql.REPEATS, "op6_chat": sql.CHAT}
 #: The mix of op9: an eighth of the tokens is left out, two epochs at most.
@@ -35,13 +35,13 @@ def fold(parts: int):
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents (links at 85 % of the union)."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, written, read back and digested."""
     path = Scratch(spark, "planes").base
-    planes.write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/byte_bpe_50k.json")
+    planes.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
     return planes.document_digests(spark, path)
 
 

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from lurelight.llm import chat, decontaminate, langid, mixing, neardup, planes, quality, repeats, rules, secrets
 from lurelight.llm.encode import Encoder
-from lurelight.llm.queries import TOKENIZERS, op6_chat
+from lurelight.llm.queries import TOKENIZER, op6_chat
 from lurelight.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TOKENIZER = f"{TOKENIZERS}/byte_bpe_50k.json"
 AWKWARD = [
     (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (6, "É a\x0bb\x0cc d e f"), (7, "a " * 3000), (8, "a " * 3000), (9, "x" * 70_000 + " y"), (None, "lost"), (10, "no letters: 1 2 3"), (11, "\n\n\na  b\n"), (12, "日本語 テキスト"),
 ]
@@ -82,25 +81,30 @@ def near_copies(n=60, groups=3):
     return rows
 
 
-@pytest.mark.parametrize("block", [8, 256])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize(("block", "percent", "dealt"), [(8, 85, 7), (256, 80, 512)])
+def test_near_duplicates(spark, monkeypatch, block, percent, dealt):
+    monkeypatch.setattr(neardup, "DEALT", dealt)
     rows = near_copies() + [(9000 + i, t) for i, t in enumerate(["a b c d e f", "A b C d e f", "a b c", "a b c", "", None])]
-    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
-    want = brute_components(rows)
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent, block).collect()}
+    want = brute_components(rows, percent)
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want
     assert all(r.kept == (d == r.component_id) for d, r in got.items())
 
 
 def test_near_duplicates_awkward(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(awkward(spark)).collect()}
-    assert got == brute_components([x for x in AWKWARD if x[0] is not None])
+    assert got == brute_components([x for x in AWKWARD if x[0] is not None], 80)
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
 def test_near_duplicates_sample(spark, sf):
     d = sample(spark, sf)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect()}
-    assert got == brute_components([(r.doc_id, r.text) for r in d.collect()])
+    assert got == brute_components([(r.doc_id, r.text) for r in d.collect()], 80)
+
+
+def test_bands_leave_few_pairs_apart():
+    assert [neardup.bands_for(p) for p in (80, 85)] == [28, 20]
 
 
 def test_odd_sketch_tells_similarity():
