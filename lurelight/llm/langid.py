@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .scratch import near
 from .textbytes import release, text_slices
@@ -220,20 +221,20 @@ def predict(docs: DataFrame, net: Network | None, block: int = 128) -> DataFrame
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4, block: int = 128) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is one of the network's
     with a score of at least ``least``; rows stay in their tasks."""
-    names = docs.columns
+    text, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
         scorer = Scorer(net) if net else None
         for b in batches:
-            own = b.select(range(len(names)))
-            said, score = _predicted(own.column(names.index("text")), b.column(len(names)).to_numpy(zero_copy_only=False), scorer, block)
+            own = b.select(range(n))
+            said, score = _predicted(own.column(text), b.column(n).to_numpy(zero_copy_only=False), scorer, block)
             yield own.filter(pa.array([s != UNKNOWN and x >= least for s, x in zip(said, score)], pa.bool_()))
         release()
 
-    free = "_letters"
-    while free in {n.lower() for n in names}:
-        free = "_" + free
-    return docs.select("*", _has_letters().alias(free)).mapInArrow(run, docs.schema)
+    # by place, whatever the columns' names
+    places = [f"c{i}" for i in range(n + 1)]
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(places, docs.schema)])
+    return docs.select("*", _has_letters().alias("letters")).toDF(*places).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def fit(docs: DataFrame, options: Fit | None = None) -> Network | None:
