@@ -11,15 +11,17 @@ judged on the input.
    bucket's documents are compiled into that bucket's Aho-Corasick automaton
    over word codes, through which the bucket's documents are streamed: each shard
    holds what its documents can meet, and no document visits another shard.
-3. Windows in a row that name one located phrase form a run. Equal runs are
-   resolved by their smallest document id at once. Where a phrase has several
-   different runs (edges of passages, edits), their windows are compared one by
-   one. Hashes are of 64 bits under the phrase's own code, so a false match
-   needs both to collide.
+3. Windows in a row that name one located phrase form a run. Runs of the same
+   words are resolved by their smallest document id at once. Where a phrase has
+   several different runs (edges of passages, edits), the windows of one document
+   for each run are compared one by one. Both compare the words themselves, by
+   128-bit BLAKE2 digests of them: hashes of words only choose phrases.
 
 Defined results: null and empty texts have no words; nothing is removed and the
 digest is that of the empty string. Repeated ids are each judged against smaller
-ids only. Other columns are ignored. Documents with a null id are left out.
+ids only; rows that are equal in id and text meet in one bucket. An empty table
+gives an empty result. Other columns are ignored. Documents with a null id are
+left out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textbytes import U64, grams, mix, sliced, text_slices, words
+from .textbytes import U64, grams, runs, sliced, text_slices, words
 
 WINDOW, PHRASE, LETTERS = 50, 8, 3
 #: Characters of text in a bucket, about.
@@ -94,8 +96,7 @@ def _located(letters: np.ndarray, automaton: ahocorasick.Automaton, phrase: int)
 def _streamed(window: int, phrase: int):
     """For cogroups of a bucket's documents and its recurring phrases."""
     schema = [("doc_id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string())]
-    schema += [(c, pa.list_(pa.int64())) for c in ("named", "run", "start", "length", "before")] + [("hashes", pa.list_(pa.int64()))]
-    schema = pa.schema(schema)
+    schema = pa.schema([*schema, ("named", pa.list_(pa.int64())), ("run", pa.list_(pa.binary())), ("start", pa.list_(pa.int64())), ("length", pa.list_(pa.int64()))])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -107,37 +108,63 @@ def _streamed(window: int, phrase: int):
         for lo, hi, data, offsets in text_slices(text):
             w = words(data, offsets)
             counts = np.bincount(w.doc, minlength=hi - lo)
+            first = runs(w.doc, hi - lo)
             by: dict[int, list] = {}
             if len(automaton):
                 starts, at = _named(w.hash, w.doc, window, phrase)
                 keep = _located(_letters(w.hash), automaton, phrase)[at]
                 starts, at = starts[keep], at[keep]
                 if len(starts):
-                    h = grams(w.hash, window)[starts]
                     code = grams(w.hash, phrase)
                     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
                     size = np.diff(np.append(new, len(starts)))
-                    inside = np.arange(len(starts)) - np.repeat(new, size)
-                    key = mix(np.add.reduceat(mix(h + mix(inside.astype(U64))), new) + size.astype(U64))
-                    first = np.searchsorted(w.doc, np.arange(hi - lo))
-                    doc, h = w.doc[starts[new]], h.view(np.int64)
-                    fields = code[at[new]].view(np.int64), key.view(np.int64), starts[new] - first[doc], size
+                    doc = w.doc[starts[new]]
+                    fields = code[at[new]].view(np.int64), starts[new] - first[doc], size
                     edge = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(new)]
-                    for i, j in zip(edge, edge[1:]):  # the runs of one document
-                        own = h[new[i] : new[j - 1] + size[j - 1]]
-                        by[int(doc[i])] = [*(f[i:j] for f in fields), new[i:j] - new[i], own]
+                    by = {int(doc[i]): [f[i:j] for f in fields] for i, j in zip(edge, edge[1:])}  # the runs of each document
             raw, bound = data.tobytes(), offsets.tolist()
             for d in range(hi - lo):
                 own = raw[bound[d] : bound[d + 1]]
-                runs = by.get(d)
-                sha = "" if runs else hashlib.sha256(b" ".join(own.split())).hexdigest()
-                out.append((ids[lo + d], rids[lo + d], int(counts[d]), sha, own.decode() if runs else None, *(runs or [[]] * 6)))
+                if d not in by:
+                    out.append((ids[lo + d], rids[lo + d], int(counts[d]), hashlib.sha256(b" ".join(own.split())).hexdigest(), None, [], [], [], []))
+                    continue
+                named, start, size = by[d]
+                norm = b" ".join(own.split())
+                digests = _digests(norm, (w.end - w.start)[first[d] : first[d + 1]], start, size + window - 1)
+                out.append((ids[lo + d], rids[lo + d], int(counts[d]), "", norm.decode(), named, digests, start, size))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run
 
 
-STREAMED = "doc_id long, rid long, n_words long, sha string, text string, named array<long>, run array<long>, start array<long>, length array<long>, before array<long>, hashes array<long>"
+def _digests(norm: bytes, sizes: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[bytes]:
+    """Digests of ``length`` words from each ``start`` on, in a text whose words of
+    so many bytes are joined by one space."""
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    return [hashlib.blake2b(norm[a:b], digest_size=16).digest() for a, b in zip(begin[start].tolist(), (begin[start + length] - 1).tolist())]
+
+
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """(named, run, doc_id, i, digest) of the windows of the runs of each row:
+    ``rows`` (doc_id, text of words joined by one space, runs)."""
+
+    def run(batches):
+        for b in batches:
+            for doc, text, mine in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                norm = text.as_py().encode()
+                sizes = np.array([len(x) for x in norm.split(b" ")], np.int64)
+                for r in mine.as_py():
+                    n = r["length"]
+                    got = _digests(norm, sizes, r["start"] + np.arange(n), np.full(n, window))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r["named"]] * n, pa.int64()), pa.array([r["run"]] * n, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(np.arange(n)), pa.array(got, pa.binary())],
+                        names=["named", "run", "doc_id", "i", "digest"],
+                    )
+
+    return rows.select("doc_id", "text", "runs").mapInArrow(run, "named long, run binary, doc_id long, i long, digest binary")
+
+
+STREAMED = "doc_id long, rid long, n_words long, sha string, text string, named array<long>, run array<binary>, start array<long>, length array<long>"
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -166,27 +193,31 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phr
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // bucket_chars))
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod(F.col("rid"), F.lit(buckets)).cast("int"))
 
-    found = phrases(docs, window, phrase).groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.collect_set("bucket").alias("in"))
-    found = found.filter("lo < hi").select("phrase", F.explode("in").alias("bucket"))
+    where = scratch.table(phrases(docs, window, phrase).groupBy("phrase", "bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    recurring = where.groupBy("phrase").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+    found = where.select("phrase", "bucket").join(recurring.select("phrase"), "phrase")
     streamed = docs.select("bucket", "doc_id", "rid", "text").groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_streamed(window, phrase), STREAMED)
     streamed = scratch.table(streamed)
 
-    one = streamed.filter("text is not null").select("doc_id", "rid", "hashes", F.explode(F.arrays_zip("named", "run", "start", "length", "before")).alias("r"))
-    one = one.select("doc_id", "rid", "r.named", "r.run", "r.start", "r.length", F.slice("hashes", (F.col("r.before") + 1).cast("int"), F.col("r.length").cast("int")).alias("hashes"))
+    one = streamed.filter("text is not null").select("doc_id", "rid", F.explode(F.arrays_zip("named", "run", "start", "length")).alias("r")).select("doc_id", "rid", "r.*")
     one = scratch.table(one)
-    first = scratch.table(one.groupBy("named", "run").agg(F.min("doc_id").alias("lo")))
-    whole = one.select("doc_id", "rid", "named", "run", "start", "length").join(first, ["named", "run"]).filter("doc_id > lo").select("doc_id", "rid", "start", "length")
+    first = one.groupBy("named", "run").agg(F.min(F.struct("doc_id", "rid", "start", "length")).alias("at")).select("named", "run", "at.*")
+    first = scratch.table(first)
+    lo = first.select("named", "run", F.col("doc_id").alias("lo"))
+    whole = one.join(lo, ["named", "run"]).filter("doc_id > lo").select("doc_id", "rid", "start", "length")
     # phrases with several runs: the windows of each run's smallest document
     several = first.groupBy("named").agg(F.count("*").alias("c")).filter("c > 1").select("named")
-    single = first.join(several, "named").withColumnRenamed("lo", "doc_id").join(one, ["named", "run", "doc_id"])
-    single = scratch.table(single.select("doc_id", "rid", "named", "start", F.posexplode("hashes").alias("i", "h")))
-    least = single.groupBy("named", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top")).filter("lo < top").select("named", "h", "lo")
-    parts = single.join(least, ["named", "h"]).filter("doc_id > lo").select("doc_id", "rid", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("long").alias("length"))
+    mine = first.join(several, "named").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("named", "run", "start", "length")).alias("runs"))
+    single = streamed.filter("text is not null").select("doc_id", "rid", "text").join(mine, ["doc_id", "rid"])
+    single = scratch.table(_windows(single, window))
+    least = single.groupBy("named", "digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top")).filter("lo < top").select("named", "digest", "lo")
+    gone = single.join(least, ["named", "digest"]).filter("doc_id > lo").select("named", "run", "doc_id", "i").distinct()
+    parts = one.join(gone, ["named", "run", "doc_id"]).select("doc_id", "rid", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("long").alias("length"))
     ranges = whole.unionByName(parts).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
     ranges = scratch.table(ranges)
-    scratch.drop(one, first, single)
+    scratch.drop(where, one, first, single)
     return streamed, ranges
 
 
