@@ -5,11 +5,12 @@
 
 Roles and texts hold no control string and no lone backslash; a backslash makes
 the next character literal. Each turn is first rendered as it is and parsed
-again. Where the parser refuses it or recovers another turn, its role and text
-are escaped (every backslash doubled, a backslash put behind the first character
-of every control string) and the turn is rendered anew, which the parser maps
-back to the source. The loss mask covers the texts of ``assistant`` turns. All of
-it is DataFrame functions.
+again. While the parser refuses it or recovers another turn, its role and text are
+escaped more: first every backslash is doubled and a backslash put behind the first
+character of every control string, then one put before every character, which no
+grammar of this kind can mistake. The loss mask covers the texts of ``assistant``
+turns. All of it is DataFrame functions. ``identical`` tells for each conversation
+whether the parser recovers the source, and ``checked`` fails where it does not.
 
 Turns are escaped before they are brought together, and one conversation is one
 row of the result, so a very long conversation is one long string in one task,
@@ -17,7 +18,8 @@ as its digest demands.
 
 Defined results: a null role or text is empty. Turns are ordered by turn, then
 role, then text, a null turn first; repeated rows are repeated turns. Rows with
-a null conversation id are left out. Other columns are ignored.
+a null conversation id are left out. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(doubled, "(<|\\[)(?=" + "|".join(_literal(c[1:]) for c in CONTROL) + ")", "$1\\\\")
 
 
+def escape_all(text: Column) -> Column:
+    return F.regexp_replace(text, "(?s)(.)", "\\\\$1")
+
+
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)\\\\(.)", "$1")
 
@@ -70,18 +76,15 @@ def parse(formatted: Column) -> Column:
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text and the rendered turn with its escaped parts."""
     rows = conversations.filter("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = parse(render(F.col("role"), F.col("text")))
-    same = F.coalesce((F.size(plain) == 1) & (plain[0]["role"] == F.col("role")) & (plain[0]["text"] == F.col("text")), F.lit(False))
-    rows = rows.withColumn("same", same)
-    return rows.select(
-        "conv_id",
-        "turn",
-        "role",
-        "text",
-        (~F.col("same")).alias("escaped"),
-        F.when(F.col("same"), F.col("role")).otherwise(escape(F.col("role"))).alias("role_out"),
-        F.when(F.col("same"), F.col("text")).otherwise(escape(F.col("text"))).alias("text_out"),
-    )
+    forms = [lambda c: c, escape, escape_all]
+
+    def same(form) -> Column:
+        got = parse(render(form(F.col("role")), form(F.col("text"))))
+        return F.coalesce((F.size(got) == 1) & (got[0]["role"] == F.col("role")) & (got[0]["text"] == F.col("text")), F.lit(False))
+
+    rows = rows.withColumn("escapes", F.when(same(forms[0]), 0).when(same(forms[1]), 1).otherwise(2))
+    shown = lambda c: F.when(F.col("escapes") == 0, c).when(F.col("escapes") == 1, escape(c)).otherwise(escape_all(c))
+    return rows.select("conv_id", "turn", "role", "text", "escapes", shown(F.col("role")).alias("role_out"), shown(F.col("text")).alias("text_out"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -106,6 +109,12 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", "formatted", "mask", F.coalesce(back == F.col("source"), F.lit(False)).alias("identical"))
 
 
+def checked(formatted: DataFrame) -> DataFrame:
+    """The same rows; reading one that does not round-trip is an error."""
+    failed = F.raise_error(F.concat(F.lit("no round trip: conversation "), F.col("conv_id").cast("string")))
+    return formatted.withColumn("identical", F.when(F.col("identical"), True).otherwise(failed.cast("boolean")))
+
+
 def chat_digests(formatted: DataFrame) -> DataFrame:
     """What the formatted strings and their masks hold, by parser and mask."""
     got = parse(F.col("formatted"))

@@ -68,7 +68,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests of what the parser and the loss mask find in the written output."""
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.chat_digests(Scratch(spark, "chat").table(chat.format_chats(rows))).drop("identical")
+    return chat.chat_digests(Scratch(spark, "chat").table(chat.checked(chat.format_chats(rows)))).drop("identical")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

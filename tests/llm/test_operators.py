@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lurelight.llm import chat, decontaminate, langid, mixing, neardup, planes, quality, repeats, rules, secrets
+from lurelight.llm import chat, decontaminate, langid, mixing, neardup, planes, quality, repeats, rules, secrets, textbytes
 from lurelight.llm.encode import Encoder
 from lurelight.llm.queries import TOKENIZER, op6_chat
 from lurelight.llm.scratch import Scratch
@@ -222,6 +223,39 @@ def test_repeats(spark, sf, size, chars):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_with_one_hash_for_all_words(spark, monkeypatch):
+    """Words are compared themselves: hashes that tell nothing change no result."""
+    r = random.Random(9)
+    base = [f"k{i}" for i in range(40)]
+    rows = []
+    for d in range(12):
+        w = list(base)
+        w[r.randrange(40)] = f"x{d % 3}"
+        rows.append((d, [hash_of_len(x) for x in w + base[:d]]))
+    rows = [(d, " ".join(w)) for d, w in rows]
+    table = pa.table({"bucket": pa.array([0] * 12, pa.int32()), "doc_id": [d for d, _ in rows], "rid": list(range(12)), "text": [t for _, t in rows]})
+
+    def blind(data, offsets, hashed=True):
+        w = textbytes.words(data, offsets)
+        return w._replace(hash=np.full(len(w.doc), 7, np.uint64))
+
+    monkeypatch.setattr(repeats, "words", blind)
+    letters = repeats._letters(np.full(5, 7, np.uint64))
+    found = pa.table({"phrase": pa.array([letters.tobytes()], pa.binary())})
+    got = repeats._streamed(12, 5)(table, found).to_pylist()
+    runs_of = [set(x["run"]) for x in got]
+    assert all(len(x["run"]) >= 1 for x in got)
+    for a in range(12):  # runs have equal digests only where their words are equal
+        for b in range(12):
+            wa, wb = got[a]["text"].split(), got[b]["text"].split()
+            spans = lambda g, w: {tuple(w[s : s + n + 11]) for s, n in zip(g["start"], g["length"])}
+            assert len(runs_of[a] & runs_of[b]) == len(spans(got[a], wa) & spans(got[b], wb))
+
+
+def hash_of_len(x):
+    return hashlib.md5(x.encode()).hexdigest()[:8]
+
+
 # classifiers
 
 
@@ -357,6 +391,11 @@ def test_chats(spark, sf):
             assert g.identical and g.n_turns == len(t) and g.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in sorted(t)).encode()).hexdigest()
             assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert op6_chat(spark, sf).filter("conv_id = -7").first().loss_chars == 21
+    every = d.limit(9).select(*[chat.unescape(f(F.coalesce("text", F.lit("")))).alias(n) for n, f in (("a", chat.escape), ("b", chat.escape_all), ("c", lambda c: chat.escape(chat.escape_all(c))))], F.coalesce("text", F.lit("")).alias("t")).collect()
+    assert all(r.a == r.b == r.t for r in every)
+    broken = chat.format_chats(d).withColumn("identical", F.col("conv_id") != 3)
+    with pytest.raises(Exception, match="no round trip: conversation 3"):
+        chat.checked(broken).collect()
 
 
 # decontamination
