@@ -1,13 +1,15 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased; words are runs of bytes but white space and ASCII
 punctuation.
 
 1. The n-grams of the test items are the seeds, as long as an item's length and
-   the wanted score allow (``seed_words``). Items go to the tasks in blocks of a
-   bounded number of seeds; one scan of all texts for each block finds every place
-   where a seed occurs. Texts are not shuffled, and nothing depends on how often a
-   seed occurs in the corpus.
+   the wanted score allow (``seed_words``). A text that reaches the score shares at
+   least ``shared`` of an item's n-grams, so the commonest of them, those that most
+   items hold, are left out up to one less than that: the rare ones suffice. Items
+   go to the tasks in blocks of a bounded number of seeds; one scan of all texts for
+   each block joins them to the places where a seed occurs. Texts are not shuffled,
+   and nothing depends on how often a seed occurs in the corpus.
 2. Every item that shares a seed with a text meets the words around it, as far as
    an alignment that counts can reach. An item is left aside there only if too few
    of its words occur in them, or too far apart, for the wanted score: both bounds
@@ -17,9 +19,11 @@ punctuation.
    and paraphrases lower it.
 
 Defined results: null and empty texts, and items without words, match nothing. A
-text with words put in between nearly all of an item's words shares no seed and is
-not found. Repeated items and documents are matched each; pairs are distinct. Rows
-with a null id are left out. Other columns are ignored.
+text with words put in between two thirds of an item's words may share no rare seed
+and is then not found; words replaced or left out never hide a text that reaches the
+score. Repeated items and documents are matched each; pairs are distinct, with the
+best score of the rows of an id. Empty tables give an empty result. Rows with a null
+id are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,6 +73,13 @@ def seed_words(n: int, o: Search) -> int:
     return max(1, min(o.seed, -(-(n - edits) // (edits + 1))))
 
 
+def shared(n: int, o: Search) -> int:
+    """How many places of an item's n-grams a text of the wanted score shares at
+    least: each word replaced or left out spoils as many as a seed has words."""
+    k = seed_words(n, o)
+    return max(1, n - k + 1 - k * int((1 - o.score) * n / (1 + o.penalty) + 1e-9))
+
+
 def reach(n: int, o: Search) -> int:
     """Words of a text that an alignment with an item of ``n`` words spans at
     most: each word put in costs a penalty."""
@@ -89,7 +100,9 @@ class Block:
         by = np.array([seed_words(len(x), o) for x in own])
         for k in np.unique(by).tolist():
             mine = np.flatnonzero(by == k)
-            keys = [np.unique(grams(own[i], k)) for i in mine]
+            keys, times = zip(*[np.unique(grams(own[i], k), return_counts=True) for i in mine])
+            held, items_of = np.unique(np.concatenate(keys), return_counts=True)
+            keys = [x[_rare(items_of[np.searchsorted(held, x)], t, shared(len(own[i]), o))] for i, x, t in zip(mine, keys, times)]
             who, keys = np.repeat(mine, [len(x) for x in keys]), np.concatenate(keys)
             order = np.argsort(keys, kind="stable")
             seeds, start = np.unique(keys[order], return_index=True)
@@ -109,6 +122,15 @@ class Block:
         return np.concatenate(places), np.concatenate(items)
 
 
+def _rare(items: np.ndarray, times: np.ndarray, least: int) -> np.ndarray:
+    """Which n-grams of an item stay seeds, by the number of items that hold each:
+    all but the commonest, whose places in the item are fewer than ``least``."""
+    order = np.argsort(-items, kind="stable")
+    stay = np.zeros(len(items), bool)
+    stay[order] = np.cumsum(times[order]) >= least
+    return stay
+
+
 def blocks(items: DataFrame, o: Search) -> Iterator[Block]:
     mine, size = {}, 0
     for i, item in items.filter(F.length("item") > 0).toLocalIterator():
