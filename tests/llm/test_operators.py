@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lurelight.llm import chat, decontaminate, langid, mixing, neardup, planes, quality, repeats, rules, secrets, textbytes
 from lurelight.llm.encode import Encoder
-from lurelight.llm.queries import TOKENIZER, op6_chat
+from lurelight.llm.queries import TOKENIZER, op6_chat, op7_decontaminate
 from lurelight.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -276,6 +276,37 @@ def test_quality_classifier(spark):
     assert {r.score for r in quality.score(awkward(spark), none).collect()} == {0.5}
 
 
+def test_quality_against_plain_sums(spark, sf):
+    """Word vectors, pooling, network and calibration step by step, without Spark."""
+    o = quality.Options(rows=97, size=16, epochs=8)
+    docs, labels = sample(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality.fit(docs, labels, o)
+    place, sign = quality._index(o)
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    texts = {r.doc_id: words((r.text or "").translate(low)) for r in docs.collect()}
+
+    def row(word):
+        b = np.frombuffer(word.encode(), np.uint8)
+        return int(textbytes.words(b, np.array([0, len(b)])).hash[0] % np.uint64(o.rows))
+
+    known = {w: row(w) for t in texts.values() for w in t}
+    total = np.zeros((o.rows, o.size))
+    for t in texts.values():
+        v = [known[w] for w in t]
+        for i, a in enumerate(v):
+            for j in range(max(0, i - o.around), min(len(v), i + o.around + 1)):
+                if i != j:
+                    np.add.at(total[a], place[v[j]], sign[v[j]])
+    length = np.linalg.norm(total, axis=1, keepdims=True)
+    assert np.allclose(m.vectors, total / np.maximum(length, 1e-9), atol=1e-5)
+    got = {r.doc_id: r.score for r in quality.score(docs, m).collect()}
+    for d, t in texts.items():
+        x = m.vectors[[known[w] for w in t]].astype(float) if t else np.zeros((1, o.size))
+        x = np.concatenate([x.mean(axis=0), x.std(axis=0), [np.log1p(len(t))]])
+        z = (np.maximum(((x - m.mean) / m.spread) @ m.layers[0] + m.layers[1], 0) @ m.layers[2] + m.layers[3])[0]
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-z / m.temperature)), abs=2e-3)
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -448,6 +479,50 @@ def test_contamination_of_short_items(spark):
     assert {(1, 1), (2, 2), (3, 2)} < set(got)
 
 
+def brute_contamination(docs, items, o):
+    """Alignments of all pairs."""
+    low = lambda t: np.array([hash(w) for w in WORD.findall(re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()))])
+    texts, own = [(d, low(t)) for d, t in docs if d is not None], [(i, low(t)) for i, t in items if i is not None]
+    pairs = {}
+    for d, w in texts:
+        for i, x in own:
+            if len(x) and np.isin(x, w).sum() >= o.score * len(x):  # an alignment has no more matches
+                score = decontaminate.align(x, w, o.penalty) / len(x)
+                if score >= o.score:
+                    pairs[d, i] = max(score, pairs.get((d, i), 0))
+    return pairs
+
+
+def test_contamination_query(spark, sf):
+    docs, items = sample(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.score for r in op7_decontaminate(spark, sf).collect()}
+    assert got == pytest.approx(brute_contamination([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()], decontaminate.Search())) and got
+
+
+def test_contamination_of_items_with_common_words(spark):
+    """Items that share most of their n-grams with many others are found by the rare ones."""
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(12)]
+    items = [[x for _ in range(10) for x in (r.choice(common), r.choice(common), f"i{k}x{r.randrange(8)}")] for k in range(60)]
+    docs = []
+    for d in range(150):
+        w = list(items[r.randrange(60)])
+        for _ in range(r.randrange(14)):
+            w[r.randrange(len(w))] = r.choice(common) if r.random() < 0.7 else "zzz"
+        for _ in range(r.randrange(5)):
+            del w[r.randrange(len(w))]
+        docs.append((d, " ".join([r.choice(common) for _ in range(30)] + w + [r.choice(common) for _ in range(30)])))
+    items = [(i, " ".join(w)) for i, w in enumerate(items)]
+    o = decontaminate.Search()
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), o).collect()}
+    want = brute_contamination(docs, items, o)
+    assert got == pytest.approx(want) and len(want) > 60
+    block = decontaminate.Block({np.array([hash(x) for x in t.split()], np.int64).view(np.uint64).tobytes(): [i] for i, t in items}, o)
+    seeds, start, _ = block.seeds[2]
+    every = Counter(g for _, t in items for g in set(zip(t.split(), t.split()[1:])))
+    assert len(seeds) < len(every) and np.diff(start).max() < max(every.values())  # the commonest are no seeds
+
+
 def test_alignment_against_a_table():
     def brute(a, b, p):
         h = np.zeros((len(a) + 1, len(b) + 1))
