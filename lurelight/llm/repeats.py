@@ -145,23 +145,32 @@ def _digests(norm: bytes, sizes: np.ndarray, start: np.ndarray, length: np.ndarr
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """(named, run, doc_id, i, digest) of the windows of the runs of each row:
+    """(named, run, doc_id, i, h1, h2) of the windows of the runs of each row:
     ``rows`` (doc_id, text of words joined by one space, runs)."""
 
     def run(batches):
+        known: dict[bytes, int] = {}
+        table: list[bytes] = []
         for b in batches:
-            for doc, text, mine in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                norm = text.as_py().encode()
-                sizes = np.array([len(x) for x in norm.split(b" ")], np.int64)
-                for r in mine.as_py():
-                    n = r["length"]
-                    got = _digests(norm, sizes, r["start"] + np.arange(n), np.full(n, window))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["named"]] * n, pa.int64()), pa.array([r["run"]] * n, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(np.arange(n)), pa.array(got, pa.binary())],
-                        names=["named", "run", "doc_id", "i", "digest"],
-                    )
-
-    return rows.select("doc_id", "text", "runs").mapInArrow(run, "named long, run binary, doc_id long, i long, digest binary")
+            texts = [t.as_py().encode().split(b" ") for t in b.column(1)]
+            every = [w for t in texts for w in t]
+            if len(known) > 1 << 19:  # words that a task remembers
+                known, table = {}, []
+            for w in set(every).difference(known):
+                known[w] = len(table)
+                table.append(hashlib.blake2b(w, digest_size=16).digest())
+            lanes = np.frombuffer(b"".join(table), U64).reshape(-1, 2)[[known[w] for w in every]]
+            h1, h2 = (grams(lanes[:, k], window).view(np.int64) for k in (0, 1))
+            mine = b.column(2).flatten()
+            row, first = np.repeat(np.arange(len(texts)), b.column(2).value_lengths().to_numpy()), np.cumsum([0, *map(len, texts)])
+            n = mine.field("length").to_numpy()
+            of, i = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = (first[row] + mine.field("start").to_numpy())[of] + i
+            which = pa.array(of)
+            columns = [mine.field("named").take(which), mine.field("run").take(which), b.column(0).take(pa.array(row[of])), pa.array(i), pa.array(h1[at]), pa.array(h2[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["named", "run", "doc_id", "i", "h1", "h2"])
+
+    return rows.select("doc_id", "text", "runs").mapInArrow(run, "named long, run binary, doc_id long, i long, h1 long, h2 long")
 
 
 STREAMED = "doc_id long, rid long, n_words long, sha string, text string, named array<long>, run array<binary>, start array<long>, length array<long>"
@@ -212,8 +221,8 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phr
     mine = first.join(several, "named").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("named", "run", "start", "length")).alias("runs"))
     single = streamed.filter("text is not null").select("doc_id", "rid", "text").join(mine, ["doc_id", "rid"])
     single = scratch.table(_windows(single, window))
-    least = single.groupBy("named", "digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top")).filter("lo < top").select("named", "digest", "lo")
-    gone = single.join(least, ["named", "digest"]).filter("doc_id > lo").select("named", "run", "doc_id", "i").distinct()
+    least = single.groupBy("named", "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top")).filter("lo < top").select("named", "h1", "h2", "lo")
+    gone = single.join(least, ["named", "h1", "h2"]).filter("doc_id > lo").select("named", "run", "doc_id", "i").distinct()
     parts = one.join(gone, ["named", "run", "doc_id"]).select("doc_id", "rid", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("long").alias("length"))
     ranges = whole.unionByName(parts).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
     ranges = scratch.table(ranges)
