@@ -30,7 +30,7 @@ def within_one(a: Column, b: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
         lambda i: _swapped_at(a, b, i, i) & (F.substr(a, i + 2) == F.substr(b, i + 2)) & (F.left(a, i - 1) == F.left(b, i - 1)) & (n > 1),
     )
-    return _near(a, b, 1) | ((n == F.length(b)) & swap)
+    return _near(a, b, 1) | ((n == F.length(b)) & _near(a, b, 2) & swap)  # a swap is two edits without swaps
 
 
 def within_two(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,30 +21,48 @@ def allowlisted(registrable: Column, ref: Reference) -> Column:
     return F.coalesce(registrable.isin(*names), F.lit(False)) if names else F.lit(False)
 
 
-def score_hosts(hosts: DataFrame, ref: Reference, as_of: Column, host: str = "host") -> DataFrame:
-    """``hosts`` with registrable, score, scoring_version, severity, suppressed
-    and signals of the normalised host in column ``host``. Allowlisted hosts skip
-    all matching: their branch is a cheap literal."""
+#: The latest expressions by table and column: building them takes longer than
+#: scoring thousands of hosts, and every batch of a stream would build them anew.
+_BUILT: dict[tuple[int, str], tuple] = {}
+
+
+def _steps(ref: Reference, host: str) -> list[dict[str, Column]]:
+    """The columns of a host's score, in steps that each read those before. They
+    read ``_as_of``, so they serve any time."""
+    context, found = SparkContext._active_spark_context, _BUILT.get((id(ref), host))
+    if found and found[0] is ref and found[1] is context:
+        return found[2]
     w = ref.scoring.weights
-    base = sig.prepared(hosts, host, ref).withColumn("suppressed", allowlisted(F.col("registrable"), ref))
-    # each family is worked out once; later columns read its result
-    live = ~F.col("suppressed")
-    base = sig.once(
-        base,
+    live = ~F.col("_off")
+    steps = sig.preparations(host, ref)
+    steps.append({"_off": allowlisted(F.col("registrable"), ref)})
+    steps.append(
         {
             "_brand": F.when(live, sig.brand_signals(ref, F.col(host))).otherwise(sig.no_signals()),
             "_kw": F.when(live, sig.keyword_signals(ref)).otherwise(sig.no_signals()),
-            "_scheme": F.when(live, sig.scheme_signals(ref, as_of)).otherwise(sig.no_signals()),
-        },
+            "_scheme": F.when(live, sig.scheme_signals(ref, F.col("_as_of"))).otherwise(sig.no_signals()),
+        }
     )
     has_kw, has_brand = F.size("_kw") > 0, F.exists("_brand", lambda s: F.startswith(s["type"], F.lit("brand:")))
     combo = F.when(has_brand & has_kw, F.array(sig.signal("combo_brand_keyword", w["combo_brand_keyword"]))).when((F.size("_scheme") > 0) & has_kw, F.array(sig.signal("combo_scheme_keyword", w["combo_scheme_keyword"]))).otherwise(sig.no_signals())
-    every = F.when(F.col("suppressed"), F.array(sig.signal("allowlist", 0, registrable=F.col("registrable")))).otherwise(F.concat("_brand", "_kw", "_scheme", combo))
-    out = sig.once(base, {"signals": F.transform(every, lambda s: s.withField("domain", F.col(host)))})
-    points = F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"])
-    out = sig.once(out, {"score": F.least(points, F.lit(ref.scoring.cap))})
-    out = out.withColumns({"severity": severity(F.col("score"), ref.scoring), "scoring_version": F.lit(ref.scoring.version)})
-    return out.select(*hosts.columns, "registrable", "score", "scoring_version", "severity", "suppressed", "signals")
+    every = F.when(F.col("_off"), F.array(sig.signal("allowlist", 0, registrable=F.col("registrable")))).otherwise(F.concat("_brand", "_kw", "_scheme", combo))
+    steps.append({"signals": F.transform(every, lambda s: s.withField("domain", F.col(host)))})
+    steps.append({"score": F.least(F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"]), F.lit(ref.scoring.cap))})
+    steps.append({"severity": severity(F.col("score"), ref.scoring), "scoring_version": F.lit(ref.scoring.version), "suppressed": F.col("_off")})
+    while len(_BUILT) >= 8:
+        _BUILT.pop(next(iter(_BUILT)))
+    _BUILT[id(ref), host] = ref, context, steps
+    return steps
+
+
+def score_hosts(hosts: DataFrame, ref: Reference, as_of: Column, host: str = "host") -> DataFrame:
+    """``hosts`` with registrable, score, scoring_version, severity, suppressed
+    and signals of the normalised host in column ``host``. Allowlisted hosts skip
+    all matching: their branch is a cheap literal."""
+    base = hosts.withColumn("_as_of", as_of.cast("timestamp"))
+    for step in _steps(ref, host):  # each is worked out once; later ones read its result
+        base = sig.once(base, step)
+    return base.select(*hosts.columns, "registrable", "score", "scoring_version", "severity", "suppressed", "signals")
 
 
 def score_distinct_hosts(hosts: DataFrame, ref: Reference, as_of: Column, host: str = "host") -> DataFrame:

@@ -1,12 +1,16 @@
 """Signals of a host: watched brands, keywords, seasonal lures.
 
 Reference tables are literals of the plan, so all of it is a projection: nothing
-is joined or shuffled, however many hosts there are. A signal is a struct of
-``schemas.SIGNAL``; fields that do not apply are null.
+is joined or shuffled, however many hosts there are. A table goes into the plan as
+one JSON string, which the optimizer reads once: a literal for each of its cells
+would take longer to build than thousands of hosts to score. A signal is a struct
+of ``schemas.SIGNAL``; fields that do not apply are null.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,52 +41,50 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumn("_once", one).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])
 
 
-def prepared(hosts: DataFrame, host: str, ref: Reference) -> DataFrame:
-    """The columns that signals read, beside those of ``hosts``: registrable,
-    suffix, compact host and labels. Rows stay where they are."""
+def preparations(host: str, ref: Reference) -> list[dict[str, Column]]:
+    """Columns that signals read, in steps: registrable and compact host; then
+    suffix and labels, which read those."""
     h = F.col(host)
-    out = once(hosts, {"registrable": suffix.registrable(h, ref.suffixes), "host_compact": F.regexp_replace(h, text.COMPACT, "")})
     pieces = lambda labels: F.transform(labels, lambda x: F.regexp_replace(x, text.COMPACT, ""))
-    return once(
-        out,
+    return [
+        {"registrable": suffix.registrable(h, ref.suffixes), "host_compact": F.regexp_replace(h, text.COMPACT, "")},
         {
-            "suffix": F.coalesce(suffix.public_suffix(F.col("registrable"), ref.suffixes), F.lit("")),
+            "suffix": F.coalesce(F.substr("registrable", F.instr("registrable", ".") + 1), F.lit("")),
             "labels": pieces(F.split(h, "\\.")),
             "sub_labels": pieces(suffix.subdomain_labels(h, F.col("registrable"))),
         },
-    )
+    ]
+
 
+def prepared(hosts: DataFrame, host: str, ref: Reference) -> DataFrame:
+    """``hosts`` with the columns that signals read. Rows stay where they are."""
+    for step in preparations(host, ref):
+        hosts = once(hosts, step)
+    return hosts
 
-def context_hit(host_compact: Column, brand) -> Column:
-    """Whether a brand that needs context has some in the host."""
-    tokens = [compact(t) for t in brand.context_tokens]
-    if not brand.require_context:
-        return F.lit(True)
-    return F.exists(strings(tokens), lambda t: F.instr(host_compact, t) > 0) if tokens else F.lit(False)
 
+_TOKENS = "array<struct<token:string,compact:string,most:int,parts:array<array<string>>>>"
+_BRAND = f"array<struct<id:string,display:string,gated:boolean,context:array<string>,tokens:{_TOKENS},tlds:array<string>,regs:array<string>>>"
+_KEYWORD = "array<struct<token:string,compact:string,category:string>>"
+_SCHEME = f"array<struct<id:string,display:string,start:string,end:string,tokens:{_TOKENS}>>"
 
-def _brand_rows(ref: Reference) -> Column:
-    """Brands with all that their signals need, as an array of structs."""
-    rows = []
-    for b in ref.brands:
-        tokens = [F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact"), F.lit(b.distance(compact(t))).alias("most"), parts_of(compact(t), b.distance(compact(t))).alias("parts")) for t in b.tokens]
-        rows.append(
-            F.struct(
-                F.lit(b.id).alias("id"),
-                F.lit(b.display).alias("display"),
-                F.lit(b.require_context).alias("gated"),
-                strings([compact(t) for t in b.context_tokens]).alias("context"),
-                (F.array(*tokens) if tokens else F.array().cast("array<struct<token:string,compact:string,most:int,parts:array<array<string>>>>")).alias("tokens"),
-                strings(b.known_tlds).alias("tlds"),
-                strings(ref.verified(b.id)).alias("regs"),
-            )
-        )
-    return F.array(*rows)
 
+def table(rows: list[dict], schema: str) -> Column:
+    """Rows of a reference table as one value of the plan."""
+    return F.from_json(F.lit(json.dumps(rows)), schema)
 
-def parts_of(token: str, most: int) -> Column:
-    lists = [strings(parts) for parts in distance.traces(token, most)]
-    return F.array(*lists) if lists else F.array().cast("array<array<string>>")
+
+def _tokens(tokens, most) -> list[dict]:
+    return [{"token": t, "compact": (c := compact(t)), "most": most(c), "parts": distance.traces(c, most(c))} for t in tokens]
+
+
+def _brand_rows(ref: Reference) -> Column:
+    """Brands with all that their signals need."""
+    rows = [
+        {"id": b.id, "display": b.display, "gated": b.require_context, "context": [compact(t) for t in b.context_tokens], "tokens": _tokens(b.tokens, b.distance), "tlds": list(b.known_tlds), "regs": ref.verified(b.id)}
+        for b in ref.brands
+    ]
+    return table(rows, _BRAND)
 
 
 def fuzzy(labels: Column, t: Column) -> Column:
@@ -145,7 +147,7 @@ def keyword_signals(ref: Reference) -> Column:
     if not ref.keywords:
         return no_signals()
     each, cap = ref.scoring.weights["kw"], ref.scoring.weights["keyword_cap"]
-    rows = F.array(*[F.struct(F.lit(k.token).alias("token"), F.lit(compact(k.token)).alias("compact"), F.lit(k.category).alias("category")) for k in ref.keywords])
+    rows = table([{"token": k.token, "compact": compact(k.token), "category": k.category} for k in ref.keywords], _KEYWORD)
     hits = F.filter(rows, lambda k: F.instr(F.col("host_compact"), k["compact"]) > 0)
     worth = F.transform(hits, lambda k, i: signal("kw", F.greatest(F.lit(0), F.least(F.lit(each), F.lit(cap) - i * each)), token=k["token"], category=k["category"]))
     return F.filter(worth, lambda s: s["points"] > 0)
@@ -157,30 +159,18 @@ def scheme_signals(ref: Reference, as_of: Column) -> Column:
     if not ref.schemes:
         return no_signals()
     w, hc = ref.scoring.weights, F.col("host_compact")
-    rows = []
-    for s in ref.schemes:
-        tokens = [F.struct(F.lit(t).alias("token"), F.lit(compact(t)).alias("compact"), parts_of(compact(t), s.max_edit_distance).alias("parts")) for t in s.tokens]
-        rows.append(
-            F.struct(
-                F.lit(s.id).alias("id"),
-                F.lit(s.display).alias("display"),
-                F.lit(s.max_edit_distance).alias("most"),
-                F.try_to_timestamp(F.lit(s.start)).alias("start"),
-                F.try_to_timestamp(F.lit(s.end)).alias("end"),
-                F.array(*tokens).alias("tokens"),
-            )
-        )
+    rows = table([{"id": s.id, "display": s.display, "start": s.start, "end": s.end, "tokens": _tokens(s.tokens, lambda _, s=s: s.max_edit_distance)} for s in ref.schemes], _SCHEME)
 
     def found(s: Column) -> Column:
         def held(t: Column) -> Column:
-            windows = F.when(s["most"] == 1, distance.window_within(hc, t["compact"], 1)).when(s["most"] == 2, distance.window_within(hc, t["compact"], 2)).otherwise(False)
+            windows = F.when(t["most"] == 1, distance.window_within(hc, t["compact"], 1)).when(t["most"] == 2, distance.window_within(hc, t["compact"], 2)).otherwise(False)
             return (F.instr(hc, t["compact"]) > 0) | (distance.may_hold(hc, t["parts"]) & windows)
 
         return F.get(F.filter(s["tokens"], held), F.lit(0))
 
     def signals_of(s: Column, t: Column) -> Column:
-        season = F.coalesce(as_of.between(s["start"], s["end"]), F.lit(False))
+        season = F.coalesce(as_of.between(F.try_to_timestamp(s["start"]), F.try_to_timestamp(s["end"])), F.lit(False))
         about = {"scheme": s["id"], "display": s["display"], "token": t["token"]}
         return F.filter(F.array(signal("scheme", w["scheme"], **about), F.when(season, signal("scheme_seasonal_boost", w["scheme_seasonal_boost"], **about))), lambda x: x.isNotNull())
 
-    return F.flatten(F.transform(_hits(F.array(*rows), found), lambda h: signals_of(h["row"], h["token"])))
+    return F.flatten(F.transform(_hits(rows, found), lambda h: signals_of(h["row"], h["token"])))
