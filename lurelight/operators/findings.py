@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from .. import schemas
 from ..functions import text
 
 #: Order in which sources arrive within a run.
@@ -17,6 +19,13 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, SOURCES)), source), F.lit(0)).cast("int")
 
 
+def arrival(entries: DataFrame) -> Column:
+    """The order in which a run's entries arrive, told by the entries alone, so that
+    a replay gives the same: by source, index in it, and a digest of the record."""
+    index = F.coalesce(F.col("cert_index"), F.col("entry_id"))
+    return F.struct(source_rank(F.col("source")), index, F.xxhash64(*[F.col(f.name) for f in schemas.ENTRY]))
+
+
 def first_by(value: Column, order: Column) -> Column:
     """The first non-null value in the order; an aggregate with partial sums."""
     return F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), order))
@@ -83,13 +92,15 @@ def summarize_runs(runs: DataFrame, matched: DataFrame, rows: DataFrame) -> Data
 
 
 def poll_status(runs: DataFrame) -> DataFrame:
-    """One row: healthy if all runs are ok, partial if some, else down."""
+    """One row: healthy if all runs are ok, partial if some, else down. Errors are
+    counted from ``n_errors`` where there is such a column, else from ``errors``."""
+    n_errors = F.col("n_errors") if "n_errors" in runs.columns else F.size(F.coalesce("errors", F.array().cast("array<struct<message:string>>")))
     return runs.agg(
         F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok"),
         F.when(F.coalesce(F.bool_and("ok"), F.lit(True)), "healthy").when(F.bool_or("ok"), "partial").otherwise("down").alias("health"),
         F.coalesce(F.sum("scanned_entries"), F.lit(0)).cast("long").alias("scanned_entries"),
         F.count("*").alias("sources"),
-        F.sum(F.size(F.coalesce("errors", F.array().cast("array<struct<message:string>>")))).cast("long").alias("errors"),
+        F.sum(n_errors).cast("long").alias("errors"),
     )
 
 
@@ -128,49 +139,51 @@ def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
 
 
 class KeyedTable:
-    """A Parquet table with a primary key and last-write-wins merges.
-
-    A merge writes a new version next to the old one and then renames a pointer
-    file, so readers see either; a batch that is written again gives the same
-    rows. Versions are bucketed by the key's hash into folders, and a merge
-    rewrites only the folders that the batch touches. Without a pointer the table
-    is empty. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str, schema, key: list[str], buckets: int = 64):
-        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _versions(self) -> dict[int, str]:
-        fs, p = self._fs(f"{self.path}/current")
-        if not fs.exists(p):
-            return {}
-        lines = self.spark.read.text(f"{self.path}/current").collect()  # one line for each bucket
-        return {int(k): v for k, v in (r[0].split("\t") for r in lines)}
+    """Rows by key as Parquet batches side by side; of a key's rows the one of the
+    latest batch counts.
+
+    A merge only adds a folder, so readers see all batches that are complete, and a
+    break at any moment leaves the table as it was. A named batch that is written
+    again takes its own place and folder, so a replay changes nothing. ``compact``
+    writes the rows that count as one batch in the place of the last one and then
+    removes the others; until then both are read, with equal results. One writer at
+    a time. In a batch keys are unique."""
+
+    def __init__(self, spark: SparkSession, path: str, schema, key: list[str]):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+
+    def _batches(self) -> list[tuple[int, str]]:
+        """(place, folder) of the complete batches."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch-*/_SUCCESS")
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or []
+        names = [f.getPath().getParent().getName() for f in found]
+        return sorted((int(n.split("-")[1]), n) for n in names)
+
+    def _rows(self, batches: list[tuple[int, str]]) -> DataFrame:
+        every = self.spark.read.schema(StructType([*self.schema, StructField("_place", LongType())])).parquet(*[f"{self.path}/{n}" for _, n in batches])
+        rest = [c for c in every.columns if c not in self.key]
+        return every.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "_place").alias("r")).select(*self.key, "r.*")
 
     def read(self) -> DataFrame:
-        folders = sorted(f"{self.path}/{v}/_bucket={b}" for b, v in self._versions().items())
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def merge(self, batch: DataFrame) -> None:
-        """Rows of the batch replace those of equal key; in the batch keys are unique."""
+        batches = self._batches()
         names = [f.name for f in self.schema]
-        new = batch.select(names).withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")).persist()
-        touched = [r[0] for r in new.select("_bucket").distinct().collect()]
-        if not touched:
-            new.unpersist()
+        return self._rows(batches).select(names) if batches else self.spark.createDataFrame([], self.schema)
+
+    def merge(self, batch: DataFrame, name: str | None = None) -> None:
+        """Rows of the batch replace those of equal key. ``name`` (letters, digits,
+        dots and underscores) tells a batch that is written again."""
+        name, batches = name or uuid.uuid4().hex, self._batches()
+        mine = [place for place, folder in batches if folder.split("-", 2)[2] == name]
+        place = mine[0] if mine else 1 + max((place for place, _ in batches), default=0)
+        out = batch.select([f.name for f in self.schema]).withColumn("_place", F.lit(place).cast("long"))
+        out.write.mode("overwrite").parquet(f"{self.path}/batch-{place:012d}-{name}")
+
+    def compact(self) -> None:
+        batches = self._batches()
+        if len(batches) < 2:
             return
-        now, version = self._versions(), uuid.uuid4().hex
-        folders = [f"{self.path}/{now[b]}/_bucket={b}" for b in touched if b in now]
-        old = self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-        kept = old.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")).join(new.select(self.key), self.key, "left_anti")
-        kept.unionByName(new).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
-        now |= dict.fromkeys(touched, version)
-        pointer = self.spark.createDataFrame([(f"{b}\t{v}",) for b, v in sorted(now.items())], "value string").coalesce(1)
-        pointer.write.mode("overwrite").text(f"{self.path}/next")
-        fs, p = self._fs(f"{self.path}/current")
-        fs.delete(p, True)
-        fs.rename(self._fs(f"{self.path}/next")[1], p)
-        new.unpersist()
+        self._rows(batches).write.mode("overwrite").parquet(f"{self.path}/batch-{batches[-1][0]:012d}-all.{uuid.uuid4().hex}")
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        for _, folder in batches:
+            p = fs.Path(f"{self.path}/{folder}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

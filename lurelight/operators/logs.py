@@ -32,14 +32,17 @@ def log_state(state: Column) -> Column:
 
 
 def parse_list_a(operators: DataFrame, refreshed_at: Column) -> DataFrame:
-    """Logs of the operators' two arrays; the array tells the protocol."""
-    op = operators.select(F.explode("operators").alias("o")).select(F.coalesce(text.truthy(F.col("o.name")), F.lit("Unknown Operator")).alias("operator"), "o.logs", "o.tiled_logs")
+    """Logs of the operators' two arrays; the array tells the protocol. ``place``
+    keeps the order of the list: operators, their logs, their tiled logs."""
+    op = operators.select(F.posexplode("operators").alias("n", "o")).select("n", F.coalesce(text.truthy(F.col("o.name")), F.lit("Unknown Operator")).alias("operator"), "o.logs", "o.tiled_logs")
 
     def of(array: str, protocol: str, submit: Column, monitor: Column) -> DataFrame:
-        return op.select("operator", F.explode(array).alias("l")).select(
+        place = (F.col("n") * 2 + int(array == "tiled_logs")).cast("long") * 2**31 + F.col("i")
+        return op.select("n", "operator", F.posexplode(array).alias("i", "l")).select(
             F.coalesce(text.truthy(F.col("l.log_id")), log_id_of_key(F.col("l.key"))).alias("log_id"), "operator", F.coalesce("l.description", F.lit("")).alias("description"), F.lit(protocol).alias("protocol"),
             slashed(submit).alias("submission_url"), slashed(monitor).alias("monitoring_url"), F.coalesce("l.key", F.lit("")).alias("public_key_der"), log_state(F.col("l.state")).alias("state"),
             text.truthy(F.col("l.temporal_interval.start_inclusive")).alias("not_after_start"), text.truthy(F.col("l.temporal_interval.end_exclusive")).alias("not_after_limit"), refreshed_at.alias("refreshed_at"),
+            place.alias("place"),
         )
 
     url = F.coalesce("l.url", F.lit(""))
@@ -48,30 +51,41 @@ def parse_list_a(operators: DataFrame, refreshed_at: Column) -> DataFrame:
 
 
 def parse_list_b(logs: DataFrame, refreshed_at: Column) -> DataFrame:
-    """A flat list; static if it says so or has a monitoring address."""
+    """A flat list; static if it says so or has a monitoring address. A column
+    ``place``, the order of the list, stays."""
     static = F.coalesce(F.col("protocol") == "static-ct-api", F.lit(False)) | text.truthy(F.col("monitoring_url")).isNotNull()
     url = F.coalesce(text.truthy(F.col("submission_url")), F.col("url"), F.lit(""))
     return logs.select(
         F.coalesce(text.truthy(F.col("log_id")), log_id_of_key(F.col("key"))).alias("log_id"), F.coalesce(text.truthy(F.col("operator")), F.lit(MANY)).alias("operator"), F.coalesce("description", F.lit("")).alias("description"),
         F.when(static, "static-ct-api").otherwise("rfc6962").alias("protocol"), slashed(url).alias("submission_url"), slashed(F.coalesce(text.truthy(F.col("monitoring_url")), url)).alias("monitoring_url"),
         F.coalesce("key", F.lit("")).alias("public_key_der"), F.coalesce(text.truthy(F.col("state")), F.lit("usable")).alias("state"), text.truthy(F.col("not_after_start")).alias("not_after_start"), text.truthy(F.col("not_after_limit")).alias("not_after_limit"),
-        refreshed_at.alias("refreshed_at"),
+        refreshed_at.alias("refreshed_at"), *(["place"] if "place" in logs.columns else []),
     )
 
 
 def merge_lists(first: DataFrame, second: DataFrame) -> DataFrame:
-    """All logs of both lists by id. The first list's row stands; a static row of
-    the second lends its protocol and monitoring address, and its operator where
-    the first names none in particular. Blank ids are dropped."""
-    clean = lambda d: d.filter("log_id <> ''").dropDuplicates(["log_id"])
-    a, b = clean(first).alias("a"), clean(second).alias("b")
-    static = F.col("a.log_id").isNotNull() & F.coalesce(F.col("b.protocol") == "static-ct-api", F.lit(False))
-    pick = {c: F.when(F.col("a.log_id").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")) for c in first.columns}
-    pick["log_id"] = F.coalesce("a.log_id", "b.log_id")
+    """All logs of both lists by id. Of an id that the first list repeats, its last
+    row stands; rows of the second follow in their order: where there is no row yet
+    the first of them stands, every static row lends its protocol and monitoring
+    address, and an operator is taken where none in particular is known. The order
+    is the column ``place``; rows without one, or of equal places, are ordered by
+    their fields. Blank ids are dropped."""
+    names = [c for c in first.columns if c != "place"]
+    rest = [c for c in names if c != "log_id"]
+
+    def ordered(d: DataFrame) -> DataFrame:
+        place = F.col("place") if "place" in d.columns else F.lit(None).cast("long")
+        return d.filter("log_id <> ''").select("log_id", F.struct(place.cast("long").alias("place"), *rest).alias("at"))
+
+    static, named = F.col("at.protocol") == "static-ct-api", F.col("at.operator") != MANY
+    a = ordered(first).groupBy("log_id").agg(F.max("at").alias("at"))
+    b = ordered(second).groupBy("log_id").agg(F.min("at").alias("head"), F.max(F.when(static, F.col("at"))).alias("static"), F.min(F.when(named, F.col("at"))).alias("named"))
+    both = a.join(b, "log_id", "full_outer").withColumn("base", F.coalesce("at", "head"))
+    pick = {c: F.col(f"base.{c}") for c in rest} | {"log_id": F.col("log_id")}
     for c in ("protocol", "monitoring_url"):
-        pick[c] = F.when(static, F.col(f"b.{c}")).otherwise(pick[c])
-    pick["operator"] = F.when((F.col("a.operator") == MANY) & F.coalesce(F.col("b.operator") != MANY, F.lit(False)), F.col("b.operator")).otherwise(pick["operator"])
-    return a.join(b, F.col("a.log_id") == F.col("b.log_id"), "full_outer").select(*[pick[c].alias(c) for c in first.columns])
+        pick[c] = F.when(F.col("static").isNotNull(), F.col(f"static.{c}")).otherwise(pick[c])
+    pick["operator"] = F.when(F.col("base.operator") == MANY, F.coalesce("named.operator", F.lit(MANY))).otherwise(pick["operator"])
+    return both.select(*[pick[c].alias(c) for c in names])
 
 
 def overlaps(start: Column, limit: Column, now: Column) -> Column:
@@ -108,10 +122,28 @@ def tile_range(next_index: Column, size: Column, tail: int = 512, tiles: int = 2
 
 
 def round_robin(rows: DataFrame, order: list[str], start: int, batch: int) -> DataFrame:
-    """``batch`` rows from place ``start`` on, wrapping around; with ``place``.
-    For lists such as logs and tokens, which are short."""
-    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
-    return placed.filter(F.pmod(F.col("place") - start, F.col("n")) < F.least(F.lit(batch), F.col("n"))).withColumn("next_index", F.pmod(F.lit(start + batch), F.col("n")).cast("long")).drop("n")
+    """``batch`` rows from place ``start`` on, wrapping around, with ``place`` and
+    the ``next_index``. Two slices of the order, each a top-k in which tasks drop
+    rows early; only the rows of the slices are numbered."""
+    n = rows.count()
+    if not n:
+        return rows.withColumns({"place": F.lit(0), "next_index": F.lit(0).cast("long")})
+    at, most = start % n, min(batch, n)
+
+    def part(skip: int, size: int) -> DataFrame:
+        few = rows.orderBy(*order).offset(skip).limit(size)
+        return few.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1 + skip).cast("int"))
+
+    out = part(at, min(most, n - at))
+    if at + most > n:
+        out = out.unionByName(part(0, at + most - n))
+    return out.withColumn("next_index", F.lit((start + batch) % n).cast("long"))
+
+
+def poll_token_frame(schemes: DataFrame, brands: DataFrame) -> DataFrame:
+    """``poll_tokens`` over the tables as DataFrames (tokens)."""
+    of = lambda d: d.select(F.explode("tokens").alias("t")).select(text.ingest_compact(F.col("t")).alias("token"))
+    return of(schemes).union(of(brands).filter("length(token) >= 3")).filter("token <> ''").distinct().orderBy("token")
 
 
 def poll_tokens(ref: Reference) -> list[str]:

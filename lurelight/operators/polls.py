@@ -3,6 +3,8 @@ evaluation of a labelled corpus, the status page's rows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,21 +49,23 @@ def source_runs(polled: DataFrame, entries: DataFrame, errors: DataFrame, checke
     )
 
 
-def poll(entries: DataFrame, runs: DataFrame, ref: Reference, as_of: Column, tables: dict[str, findings.KeyedTable], run_path: str) -> DataFrame:
+def poll(entries: DataFrame, runs: DataFrame, ref: Reference, as_of: Column, tables: dict[str, findings.KeyedTable], run_path: str, name: str | None = None) -> DataFrame:
     """Scores the entries of all sources, merges findings and sightings, appends
     the runs with their counts, and returns the poll's status. State goes last,
-    so a poll that breaks off is repeated and merges the same rows."""
-    ranked = entries.withColumns({"arrival": F.struct(findings.source_rank(F.col("source")), F.monotonically_increasing_id()), "run_source": F.col("source")})
+    so a poll that breaks off is repeated and merges the same rows. A poll of the
+    same ``name`` is the same poll again: its runs are not appended twice."""
+    name = name or uuid.uuid4().hex
+    ranked = entries.withColumns({"arrival": findings.arrival(entries), "run_source": F.col("source")})
     scored = score_certificates(ranked, ref, as_of).persist()
     rows = findings.sightings(scored).persist()
-    tables["findings"].merge(findings.unique_findings(scored.drop("run_source")))
-    tables["sources"].merge(rows)
+    tables["findings"].merge(findings.unique_findings(scored.drop("run_source")), name)
+    tables["sources"].merge(rows, name)
     done = findings.summarize_runs(runs, scored.select(F.col("run_source").alias("source")), rows.select("source"))
-    done.select(runs.columns).write.mode("append").parquet(run_path)
+    done.select(runs.columns).write.mode("overwrite").parquet(f"{run_path}/poll={name}")
     status = findings.poll_status(done)
     if "state" in tables:
         state = status.select(F.lit("ct_poll_status").alias("key"), F.to_json(F.struct("*")).alias("value"), as_of.cast("timestamp").alias("updated_at"))
-        tables["state"].merge(state)
+        tables["state"].merge(state, name)
     rows.unpersist()
     scored.unpersist()
     return status

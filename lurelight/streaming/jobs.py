@@ -7,6 +7,7 @@ merges keep every key, ``dropDuplicatesWithinWatermark`` bounds the state.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.findings import KeyedTable, sightings, source_rank, unique_findings
+from ..operators.findings import KeyedTable, arrival, sightings, unique_findings
 from ..operators.health import BREAKS_AT, OPEN_MINUTES
 from ..operators.score import score_certificates
 from ..reference import Reference
@@ -23,18 +24,24 @@ from ..reference import Reference
 CADENCE = "5 minutes"
 
 
-def write_findings(batch: DataFrame, ref: Reference, as_of: Column, findings: KeyedTable, sources: KeyedTable) -> None:
-    """Scores one batch of entries and merges findings and sightings."""
-    ranked = batch.withColumns({"arrival": F.struct(source_rank(F.col("source")), F.monotonically_increasing_id()), "run_source": F.col("source")})
+def write_findings(batch: DataFrame, ref: Reference, as_of: Column, findings: KeyedTable, sources: KeyedTable, name: str | None = None) -> None:
+    """Scores one batch of entries and merges findings and sightings. A batch of
+    the same name is the same batch again."""
+    ranked = batch.withColumns({"arrival": arrival(batch), "run_source": F.col("source")})
     scored = score_certificates(ranked, ref, as_of).persist()
-    findings.merge(unique_findings(scored.drop("run_source")))
-    sources.merge(sightings(scored))
+    findings.merge(unique_findings(scored.drop("run_source")), name)
+    sources.merge(sightings(scored), name)
     scored.unpersist()
 
 
 def run_findings(entries: DataFrame, ref: Reference, findings: KeyedTable, sources: KeyedTable, checkpoint: str, as_of: Column | None = None, once: bool = False) -> StreamingQuery:
     """Starts the job over a stream of entries; ``once`` drains what is there."""
-    w = entries.writeStream.foreachBatch(lambda b, _: write_findings(b, ref, as_of if as_of is not None else F.current_timestamp(), findings, sources)).option("checkpointLocation", checkpoint)
+    job = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # batches count from 0 at each checkpoint
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_findings(batch, ref, as_of if as_of is not None else F.current_timestamp(), findings, sources, f"{job}.{number}")
+
+    w = entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=CADENCE)).start()
 
 
@@ -60,18 +67,25 @@ BREAKER = "source string, checked_at timestamp, failures int, open boolean"
 
 def breaker_states(runs: DataFrame, breaks_at: int = BREAKS_AT, minutes: int = OPEN_MINUTES) -> DataFrame:
     """A stream of runs (source, checked_at, ok) to the circuit's state after each:
-    a success closes it, ``breaks_at`` failures in a row open it for ``minutes``."""
+    a success closes it, ``breaks_at`` failures in a row open it for ``minutes``.
+    The runs of a batch count in the order of their times, in whatever order they
+    come (of equal times the failure first). A run that is older than the last one
+    of an earlier batch comes too late: it changes nothing and gives no row. Runs
+    without a time or an outcome give none either."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else (0, 0.0)
-        for pdf in batches:
-            out = []
-            for at, ok in zip(pdf["checked_at"], pdf["ok"]):
-                failures = 0 if ok else failures + 1
-                now = at.timestamp()
-                until = 0.0 if ok else now + 60 * minutes if failures >= breaks_at else until
-                out.append((key[0], at, failures, until > now))
-            yield pd.DataFrame(out, columns=["source", "checked_at", "failures", "open"])
-        state.update((failures, until))
-
-    return runs.select("source", "checked_at", "ok").groupBy("source").applyInPandasWithState(step, BREAKER, "failures int, until double", "append", GroupStateTimeout.NoTimeout)
+        failures, until, last = state.get if state.exists else (0, 0.0, float("-inf"))
+        out, seen = [], last
+        for at, ok in sorted((at, bool(ok)) for pdf in batches for at, ok in zip(pdf["checked_at"], pdf["ok"])):
+            now = at.timestamp()
+            if now < last:
+                continue
+            failures = 0 if ok else failures + 1
+            until = 0.0 if ok else now + 60 * minutes if failures >= breaks_at else until
+            seen = max(seen, now)
+            out.append((key[0], at, failures, until > now))
+        yield pd.DataFrame(out, columns=["source", "checked_at", "failures", "open"])
+        state.update((failures, until, seen))
+
+    known = runs.select("source", "checked_at", "ok").filter("checked_at is not null and ok is not null")
+    return known.groupBy("source").applyInPandasWithState(step, BREAKER, "failures int, until double, last double", "append", GroupStateTimeout.NoTimeout)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import shutil
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def test_limits_and_empty_inputs(spark):
 
 
 def test_merges_into_keyed_tables(spark, tmp_path):
-    t = findings.KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "k long, v string").schema, ["k"], 4)
+    t = findings.KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "k long, v string").schema, ["k"])
     assert t.read().count() == 0
     t.merge(spark.createDataFrame([(i, "a") for i in range(20)], "k long, v string"))
     t.merge(spark.createDataFrame([(3, "b"), (99, "c")], "k long, v string"))
@@ -126,13 +127,38 @@ def test_merges_into_keyed_tables(spark, tmp_path):
     assert len(got) == 21 and got[3] == "b" and got[99] == "c" and got[4] == "a"
 
 
+def test_keyed_tables_survive_breaks_and_replays(spark, tmp_path):
+    rows = lambda d: {r.k: r.v for r in d.collect()}
+    batch = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    t = findings.KeyedTable(spark, str(tmp_path / "t"), batch().schema, ["k"])
+    t.merge(batch((1, "a"), (2, "a")), "one")
+    t.merge(batch((2, "b")), "two")
+    t.merge(batch((1, "a"), (2, "a")), "one")  # a replay takes its old place
+    assert rows(t.read()) == {1: "a", 2: "b"}
+    # a writer that stopped before its batch was complete
+    (tmp_path / "t" / "batch-000000000003-three" / "_temporary").mkdir(parents=True)
+    assert rows(t.read()) == {1: "a", 2: "b"}
+    t.merge(batch((2, "c")), "three")
+    want = {1: "a", 2: "c"}
+    assert rows(t.read()) == want
+    # a compaction that stopped before the old batches went, and one that went through
+    copies = tmp_path / "copy"
+    shutil.copytree(tmp_path / "t", copies)
+    t.compact()
+    assert rows(t.read()) == want and len(t._batches()) == 1
+    shutil.copytree(copies, tmp_path / "t", dirs_exist_ok=True)
+    assert rows(t.read()) == want and len(t._batches()) == 4
+    t.merge(batch((1, "d")), "four")
+    assert rows(t.read()) == {1: "d", 2: "c"}
+
+
 def test_stream_to_findings(spark, tmp_path):
     ref = reference.default()
     rows = spark.createDataFrame([(i, [h], "01", "dn", 1.0e9 + i, s) for i, (h, s) in enumerate([("posb-login.top", "crtsh"), ("posb-login.top", "certstream"), ("ordinary.example", "crtsh")])], "entry_id long, dns_names array<string>, cert_serial string, cert_issuer_dn_sha256 string, seen double, source string")
     e = decode.as_entries(rows, {c: F.col(c) for c in rows.columns})
     e.write.parquet(str(tmp_path / "in"))
-    f = findings.KeyedTable(spark, str(tmp_path / "f"), schemas.FINDING, ["id"], 2)
-    s = findings.KeyedTable(spark, str(tmp_path / "s"), schemas.FINDING_SOURCE, ["finding_id", "source", "source_ref"], 2)
+    f = findings.KeyedTable(spark, str(tmp_path / "f"), schemas.FINDING, ["id"])
+    s = findings.KeyedTable(spark, str(tmp_path / "s"), schemas.FINDING_SOURCE, ["finding_id", "source", "source_ref"])
     for _ in range(2):  # the second run finds nothing new
         jobs.run_findings(spark.readStream.schema(schemas.ENTRY).parquet(str(tmp_path / "in")), ref, f, s, str(tmp_path / "check"), now(), once=True).awaitTermination()
     got = f.read().collect()
@@ -142,12 +168,47 @@ def test_stream_to_findings(spark, tmp_path):
 
 def test_breaker_stream(spark, tmp_path):
     runs = spark.createDataFrame([("a", datetime(2026, 1, 1, 0, i), ok) for i, ok in enumerate([False, False, False, True, False])], "source string, checked_at timestamp, ok boolean")
-    runs.coalesce(1).write.parquet(str(tmp_path / "r"))
+    runs.orderBy(F.hash("checked_at")).repartition(3).write.parquet(str(tmp_path / "r"))  # in any order
     q = jobs.breaker_states(spark.readStream.schema(runs.schema).parquet(str(tmp_path / "r"))).writeStream.format("memory").queryName("breaker").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.failures, r.open) for r in spark.table("breaker").orderBy("checked_at").collect()] == [(1, False), (2, False), (3, True), (0, False), (1, False)]
 
 
+def test_breakers_count_by_time_and_leave_late_runs(spark, tmp_path):
+    schema, path, check = "source string, checked_at timestamp, ok boolean", str(tmp_path / "r"), str(tmp_path / "c")
+    put = lambda *r: spark.createDataFrame([("a", datetime(2026, 1, 1, 0, m), ok) for m, ok in r], schema).write.mode("append").parquet(path)
+
+    def drain():
+        s = jobs.breaker_states(spark.readStream.schema(schema).parquet(path)).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", check).trigger(availableNow=True).start()
+        s.awaitTermination()
+        return [(r.checked_at.minute, r.failures, r.open) for r in spark.read.parquet(str(tmp_path / "o")).orderBy("checked_at").collect()]
+
+    put((3, False), (1, True), (2, False), (10, False))
+    assert drain() == [(1, 0, False), (2, 1, False), (3, 2, False), (10, 3, True)]
+    put((5, True), (12, False), (11, True))  # the run of minute 5 is late
+    assert drain() == [(1, 0, False), (2, 1, False), (3, 2, False), (10, 3, True), (11, 0, False), (12, 1, False)]
+
+
+def test_merged_lists_keep_their_order(spark):
+    log = lambda i, place, **k: {"log_id": i, "place": place, "operator": "Op", "description": str(place), "protocol": "rfc6962", "monitoring_url": "m"} | k
+    frame = lambda *rows: spark.createDataFrame(list(rows), "log_id string, place long, operator string, description string, protocol string, monitoring_url string")
+    a = frame(log("1", 9), log("1", 10), log("2", 1, operator=logs.MANY), log("", 2))
+    b = frame(
+        log("2", 3, protocol="static-ct-api", monitoring_url="x"), log("2", 2, operator="B"), log("2", 4, protocol="static-ct-api", monitoring_url="y", operator="C"),
+        log("3", 8, operator=logs.MANY), log("3", 9, operator="D", description="later"), log("3", 7, operator=logs.MANY, description="first"),
+    )
+    got = {r.log_id: tuple(r)[1:] for r in logs.merge_lists(a.repartition(3), b.repartition(3)).select("log_id", "operator", "description", "protocol", "monitoring_url").collect()}
+    assert got == {"1": ("Op", "10", "rfc6962", "m"), "2": ("B", "1", "static-ct-api", "y"), "3": ("D", "first", "rfc6962", "m")}
+
+
+def test_rotation(spark):
+    d = spark.createDataFrame([(f"t{i}",) for i in range(7)], "token string")
+    for start, batch in ((0, 3), (5, 4), (20, 2), (3, 9), (6, 1)):
+        got = [(r.token, r.place, r.next_index) for r in logs.round_robin(d, ["token"], start, batch).collect()]
+        assert sorted(got) == sorted((f"t{i}", i, (start + batch) % 7) for i in {(start + k) % 7 for k in range(batch)})
+    assert logs.round_robin(d.filter("false"), ["token"], 3, 2).count() == 0
+
+
 def test_sessions_and_bounded_dedup(spark):
     rows = spark.createDataFrame([("a", datetime(2026, 1, 1, 0, m)) for m in (0, 3, 20)], "source string, at timestamp")
     assert sorted(r.entries for r in jobs.sessions(rows, "at", "5 minutes", "source").collect()) == [1, 2]

@@ -20,7 +20,7 @@ def test_poll(spark, tmp_path):
     polled = spark.createDataFrame([("certstream", 5), ("direct_ct", 6), ("static_ct", 7), ("crtsh", 8)], "source string, duration_ms int")
     errors = spark.createDataFrame([("static_ct", "tile missing")], "source string, message string")
     runs = polls.source_runs(polled, e.select("source"), errors, at())
-    t = {n: findings.KeyedTable(spark, str(tmp_path / n), s, k, 2) for n, s, k in (("findings", schemas.FINDING, ["id"]), ("sources", schemas.FINDING_SOURCE, ["finding_id", "source", "source_ref"]), ("state", schemas.STATE, ["key"]))}
+    t = {n: findings.KeyedTable(spark, str(tmp_path / n), s, k) for n, s, k in (("findings", schemas.FINDING, ["id"]), ("sources", schemas.FINDING_SOURCE, ["finding_id", "source", "source_ref"]), ("state", schemas.STATE, ["key"]))}
     status = polls.poll(e, runs, ref, at(), t, str(tmp_path / "runs")).first()
     assert (status.ok, status.health, status.scanned_entries, status.sources, status.errors) == (True, "partial", 3, 4, 1)
     f = t["findings"].read().collect()
