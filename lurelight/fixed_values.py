@@ -263,3 +263,91 @@ co.za org.za ac.za gov.za net.za
 com.mx org.mx gob.mx edu.mx
 *.ck !www.ck *.kawasaki.jp !city.kawasaki.jp
 """
+
+# Hand-made hosts of the labelled corpus: domain|brand|category. Malicious ones in
+# forms that are hard to catch, and benign ones that look like malicious ones.
+ADVERSARIAL = """
+xn--dbs-9ka.com|dbs|homoglyph
+xn--psb-tma.com.sg|posb|homoglyph
+xn--0cbc-1ra.com|ocbc|homoglyph
+xn--ub-1ia.com.sg|uob|homoglyph
+xn--sngpass-wxa.com|singpass|homoglyph
+xn--cp-gpa.com|cpf|homoglyph
+xn--ras-tma.com|iras|homoglyph
+xn--trstbank-p1a.com|trustbank|homoglyph
+xn--maribank-r8a.sg|maribank|homoglyph
+xn--sngpst-0wa8c.com.sg|singpost|homoglyph
+dаs.com|dbs|homoglyph
+oсbc.com|ocbc|homoglyph
+singpаss.com|singpass|homoglyph
+pоsb.com|posb|homoglyph
+uоb.com.sg|uob|homoglyph
+cрf.gov.sg.phish.xyz|cpf|homoglyph
+irаs-portal.top|iras|homoglyph
+grаbpay.xyz|grab|homoglyph
+shopее.com|shopee|homoglyph
+singpоst.com|singpost|homoglyph
+dbsbanl.com|dbs|homoglyph
+0cbc.com|ocbc|homoglyph
+singpa55.com|singpass|homoglyph
+u0b.com.sg|uob|homoglyph
+p0sb.com|posb|homoglyph
+cpff-online.com|cpf|homoglyph
+1ras-tax.com|iras|homoglyph
+trus1bank.com|trustbank|homoglyph
+rnaybank.com|maybank|homoglyph
+s1ngpost.com|singpost|homoglyph
+dbs.com.sg.account-update.top|dbs|subdomain_squat
+ocbc.com.portal-security.xyz|ocbc|subdomain_squat
+uob.com.sg.token-auth.icu|uob|subdomain_squat
+posb.com.sg.verify-device.cfd|posb|subdomain_squat
+singpass.gov.sg.auth.sbs|singpass|subdomain_squat
+cpf.gov.sg.payout-claim.rest|cpf|subdomain_squat
+iras.gov.sg.tax-rebate.cyou|iras|subdomain_squat
+trustbank.sg.activate.bond|trustbank|subdomain_squat
+maribank.sg.login.click|maribank|subdomain_squat
+singpost.com.track.link|singpost|subdomain_squat
+dbsbanklogin.xyz|dbs|typosquat
+ocbcloginportal.top|ocbc|typosquat
+singpassverifyonline.icu|singpass|typosquat
+posbsecuresg.cfd|posb|typosquat
+uobonlinetoken.sbs|uob|typosquat
+cpfportallogin.rest|cpf|typosquat
+irasrefundclaim.cyou|iras|typosquat
+trustbankloginauth.bond|trustbank|typosquat
+maribankauthaccess.click|maribank|typosquat
+singposttrackingfee.link|singpost|typosquat
+dsb.com.sg|dbs|typosquat
+obcc.com|ocbc|typosquat
+siingpass.com|singpass|typosquat
+psob.com.sg|posb|typosquat
+ubogroup.com|uob|typosquat
+cfppayout.com|cpf|typosquat
+iars-tax.com|iras|typosquat
+trutsbank.com|trustbank|typosquat
+mraibank.com|maribank|typosquat
+singpsto.com|singpost|typosquat
+"""
+CONSTRUCTED = """
+carousel.com|none|constructed_fixture
+carouseldesigns.com|none|constructed_fixture
+carousellighting.com|none|constructed_fixture
+carouselhorses.com|none|constructed_fixture
+theshoppe.com|none|constructed_fixture
+candyshoppe.com|none|constructed_fixture
+giftshoppe.com|none|constructed_fixture
+bookshoppe.com|none|constructed_fixture
+dbschenker-logistics.com|none|constructed_fixture
+posbank-systems.com|none|constructed_fixture
+grabcad-models.com|none|constructed_fixture
+singpassing-history.com|none|constructed_fixture
+cpfire-safety.org|none|constructed_fixture
+iraselect-planning.com|none|constructed_fixture
+maritime-bank-europe.org|none|constructed_fixture
+singpostgraduate-research.com|none|constructed_fixture
+dsb-login.xyz|none|constructed_fixture
+login-dsb.top|none|constructed_fixture
+secure-dsb-sg.cfd|none|constructed_fixture
+cdcv0ucher.xyz|none|constructed_fixture
+cdcvouchr.top|none|constructed_fixture
+"""

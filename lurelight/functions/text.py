@@ -82,6 +82,11 @@ def first_truthy(*columns: Column) -> Column:
     return F.coalesce(*map(truthy, columns))
 
 
+def issuer_name(e: DataFrame) -> Column:
+    """The issuer of an entry by the first field that has one, else empty."""
+    return F.coalesce(first_truthy(e["issuer_aggregated"], e["issuer_cn"]), F.lit(""))
+
+
 def extract_domains(e: DataFrame) -> Column:
     """All dotted names of an entry, normalised, first appearance first."""
     none = F.array().cast("array<string>")

@@ -95,6 +95,21 @@ def positives(spark: SparkSession) -> DataFrame:
     return phish.unionByName(squat).unionByName(lure)
 
 
+def _listed(spark: SparkSession, text: str, expected: str, label: str) -> DataFrame:
+    rows = [(*line.split("|"), expected, label) for line in text.splitlines() if line]
+    return spark.createDataFrame(rows, "domain string, brand string, category string, expected string, label string")
+
+
+def adversarial(spark: SparkSession) -> DataFrame:
+    """The 60 hand-made phishing hosts: (domain, brand, category, expected, label)."""
+    return _listed(spark, fixed.ADVERSARIAL, "malicious", "positive")
+
+
+def constructed(spark: SparkSession) -> DataFrame:
+    """The 21 hand-made benign hosts, likewise."""
+    return _listed(spark, fixed.CONSTRUCTED, "benign", "negative")
+
+
 def corpus(positive: DataFrame, adversarial: DataFrame, negative: DataFrame, constructed: DataFrame) -> DataFrame:
     """One labelled table of four; missing columns are null."""
     tag = lambda d, a, c: d.withColumns({"adversarial": F.lit(a), "constructed": F.lit(c)})

@@ -8,11 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import fixed_values as fixed
 from .. import schemas
 from ..functions import binary, distance, suffix, text
-from ..operators import findings, health, logs, quality, signals, validate
+from ..operators import explorer, findings, health, logs, polls, quality, signals, validate
 from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
+from ..sources import certificates, decode
 from ..streaming import jobs
 from . import neutral
 
@@ -208,12 +211,11 @@ def _certificates(spark, sf_dir) -> DataFrame:
 @query(_CERTS + " SELECT l_orderkey, host, registrable, score, severity, (SELECT count(*) FROM names n WHERE n.l_orderkey = top.l_orderkey) AS names FROM top")
 def certificate_top_host(spark, sf_dir):
     """The top host of each certificate."""
-    rows = _certificates(spark, sf_dir).select("l_orderkey", F.explode("dns_names").alias("host"))
+    rows = _certificates(spark, sf_dir).select("l_orderkey", F.posexplode("dns_names").alias("ord", "host"))
+    live = ~F.col("suppressed") & (F.col("score") > 0)
     s = score_distinct_hosts(rows, REF, season())
-    act = s.filter("not suppressed and score > 0").groupBy("l_orderkey").agg(F.max_by(F.struct("host", "registrable", "score", "severity"), F.struct("score")).alias("t"))
-    # equal scores: the first name; ties are broken by a second aggregate over the few rows at the top
-    best = s.filter("not suppressed and score > 0").join(act.select("l_orderkey", F.col("t.score").alias("score")), ["l_orderkey", "score"]).groupBy("l_orderkey").agg(F.min_by(F.struct("host", "registrable", "score", "severity"), "host").alias("t"))
-    return best.join(rows.groupBy("l_orderkey").agg(F.count("*").alias("names")), "l_orderkey").select("l_orderkey", "t.*", "names")
+    top = F.max_by(F.when(live, F.struct("host", "registrable", "score", "severity")), F.when(live, F.struct("score", -F.col("ord"))))
+    return s.groupBy("l_orderkey").agg(top.alias("t"), F.count("*").alias("names")).filter("t is not null").select("l_orderkey", "t.*", "names")
 
 
 @query(_CERTS + ", b AS (SELECT l_orderkey, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands, sum(1) AS n FROM act JOIN signals USING (host) WHERE brand IS NOT NULL GROUP BY l_orderkey) SELECT l_orderkey, substr(sha256(sha256('issuer') || '|' || l_orderkey || '|' || coalesce(registrable, 'null')), 1, 32) AS id, registrable, score, severity, coalesce(brands, '') AS brands FROM top LEFT JOIN b USING (l_orderkey)")
@@ -294,8 +296,7 @@ def run_summary(spark, sf_dir):
 @query("WITH r AS (SELECT event_type, avg(value) > 50 AS ok, count(*) AS n, count(*) FILTER (WHERE value > 99.5) AS bad FROM events GROUP BY 1) SELECT coalesce(bool_or(ok), false) AS ok, CASE WHEN bool_and(ok) THEN 'healthy' WHEN bool_or(ok) THEN 'partial' ELSE 'down' END AS health, sum(n)::BIGINT AS scanned_entries, count(*) AS sources, sum(bad)::BIGINT AS errors FROM r")
 def poll_status(spark, sf_dir):
     """The status of a poll over all sources."""
-    bad = F.filter(F.collect_list(F.when(F.col("value") > 99.5, F.struct(F.lit("high").alias("message")))), lambda x: x.isNotNull())
-    runs = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg((F.avg("value") > 50).alias("ok"), F.count("*").alias("scanned_entries"), bad.alias("errors"))
+    runs = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg((F.avg("value") > 50).alias("ok"), F.count("*").alias("scanned_entries"), F.count_if(F.col("value") > 99.5).alias("n_errors"))
     return findings.poll_status(runs)
 
 
@@ -303,17 +304,17 @@ def poll_status(spark, sf_dir):
 
 
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    key = lambda c: F.concat(F.lit("log"), (c % 400).cast("string"))
+    key = lambda c: F.concat(F.lit("log"), c.cast("string"))
     nation = lambda c: F.when(c % 5 == 0, logs.MANY).otherwise(F.concat(F.lit("op"), c.cast("string")))
 
     def made(d: DataFrame, c: str, n: str, bal: str, tag: str) -> DataFrame:
         k = F.col(c)
-        return d.filter(k < 700).dropDuplicates([c]).select(
+        return d.select(
             key(k).alias("log_id"), nation(F.col(n)).alias("operator"), F.concat(F.lit(tag), k.cast("string")).alias("description"), F.when(k % 2 == 0, "static-ct-api").otherwise("rfc6962").alias("protocol"),
             logs.slashed(F.concat(F.lit(f"https://{tag}/"), k.cast("string"))).alias("submission_url"), logs.slashed(F.concat(F.lit(f"https://{tag}/m"), k.cast("string"))).alias("monitoring_url"), F.lit("").alias("public_key_der"),
             F.when(F.col(bal) > 5000, "usable").when(F.col(bal) > 2000, "qualified").otherwise("retired").alias("state"), F.when(k % 3 == 0, F.concat((2020 + k % 10).cast("string"), F.lit("-01-01T00:00:00Z"))).alias("not_after_start"),
             F.when(k % 3 == 0, F.concat((2021 + k % 10).cast("string"), F.lit("-01-01T00:00:00Z"))).alias("not_after_limit"), F.lit(NOW).cast("timestamp").alias("refreshed_at"),
-        ).filter(k < 400)
+        )
 
     s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
     return made(s, "s_suppkey", "s_nationkey", "s_acctbal", "s"), made(c, "c_custkey", "c_nationkey", "c_acctbal", "c")
@@ -322,7 +323,7 @@ def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def _list_sql(t: str, k: str, n: str, bal: str, tag: str) -> str:
     return f"""SELECT 'log' || {k} AS log_id, CASE WHEN {n} % 5 = 0 THEN '{logs.MANY}' ELSE 'op' || {n} END AS operator, '{tag}' || {k} AS description, CASE WHEN {k} % 2 = 0 THEN 'static-ct-api' ELSE 'rfc6962' END AS protocol,
 'https://{tag}/m' || {k} || '/' AS monitoring_url, CASE WHEN {bal} > 5000 THEN 'usable' WHEN {bal} > 2000 THEN 'qualified' ELSE 'retired' END AS state,
-CASE WHEN {k} % 3 = 0 THEN make_date(2020 + ({k} % 10)::INT, 1, 1) END AS st, CASE WHEN {k} % 3 = 0 THEN make_date(2021 + ({k} % 10)::INT, 1, 1) END AS en FROM {t} WHERE {k} < 400"""
+CASE WHEN {k} % 3 = 0 THEN make_date(2020 + ({k} % 10)::INT, 1, 1) END AS st, CASE WHEN {k} % 3 = 0 THEN make_date(2021 + ({k} % 10)::INT, 1, 1) END AS en FROM {t}"""
 
 
 _MERGED = f"""WITH a AS ({_list_sql("supplier", "s_suppkey", "s_nationkey", "s_acctbal", "s")}), b AS ({_list_sql("customer", "c_custkey", "c_nationkey", "c_acctbal", "c")}),
@@ -383,8 +384,7 @@ def poll_tokens(spark, sf_dir):
     from ..reference import frames
 
     t = frames(spark, REF)
-    words = t["schemes"].select(F.explode("tokens").alias("t")).select(text.ingest_compact(F.col("t")).alias("token")).union(t["brands"].select(F.explode("tokens").alias("t")).select(text.ingest_compact(F.col("t")).alias("token")).filter("length(token) >= 3"))
-    return words.distinct().orderBy("token")
+    return logs.poll_token_frame(t["schemes"], t["brands"])
 
 
 @query("WITH t AS (SELECT DISTINCT p_name AS token FROM part), o AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS place, count(*) OVER () AS n FROM t) SELECT token, place, (65 % n)::BIGINT AS next_index FROM o WHERE ((place - 60) % n + n) % n < least(5, n)")
@@ -477,25 +477,31 @@ def corpus_generate(spark, sf_dir):
     return quality.positives(spark)
 
 
+@query(f"""WITH c(label, part, category, items) AS (VALUES {", ".join(f"('{label}', '{part}', '{c}', {sum(line.endswith('|' + c) for line in rows)})" for label, part, rows in (("positive", "adversarial", fixed.ADVERSARIAL.split()), ("negative", "constructed", fixed.CONSTRUCTED.split())) for c in sorted({line.split("|")[2] for line in rows}))}) SELECT * FROM c""")
+def corpus_hand_made(spark, sf_dir):
+    """The hand-made hosts of the labelled corpus by category."""
+    every = quality.adversarial(spark).withColumn("part", F.lit("adversarial")).unionByName(quality.constructed(spark).withColumn("part", F.lit("constructed")))
+    return every.groupBy("label", "part", "category").agg(F.count("*").cast("int").alias("items"))
+
+
 # explorer and validation
 
 
 @query("SELECT p_type, count(*) AS parts FROM part WHERE p_type = 'PROMO' AND instr(lower(to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_brand': p_brand, 'p_type': p_type})), 'red') > 0 GROUP BY p_type")
 def dataset_search(spark, sf_dir):
     """Rows of a category whose JSON holds a text."""
-    d = read(spark, sf_dir, "part").filter("p_type = 'PROMO'")
-    found = F.instr(F.lower(F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_type"))), "red") > 0
-    return d.filter(found).groupBy("p_type").agg(F.count("*").alias("parts"))
+    d = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return explorer.search(d, "Red", "p_type", "PROMO").groupBy("p_type").agg(F.count("*").alias("parts"))
 
 
 @query("SELECT DISTINCT p_type AS category FROM part WHERE p_type <> '' ORDER BY 1")
 def category_list(spark, sf_dir):
-    return read(spark, sf_dir, "part").select(F.col("p_type").alias("category")).filter("category <> ''").distinct().orderBy("category")
+    return explorer.categories(read(spark, sf_dir, "part"), "p_type")
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (WHERE c_acctbal < 0) AS negative, count(DISTINCT c_mktsegment) AS segments FROM customer")
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE c_acctbal < 0) AS matching, count(DISTINCT c_mktsegment) AS groups FROM customer")
 def summary_counts(spark, sf_dir):
-    return read(spark, sf_dir, "customer").agg(F.count("*").alias("rows"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), F.count_distinct("c_mktsegment").alias("segments"))
+    return explorer.totals(read(spark, sf_dir, "customer"), F.col("c_acctbal") < 0, "c_mktsegment")
 
 
 @query("SELECT 'nation_unique' AS expectation, count(*) AS broken FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'nation_region', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 4) UNION ALL SELECT 'nation_name', count(*) FROM nation WHERE NOT regexp_matches(n_name, '^NATION_[0-9]$') UNION ALL SELECT 'supplier_balance', count(*) FROM supplier WHERE NOT (s_acctbal BETWEEN 0 AND 9000) UNION ALL SELECT 'supplier_order', count(*) FROM supplier WHERE NOT (s_nationkey <= s_suppkey) UNION ALL SELECT 'supplier_top', count(*) FROM (SELECT s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier) WHERE r <= 3 GROUP BY 1 HAVING sum(s_acctbal) > 20000)")
@@ -534,12 +540,191 @@ def state_merge(spark, sf_dir):
     return e.select("user_id", F.try_element_at(merged, F.lit("clicks")).cast("long").alias("clicks"), F.try_element_at(merged, F.lit("last")).alias("last_type"))
 
 
-@query("SELECT event_type AS source, count(*) AS entries FROM events GROUP BY 1 UNION ALL SELECT 'orders', count(*) FROM orders")
+@query("SELECT CASE event_type WHEN 'click' THEN 'crtsh' ELSE 'direct_ct' END AS source, CASE event_type WHEN 'click' THEN 4 ELSE 2 END AS source_rank, count(*) AS entries, 0::BIGINT AS logged FROM events GROUP BY ALL UNION ALL SELECT 'static_ct', 3, count(*), count(DISTINCT o_custkey) FROM orders HAVING count(*) > 0")
 def entries_union(spark, sf_dir):
-    """Sources with different columns, by name."""
-    a = read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), "event_id")
-    b = read(spark, sf_dir, "orders").select(F.lit("orders").alias("source"), "o_orderkey")
-    return a.unionByName(b, allowMissingColumns=True).groupBy("source").agg(F.count("*").alias("entries"))
+    """Sources with different columns as one, with the rank of their arrival."""
+    a = read(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", "crtsh").otherwise("direct_ct").alias("source"), F.col("event_id").alias("entry_id"))
+    b = read(spark, sf_dir, "orders").select(F.lit("static_ct").alias("source"), F.col("o_custkey").cast("string").alias("log_name"))
+    return decode.union_sources(a, b).groupBy("source", "source_rank").agg(F.count("*").alias("entries"), F.count_distinct("log_name").alias("logged"))
+
+
+# records of the sources, made from events, suppliers and customers
+
+
+@query("""SELECT event_id, CASE WHEN k < 2 THEN least(nxt, size) ELSE greatest(0, size - 256) END AS start_at, least(size - 1, CASE WHEN k < 2 THEN least(nxt, size) ELSE greatest(0, size - 256) END + 47) AS end_at,
+t // 256 AS first_tile, least(t // 256 + 19, (size - 1) // 256) AS last_tile, greatest(t, least(size, (least(t // 256 + 19, (size - 1) // 256) + 1) * 256)) AS next_at, greatest(size // 256 - 120, 0) AS tail_from, size // 256 AS tail_to
+FROM (SELECT *, CASE WHEN k < 2 THEN least(nxt, size) ELSE greatest(0, size - 512) END AS t FROM (SELECT event_id, event_id % 3 AS k, event_id * 13 AS nxt, user_id * 997 + 1 AS size FROM events))""")
+def fetch_ranges(spark, sf_dir):
+    """What a run reads of an indexed log, of a tiled log, and of a log's tail."""
+    nxt, size = F.when(F.col("event_id") % 3 < 2, F.col("event_id") * 13), F.col("user_id") * 997 + 1
+    d = read(spark, sf_dir, "events").select("event_id", logs.fetch_range(nxt, size).alias("r"), logs.tile_range(nxt, size).alias("t"), polls.tail_tiles(size).alias("tail"), F.floor(size / 256).alias("full"))
+    tail_from = F.when(F.size("tail") > 0, F.get("tail", F.lit(0))).otherwise(F.col("full"))
+    return d.select("event_id", F.col("r.start").alias("start_at"), F.col("r.end").alias("end_at"), F.col("t.first").alias("first_tile"), F.col("t.last").alias("last_tile"), F.col("t.cursor").alias("next_at"), tail_from.alias("tail_from"), F.when(F.size("tail") > 0, F.element_at("tail", -1) + 1).otherwise(F.col("full")).alias("tail_to"))
+
+
+@query("""SELECT event_id % 2 AS kind, CASE WHEN event_id % 4 = 0 THEN event_id END AS cert_index, 'a' || event_id || '.com' AS common_name, 'a' || event_id || '.com' || CASE WHEN event_id % 4 = 0 THEN ',a' || event_id || '.com,b.org' ELSE '' END AS names,
+CASE WHEN event_id % 4 = 0 THEN strftime(to_timestamp(1700000000 + event_id)::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS not_before, CASE WHEN event_id % 4 = 0 THEN 'F' || user_id END AS fingerprint FROM events WHERE event_id % 4 IN (0, 1)""")
+def stream_messages(spark, sf_dir):
+    """Messages of the live stream: full updates, names, others and noise."""
+    k, i = F.col("event_id") % 4, F.col("event_id").cast("string")
+    full = F.concat(F.lit('{"message_type":"certificate_update","data":{"cert_index":'), i, F.lit(',"leaf_cert":{"subject":{"CN":"a'), i, F.lit('.com"},"not_before":'), (F.col("event_id") + 1700000000).cast("string"), F.lit(',"fingerprint":"F'), F.col("user_id").cast("string"), F.lit('","all_domains":["*.A'), i, F.lit('.com","a'), i, F.lit('.com.","plain","b.org"]}}}'))
+    names = F.concat(F.lit('{"message_type":"dns_entries","data":["x","A'), i, F.lit('.com"]}'))
+    value = F.when(k == 0, full).when(k == 1, names).when(k == 2, '{"message_type":"heartbeat"}').otherwise("noise {")
+    d = decode.stream_messages(read(spark, sf_dir, "events").select(value.alias("value")))
+    return d.select(F.when(F.col("cert_index").isNull(), 1).otherwise(0).cast("long").alias("kind"), "cert_index", "common_name", F.array_join("dns_names", ",").alias("names"), "not_before", F.col("cert_fingerprint").alias("fingerprint"))
+
+
+@query("""SELECT event_id AS entry_id, 'h' || user_id || '.com,b.org' AS names, event_id % 3 = 0 AS is_wildcard, CASE WHEN event_id % 2 = 0 THEN 's' || event_id ELSE event_id::VARCHAR END AS cert_serial, 2::INT AS san_count,
+CASE WHEN event_id % 5 > 0 THEN sha256(event_type) END AS issuer, CASE WHEN event_id % 5 > 0 THEN event_type ELSE '' END AS issuer_name, 'https://crt.sh/?id=' || event_id AS link, CASE WHEN event_id % 7 > 0 THEN epoch_ms(ts) / 1000 END AS seen FROM events WHERE event_id % 11 > 0""")
+def search_rows(spark, sf_dir):
+    """Rows of the identity search; a row without a dotted name gives nothing."""
+    i, k = F.col("event_id"), lambda n: F.col("event_id") % n
+    host = F.concat(F.lit("H"), F.col("user_id").cast("string"), F.lit(".com"))
+    value = F.when(k(11) == 0, "plain").otherwise(F.concat(F.when(k(3) == 0, "*.").otherwise(""), host, F.lit("\n b.org\n"), F.lower(host)))
+    rows = read(spark, sf_dir, "events").select(
+        i.alias("id"), value.alias("name_value"), F.lit(None).cast("string").alias("common_name"), F.when(k(5) > 0, F.col("event_type")).alias("issuer_name"), F.when(k(7) > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("entry_timestamp"),
+        F.lit(None).cast("string").alias("not_before"), F.when(k(2) == 0, F.concat(F.lit("s"), i.cast("string"))).otherwise("").alias("serial_number"), F.lit(None).cast("long").alias("min_cert_id"),
+    )
+    d = decode.search_rows(rows)
+    return d.select("entry_id", F.array_join("dns_names", ",").alias("names"), "is_wildcard", "cert_serial", "san_count", F.col("cert_issuer_dn_sha256").alias("issuer"), text.issuer_name(d).alias("issuer_name"), F.col("cert_link").alias("link"), "seen")
+
+
+@query("""SELECT CASE WHEN s_suppkey % 3 = 0 THEN base64(unhex(sha256(s_name))) ELSE 'id' || s_suppkey END AS log_id, CASE WHEN s_nationkey % 4 = 0 THEN 'Unknown Operator' ELSE 'op' || s_nationkey END AS operator, s_name AS description, CASE WHEN s_suppkey % 2 = 0 THEN 'static-ct-api' ELSE 'rfc6962' END AS protocol,
+'https://s' || s_suppkey || '/' AS submission_url, CASE WHEN s_suppkey % 2 = 0 THEN 'https://m' || s_suppkey || '/' ELSE 'https://s' || s_suppkey || '/' END AS monitoring_url, CASE WHEN s_acctbal > 5000 THEN 'retired' WHEN s_acctbal > 2000 THEN 'qualified' ELSE 'usable' END AS state FROM supplier""")
+def log_list_a(spark, sf_dir):
+    """Suppliers as the logs of a list of operators, parsed."""
+    k, s = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    stamp = F.struct(F.lit("t").alias("timestamp"))
+    state = F.when(F.col("s_acctbal") > 5000, F.create_map(F.lit("retired"), stamp)).when(F.col("s_acctbal") > 2000, F.create_map(F.lit("rejected"), stamp, F.lit("qualified"), stamp))
+    log = F.struct(
+        F.col("s_name").alias("description"), F.when(k % 3 == 0, F.base64(F.encode("s_name", "UTF-8"))).alias("key"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("id"), s)).alias("log_id"), F.when(k % 2 == 1, F.concat(F.lit("https://s"), s)).alias("url"),
+        F.when(k % 2 == 0, F.concat(F.lit("https://s"), s, F.lit("/"))).alias("submission_url"), F.when(k % 2 == 0, F.concat(F.lit("https://m"), s)).alias("monitoring_url"), state.alias("state"), F.lit(None).cast("struct<start_inclusive:string,end_exclusive:string>").alias("temporal_interval"),
+    )
+    op = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.when(k % 2 == 1, log)).alias("logs"), F.collect_list(F.when(k % 2 == 0, log)).alias("tiled_logs"))  # a list is one document
+    name = F.when(F.col("s_nationkey") % 4 != 0, F.concat(F.lit("op"), F.col("s_nationkey").cast("string")))
+    lists = op.select(F.array(F.struct(name.alias("name"), "logs", "tiled_logs")).alias("operators"))
+    return logs.parse_list_a(lists, F.lit(NOW).cast("timestamp")).select("log_id", "operator", "description", "protocol", "submission_url", "monitoring_url", "state")
+
+
+def _flat_list(spark, sf_dir) -> DataFrame:
+    k, s, none = F.col("c_custkey"), F.col("c_custkey").cast("string"), F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "customer").select(
+        F.when(k % 4 > 0, F.concat(F.lit("id"), s)).alias("log_id"), F.base64(F.encode("c_name", "UTF-8")).alias("key"), F.when(k % 5 > 0, F.col("c_mktsegment")).otherwise("").alias("operator"), F.col("c_name").alias("description"), F.when(k % 7 == 0, "static-ct-api").alias("protocol"),
+        F.concat(F.when(k % 6 == 0, "http").otherwise("https"), F.lit("://u"), s).alias("url"), none.alias("submission_url"), F.when(k % 3 == 0, F.concat(F.lit("https://m"), s)).alias("monitoring_url"), F.when(k % 2 == 0, "readonly").when(k % 9 == 0, "retired").alias("state"),
+        F.when(k % 8 == 0, "2020-01-01T00:00:00Z").alias("not_after_start"), F.when(k % 8 == 0, "2021-01-01T00:00:00Z").alias("not_after_limit"),
+    )
+    return logs.parse_list_b(rows, F.lit(NOW).cast("timestamp"))
+
+
+_FLAT = """SELECT c_custkey AS k, CASE WHEN c_custkey % 4 > 0 THEN 'id' || c_custkey ELSE base64(unhex(sha256(c_name))) END AS log_id, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment ELSE 'Multiple operators' END AS operator,
+CASE WHEN c_custkey % 7 = 0 OR c_custkey % 3 = 0 THEN 'static-ct-api' ELSE 'rfc6962' END AS protocol, CASE WHEN c_custkey % 6 = 0 THEN 'http' ELSE 'https' END || '://u' || c_custkey || '/' AS submission_url,
+CASE WHEN c_custkey % 3 = 0 THEN 'https://m' ELSE CASE WHEN c_custkey % 6 = 0 THEN 'http' ELSE 'https' END || '://u' END || c_custkey || '/' AS monitoring_url, CASE WHEN c_custkey % 2 = 0 THEN 'readonly' WHEN c_custkey % 9 = 0 THEN 'retired' ELSE 'usable' END AS state FROM customer"""
+
+
+@query(f"SELECT log_id, operator, protocol, submission_url, monitoring_url, state FROM ({_FLAT})")
+def log_list_b(spark, sf_dir):
+    """Customers as a flat log list, parsed."""
+    return _flat_list(spark, sf_dir).select("log_id", "operator", "protocol", "submission_url", "monitoring_url", "state")
+
+
+@query(f"SELECT log_id, state FROM ({_FLAT}) WHERE submission_url LIKE 'https://%' AND state <> 'retired' AND k % 8 > 0")
+def readable_logs(spark, sf_dir):
+    """Logs over https that can be read and are current."""
+    return logs.legacy_logs(_flat_list(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("log_id", "state")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(to_timestamp(1600000000 + event_id)::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN 1 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS at,
+CASE event_id % 3 WHEN 0 THEN 'a' || user_id || '.com,c.com' ELSE '' END AS names, CASE event_id % 3 WHEN 0 THEN 'n' || user_id || '.org' WHEN 1 THEN NULL ELSE 'plain' END AS common_name, CASE event_id % 2 WHEN 0 THEN event_type || ',x' ELSE 'x' END AS unique_values FROM events""")
+def record_fields(spark, sf_dir):
+    """Times, alternative names, common names and distinct values of records."""
+    k, i, u = F.col("event_id") % 5, F.col("event_id"), F.col("user_id").cast("string")
+    raw = F.when(k == 0, (i + 1600000000).cast("string")).when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 2, "").when(k == 3, "0").otherwise("some day")
+    alt = F.when(i % 3 == 0, F.concat(F.lit("DNS:*.A"), u, F.lit(".com, IP Address:1.2.3.4, DNS:plain, DNS:c.com"))).when(i % 3 == 1, "")
+    subject = F.when(i % 3 == 0, F.concat(F.lit("C=SG\nCN = *.N"), u, F.lit(".org, O=x"))).when(i % 3 == 1, "O=none").otherwise("CN=plain")
+    values = F.array(F.when(i % 2 == 0, F.col("event_type")), F.lit(""), F.lit("x"), F.lit(None).cast("string"), F.lit("x"))
+    return read(spark, sf_dir, "events").select("event_id", text.iso_time(raw).alias("at"), F.array_join(binary.dns_names(alt), ",").alias("names"), binary.common_name(subject).alias("common_name"), F.array_join(text.distinct_truthy(values), ",").alias("unique_values"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'log/' || user_id END AS origin, CASE WHEN event_id % 3 = 0 THEN event_id * 5 END AS tree_size, CASE WHEN event_id % 3 = 0 THEN 'k' || user_id || ' c2ln' END AS signed FROM events")
+def checkpoint_notes(spark, sf_dir):
+    """Signed notes: one that is well formed, one without a size, one cut short."""
+    i, u = F.col("event_id"), F.col("user_id").cast("string")
+    note = F.concat(F.lit("log/"), u, F.lit("\r\n"), F.when(i % 3 == 1, "many").otherwise((i * 5).cast("string")), F.lit("\r\nroot\r\n"), F.when(i % 3 == 2, "").otherwise(F.concat(F.lit("\r\n— k"), u, F.lit(" c2ln\r\nx y z\r\n"))))
+    c = binary.checkpoint(note)
+    return read(spark, sf_dir, "events").select("event_id", c["origin"].alias("origin"), c["tree_size"].alias("tree_size"), F.array_join(F.transform(c["signatures"], lambda s: F.concat_ws(" ", s["name"], s["signature"])), ",").alias("signed"))
+
+
+@query("SELECT event_id * 10 + n AS cert_index, CASE n WHEN 0 THEN 'x509' ELSE 'precert' END AS entry_type, 1700000000000 + n AS timestamp_ms, lower(hex(event_type)) || CASE n WHEN 0 THEN '' ELSE '00' END AS der FROM events, range(2) r(n) WHERE event_id % 3 < 2 AND (event_id % 3 = 0 OR n = 0)")
+def tile_parse(spark, sf_dir):
+    """Tiles of a final certificate and a precertificate; of the first and a cut record; empty ones."""
+    k, body = F.col("event_id") % 3, F.encode("event_type", "UTF-8")
+    sized = lambda b: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(b)), 6, "0")), b)
+    head = lambda n, kind: F.concat(F.unhex(F.lpad(F.hex(F.lit(1700000000000 + n)), 16, "0")), F.unhex(F.lit(kind)))
+    none = F.unhex(F.lit("0000"))
+    one = F.concat(head(0, "0000"), sized(body), none, none)
+    two = F.concat(head(1, "0001"), F.unhex(F.lit("AB" * 32)), sized(F.unhex(F.lit("3000"))), none, sized(F.concat(body, F.unhex(F.lit("00")))), none)
+    tile = F.when(k == 0, F.concat(one, two)).when(k == 1, F.concat(one, head(1, "0000"), F.unhex(F.lit("0000FF"))))
+    d = certificates.explode_tiles(read(spark, sf_dir, "events").select(tile.alias("tile"), (F.col("event_id") * 10).alias("base_index")))
+    return d.select("cert_index", "entry_type", "timestamp_ms", F.lower(F.hex("der")).alias("der"))
+
+
+@query(f"WITH l AS (SELECT arg_max(value, event_id) AS v, max(ts) AS at FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'crtsh' ELSE 'certstream' END AS s FROM events) WHERE s = 'crtsh'), m AS (SELECT arg_max(value, event_id) AS v FROM events WHERE event_type <> 'click') SELECT 'crtsh' AS source, 'http' AS protocol, CASE WHEN v > 50 THEN 'failed' ELSE 'ok' END AS status FROM l UNION ALL SELECT 'certstream', 'websocket', CASE WHEN v > 50 THEN 'failed' ELSE 'ok' END FROM m")
+def latest_runs(spark, sf_dir):
+    """The two single sources by their latest run."""
+    error = F.when(F.col("value") > 50, F.array(F.struct(F.lit("circuit open").alias("message"))))
+    runs = read(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", "crtsh").otherwise("certstream").alias("source"), F.timestamp_seconds(F.col("event_id") + 1700000000).alias("checked_at"), error.alias("errors"))
+    return health.run_health(runs, F.timestamp_seconds(F.lit(1700000000)))
+
+
+@query("SELECT event_type AS source, event_type AS label, count(*)::INT AS scanned_entries, count(*) FILTER (WHERE value > 99) AS errors, count(*) FILTER (WHERE value > 99) = 0 AS ok FROM events GROUP BY event_type")
+def source_runs(spark, sf_dir):
+    """Run records of the sources that a poll asked."""
+    e = read(spark, sf_dir, "events").withColumnRenamed("event_type", "source")
+    polled = e.groupBy("source").agg(F.lit(5).alias("duration_ms"))
+    d = polls.source_runs(polled, e, e.filter("value > 99").select("source", F.lit("slow").alias("message")), F.lit(NOW))
+    return d.select("source", "label", "scanned_entries", F.size("errors").cast("long").alias("errors"), "ok")
+
+
+_ODD = "doc_id % 3 = 0 AS adversarial, doc_id % 3 = 1 AS constructed"
+
+
+@query(_ITEMS + f", o AS (SELECT *, {_ODD} FROM i) SELECT count(*) FILTER (WHERE adversarial) AS adversarial, count(*) FILTER (WHERE adversarial AND score >= 70 AND NOT suppressed) AS caught, count(*) FILTER (WHERE constructed) AS constructed, count(*) FILTER (WHERE constructed AND NOT (score >= 70 AND NOT suppressed)) AS left_alone FROM o")
+def corpus_passes(spark, sf_dir):
+    """What passes of the adversarial and the constructed items."""
+    return quality.passes(_items(spark, sf_dir).withColumns({"adversarial": F.col("doc_id") % 3 == 0, "constructed": F.col("doc_id") % 3 == 1}))
+
+
+@query(_ITEMS + f", o AS (SELECT *, {_ODD} FROM i) SELECT positive::VARCHAR AS label, adversarial, constructed, count(*) AS items FROM o GROUP BY ALL")
+def corpus_composition(spark, sf_dir):
+    """Four parts as one labelled corpus, and its composition."""
+    d = _items(spark, sf_dir).select("doc_id", F.col("positive").cast("string").alias("label"))
+    k = F.col("doc_id") % 3
+    every = quality.corpus(d.filter((k == 2) & (F.col("label") == "true")), d.filter(k == 0), d.filter((k == 2) & (F.col("label") == "false")), d.filter(k == 1))
+    return quality.composition(every)
+
+
+@query(_ITEMS + f", o AS (SELECT *, {_ODD} FROM i) SELECT CASE WHEN adversarial THEN 'adversarial' WHEN constructed THEN 'constructed' ELSE 'headline' END AS part, count(*) AS items, sum(score)::BIGINT AS points FROM o GROUP BY ALL")
+def corpus_split(spark, sf_dir):
+    """The corpus by its three parts."""
+    parts = quality.split_sets(_items(spark, sf_dir).withColumns({"adversarial": F.col("doc_id") % 3 == 0, "constructed": F.col("doc_id") % 3 == 1}))
+    out = None
+    for name, d in parts.items():
+        one = d.groupBy(F.lit(name).alias("part")).agg(F.count("*").alias("items"), F.sum("score").alias("points"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT user_id AS k, arg_max(event_type, event_id) AS v, max(event_id) AS at FROM events GROUP BY 1")
+def keyed_merges(spark, sf_dir):
+    """Three batches merged into a keyed table, one of them twice, and compacted."""
+    e = read(spark, sf_dir, "events")
+    t = findings.KeyedTable(spark, f"{_shared(spark)}/keyed", StructType.fromDDL("k long, v string, at long"), ["k"])
+    third = e.agg(F.max("event_id")).first()[0] // 3 + 1
+    for n in (0, 1, 2, 1):
+        part = e.filter(F.floor(F.col("event_id") / third) == n).groupBy(F.col("user_id").alias("k")).agg(F.max_by("event_type", "event_id").alias("v"), F.max("event_id").alias("at"))
+        t.merge(part, f"part.{n}")
+    t.compact()
+    return t.read()
 
 
 # streams over the events file, drained
@@ -588,9 +773,20 @@ def stream_dedup(spark, sf_dir):
     return _drained(spark, jobs.deduplicated(_events_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"]), "append")
 
 
-@query(f"WITH {SCORES.replace('raw AS', 'events_hosts AS (SELECT event_id, host FROM events JOIN (' + neutral.PART_SQL + ') p ON p.id = event_id % 1000), raw AS', 1)} SELECT event_id, host, score, severity FROM events_hosts JOIN scores USING (host)")
+@query(f"WITH {SCORES.replace('raw AS', 'events_hosts AS (SELECT event_id, host FROM events JOIN (' + neutral.PART_SQL + ') p ON p.id = event_id % (SELECT count(*) FROM part)), raw AS', 1)} SELECT event_id, host, score, severity FROM events_hosts JOIN scores USING (host)")
 def stream_entries_scored(spark, sf_dir):
-    """Hosts of a stream, scored in flight; a static table supplies the names."""
-    names = part_hosts(spark, sf_dir)
-    s = _events_stream(spark, sf_dir).select("event_id", (F.col("event_id") % 1000).alias("id")).join(names, "id").select("event_id", "host")
-    return _drained(spark, score_hosts(s, REF, season()).select("event_id", "host", "score", "severity"), "append")
+    """Hosts of a stream with their scores: a static table supplies the names, and
+    each of them is scored once."""
+    parts = part_hosts(spark, sf_dir)
+    scored = score_distinct_hosts(parts, REF, season()).select("id", "host", "score", "severity")
+    s = _events_stream(spark, sf_dir).select("event_id", (F.col("event_id") % parts.count()).alias("id"))
+    return _drained(spark, s.join(scored, "id").select("event_id", "host", "score", "severity"), "append")
+
+
+@query("SELECT user_id, event_id, n::INT AS failures, n >= 3 AS open FROM (SELECT *, CASE WHEN event_type = 'error' THEN count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id, i ORDER BY event_id) ELSE 0 END AS n FROM (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events))")
+def stream_breakers(spark, sf_dir):
+    """The state of each source's circuit after each of its runs, as a stream."""
+    at = F.timestamp_seconds(F.col("event_id") * 60 + 1700000000)
+    runs = _events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), at.alias("checked_at"), (F.col("event_type") != "error").alias("ok"))
+    d = _drained(spark, jobs.breaker_states(runs), "append")
+    return d.select(F.col("source").cast("long").alias("user_id"), ((F.unix_seconds("checked_at") - 1700000000) / 60).cast("long").alias("event_id"), "failures", "open")

@@ -49,13 +49,11 @@ def test_evaluation(spark):
     ref = reference.default()
     positive = quality.positives(spark).withColumns({"expected": F.lit("malicious"), "label": F.lit("positive")})
     negative = spark.createDataFrame([(a.registrable, a.brand, "benign", "negative") for a in ref.allowlist], "domain string, brand string, expected string, label string")
-    strange = spark.createDataFrame([("dsb-login.top", "dbs", "malicious", "positive"), ("xn--dbs-9ka.com", "dbs", "malicious", "positive")], "domain string, brand string, expected string, label string")
-    benign = spark.createDataFrame([("carousel.com", "none", "benign", "negative")], "domain string, brand string, expected string, label string")
-    got = polls.evaluate(quality.corpus(positive, strange, negative, benign), ref, at())
+    got = polls.evaluate(quality.corpus(positive, quality.adversarial(spark), negative, quality.constructed(spark)), ref, at())
     m = got["sweep"].filter("threshold = 70").first()
     assert (m.tp, m.fp, m.tn, m.fn) == (128, 0, len(ref.allowlist), 32) and m.precision == 1.0
     p = got["passes"].first()
-    assert (p.adversarial, p.constructed) == (2, 1)
+    assert tuple(p) == (60, 26, 21, 14)  # caught, and left alone, as published
     assert {r.label: r["items"] for r in got["composition"].filter("not adversarial and not constructed").collect()} == {"positive": 160, "negative": len(ref.allowlist)}
     assert quality.gate(got["sweep"].filter("threshold = 70"), 0.88, F.lit(0)).first().passed
 
