@@ -1,16 +1,9 @@
-"""Host names and record fields as Column expressions, all on the JVM.
-
-Only names with non-ASCII characters need Python (``to_ascii_names``).
-"""
+"""Host names and record fields as Column expressions, all on the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 COMPACT = "[^a-z0-9]"
 
@@ -25,7 +18,7 @@ def is_wildcard(raw: Column) -> Column:
 
 
 def normalise_name(raw: Column) -> Column:
-    """ASCII host name, or null where it is none (empty, or with a space, slash or colon)."""
+    """Host name, or null where it is none (empty, or with a space, slash or colon)."""
     name = F.regexp_replace(_prepared(raw), "^\\*\\.", "")
     return F.when(~((name == "") | name.rlike("[ /:]")), name)
 
@@ -36,6 +29,22 @@ def normalise_host(raw: Column) -> Column:
     return F.coalesce(normalise_name(raw), loose)
 
 
+def ascii_name(name: Column) -> Column:
+    """An internationalised name as ASCII (IDNA 2003 with unassigned characters
+    allowed: sharp s becomes ss); null where it has no such form. Names that are
+    ASCII stay as they are. Spark takes a call into the JDK for one whose result
+    may change, so this belongs into a projection, not under a join or a filter
+    that should reach a scan."""
+    return F.when(name.rlike("[^\\x00-\\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name, F.lit(1))).otherwise(name)
+
+
+def ascii_host(raw: Column) -> Column:
+    """``normalise_host`` with internationalised names as ASCII where they have
+    such a form."""
+    host = normalise_host(raw)
+    return F.coalesce(ascii_name(host), host)
+
+
 def ingest_host(raw: Column) -> Column:
     """The sources' own form: the wildcard goes, then a trailing dot."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), "^\\*\\.", ""), "\\.$", "")
@@ -88,7 +97,8 @@ def issuer_name(e: DataFrame) -> Column:
 
 
 def extract_domains(e: DataFrame) -> Column:
-    """All dotted names of an entry, normalised, first appearance first."""
+    """All dotted names of an entry, normalised, internationalised ones as ASCII,
+    first appearance first."""
     none = F.array().cast("array<string>")
     names = F.concat(
         F.array(F.col("domain"), F.col("common_name")),
@@ -96,7 +106,7 @@ def extract_domains(e: DataFrame) -> Column:
         F.coalesce("domains", none),
         F.split(F.coalesce("name_value", F.lit("")), "\\s+"),
     )
-    return F.array_distinct(F.filter(F.transform(F.filter(names, lambda x: x.isNotNull()), normalise_host), is_dotted))
+    return F.array_distinct(F.filter(F.transform(F.filter(names, lambda x: x.isNotNull()), ascii_host), is_dotted))
 
 
 def iso_time(raw: Column) -> Column:
@@ -126,20 +136,7 @@ def top_reasons(signals: Column, n: int = 4) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.transform(signals, signal_label))), 1, n)
 
 
-@F.pandas_udf(StringType())
-def _ascii(names: pd.Series) -> pd.Series:
-    def one(name: str | None) -> str | None:
-        if name is None or name.isascii():
-            return name
-        labels = unicodedata.normalize("NFKC", name).lower().replace("。", ".").split(".")
-        return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels)
-
-    return names.map(one)
-
-
 def to_ascii_names(df: DataFrame, column: str) -> DataFrame:
-    """Internationalised names as ASCII. Rows that are ASCII already never meet
-    Python: a UDF under ``when`` would run for every row."""
-    foreign = F.col(column).rlike("[^\\x00-\\x7F]")
-    plain = df.filter(~F.coalesce(foreign, F.lit(False)))
-    return plain.unionByName(df.filter(foreign).withColumn(column, _ascii(F.col(column))))
+    """Internationalised names of a column as ASCII, where they have such a form."""
+    name = F.col(column)
+    return df.withColumn(column, F.coalesce(ascii_name(name), name))

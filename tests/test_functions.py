@@ -85,6 +85,17 @@ def test_names(spark):
     assert sorted(r[0] or "" for r in got.collect()) == ["", "plain.example", "xn--bcher-kva.example"]
 
 
+def test_international_names(spark):
+    names = ["bücher.example", "DBS银行.com", "ocbc.中国", "пример.испытание", "ａｂｃ.example", "x。example", "plain_name.example", "a..b"]
+    rows = spark.createDataFrame([(n,) for n in names], "v string").select("v", text.ascii_host(F.col("v")).alias("a")).collect()
+    for v, a in rows:
+        dotted = v.lower().replace("。", ".")
+        want = dotted if dotted.isascii() else ".".join(x.encode("idna").decode() for x in dotted.split("."))
+        assert a == want, v
+    assert one(spark, None, text.ascii_host(F.col("v")))[0] == ""
+    assert one(spark, "é" * 70 + ".example", text.ascii_host(F.col("v")))[0] == "é" * 70 + ".example"  # no such form: a label of over 63
+
+
 def test_times(spark):
     v = F.col("v")
     assert one(spark, "1700000000", text.iso_time(v))[0] == "2023-11-14T22:13:20.000Z"

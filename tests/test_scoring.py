@@ -85,6 +85,16 @@ def test_certificates(spark, ref):
     assert got[4].id == hashlib.sha256(b"posb-login.top|posb-login.top||2026-08-01").hexdigest()[:32]
 
 
+def test_international_certificates(spark, ref):
+    names = {1: ["ｐｏｓｂ-login.top", "posb-login.top"], 2: ["bücher.posb-login.top"], 3: ["*.bücher.example"]}
+    d = spark.createDataFrame(list(names.items()), "entry_id long, dns_names array<string>")
+    e = as_entries(d, {c: F.col(c) for c in d.columns}, ["entry_id"]).toDF(*[f.name for f in schemas.ENTRY], "row")
+    got = {r.row: r for r in score_certificates(e, ref, as_of_day()).collect()}
+    assert set(got) == {1, 2}
+    assert got[1].domains == ["posb-login.top"] and got[1].matched_brands == ["posb"]
+    assert got[2].domains == ["xn--bcher-kva.posb-login.top"] and got[2].registrable == "posb-login.top"
+
+
 def test_reference_tables_are_sound(spark, ref):
     assert validate.reference_report(reference.frames(spark, ref)).filter("broken > 0").count() == 0
 
