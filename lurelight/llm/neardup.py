@@ -183,10 +183,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with_both(pairs, sets).select("u", "v", "hashesu", "hashesv").mapInArrow(run, "u long, v long")
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Deals the members (i, key, doc_id, root, ...) of bands that hold several
-    components to pairs of blocks of about ``block`` rows. Members of a band's
-    largest component meet only the other members, never each other."""
+def in_blocks(members: DataFrame, block: int, carried: list[str]) -> DataFrame:
+    """Deals the members (i, key, doc_id, root, and what is carried) of bands that
+    hold several components to pairs of blocks of about ``block`` rows. Members of a
+    band's largest component meet only the other members, never each other."""
     of = members.groupBy("i", "key", "root").agg(F.count("*").alias("m"))
     of = of.groupBy("i", "key").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.max("m").alias("g"), F.sum("m").alias("all"), F.count("*").alias("roots")).filter("roots > 1 and all > 2")
     x = members.join(of, ["i", "key"])
@@ -197,7 +197,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     straight = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ss") + F.col("gs") - 1), lambda j: F.struct(F.least("mine", j).alias("a"), F.greatest("mine", j).alias("b")))
     giant = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ss") - 1), lambda j: F.struct(j.alias("a"), (F.col("ss") + F.col("mine")).alias("b")))
     x = x.withColumn("to", F.explode(F.when(F.col("giant"), giant).otherwise(straight)))
-    return x.select("i", "key", "to.a", "to.b", "doc_id", "root", "n", "bands", "odd")
+    return x.select("i", "key", "to.a", "to.b", "doc_id", "root", *carried)
 
 
 class _Group:
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block: int = 256) -> Dat
     left = member.select("i", "key", "doc_id").join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     several = left.groupBy("i", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo < hi and c > 2").select("i", "key")
     about = reps.select("doc_id", "n", "bands", "odd")
-    blocks = scratch.table(_blocks(left.join(several, ["i", "key"]).join(about, "doc_id"), block))
+    blocks = scratch.table(in_blocks(left.join(several, ["i", "key"]).join(about, "doc_id"), block, ["n", "bands", "odd"]))
     # sets go only where sketches leave a partner
     more = scratch.table(_links(_hopeful(blocks, percent, bits).join(blocks, ["i", "key", "a", "b", "doc_id"]).join(sets, "doc_id"), percent, bits))
     if not more.isEmpty():

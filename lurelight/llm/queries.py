@@ -12,8 +12,11 @@ from . import chat, langid, mixing, planes, quality, rules, sql
 from .decontaminate import contaminated
 from .neardup import near_duplicates
 from .repeats import without_repeats
+from .resample import resample
 from .scratch import Scratch, small_batches
 from .secrets import find_secrets
+from .simhash import hex_digits, near_fingerprints
+from .vectorcodes import code_digests
 
 #: A public tokenizer's file, on every executor.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +25,7 @@ ORACLES: dict[str, str] = {"op1_neardup": sql.NEARDUP, "op4_repeats": sql.REPEAT
 #: The mix of op9: an eighth of the tokens is left out, two epochs at most.
 MIX = mixing.Mix(share=0.875, epochs=2, weights={"domain": {"d0": 3.0, "d1": 2.0}, "lang": {"en": 2.0}})
 ORACLES["op9_mixing"] = sql.mixing(MIX)
+ORACLES |= {"op12_vector_codes": sql.vector_codes(), "op13_resample": sql.RESAMPLE}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +99,22 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the documents and their groups (links at 4 bits)."""
+    return near_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, four parts of 256 entries each."""
+    return code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's words."""
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline  # it imports this module
@@ -113,5 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
     "op10_langid": op10_langid,
+    "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_resample": op13_resample,
     "pipeline": pipeline,
 }

@@ -104,3 +104,72 @@ FROM ordered WHERE left_tokens >= all_tokens OR so_far < left_tokens
 
 def mixing(mix) -> str:
     return _mixing(mix.share, mix.epochs, mix.seed, mix.default, mix.weights)
+
+
+_LENGTH, _PARTS, _ENTRIES, _ROUNDS = "(SELECT len(v) FROM ints ORDER BY vec_id, v LIMIT 1)", 4, 256, 4
+
+
+def vector_codes() -> str:
+    """Rounds unrolled: every part against every entry, then floored means."""
+    steps = [
+        f"""
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id, v) - 1 AS entry, x AS e FROM parts
+    WHERE row IN (SELECT row FROM kept ORDER BY vec_id, v LIMIT {_ENTRIES}))"""
+    ]
+    nearest = "min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) * 1000 + entry)::BIGINT"
+    for n in range(_ROUNDS + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT row, part, any_value(x) AS x, {nearest} AS best FROM parts JOIN c{n} USING (part) GROUP BY row, part)")
+        if n < _ROUNDS:
+            steps.append(
+                f"""
+m{n} AS (SELECT part, best % 1000 AS entry, pos, floor(sum(value) / count(*))::BIGINT AS value FROM (SELECT part, best, unnest(range(len(x))) AS pos, unnest(x) AS value FROM a{n}) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(new, e) AS e FROM c{n} LEFT JOIN (SELECT part, entry, list(value ORDER BY pos) AS new FROM m{n} GROUP BY ALL) USING (part, entry))"""
+            )
+    return f"""
+WITH ints AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % {_PARTS} = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS row FROM ints WHERE len(v) = {_LENGTH}),
+parts AS MATERIALIZED (SELECT row, vec_id, v, part, v[part * len(v) // {_PARTS} + 1:(part + 1) * len(v) // {_PARTS}] AS x FROM kept, range({_PARTS}) p(part)),{",".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{_ROUNDS}),
+codes AS (SELECT row, string_agg(printf('%02x', best % 1000), '' ORDER BY part) AS code, sum(best // 1000)::BIGINT AS error FROM a{_ROUNDS} GROUP BY row)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN kept USING (row), books
+"""
+
+
+_CRC = "list_reduce(list_transform(range(len(hex(encode({0}))) // 2), lambda i: ('0x' || substr(hex(encode({0})), 2 * i::INT + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)"
+_HALVE = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+
+
+def _bits(n: int) -> str:
+    """A byte's remainder, bit by bit."""
+    out = "(SELECT i, i::BIGINT AS c0 FROM range(256) r(i))"
+    for k in range(n):
+        out = f"(SELECT i, {_HALVE.format(f'c{k}')} AS c{k + 1} FROM {out})"
+    return out
+
+
+RESAMPLE = f"""
+WITH steps AS (SELECT list(c8 ORDER BY i) AS crcs FROM {_bits(8)}),
+texts AS (SELECT 0 AS which, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT which, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+    SELECT which, id, unnest(w) AS run FROM w
+    UNION ALL SELECT which, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+),
+hashed AS MATERIALIZED (SELECT run, xor({_CRC.format("run")}, 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT run FROM runs), steps),
+each AS MATERIALIZED (SELECT which, id, bucket, count(*) AS n FROM runs JOIN hashed USING (run) GROUP BY ALL),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE which = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE which = 1), 0)::DOUBLE AS t FROM each GROUP BY bucket),
+totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM each JOIN gains USING (bucket) WHERE which = 0 GROUP BY id),
+scored AS (
+    SELECT id AS doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM w LEFT JOIN weights ON doc_id = id WHERE which = 0 AND id IS NOT NULL
+),
+able AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS all_able FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * all_able // 100 THEN rank END AS rank FROM able
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE words < 20
+"""
