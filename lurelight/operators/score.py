@@ -32,9 +32,8 @@ def _steps(ref: Reference, host: str) -> list[dict[str, Column]]:
     context, found = SparkContext._active_spark_context, _BUILT.get((id(ref), host))
     if found and found[0] is ref and found[1] is context:
         return found[2]
-    w = ref.scoring.weights
     live = ~F.col("_off")
-    steps = sig.preparations(host, ref)
+    steps = sig.preparations(host, ref.suffixes)
     steps.append({"_off": allowlisted(F.col("registrable"), ref)})
     steps.append(
         {
@@ -43,15 +42,23 @@ def _steps(ref: Reference, host: str) -> list[dict[str, Column]]:
             "_scheme": F.when(live, sig.scheme_signals(ref, F.col("_as_of"))).otherwise(sig.no_signals()),
         }
     )
+    steps += totals(ref.scoring, host)
+    while len(_BUILT) >= 8:
+        _BUILT.pop(next(iter(_BUILT)))
+    _BUILT[id(ref), host] = ref, context, steps
+    return steps
+
+
+def totals(scoring: Scoring, host: str) -> list[dict[str, Column]]:
+    """The columns from the signals of brands, keywords and lures on (_brand, _kw,
+    _scheme, _off), in steps."""
+    w, steps = scoring.weights, []
     has_kw, has_brand = F.size("_kw") > 0, F.exists("_brand", lambda s: F.startswith(s["type"], F.lit("brand:")))
     combo = F.when(has_brand & has_kw, F.array(sig.signal("combo_brand_keyword", w["combo_brand_keyword"]))).when((F.size("_scheme") > 0) & has_kw, F.array(sig.signal("combo_scheme_keyword", w["combo_scheme_keyword"]))).otherwise(sig.no_signals())
     every = F.when(F.col("_off"), F.array(sig.signal("allowlist", 0, registrable=F.col("registrable")))).otherwise(F.concat("_brand", "_kw", "_scheme", combo))
     steps.append({"signals": F.transform(every, lambda s: s.withField("domain", F.col(host)))})
-    steps.append({"score": F.least(F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"]), F.lit(ref.scoring.cap))})
-    steps.append({"severity": severity(F.col("score"), ref.scoring), "scoring_version": F.lit(ref.scoring.version), "suppressed": F.col("_off")})
-    while len(_BUILT) >= 8:
-        _BUILT.pop(next(iter(_BUILT)))
-    _BUILT[id(ref), host] = ref, context, steps
+    steps.append({"score": F.least(F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"]), F.lit(scoring.cap))})
+    steps.append({"severity": severity(F.col("score"), scoring), "scoring_version": F.lit(scoring.version), "suppressed": F.col("_off")})
     return steps
 
 

@@ -10,6 +10,7 @@ of ``schemas.SIGNAL``; fields that do not apply are null.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +42,13 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumn("_once", one).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])
 
 
-def preparations(host: str, ref: Reference) -> list[dict[str, Column]]:
+def preparations(host: str, suffixes: Sequence[str]) -> list[dict[str, Column]]:
     """Columns that signals read, in steps: registrable and compact host; then
     suffix and labels, which read those."""
     h = F.col(host)
     pieces = lambda labels: F.transform(labels, lambda x: F.regexp_replace(x, text.COMPACT, ""))
     return [
-        {"registrable": suffix.registrable(h, ref.suffixes), "host_compact": F.regexp_replace(h, text.COMPACT, "")},
+        {"registrable": suffix.registrable(h, suffixes), "host_compact": F.regexp_replace(h, text.COMPACT, "")},
         {
             "suffix": F.coalesce(F.substr("registrable", F.instr("registrable", ".") + 1), F.lit("")),
             "labels": pieces(F.split(h, "\\.")),
@@ -58,7 +59,11 @@ def preparations(host: str, ref: Reference) -> list[dict[str, Column]]:
 
 def prepared(hosts: DataFrame, host: str, ref: Reference) -> DataFrame:
     """``hosts`` with the columns that signals read. Rows stay where they are."""
-    for step in preparations(host, ref):
+    return prepared_by(hosts, host, ref.suffixes)
+
+
+def prepared_by(hosts: DataFrame, host: str, suffixes: Sequence[str]) -> DataFrame:
+    for step in preparations(host, suffixes):
         hosts = once(hosts, step)
     return hosts
 
@@ -117,24 +122,28 @@ def brand_signals(ref: Reference, host: Column) -> Column:
         return F.when(gate, F.get(F.filter(b["tokens"], lambda t: exact(t) | fuzzy(F.col("labels"), t)), F.lit(0)))
 
     def signals_of(b: Column, t: Column) -> Column:
-        whole = exact(t)
-        squat = fuzzy(F.col("sub_labels"), t)
-        path = F.exists(b["regs"], lambda r: F.startswith(host, F.concat(r, F.lit("."))) | (F.instr(host, F.concat(F.lit("."), r, F.lit("."))) > 0))
-        odd = (F.size(b["tlds"]) > 0) & ~F.array_contains(b["tlds"], F.col("suffix"))
-        about = {"brand": b["id"], "display": b["display"], "token": t["token"]}
-        return F.filter(
-            F.array(
-                signal(F.when(whole, "brand:exact").otherwise("brand:fuzzy"), F.when(whole, w["brand:exact"]).otherwise(w["brand:fuzzy"]), **about),
-                F.when(squat, signal("subdomain_brand_squat", w["subdomain:brand_squat"], **about)),
-                F.when(path, signal("brand_in_path_position", w["brand_in_path_position"], **about)),
-                F.when(odd, signal("tld:mismatch", w["tld:mismatch"], brand=b["id"], expected=b["tlds"], actual=F.col("suffix"))),
-            ),
-            lambda s: s.isNotNull(),
-        )
+        return brand_signals_of(b, t["token"], exact(t), fuzzy(F.col("sub_labels"), t), host, w)
 
     return F.flatten(F.transform(_hits(_brand_rows(ref), found), lambda h: signals_of(h["row"], h["token"])))
 
 
+def brand_signals_of(b, token: Column, whole: Column, squat: Column, host: Column, w: dict[str, int]) -> Column:
+    """Signals of a brand (id, display, tlds, regs) by its first matching token:
+    whether the whole host holds it, and whether a subdomain label squats it."""
+    path = F.exists(b["regs"], lambda r: F.startswith(host, F.concat(r, F.lit("."))) | (F.instr(host, F.concat(F.lit("."), r, F.lit("."))) > 0))
+    odd = (F.size(b["tlds"]) > 0) & ~F.array_contains(b["tlds"], F.col("suffix"))
+    about = {"brand": b["id"], "display": b["display"], "token": token}
+    return F.filter(
+        F.array(
+            signal(F.when(whole, "brand:exact").otherwise("brand:fuzzy"), F.when(whole, w["brand:exact"]).otherwise(w["brand:fuzzy"]), **about),
+            F.when(squat, signal("subdomain_brand_squat", w["subdomain:brand_squat"], **about)),
+            F.when(path, signal("brand_in_path_position", w["brand_in_path_position"], **about)),
+            F.when(odd, signal("tld:mismatch", w["tld:mismatch"], brand=b["id"], expected=b["tlds"], actual=F.col("suffix"))),
+        ),
+        lambda s: s.isNotNull(),
+    )
+
+
 def _hits(rows: Column, found) -> Column:
     """The rows with a matching token, as struct(row, token); most rows have none,
     and only those left are made into signals."""
@@ -168,9 +177,11 @@ def scheme_signals(ref: Reference, as_of: Column) -> Column:
 
         return F.get(F.filter(s["tokens"], held), F.lit(0))
 
-    def signals_of(s: Column, t: Column) -> Column:
-        season = F.coalesce(as_of.between(F.try_to_timestamp(s["start"]), F.try_to_timestamp(s["end"])), F.lit(False))
-        about = {"scheme": s["id"], "display": s["display"], "token": t["token"]}
-        return F.filter(F.array(signal("scheme", w["scheme"], **about), F.when(season, signal("scheme_seasonal_boost", w["scheme_seasonal_boost"], **about))), lambda x: x.isNotNull())
+    return F.flatten(F.transform(_hits(rows, found), lambda h: scheme_signals_of(h["row"], h["token"]["token"], as_of, w)))
+
 
-    return F.flatten(F.transform(_hits(rows, found), lambda h: signals_of(h["row"], h["token"])))
+def scheme_signals_of(s, token: Column, as_of: Column, w: dict[str, int]) -> Column:
+    """Signals of a lure (id, display, start, end) by its first matching token."""
+    season = F.coalesce(as_of.between(F.try_to_timestamp(s["start"]), F.try_to_timestamp(s["end"])), F.lit(False))
+    about = {"scheme": s["id"], "display": s["display"], "token": token}
+    return F.filter(F.array(signal("scheme", w["scheme"], **about), F.when(season, signal("scheme_seasonal_boost", w["scheme_seasonal_boost"], **about))), lambda x: x.isNotNull())

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from .. import fixed_values as fixed
 from .. import schemas
 from ..functions import binary, distance, suffix, text
-from ..operators import explorer, findings, health, logs, polls, quality, signals, validate
+from ..operators import explorer, findings, health, large, logs, polls, quality, signals, validate
 from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
 from ..sources import certificates, decode
 from ..streaming import jobs
@@ -193,6 +193,43 @@ def severity_counts(spark, sf_dir):
     return scored_parts(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("hosts"), F.sum("score").alias("points"))
 
 
+# tables beyond the plan: the words of the documents are the watched tokens
+
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents"
+
+
+def _watched(spark: SparkSession, sf_dir: str, least: int, edits: int) -> DataFrame:
+    """place, tok, compact, most of the documents' words of at least so many letters."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("compact")).distinct()
+    return words.filter(F.length("compact") >= least).select(F.xxhash64("compact").alias("place"), F.lit(0).alias("tok"), "compact", F.lit(edits).alias("most"))
+
+
+def _held(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    return large.held(texts, tokens).join(tokens, ["place", "tok"]).select("text", F.col("compact").alias("token"))
+
+
+@query(f"WITH t AS (SELECT token FROM ({_WORDS}) WHERE length(token) >= 3), h AS (SELECT DISTINCT regexp_replace(host, '[^a-z0-9]', '', 'g') AS text FROM (SELECT host FROM ({neutral.PART_SQL}) UNION SELECT host FROM ({neutral.PAGE_SQL}))) SELECT text, token FROM h, t WHERE instr(text, token) > 0")
+def large_exact_hits(spark, sf_dir):
+    """Words that compact hosts hold, by the inverted index."""
+    hosts = part_hosts(spark, sf_dir).select("host").union(page_hosts(spark, sf_dir).select("host"))
+    return _held(hosts.select(F.regexp_replace("host", text.COMPACT, "").alias("text")), _watched(spark, sf_dir, 3, 0))
+
+
+@query(f"""WITH t AS (SELECT token FROM ({_WORDS}) WHERE length(token) >= 4), l AS (SELECT DISTINCT unnest(string_split(host, '.')) AS text FROM ({neutral.PART_SQL}))
+SELECT text, token FROM l, t WHERE length(text) >= length(token) - 1 AND EXISTS (SELECT 1 FROM range(1, 64) p(i), (VALUES (-1), (0), (1)) d(w) WHERE p.i + length(token) + d.w - 1 <= length(text) AND damerau_levenshtein(substr(text, p.i, length(token) + d.w), token) <= 1)""")
+def large_fuzzy_hits(spark, sf_dir):
+    """Words that labels hold within one edit, by signatures that stay whole."""
+    labels = part_hosts(spark, sf_dir).select(F.explode(F.split("host", "\\.")).alias("text"))
+    return _held(labels, _watched(spark, sf_dir, 4, 1))
+
+
+@query(f"WITH {SCORES} SELECT id, host, registrable, score, severity, suppressed, n_signals FROM ({neutral.PART_SQL}) p JOIN scores USING (host)")
+def large_scores(spark, sf_dir):
+    """Every part host's score with the tables as DataFrames, by joins."""
+    d = large.score_hosts(part_hosts(spark, sf_dir), large.tables(spark, REF), REF.scoring, REF.suffixes, season())
+    return d.select("id", "host", "registrable", "score", "severity", "suppressed", F.size("signals").cast("long").alias("n_signals"))
+
+
 # certificates: an order is a certificate, its parts are the names
 
 _CERT_NAMES = f"SELECT DISTINCT l_orderkey, host FROM lineitem JOIN ({neutral.PART_SQL}) p ON l_partkey = id"

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import fixed_values as fixed
 from . import schemas
 
-#: Rows of a table that may become literals of a plan.
+#: Rows of a table that may become literals of a plan; ``operators.large`` scores
+#: against larger ones by joins.
 MOST_ROWS = 5_000
 
 
@@ -91,7 +92,7 @@ class Reference:
     def __post_init__(self):
         for name in ("brands", "keywords", "schemes", "allowlist"):
             if len(getattr(self, name)) > MOST_ROWS:
-                raise ValueError(f"{name}: more than {MOST_ROWS} rows do not belong into a plan")
+                raise ValueError(f"{name}: more than {MOST_ROWS} rows do not belong into a plan; operators.large takes tables of any size")
 
     def with_(self, **changes) -> Reference:
         return replace(self, **changes)
