@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schemas
 from ..functions import text
@@ -138,52 +138,144 @@ def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("r")).select(key, "r.*")
 
 
-class KeyedTable:
-    """Rows by key as Parquet batches side by side; of a key's rows the one of the
-    latest batch counts.
+class Batches:
+    """Named batches of rows as Parquet folders side by side.
 
-    A merge only adds a folder, so readers see all batches that are complete, and a
-    break at any moment leaves the table as it was. A named batch that is written
-    again takes its own place and folder, so a replay changes nothing. ``compact``
-    writes the rows that count as one batch in the place of the last one and then
-    removes the others; until then both are read, with equal results. One writer at
-    a time. In a batch keys are unique."""
+    A batch counts once its job is complete; of a job that broke nothing is read. A
+    batch whose name is known already is not written again, so a replay leaves the
+    table as it was, whatever became of the first attempt's successors. One writer at
+    a time; readers need no lock."""
 
-    def __init__(self, spark: SparkSession, path: str, schema, key: list[str]):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+    def __init__(self, spark: SparkSession, path: str, schema):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _batches(self) -> list[tuple[int, str]]:
-        """(place, folder) of the complete batches."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch-*/_SUCCESS")
+    def _found(self, pattern: str) -> list[tuple[str, int]]:
+        """(first folder below the table, time in ms) of the files of a pattern."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
         found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or []
-        names = [f.getPath().getParent().getName() for f in found]
-        return sorted((int(n.split("-")[1]), n) for n in names)
+        up = pattern.count("/")
+
+        def folder(path):
+            for _ in range(up):
+                path = path.getParent()
+            return path.getName()
 
-    def _rows(self, batches: list[tuple[int, str]]) -> DataFrame:
-        every = self.spark.read.schema(StructType([*self.schema, StructField("_place", LongType())])).parquet(*[f"{self.path}/{n}" for _, n in batches])
+        return [(folder(f.getPath()), f.getModificationTime()) for f in found]
+
+    def _batches(self) -> list[tuple[int, str]]:
+        """(place, folder) of the complete batches; of a name the first one."""
+        first: dict[str, tuple[int, str]] = {}
+        for folder, _ in self._found("batch=*/_SUCCESS"):
+            place, name, _ = folder.removeprefix("batch=").split("-")
+            first[name] = min(first.get(name, (int(place), folder)), (int(place), folder))
+        return sorted(first.values())
+
+    def has(self, name: str) -> bool:
+        return any(folder.split("-")[1] == name for _, folder in self._batches())
+
+    def _next(self) -> int:
+        return 1 + max((place for place, _ in self._batches()), default=0)
+
+    def add(self, rows: DataFrame, name: str | None = None) -> bool:
+        """Writes the rows as a batch; false where its name is known. ``name``
+        (letters, digits, dots and underscores) tells a batch that may come again."""
+        name = name or uuid.uuid4().hex
+        if self.has(name):
+            return False
+        out = rows.select([f.name for f in self.schema])
+        # a folder of its own for each attempt: a complete batch is never touched
+        out.write.parquet(f"{self.path}/batch={self._next():012d}-{name}-{uuid.uuid4().hex}")
+        return True
+
+    def read(self) -> DataFrame:
+        """The rows of all batches."""
+        paths = [f"{self.path}/{folder}" for _, folder in self._batches()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+
+class KeyedTable(Batches):
+    """Rows by key: of a key's rows the one of the latest batch counts. In a batch
+    keys are unique.
+
+    ``compact`` writes the rows that count as a new base, with the names of the batches
+    that it holds, and marks it last; readers take the latest marked base and the
+    batches behind it. What a base replaces stays for ``grace`` seconds, so that
+    whoever listed it can read it to the end, and goes with a later compaction.
+    ``merge`` compacts by itself when ``most`` batches stand behind the base."""
+
+    def __init__(self, spark: SparkSession, path: str, schema, key: list[str], most: int = 64, grace: float = 86_400):
+        super().__init__(spark, path, schema)
+        self.key, self.most, self.grace = key, most, grace
+
+    def _base(self) -> tuple[int, str] | None:
+        """(place, folder) of the latest marked base."""
+        return max(((int(folder.split("-")[1]), folder) for folder, _ in self._found("base-*/done")), default=None)
+
+    def _behind(self, base: tuple[int, str] | None) -> list[tuple[int, str]]:
+        return [b for b in self._batches() if base is None or b[0] > base[0]]
+
+    def _next(self) -> int:
+        base = self._base()
+        return max(super()._next(), 1 + base[0] if base else 0)
+
+    def has(self, name: str) -> bool:
+        if super().has(name):
+            return True
+        base = self._base()
+        return base is not None and not self.spark.read.schema("name string").parquet(f"{self.path}/{base[1]}/names").filter(F.col("name") == name).isEmpty()
+
+    def _rows(self, base: tuple[int, str] | None, behind: list[tuple[int, str]]) -> DataFrame:
+        """The rows that count; a base alone is read as it is."""
+        read, names = self.spark.read.schema(self.schema), [f.name for f in self.schema]
+        first = read.parquet(f"{self.path}/{base[1]}/rows") if base else None
+        if not behind:
+            return first if first is not None else self.spark.createDataFrame([], self.schema)
+        # the place is in the folder's name
+        place = F.regexp_extract(F.col("_metadata.file_path"), "/batch(?:=|%3D)(\\d+)-[^/]*/[^/]*$", 1).cast("long")
+        every = read.parquet(*[f"{self.path}/{folder}" for _, folder in behind]).select(*names, place.alias("_place"))
+        if first is not None:
+            every = first.withColumn("_place", F.lit(0).cast("long")).unionByName(every)
         rest = [c for c in every.columns if c not in self.key]
-        return every.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "_place").alias("r")).select(*self.key, "r.*")
+        return every.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "_place").alias("r")).select(*self.key, "r.*").select(names)
 
     def read(self) -> DataFrame:
-        batches = self._batches()
-        names = [f.name for f in self.schema]
-        return self._rows(batches).select(names) if batches else self.spark.createDataFrame([], self.schema)
+        base = self._base()
+        return self._rows(base, self._behind(base))
+
+    def get(self, **key) -> DataFrame:
+        """The rows of these key values; they reach the files as filters."""
+        d = self.read()
+        for column, value in key.items():
+            d = d.filter(F.col(column) == F.lit(value))
+        return d
 
     def merge(self, batch: DataFrame, name: str | None = None) -> None:
-        """Rows of the batch replace those of equal key. ``name`` (letters, digits,
-        dots and underscores) tells a batch that is written again."""
-        name, batches = name or uuid.uuid4().hex, self._batches()
-        mine = [place for place, folder in batches if folder.split("-", 2)[2] == name]
-        place = mine[0] if mine else 1 + max((place for place, _ in batches), default=0)
-        out = batch.select([f.name for f in self.schema]).withColumn("_place", F.lit(place).cast("long"))
-        out.write.mode("overwrite").parquet(f"{self.path}/batch-{place:012d}-{name}")
+        """Rows of the batch replace those of equal key."""
+        if self.add(batch, name) and len(self._behind(self._base())) >= self.most:
+            self.compact()
 
     def compact(self) -> None:
-        batches = self._batches()
-        if len(batches) < 2:
+        base = self._base()
+        behind = self._behind(base)
+        if behind:
+            new = f"{self.path}/base-{behind[-1][0]:012d}-{uuid.uuid4().hex}"
+            self._rows(base, behind).write.parquet(f"{new}/rows")
+            names = self.spark.createDataFrame([(folder.split("-")[1],) for _, folder in behind], "name string")
+            if base:
+                names = names.unionByName(self.spark.read.schema("name string").parquet(f"{self.path}/{base[1]}/names"))
+            names.coalesce(1).write.parquet(f"{new}/names")
+            done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{new}/done")
+            done.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(done).close()
+        self.clean()
+
+    def clean(self) -> None:
+        """Removes what a base has replaced for longer than the grace."""
+        marked = sorted((int(folder.split("-")[1]), at, folder) for folder, at in self._found("base-*/done"))
+        old = [m for m in marked if m[1] <= 1000 * (time.time() - self.grace)]
+        if not old:
             return
-        self._rows(batches).write.mode("overwrite").parquet(f"{self.path}/batch-{batches[-1][0]:012d}-all.{uuid.uuid4().hex}")
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        for _, folder in batches:
+        keep, fs = old[-1], self.spark._jvm.org.apache.hadoop.fs
+        gone = [folder for _, _, folder in marked if folder < keep[2]] + [folder for folder, _ in self._found("batch=*/_SUCCESS") if int(folder[6:].split("-")[0]) <= keep[0]]
+        for folder in gone:
             p = fs.Path(f"{self.path}/{folder}")
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

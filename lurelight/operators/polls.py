@@ -61,8 +61,9 @@ def poll(entries: DataFrame, runs: DataFrame, ref: Reference, as_of: Column, tab
     tables["findings"].merge(findings.unique_findings(scored.drop("run_source")), name)
     tables["sources"].merge(rows, name)
     done = findings.summarize_runs(runs, scored.select(F.col("run_source").alias("source")), rows.select("source"))
-    done.select(runs.columns).write.mode("overwrite").parquet(f"{run_path}/poll={name}")
+    findings.Batches(entries.sparkSession, run_path, runs.schema).add(done, name)
     status = findings.poll_status(done)
+    status = entries.sparkSession.createDataFrame(status.collect(), status.schema)  # one row; its reader scores nothing again
     if "state" in tables:
         state = status.select(F.lit("ct_poll_status").alias("key"), F.to_json(F.struct("*")).alias("value"), as_of.cast("timestamp").alias("updated_at"))
         tables["state"].merge(state, name)

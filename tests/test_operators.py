@@ -3,6 +3,7 @@ import json
 import shutil
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lurelight import reference, schemas
@@ -127,16 +128,28 @@ def test_merges_into_keyed_tables(spark, tmp_path):
     assert len(got) == 21 and got[3] == "b" and got[99] == "c" and got[4] == "a"
 
 
-def test_keyed_tables_survive_breaks_and_replays(spark, tmp_path):
-    rows = lambda d: {r.k: r.v for r in d.collect()}
+def keyed(spark, path, **options):
     batch = lambda *r: spark.createDataFrame(list(r), "k long, v string")
-    t = findings.KeyedTable(spark, str(tmp_path / "t"), batch().schema, ["k"])
+    return findings.KeyedTable(spark, str(path), batch().schema, ["k"], **options), batch, lambda d: {r.k: r.v for r in d.collect()}
+
+
+def broken(spark, batch):
+    """Rows whose job fails inside a task."""
+    return batch((1, "x"), (2, "x")).withColumn("v", F.when(F.col("k") == 2, F.raise_error(F.lit("lost executor"))).otherwise(F.col("v")))
+
+
+def test_keyed_tables_survive_breaks_and_replays(spark, tmp_path):
+    t, batch, rows = keyed(spark, tmp_path / "t", grace=0)
     t.merge(batch((1, "a"), (2, "a")), "one")
+    with pytest.raises(Exception, match="lost executor"):
+        t.merge(broken(spark, batch), "new")  # a new batch that breaks
+    assert rows(t.read()) == {1: "a", 2: "a"}
     t.merge(batch((2, "b")), "two")
     t.merge(batch((1, "a"), (2, "a")), "one")  # a replay takes its old place
+    t.merge(broken(spark, batch), "one")  # and none of it runs
     assert rows(t.read()) == {1: "a", 2: "b"}
     # a writer that stopped before its batch was complete
-    (tmp_path / "t" / "batch-000000000003-three" / "_temporary").mkdir(parents=True)
+    (tmp_path / "t" / "batch=000000000003-three-0" / "_temporary").mkdir(parents=True)
     assert rows(t.read()) == {1: "a", 2: "b"}
     t.merge(batch((2, "c")), "three")
     want = {1: "a", 2: "c"}
@@ -145,13 +158,72 @@ def test_keyed_tables_survive_breaks_and_replays(spark, tmp_path):
     copies = tmp_path / "copy"
     shutil.copytree(tmp_path / "t", copies)
     t.compact()
-    assert rows(t.read()) == want and len(t._batches()) == 1
+    assert rows(t.read()) == want
     shutil.copytree(copies, tmp_path / "t", dirs_exist_ok=True)
-    assert rows(t.read()) == want and len(t._batches()) == 4
+    assert rows(t.read()) == want
     t.merge(batch((1, "d")), "four")
     assert rows(t.read()) == {1: "d", 2: "c"}
 
 
+def test_replays_after_compactions(spark, tmp_path):
+    t, batch, rows = keyed(spark, tmp_path / "t", grace=0)
+    t.merge(batch((1, "old")), "old")
+    t.merge(batch((1, "new")), "new")
+    t.compact()
+    t.clean()
+    assert not list((tmp_path / "t").glob("batch=*"))
+    t.merge(batch((1, "old")), "old")  # its name went into the base
+    assert rows(t.read()) == {1: "new"}
+    t.merge(batch((2, "more")), "more")
+    t.compact()
+    for name in ("old", "new", "more"):
+        t.merge(batch((1, "again")), name)
+    assert rows(t.read()) == {1: "new", 2: "more"} and t.read().select("v").columns == ["v"]
+    t.compact()  # nothing behind the base
+    assert rows(t.read()) == {1: "new", 2: "more"}
+    assert rows(t.get(k=2)) == {2: "more"} and rows(t.get(k=9)) == {}
+
+
+def test_compactions_that_break(spark, tmp_path, monkeypatch):
+    t, batch, rows = keyed(spark, tmp_path / "t")
+    t.merge(batch((1, "a"), (2, "a")))
+    t.merge(batch((2, "b")))
+    whole = t._rows
+    monkeypatch.setattr(t, "_rows", lambda *a: whole(*a).withColumn("v", F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        t.compact()
+    monkeypatch.setattr(t, "_rows", whole)
+    assert rows(t.read()) == {1: "a", 2: "b"}
+    t.compact()
+    assert rows(t.read()) == {1: "a", 2: "b"} and t._base() is not None
+
+
+def test_readers_across_compactions(spark, tmp_path):
+    t, batch, rows = keyed(spark, tmp_path / "t", most=3, grace=3600)
+    t.merge(batch((1, "a"), (2, "a")))
+    t.merge(batch((2, "b")))
+    before = t.read()  # lists two batches
+    t.merge(batch((3, "c")))  # the third compacts by itself
+    assert t._base() is not None and t._behind(t._base()) == []
+    t.compact()
+    assert rows(before) == {1: "a", 2: "b"}
+    assert rows(t.read()) == {1: "a", 2: "b", 3: "c"}
+    between = t.read()  # reads the base
+    for n in range(3):
+        t.merge(batch((n, "d")))
+    assert rows(between) == {1: "a", 2: "b", 3: "c"} and rows(t.read()) == {0: "d", 1: "d", 2: "d", 3: "c"}
+    t.grace = 0
+    t.clean()
+    assert len(list((tmp_path / "t").glob("b*"))) == 1 and rows(t.read()) == {0: "d", 1: "d", 2: "d", 3: "c"}
+
+
+def test_appended_batches(spark, tmp_path):
+    t = findings.Batches(spark, str(tmp_path / "t"), spark.createDataFrame([], "k long").schema)
+    assert t.read().count() == 0
+    assert t.add(spark.range(3).withColumnRenamed("id", "k"), "a") and not t.add(spark.range(9).withColumnRenamed("id", "k"), "a")
+    assert t.add(spark.range(2).withColumnRenamed("id", "k")) and t.read().count() == 5
+
+
 def test_stream_to_findings(spark, tmp_path):
     ref = reference.default()
     rows = spark.createDataFrame([(i, [h], "01", "dn", 1.0e9 + i, s) for i, (h, s) in enumerate([("posb-login.top", "crtsh"), ("posb-login.top", "certstream"), ("ordinary.example", "crtsh")])], "entry_id long, dns_names array<string>, cert_serial string, cert_issuer_dn_sha256 string, seen double, source string")

@@ -29,6 +29,11 @@ def test_poll(spark, tmp_path):
     assert "partial" in t["state"].read().filter("key = 'ct_poll_status'").first().value
     done = {r.source: r for r in spark.read.schema(schemas.SOURCE_RUN).parquet(str(tmp_path / "runs")).collect()}
     assert (done["direct_ct"].matched, done["direct_ct"].persisted, done["direct_ct"].scanned_entries) == (1, 1, 2)
+    # the same poll again changes nothing, and its status needs no scoring
+    again = polls.poll(e, runs, ref, at(), t, str(tmp_path / "twice"), "p1")
+    polls.poll(e, runs, ref, at(), t, str(tmp_path / "twice"), "p1")
+    assert findings.Batches(spark, str(tmp_path / "twice"), schemas.SOURCE_RUN).read().count() == 4
+    assert "LocalTableScan" in again._jdf.queryExecution().executedPlan().toString() or "Scan ExistingRDD" in again._jdf.queryExecution().executedPlan().toString()
     assert not done["static_ct"].ok and done["certstream"].details == '{"state":"standby"}' and done["certstream"].label == "CertStream"
 
 
