@@ -15,7 +15,7 @@ from .. import schemas
 from ..functions import binary, distance, suffix, text
 from ..operators import explorer, findings, health, large, logs, polls, quality, signals, validate
 from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
-from ..sources import certificates, decode
+from ..sources import certificates, decode, offsets
 from ..streaming import jobs
 from . import neutral
 
@@ -820,6 +820,41 @@ def stream_entries_scored(spark, sf_dir):
     return _drained(spark, s.join(scored, "id").select("event_id", "host", "score", "severity"), "append")
 
 
+def _landed_pages(spark: SparkSession, sf_dir: str, path: str, width: int = 512) -> int:
+    """Events as pages of leaves, a log for each type; how many pages a log has."""
+    block = F.col("event_id") - F.col("event_id") % width
+    raw = F.concat(F.unhex(F.lit("0000")), F.unhex(F.lpad(F.hex(1700000000000 + F.col("event_id")), 16, "0")), F.unhex(F.lit("0000")), F.unhex(F.lpad(F.hex(F.octet_length("event_type")), 6, "0")), F.encode("event_type", "UTF-8"))
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("log"), block.alias("start"), F.struct("event_id", F.base64(raw).alias("leaf_input")).alias("e"))
+    entries = F.transform(F.sort_array(F.collect_list("e")), lambda x: F.struct(x["leaf_input"].alias("leaf_input")))
+    page = e.groupBy("log", "start").agg(F.to_json(F.struct(entries.alias("entries"))).alias("value"))
+    page.repartition("log", "start").write.partitionBy("log", "start").text(path)
+    return read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // width + 1
+
+
+@query("SELECT event_type AS log, (event_id // 512) * 512 + row_number() OVER (PARTITION BY event_type, event_id // 512 ORDER BY event_id) - 1 AS cert_index, 1700000000000 + event_id AS timestamp_ms, 'x509' AS entry_type FROM events")
+def stream_landed_logs(spark, sf_dir):
+    """Pages of several logs by a source that keeps a cursor for each, a third of
+    them a trigger, with a restart on the way."""
+    base = _shared(spark)
+    pages = _landed_pages(spark, sf_dir, f"{base}/in")
+
+    def started():
+        s = offsets.landed_logs(spark, f"{base}/in", True, max(1, pages // 3), f"{base}/cursors.json")
+        leaf = binary.leaf(F.col("leaf_input"))
+        d = s.select("log", "cert_index", leaf["timestamp_ms"].alias("timestamp_ms"), leaf["entry_type"].alias("entry_type"))
+        return d, d.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+
+    _, first = started()
+    first.trigger(availableNow=True).start().awaitTermination()  # one trigger
+    d, rest = started()
+    q = rest.start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(d.schema).parquet(f"{base}/out")
+
+
 @query("SELECT user_id, event_id, n::INT AS failures, n >= 3 AS open FROM (SELECT *, CASE WHEN event_type = 'error' THEN count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id, i ORDER BY event_id) ELSE 0 END AS n FROM (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events))")
 def stream_breakers(spark, sf_dir):
     """The state of each source's circuit after each of its runs, as a stream."""
