@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,9 +17,9 @@ from .. import schemas
 from ..functions import binary, distance, suffix, text
 from ..operators import explorer, findings, health, large, logs, polls, quality, signals, validate
 from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
-from ..sources import certificates, decode, offsets
+from ..sources import certificates, checkpoints, decode, offsets
 from ..streaming import jobs
-from . import neutral
+from . import neutral, signer
 
 FLAGSHIP = "severity_counts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -691,6 +693,50 @@ def checkpoint_notes(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", c["origin"].alias("origin"), c["tree_size"].alias("tree_size"), F.array_join(F.transform(c["signatures"], lambda s: F.concat_ws(" ", s["name"], s["signature"])), ",").alias("signed"))
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each supplier: eight kinds of notes, by the key modulo 8."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["s_suppkey"]:
+                name, kind, size = f"log/{k}", int(k) % 8, int(k) * 600
+                text = signer.note(name, size, ("der", "raw", "head")[kind % 3])
+                text = text.replace(f"\n{size}\n", f"\n{size + 1}\n", 1) if kind == 3 else text[: text.index("—")] if kind == 5 else text.replace("\n\n", "\n") if kind == 6 else text
+                key = base64.b64encode(signer.spki("another" if kind == 7 else name)).decode()
+                out.append((name, text, None if kind == 4 else key))
+            yield pd.DataFrame(out, columns=["log", "note", "public_key_der"])
+
+    return read(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "log string, note string, public_key_der string")
+
+
+@query("SELECT 'log/' || s_suppkey AS log, s_suppkey % 8 < 3 AS ok, CASE s_suppkey % 8 WHEN 3 THEN 'signature_mismatch' WHEN 4 THEN 'missing_public_key' WHEN 5 THEN 'missing_signatures' WHEN 6 THEN 'malformed' WHEN 7 THEN 'signature_mismatch' END AS reason, CASE s_suppkey % 8 WHEN 3 THEN s_suppkey * 600 + 1 WHEN 6 THEN NULL ELSE s_suppkey * 600 END AS tree_size FROM supplier")
+def checkpoint_outcomes(spark, sf_dir):
+    """Signed notes of the suppliers' logs, verified; tampered ones, foreign keys and
+    notes without key, signature or body are refused."""
+    return checkpoints.verified(_notes(spark, sf_dir)).select("log", "ok", "reason", "tree_size")
+
+
+@query("""WITH l AS (SELECT *, s_suppkey * 600 AS size, least(CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * 100 ELSE greatest(0, s_suppkey * 600 - 512) END, s_suppkey * 600) AS cursor FROM supplier WHERE s_suppkey % 8 < 3),
+r AS (SELECT *, cursor // 256 AS first, least(cursor // 256 + 2, (size - 1) // 256) AS last FROM l),
+e AS (SELECT *, CASE WHEN s_suppkey % 7 = 0 THEN first ELSE last END AS upto FROM r)
+SELECT 'log/' || s_suppkey AS log, least(size, (upto + 1) * 256)::BIGINT AS next_index, size::BIGINT AS tree_size, (size - least(size, (upto + 1) * 256))::BIGINT AS lag FROM e""")
+def static_cursors(spark, sf_dir):
+    """The cursors of the suppliers' logs after a poll of three tiles: refused
+    checkpoints leave theirs, a missing tile stops its log."""
+    n = F.regexp_extract("log", "(\\d+)$", 1).cast("long")
+    none = F.lit(None).cast("string")
+    logs_ = _notes(spark, sf_dir)
+    known = logs_.select("log", none.alias("description"), none.alias("operator"), none.alias("submission_url"), none.alias("monitoring_url"), "public_key_der")
+    cursors = logs_.filter(n % 5 > 0).select("log", (n * 100).alias("next_index"))
+    # every tile up to the size, but the second that a poll of each seventh log asks for
+    begin = F.when(n % 5 > 0, n * 100).otherwise(F.greatest(F.lit(0), n * 600 - 512))
+    gone = F.when(n % 7 == 0, F.floor(begin / 256) + 1)
+    tiles = logs_.select("log", gone.alias("gone"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n * 600 - 1) / 256))).alias("tile_index"))
+    tiles = tiles.filter("gone is null or tile_index <> gone").select("log", "tile_index", F.unhex(F.lit("")).alias("tile"))
+    return checkpoints.static_poll(known, logs_.select("log", "note"), cursors, tiles, most=3)["cursors"]
+
+
 @query("SELECT event_id * 10 + n AS cert_index, CASE n WHEN 0 THEN 'x509' ELSE 'precert' END AS entry_type, 1700000000000 + n AS timestamp_ms, lower(hex(event_type)) || CASE n WHEN 0 THEN '' ELSE '00' END AS der FROM events, range(2) r(n) WHERE event_id % 3 < 2 AND (event_id % 3 = 0 OR n = 0)")
 def tile_parse(spark, sf_dir):
     """Tiles of a final certificate and a precertificate; of the first and a cut record; empty ones."""
