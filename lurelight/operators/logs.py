@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.binary import log_id_of_key
 from ..reference import Reference, compact
+from .places import Ordered
 
 STATES = ["usable", "qualified", "readonly", "retired", "rejected"]
 MANY = "Multiple operators"
@@ -100,10 +101,12 @@ def selected(logs: DataFrame, now: Column) -> DataFrame:
 
 
 def legacy_logs(logs: DataFrame, now: Column) -> DataFrame:
-    """Readable logs over https, by operator and description."""
+    """Readable logs over https, by operator and description as readers order them
+    (the Unicode collation: apple before Banana), with their ``place``."""
     ok = F.startswith("submission_url", F.lit("https://")) & F.col("state").isin("usable", "qualified", "readonly")
     ok &= ~F.contains("submission_url", F.lit(PLACEHOLDER_HOST)) & overlaps(F.col("not_after_start"), F.col("not_after_limit"), now)
-    return logs.filter(ok).orderBy(F.concat_ws(" ", "operator", "description"))
+    said = F.collate(F.concat_ws(" ", "operator", "description"), "UNICODE")
+    return Ordered(logs.filter(ok).drop("place"), [said, F.col("log_id")]).numbered().orderBy("place")
 
 
 def fetch_range(next_index: Column, size: Column, tail: int = 256, batch: int = 48) -> Column:
@@ -123,20 +126,15 @@ def tile_range(next_index: Column, size: Column, tail: int = 512, tiles: int = 2
 
 def round_robin(rows: DataFrame, order: list[str], start: int, batch: int) -> DataFrame:
     """``batch`` rows from place ``start`` on, wrapping around, with ``place`` and
-    the ``next_index``. Two slices of the order, each a top-k in which tasks drop
-    rows early; only the rows of the slices are numbered."""
-    n = rows.count()
+    the ``next_index``. Only the ranges of rows that hold those places are ordered."""
+    every = Ordered(rows, order)
+    n = every.n
     if not n:
-        return rows.withColumns({"place": F.lit(0), "next_index": F.lit(0).cast("long")})
+        return rows.withColumns({"place": F.lit(0).cast("long"), "next_index": F.lit(0).cast("long")})
     at, most = start % n, min(batch, n)
-
-    def part(skip: int, size: int) -> DataFrame:
-        few = rows.orderBy(*order).offset(skip).limit(size)
-        return few.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1 + skip).cast("int"))
-
-    out = part(at, min(most, n - at))
+    out = every.numbered(at, min(at + most, n))
     if at + most > n:
-        out = out.unionByName(part(0, at + most - n))
+        out = out.unionByName(every.numbered(0, at + most - n))
     return out.withColumn("next_index", F.lit((start + batch) % n).cast("long"))
 
 

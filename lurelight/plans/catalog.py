@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import base64
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,9 +14,10 @@ from .. import fixed_values as fixed
 from .. import schemas
 from ..functions import binary, distance, suffix, text
 from ..operators import explorer, findings, health, large, logs, polls, quality, signals, validate
+from ..operators.places import Ordered, shared_folder
 from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
 from ..sources import certificates, checkpoints, decode, offsets
-from ..streaming import jobs
+from ..streaming import clocks, jobs
 from . import neutral, signer
 
 FLAGSHIP = "severity_counts"
@@ -666,10 +665,18 @@ def log_list_b(spark, sf_dir):
     return _flat_list(spark, sf_dir).select("log_id", "operator", "protocol", "submission_url", "monitoring_url", "state")
 
 
-@query(f"SELECT log_id, state FROM ({_FLAT}) WHERE submission_url LIKE 'https://%' AND state <> 'retired' AND k % 8 > 0")
+@query(f"SELECT log_id, state, row_number() OVER (ORDER BY operator || ' ' || description COLLATE en, log_id) - 1 AS place FROM (SELECT f.*, c_name AS description FROM ({_FLAT}) f JOIN customer ON c_custkey = k) WHERE submission_url LIKE 'https://%' AND state <> 'retired' AND k % 8 > 0")
 def readable_logs(spark, sf_dir):
-    """Logs over https that can be read and are current."""
-    return logs.legacy_logs(_flat_list(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("log_id", "state")
+    """Logs over https that can be read and are current, in the readers' order."""
+    return logs.legacy_logs(_flat_list(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("log_id", "state", "place")
+
+
+@query("SELECT token, row_number() OVER (ORDER BY token COLLATE en, token) - 1 AS place FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS token FROM documents)")
+def collated_words(spark, sf_dir):
+    """The documents' words as readers order them: upper case and accents beside
+    their letters, by ranges of the order."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("token")).distinct()
+    return Ordered(words, [F.collate("token", "UNICODE"), F.col("token")], size=2_000).numbered().select("token", "place")
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(to_timestamp(1600000000 + event_id)::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN 1 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS at,
@@ -814,14 +821,7 @@ def keyed_merges(spark, sf_dir):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share;
-    only on one machine, where it is unset, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="lurelight-")
-    return f"{named.rstrip('/')}/drained-{uuid.uuid4().hex}"
+    return shared_folder(spark, "drained")
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -861,7 +861,9 @@ def stream_entries_scored(spark, sf_dir):
     """Hosts of a stream with their scores: a static table supplies the names, and
     each of them is scored once."""
     parts = part_hosts(spark, sf_dir)
-    scored = score_distinct_hosts(parts, REF, season()).select("id", "host", "score", "severity")
+    path = f"{_shared(spark)}/scores"
+    score_distinct_hosts(parts, REF, season()).select("id", "host", "score", "severity").write.parquet(path)  # once, not in each batch
+    scored = spark.read.parquet(path)
     s = _events_stream(spark, sf_dir).select("event_id", (F.col("event_id") % parts.count()).alias("id"))
     return _drained(spark, s.join(scored, "id").select("event_id", "host", "score", "severity"), "append")
 
@@ -908,3 +910,49 @@ def stream_breakers(spark, sf_dir):
     runs = _events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), at.alias("checked_at"), (F.col("event_type") != "error").alias("ok"))
     d = _drained(spark, jobs.breaker_states(runs), "append")
     return d.select(F.col("source").cast("long").alias("user_id"), ((F.unix_seconds("checked_at") - 1700000000) / 60).cast("long").alias("event_id"), "failures", "open")
+
+
+_SILENT = 240
+_CHANGES = f"""WITH o AS (SELECT user_id::VARCHAR AS source, event_id * 60 AS t, event_type <> 'error' AS ok, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events),
+n AS (SELECT *, CASE WHEN ok THEN 0 ELSE count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY source, i ORDER BY t ROWS UNBOUNDED PRECEDING) END AS n FROM o),
+w AS (SELECT *, lag(t) OVER s AS pt, lag(n) OVER s AS pn, lead(t) OVER s AS nt FROM n WINDOW s AS (PARTITION BY source ORDER BY t)),
+c AS (
+    SELECT source, t AS at_s, 'active' AS state, true AS by_run FROM w WHERE t >= pt + {_SILENT * 60}
+    UNION ALL SELECT source, t, 'opened', true FROM w WHERE n >= 3 AND NOT coalesce(pn >= 3 AND t < pt + 1800, false)
+    UNION ALL SELECT source, t, 'closed', true FROM w WHERE ok AND pn >= 3 AND t < pt + 1800
+    UNION ALL SELECT source, t + 1800, 'closed', false FROM w WHERE n >= 3 AND coalesce(nt >= t + 1800, true)
+    UNION ALL SELECT source, t + {_SILENT * 60}, 'standby', false FROM w WHERE coalesce(nt >= t + {_SILENT * 60}, true)
+)"""
+
+
+def _runs(e: DataFrame) -> DataFrame:
+    return e.select(F.col("user_id").cast("string").alias("source"), F.timestamp_seconds(F.col("event_id") * 60 + 1700000000).alias("checked_at"), (F.col("event_type") != "error").alias("ok"))
+
+
+@query(_CHANGES + " SELECT source, at_s, state, by_run FROM c")
+def circuit_changes(spark, sf_dir):
+    """Circuits that open and close and sources that fall silent, by windows."""
+    d = clocks.changes_of(_runs(read(spark, sf_dir, "events")), silence=_SILENT)
+    return d.select("source", (F.unix_seconds("at") - 1700000000).alias("at_s"), "state", "by_run")
+
+
+@query(_CHANGES + " SELECT source, at_s, state, by_run FROM c")
+def stream_circuit_changes(spark, sf_dir):
+    """The same as a stream with timers: most of its rows no run causes. A last run
+    of a clock moves the watermark past everything."""
+    base = _shared(spark)
+    runs = _runs(read(spark, sf_dir, "events"))
+    runs.write.parquet(f"{base}/in")
+    s = spark.readStream.schema(runs.schema).parquet(f"{base}/in")
+    d = clocks.circuit_changes(s, silence=_SILENT)
+
+    def drain():
+        d.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    with clocks.with_timers(spark):
+        drain()
+        end = runs.agg(F.max("checked_at").alias("checked_at")).select(F.lit("clock").alias("source"), (F.col("checked_at") + F.expr("INTERVAL 30 DAYS")).alias("checked_at"), F.lit(True).alias("ok"))
+        end.write.mode("append").parquet(f"{base}/in")
+        drain()
+    out = spark.read.schema(d.schema).parquet(f"{base}/out").filter("source <> 'clock'")
+    return out.select("source", (F.unix_seconds("at") - 1700000000).alias("at_s"), "state", "by_run")

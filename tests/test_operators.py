@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurelight import reference, schemas
-from lurelight.operators import findings, health, logs, quality
+from lurelight.operators import findings, health, logs, places, quality
 from lurelight.sources import certificates, decode
 from lurelight.streaming import jobs
 
@@ -281,6 +281,25 @@ def test_rotation(spark):
     assert logs.round_robin(d.filter("false"), ["token"], 3, 2).count() == 0
 
 
+def test_places_by_ranges(spark):
+    d = spark.createDataFrame([(f"t{i % 40:02d}", i) for i in range(200)], "token string, i int").repartition(5)
+    every = places.Ordered(d, ["token", "i"], size=17)
+    want = [tuple(r) for r in d.orderBy("token", "i").collect()]
+    assert len(every.starts) > 5
+    got = {r.place: (r.token, r.i) for r in every.numbered().collect()}
+    assert [got[i] for i in range(200)] == want
+    some = sorted((r.place, r.i) for r in every.numbered(30, 95).collect())
+    assert some == [(i, want[i][1]) for i in range(30, 95)] and every.numbered(5, 5).count() == 0
+    assert places.Ordered(d.limit(0), ["token"]).numbered().count() == 0
+
+
+def test_logs_in_the_readers_order(spark):
+    names = ["Banana", "apple", "Zed", "éclair", "a-b", "ab"]
+    rows = [(str(i), "", n, "d", None, f"https://{i}", None, None, None, None, None) for i, n in enumerate(names)]
+    d = logs.legacy_logs(logs.parse_list_b(spark.createDataFrame(rows, logs.LIST_B), now()), now())
+    assert [(r.operator, r.place) for r in d.collect()] == [(n, i) for i, n in enumerate(["a-b", "ab", "apple", "Banana", "éclair", "Zed"])]
+
+
 def test_sessions_and_bounded_dedup(spark):
     rows = spark.createDataFrame([("a", datetime(2026, 1, 1, 0, m)) for m in (0, 3, 20)], "source string, at timestamp")
     assert sorted(r.entries for r in jobs.sessions(rows, "at", "5 minutes", "source").collect()) == [1, 2]
