@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..functions import idna
 from ..reference import Reference
 from . import findings, health, quality
 from .logs import round_robin  # noqa: F401  (rotation belongs to polls)
@@ -55,6 +56,7 @@ def poll(entries: DataFrame, runs: DataFrame, ref: Reference, as_of: Column, tab
     so a poll that breaks off is repeated and merges the same rows. A poll of the
     same ``name`` is the same poll again: its runs are not appended twice."""
     name = name or uuid.uuid4().hex
+    entries = idna.ascii_entries(entries)
     ranked = entries.withColumns({"arrival": findings.arrival(entries), "run_source": F.col("source")})
     scored = score_certificates(ranked, ref, as_of).persist()
     rows = findings.sightings(scored).persist()

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from .. import fixed_values as fixed
 from .. import schemas
-from ..functions import binary, distance, suffix, text
+from ..functions import binary, distance, idna, suffix, text
 from ..operators import explorer, findings, health, large, logs, polls, quality, signals, validate
 from ..operators.places import Ordered, shared_folder
 from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
@@ -92,6 +92,54 @@ def registrable_by_join(spark, sf_dir):
     return d.select("host", "registrable", F.when(F.col("registrable").isNull(), "").otherwise(F.col("suffix")).alias("suffix"))
 
 
+_LETTERS = "[A-Za-zÀ-ÿ]+"
+
+
+@query(f"SELECT word, nfc_normalize(lower(word)) || '.de' AS unicode, regexp_matches(word, '[À-ÿ]') AS idn, false AS other FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{_LETTERS}')) AS word FROM documents)")
+def idna_names(spark, sf_dir):
+    """The documents' words as names: in ASCII, and from that in their own letters."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0))).alias("word")).distinct()
+    d = idna.normalised(words.select("word", F.concat(F.lit("*."), "word", F.lit(".DE.")).alias("raw")), "raw").filter("wildcard")
+    back = idna.normalised(d.select("word", F.col("name").alias("ascii")), "ascii")
+    return back.select("word", "unicode", F.startswith("ascii", F.lit("xn--")).alias("idn"), (F.col("name") != F.col("ascii")).alias("other"))
+
+
+_RULED = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
+h AS (SELECT DISTINCT w[i] AS a, CASE WHEN length(w[i + 1]) % 2 = 0 THEN 'www' ELSE w[i + 1] END AS b, w[i + 2] AS c FROM w, range(1, 40) r(i) WHERE len(w) >= i + 2)
+SELECT a || '.' || b || '.' || c AS host, CASE WHEN length(c) % 4 = 1 OR (length(c) % 4 = 2 AND b <> 'www') THEN b || '.' || c ELSE c END AS suffix,
+CASE WHEN length(c) % 4 = 1 OR (length(c) % 4 = 2 AND b <> 'www') THEN a || '.' || b || '.' || c ELSE b || '.' || c END AS registrable FROM h"""
+
+
+def _ruled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Hosts of three words in a row, and a list file with rules of all words."""
+    w = read(spark, sf_dir, "documents").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    words = w.select(F.explode("w").alias("word")).distinct()
+    n = F.length("word") % 4
+    lines = F.when(n == 0, F.array("word")).when(n == 1, F.array(F.concat(F.lit("*."), "word"))).when(n == 2, F.array(F.concat(F.lit("*."), "word", F.lit(" // all")), F.concat(F.lit("!www."), "word"))).otherwise(F.array(F.concat(F.lit("// "), "word"), F.lit("")))
+    path = f"{_shared(spark)}/rules"
+    words.select(F.explode(lines).alias("value")).write.text(path)
+    at = lambda i, k: F.get("w", i + k)
+    host = lambda i: F.concat_ws(".", at(i, 0), F.when(F.length(at(i, 1)) % 2 == 0, "www").otherwise(at(i, 1)), at(i, 2))
+    last = F.least(F.size("w") - 3, F.lit(38))
+    hosts = w.filter(F.size("w") >= 3).select(F.explode(F.transform(F.sequence(F.lit(0), last), host)).alias("host")).distinct()
+    return hosts, suffix.rule_table(spark, path)
+
+
+@query(_RULED)
+def suffix_by_trie(spark, sf_dir):
+    """Hosts by a rule for every word, wildcards and exceptions included, as one
+    structure in the tasks."""
+    hosts, rules = _ruled(spark, sf_dir)
+    return suffix.with_registrable_by_size(hosts, "host", rules)
+
+
+@query(_RULED)
+def suffix_by_rules_join(spark, sf_dir):
+    """The same by the join, for lists of any size."""
+    hosts, rules = _ruled(spark, sf_dir)
+    return suffix.with_registrable(hosts, "host", rules).select("host", "suffix", "registrable")
+
+
 @query(f"WITH {neutral.score_sql(neutral.PAGE_SQL)} SELECT host, coalesce(string_agg(label, '/'), '') AS labels, count(label) AS n FROM h LEFT JOIN (SELECT host, regexp_replace(unnest(string_split(host[:length(host) - length(registrable) - 1], '.')), '[^a-z0-9-]', '', 'g') AS label FROM h WHERE length(host) > length(registrable) + 1) USING (host) GROUP BY host")
 def subdomain_labels(spark, sf_dir):
     """Labels left of the registrable domain of page hosts."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import idna
 from ..operators.findings import KeyedTable, arrival, sightings, unique_findings
 from ..operators.health import BREAKS_AT, OPEN_MINUTES
 from ..operators.score import score_certificates
@@ -27,6 +28,7 @@ CADENCE = "5 minutes"
 def write_findings(batch: DataFrame, ref: Reference, as_of: Column, findings: KeyedTable, sources: KeyedTable, name: str | None = None) -> None:
     """Scores one batch of entries and merges findings and sightings. A batch of
     the same name is the same batch again."""
+    batch = idna.ascii_entries(batch)
     ranked = batch.withColumns({"arrival": arrival(batch), "run_source": F.col("source")})
     scored = score_certificates(ranked, ref, as_of).persist()
     findings.merge(unique_findings(scored.drop("run_source")), name)
