@@ -121,3 +121,37 @@ def corpus(positive: DataFrame, adversarial: DataFrame, negative: DataFrame, con
 
 def composition(items: DataFrame) -> DataFrame:
     return items.groupBy("label", "adversarial", "constructed").agg(F.count("*").alias("items"))
+
+
+def rollup(items: DataFrame, columns: list[str], **measures: Column) -> DataFrame:
+    """Counts (and measures) of the items by all columns, by each of them alone, and
+    over all, in one pass: ``level`` has a bit for each column that a row sums over, the
+    last column's lowest."""
+    sets = [columns, *[[c] for c in columns], []] if len(columns) > 1 else [columns, []]
+    d = items.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
+    return d.agg(F.grouping_id().alias("level"), F.count("*").alias("items"), *[m.alias(n) for n, m in measures.items()])
+
+
+# Names of institutions that every reader trusts
+TRUSTED = """google.com.sg yahoo.com.sg amazon.sg ebay.com.sg microsoft.com apple.com wikipedia.org straitstimes.com channelnewsasia.com businesstimes.com.sg
+nus.edu.sg ntu.edu.sg smu.edu.sg sutd.edu.sg sit.edu.sg suss.edu.sg nie.edu.sg sp.edu.sg np.edu.sg nyp.edu.sg tp.edu.sg rp.edu.sg ite.edu.sg sgx.com
+singaporeair.com scottrun.sg starhub.com m1.com.sg simba.sg comfortdelgro.com form.gov.sg go.gov.sg vaccine.gov.sg checkfirst.gov.sg supportgowhere.gov.sg
+life.gov.sg postman.gov.sg onemap.gov.sg police.gov.sg smartnation.gov.sg csa.gov.sg scamshield.gov.sg synapxe.sg"""
+
+
+def _benign(rows: DataFrame, **fields: Column) -> DataFrame:
+    same = {"expected": F.lit("benign"), "label": F.lit("negative"), "adversarial": F.lit(False), "constructed": F.lit(False), "mined_band": F.lit(False)}
+    return rows.select(*[c.alias(n) for n, c in (fields | same).items()])
+
+
+def allowlist_negatives(allowlist: DataFrame) -> DataFrame:
+    """Every entry of the allowlist (registrable, brand) as a benign item."""
+    return _benign(allowlist, domain=F.col("registrable"), brand=F.col("brand"), category=F.lit("allowlisted"), source=F.lit("allowlist"))
+
+
+def trusted_negatives(spark: SparkSession) -> DataFrame:
+    """Trusted institutions as benign items; those of the government apart."""
+    names = spark.createDataFrame([(n,) for n in TRUSTED.split()], "domain string")
+    state = F.endswith("domain", F.lit(".gov.sg"))
+    kind = lambda yes, no: F.when(state, yes).otherwise(no)
+    return _benign(names, domain=F.col("domain"), brand=F.lit("none"), category=kind("legitimate_government", "tranco_sg"), source=kind("gov_sg_trusted", "tranco_sg"))

@@ -31,6 +31,13 @@ def shared_tokens(brands: DataFrame) -> DataFrame:
     return brands.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_distinct("id").alias("brands")).filter("brands > 1")
 
 
+def unverified_metadata(entries: DataFrame) -> DataFrame:
+    """Verified allowlist entries (verified, verified_at, source) that do not say when
+    and by which https address."""
+    said = (F.coalesce("verified_at", F.lit("")) != "") & F.startswith(F.coalesce("source", F.lit("")), F.lit("https://"))
+    return entries.filter(F.coalesce("verified", F.lit(False)) & ~said)
+
+
 def unordered(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows whose columns do not ascend."""
     return rows.filter(~reduce(lambda a, b: a & b, [F.coalesce(F.col(x) <= F.col(y), F.lit(False)) for x, y in zip(columns, columns[1:])]))

@@ -17,6 +17,7 @@ from ..operators import explorer, findings, health, large, logs, polls, quality,
 from ..operators.places import Ordered, shared_folder
 from ..operators.score import finding_id, score_certificates, score_distinct_hosts, score_hosts
 from ..sources import certificates, checkpoints, decode, offsets
+from ..sources import corpus as corpus_files
 from ..streaming import clocks, jobs
 from . import neutral, signer
 
@@ -841,6 +842,57 @@ def corpus_composition(spark, sf_dir):
     return quality.composition(every)
 
 
+@query(_ITEMS + f", o AS (SELECT *, {_ODD} FROM i) SELECT positive, adversarial, lang, grouping_id(positive, adversarial, lang) AS level, count(*) AS items, sum(score)::BIGINT AS points FROM o GROUP BY GROUPING SETS ((positive, adversarial, lang), (positive), (adversarial), (lang), ())")
+def corpus_rollup(spark, sf_dir):
+    """Items by label, kind and language together, each alone, and over all."""
+    d = _items(spark, sf_dir).select("positive", (F.col("doc_id") % 3 == 0).alias("adversarial"), F.coalesce("lang", F.lit("none")).alias("lang"), "score")
+    return quality.rollup(d, ["positive", "adversarial", "lang"], points=F.sum("score"))
+
+
+@query(_HEALTH + " SELECT protocol, status, grouping_id(protocol, status) AS level, count(*) AS items, max(lag_entries) AS lag FROM h GROUP BY GROUPING SETS ((protocol, status), (protocol), (status), ())")
+def health_rollups(spark, sf_dir):
+    """Logs by protocol and status, each alone, and over all."""
+    return quality.rollup(_health(spark, sf_dir), ["protocol", "status"], lag=F.max("lag_entries"))
+
+
+@query(_ITEMS + """, o AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'constructed' WHEN doc_id % 3 = 0 THEN 'adversarial' WHEN positive THEN 'positives' ELSE 'negatives' END AS part, CASE WHEN doc_id % 10 = 3 THEN 'json' WHEN doc_id % 10 = 5 THEN 'domain' WHEN doc_id % 10 = 7 THEN 'contradiction' END AS broken FROM i)
+SELECT part, broken, count(*) AS items, sum(CASE WHEN broken IS NULL THEN doc_id END)::BIGINT AS ids FROM o GROUP BY part, broken""")
+def corpus_lines(spark, sf_dir):
+    """The labelled documents as corpus files, some lines damaged, read back."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 10
+    items = _items(spark, sf_dir).select(
+        F.concat(F.lit("i"), i).alias("id"), F.when(k != 5, F.concat(F.lit("d"), i, F.lit(".example"))).alias("domain"), F.when(F.col("positive"), "malicious").otherwise("benign").alias("expected"),
+        F.when(F.col("positive"), "positive").otherwise("negative").alias("label"), (k == 7).alias("other"), (F.col("doc_id") % 3 == 0).alias("adversarial"), (F.col("doc_id") % 3 == 1).alias("constructed"), (k == 3).alias("cut"), F.col("doc_id").alias("observed_at"),
+    )
+    items = items.withColumn("part", corpus_files.part_of()).withColumn("label", F.when((F.col("label") == "positive") != F.col("other"), "positive").otherwise("negative"))
+    line = F.to_json(F.struct("id", "domain", "expected", "label", "adversarial", "constructed", F.col("observed_at").cast("string").alias("observed_at")))
+    path = f"{_shared(spark)}/corpus"
+    items.select("part", F.when(F.col("cut"), F.left(line, F.lit(25))).otherwise(line).alias("value")).write.partitionBy("part").text(path)
+    d = corpus_files.lines(spark, path)
+    return d.groupBy("part", "broken").agg(F.count("*").alias("items"), F.sum(F.when(F.col("broken").isNull(), F.col("observed_at").cast("long"))).alias("ids"))
+
+
+@query(_ITEMS + """, n AS (SELECT doc_id + (doc_id % 20 = 0)::INT * 1000000 AS doc_id, CASE WHEN doc_id % 9 = 0 THEN score + 1 ELSE score END AS score, CASE WHEN doc_id % 15 = 0 THEN NOT positive ELSE positive END AS positive FROM i)
+SELECT coalesce(i.doc_id, n.doc_id) AS doc_id, CASE WHEN i.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+CASE WHEN i.doc_id IS NULL OR n.doc_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN i.score <> n.score THEN 'score' END, CASE WHEN i.positive <> n.positive THEN 'positive' END) END AS columns
+FROM i FULL JOIN n USING (doc_id) WHERE i.doc_id IS NULL OR n.doc_id IS NULL OR i.score <> n.score OR i.positive <> n.positive""")
+def corpus_changes(spark, sf_dir):
+    """Items that differ between two evaluations."""
+    old = _items(spark, sf_dir)
+    k = F.col("doc_id")
+    new = old.select((k + F.when(k % 20 == 0, 1_000_000).otherwise(0)).alias("doc_id"), (F.col("score") + (k % 9 == 0).cast("int")).alias("score"), (F.col("positive") != (k % 15 == 0)).alias("positive"))
+    d = corpus_files.changes(old, new, ["doc_id"], ["score", "positive"])
+    return d.select("doc_id", "change", F.array_join("columns", ",").alias("columns"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 AND (s_suppkey % 3 = 0 OR s_nationkey % 4 = 0)")
+def allowlist_metadata(spark, sf_dir):
+    """Verified entries without a date or an https source."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    d = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 2 == 0, True).alias("verified"), F.when(k % 3 != 0, "2026-08-14").alias("verified_at"), F.when(n % 4 == 0, "http://a").otherwise("https://a").alias("source"))
+    return validate.unverified_metadata(d).select("s_suppkey")
+
+
 @query(_ITEMS + f", o AS (SELECT *, {_ODD} FROM i) SELECT CASE WHEN adversarial THEN 'adversarial' WHEN constructed THEN 'constructed' ELSE 'headline' END AS part, count(*) AS items, sum(score)::BIGINT AS points FROM o GROUP BY ALL")
 def corpus_split(spark, sf_dir):
     """The corpus by its three parts."""
