@@ -3,14 +3,16 @@
 Texts are lower-cased; words are runs of bytes but white space and ASCII
 punctuation.
 
-1. The n-grams of the test items are the seeds, as long as an item's length and
-   the wanted score allow (``seed_words``). A text that reaches the score shares at
-   least ``shared`` of an item's n-grams, so the commonest of them, those that most
-   items hold, are left out up to one less than that: the rare ones suffice. Items
-   go to the tasks in blocks of a bounded number of seeds; one scan of all texts for
-   each block joins them to the places where a seed occurs. Texts are not shuffled,
-   and nothing depends on how often a seed occurs in the corpus.
-2. Every item that shares a seed with a text meets the words around it, as far as
+1. The n-grams of the test items are the seeds, as long as the wanted score allows
+   whatever the edits are (``seed_words``; at a score of a half one word, since a word
+   put in between every two spoils all longer ones). A text that reaches the score
+   shares at least ``shared`` places of an item's n-grams, within the ``reach`` of an
+   alignment. So the commonest n-grams, counted over all texts, are left out as long as
+   every such text still holds ``hold`` of the others: the rare ones suffice, and
+   several of them must stand within the reach. Items go to the tasks in blocks of a
+   bounded number of seeds; two scans of all texts for each block count the n-grams and
+   join the texts to the places where a seed occurs. Texts are not shuffled.
+2. Every item whose seeds meet in a text meets the words around them, as far as
    an alignment that counts can reach. An item is left aside there only if too few
    of its words occur in them, or too far apart, for the wanted score: both bounds
    are never below the alignment's score.
@@ -18,16 +20,16 @@ punctuation.
    -``penalty``) divided by the item's length is the score. A copy has 1; edits
    and paraphrases lower it.
 
-Defined results: null and empty texts, and items without words, match nothing. A
-text with words put in between two thirds of an item's words may share no rare seed
-and is then not found; words replaced or left out never hide a text that reaches the
-score. Repeated items and documents are matched each; pairs are distinct, with the
+Defined results: null and empty texts, and items without words, match nothing. No
+edits hide a text that reaches the score. Texts of any length are read in slices of a
+few megabytes, a longer one by itself. Repeated items and documents are matched each; pairs are distinct, with the
 best score of the rows of an id. Empty tables give an empty result. Rows with a null
 id are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +47,10 @@ FEW = U64((1 << 22) - 1)
 
 @dataclass
 class Search:
+    #: Words of a seed at most.
     seed: int = 4
+    #: Seeds that must meet, where an item has as many.
+    hold: int = 3
     penalty: float = 0.5
     score: float = 0.5
     #: Seeds that one scan looks for at most (a few dozen bytes each in every task), but for a longer item.
@@ -65,19 +70,26 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), F.lower("text").alias("text")).filter("item_id is not null").mapInArrow(run, "item_id long, item binary")
 
 
-def seed_words(n: int, o: Search) -> int:
-    """Length of the seeds of an item of ``n`` words: of the words that are left
-    after as many replaced or left-out ones as the score allows, some run has at
-    least that many (pigeonhole), ``o.seed`` at most."""
-    edits = int((1 - o.score) * n / (1 + o.penalty) + 1e-9)
-    return max(1, min(o.seed, -(-(n - edits) // (edits + 1))))
+def _spoiled(n: int, k: int, o: Search) -> float:
+    """Places of an item's runs of ``k`` words that edits within the wanted score
+    spoil at most: a word that lacks at an end costs a match and spoils one, one that is
+    replaced or left out costs a penalty besides and spoils k, one put in costs a
+    penalty and spoils k - 1."""
+    between = (k - 1) / o.penalty if o.penalty > 0 else math.inf if k > 1 else 0.0
+    return max(1.0, k / (1 + o.penalty), between) * (1 - o.score) * n
+
 
+def shared(n: int, k: int, o: Search) -> int:
+    """How many places of an item's runs of ``k`` words a text of the wanted score
+    shares at least."""
+    spoiled = _spoiled(n, k, o)
+    return 0 if math.isinf(spoiled) else n - k + 1 - int(spoiled + 1e-9)
 
-def shared(n: int, o: Search) -> int:
-    """How many places of an item's n-grams a text of the wanted score shares at
-    least: each word replaced or left out spoils as many as a seed has words."""
-    k = seed_words(n, o)
-    return max(1, n - k + 1 - k * int((1 - o.score) * n / (1 + o.penalty) + 1e-9))
+
+def seed_words(n: int, o: Search) -> int:
+    """Length of the seeds of an item of ``n`` words: the longest of which edits
+    leave some."""
+    return max([k for k in range(1, min(o.seed, n) + 1) if shared(n, k, o) >= min(o.hold, n)], default=1)
 
 
 def reach(n: int, o: Search) -> int:
@@ -96,14 +108,21 @@ class Block:
         self.vocabulary = np.unique(np.concatenate(own))
         self.items = [np.searchsorted(self.vocabulary, x).astype(np.int32) for x in own]
         self.reach = np.array([reach(len(x), o) for x in own], np.int64)
-        self.seeds = {}
         by = np.array([seed_words(len(x), o) for x in own])
+        self.least = np.array([max(1, shared(len(x), k, o)) for x, k in zip(own, by.tolist())], np.int64)
+        self.hold = np.minimum(self.least, o.hold)
+        #: by length: the items' n-grams and their counts in each, and all of them, sorted
+        self.grams, self.held = {}, {}
         for k in np.unique(by).tolist():
-            mine = np.flatnonzero(by == k)
-            keys, times = zip(*[np.unique(grams(own[i], k), return_counts=True) for i in mine])
-            held, items_of = np.unique(np.concatenate(keys), return_counts=True)
-            keys = [x[_rare(items_of[np.searchsorted(held, x)], t, shared(len(own[i]), o))] for i, x, t in zip(mine, keys, times)]
-            who, keys = np.repeat(mine, [len(x) for x in keys]), np.concatenate(keys)
+            self.grams[k] = {i: np.unique(grams(own[i], k), return_counts=True) for i in np.flatnonzero(by == k).tolist()}
+            self.held[k] = np.unique(np.concatenate([g for g, _ in self.grams[k].values()]))
+        self.seeds = {}
+
+    def choose(self, counts: dict[int, np.ndarray]) -> None:
+        """Takes the rare n-grams as seeds; ``counts`` of all, as in ``held``."""
+        for k, own in self.grams.items():
+            keys = [g[_rare(counts[k][np.searchsorted(self.held[k], g)], times, int(self.least[i] - self.hold[i]) + 1)] for i, (g, times) in own.items()]
+            who, keys = np.repeat(np.array(list(own)), [len(x) for x in keys]), np.concatenate(keys)
             order = np.argsort(keys, kind="stable")
             seeds, start = np.unique(keys[order], return_index=True)
             self.seeds[k] = seeds, np.append(start, len(keys)), who[order]
@@ -112,21 +131,67 @@ class Block:
         """(place, item) of all seeds in the words of a slice."""
         places, items = [], []
         for k, (seeds, start, who) in self.seeds.items():
-            g = grams(w.hash, k)
-            at = np.flatnonzero(few[k][(g & FEW).astype(np.int64)] & (w.doc[: len(g)] == w.doc[k - 1 :]))
-            s = np.minimum(np.searchsorted(seeds, g[at]), len(seeds) - 1)
-            at, s = at[seeds[s] == g[at]], s[seeds[s] == g[at]]
+            at, s = _found(w, k, seeds, few[k])
             m = start[s + 1] - start[s]
             places.append(np.repeat(at, m))
             items.append(who[np.repeat(start[s] - np.cumsum(m) + m, m) + np.arange(m.sum())])
         return np.concatenate(places), np.concatenate(items)
 
+    def meeting(self, at: np.ndarray, who: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which hits, in the order of texts, items and places, stand with as many
+        others of their item as it must hold within its reach."""
+        stay = self.hold[who] <= 1
+        for n in range(2, int(self.hold.max()) + 1):
+            first = np.flatnonzero(self.hold[who[: 1 - n]] == n)
+            last = first + n - 1
+            near = (who[last] == who[first]) & (doc[last] == doc[first]) & (at[last] - at[first] < self.reach[who[first]])
+            for j in range(n):
+                stay[first[near] + j] = True
+        return stay
+
+
+def _few(keys: np.ndarray) -> np.ndarray:
+    """A bit for the last digits of every key."""
+    out = np.zeros(1 << 22, bool)
+    out[(keys & FEW).astype(np.int64)] = True
+    return out
 
-def _rare(items: np.ndarray, times: np.ndarray, least: int) -> np.ndarray:
-    """Which n-grams of an item stay seeds, by the number of items that hold each:
-    all but the commonest, whose places in the item are fewer than ``least``."""
-    order = np.argsort(-items, kind="stable")
-    stay = np.zeros(len(items), bool)
+
+def _found(w, k: int, keys: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs of k words that are among the sorted keys, and which they are."""
+    g = grams(w.hash, k)
+    at = np.flatnonzero(few[(g & FEW).astype(np.int64)] & (w.doc[: len(g)] == w.doc[k - 1 :]))
+    s = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
+    same = keys[s] == g[at]
+    return at[same], s[same]
+
+
+def counted(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
+    """How often each n-gram of the block's items occurs in all texts. A task ships
+    at most a row an n-gram, and the driver gets as many."""
+    held = block.held
+
+    def run(batches):
+        few, n = {k: _few(keys) for k, keys in held.items()}, {k: np.zeros(len(keys), np.int64) for k, keys in held.items()}
+        for _, data, offsets in sliced(batches, "text"):
+            w = words(NORMAL[data], offsets)
+            for k, keys in held.items():
+                n[k] += np.bincount(_found(w, k, keys, few[k])[1], minlength=len(keys))
+        for k, c in n.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at), pa.array(c[at])], names=["k", "at", "n"])
+
+    out = {k: np.zeros(len(keys), np.int64) for k, keys in held.items()}
+    for r in docs.select(F.lower("text").alias("text")).mapInArrow(run, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
+        out[r.k][r["at"]] = r.n
+    return out
+
+
+def _rare(counts: np.ndarray, times: np.ndarray, least: int) -> np.ndarray:
+    """Which n-grams of an item stay seeds, by their counts in the corpus: all but
+    the commonest, whose places in the item are fewer than ``least``."""
+    order = np.argsort(-counts, kind="stable")
+    stay = np.zeros(len(counts), bool)
     stay[order] = np.cumsum(times[order]) >= least
     return stay
 
@@ -162,9 +227,7 @@ def _scored(docs: DataFrame, block: Block, o: Search) -> DataFrame:
     """(doc_id, item_id, score) of the texts and the block's items, one scan."""
 
     def run(batches):
-        few = {k: np.zeros(1 << 22, bool) for k in block.seeds}
-        for k, (seeds, _, _) in block.seeds.items():
-            few[k][(seeds & FEW).astype(np.int64)] = True
+        few = {k: _few(seeds) for k, (seeds, _, _) in block.seeds.items()}
         other = len(block.vocabulary)  # any word of no item
         there = np.zeros(other + 1, bool)
         for rows, data, offsets in sliced(batches, "text"):
@@ -174,6 +237,10 @@ def _scored(docs: DataFrame, block: Block, o: Search) -> DataFrame:
                 continue
             order = np.lexsort((at, who, w.doc[at]))
             at, who = at[order], who[order]
+            met = block.meeting(at, who, w.doc[at])
+            at, who = at[met], who[met]
+            if not len(at):
+                continue
             doc = w.doc[at]
             new = np.flatnonzero((np.diff(at, prepend=0) > 2 * block.reach[who]) | (np.diff(who, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
             last = at[np.append(new[1:], len(at)) - 1]
@@ -211,6 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, search: Search | None =
     """(doc_id, item_id, score) of all pairs with a score of ``search.score`` or more."""
     o, out = search or Search(), None
     for block in blocks(item_words(benchmark), o):
+        block.choose(counted(docs, block))
         got = _scored(docs, block, o)
         out = got if out is None else out.unionByName(got)
     if out is None:

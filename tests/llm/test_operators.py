@@ -518,11 +518,38 @@ def test_contamination_of_items_with_common_words(spark):
     want = brute_contamination(docs, items, o)
     assert got == pytest.approx(want) and len(want) > 60
     block = decontaminate.Block({np.array([hash(x) for x in t.split()], np.int64).view(np.uint64).tobytes(): [i] for i, t in items}, o)
-    seeds, start, _ = block.seeds[2]
-    every = Counter(g for _, t in items for g in set(zip(t.split(), t.split()[1:])))
+    every = Counter(g for _, t in items for g in set(t.split()))
+    block.choose({1: np.array([every[x] for x in sorted(every, key=lambda x: int(textbytes.grams(np.array([hash(x)], np.int64).view(np.uint64), 1)[0]))])})
+    seeds, start, _ = block.seeds[1]
     assert len(seeds) < len(every) and np.diff(start).max() < max(every.values())  # the commonest are no seeds
 
 
+@pytest.mark.parametrize("search", [decontaminate.Search(), decontaminate.Search(score=0.8), decontaminate.Search(score=0.7, penalty=1.0, hold=2), decontaminate.Search(score=0.6, penalty=0.0), decontaminate.Search(hold=1)])
+def test_contamination_with_all_edits(spark, search):
+    """Words put in, replaced and left out, up to the score's limit and beyond; no
+    pair that brute force finds is lost."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [[r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 5, 8, 12, 12, 20, 30]))] for _ in range(40)] + [["same"] * 9, ["same", "other"] * 4]
+    docs = []
+    for d in range(240):
+        w = list(r.choice(items))
+        for _ in range(r.randrange(len(w) + 2) if d % 2 else 0):  # put in, up to one in every gap
+            w.insert(r.randrange(len(w) + 1), r.choice(["new", r.choice(vocabulary)]))
+        for _ in range(r.randrange(len(w) // 2 + 1) if d % 3 else 0):
+            w[r.randrange(len(w))] = "other"
+        for _ in range(r.randrange(len(w) // 2 + 1) if d % 5 == 0 else 0):
+            del w[r.randrange(len(w))]
+        docs.append((d, " ".join([r.choice(vocabulary) for _ in range(12)] + w + [r.choice(vocabulary) for _ in range(12)])))
+    for k, item in enumerate(items):  # a word in every gap
+        docs.append((1000 + k, " new ".join(item)))
+    items = [(i, " ".join(w)) for i, w in enumerate(items)]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(d, t, search).collect()}
+    want = brute_contamination(docs, items, search)
+    assert got == pytest.approx(want) and len(want) > 200
+
+
 def test_alignment_against_a_table():
     def brute(a, b, p):
         h = np.zeros((len(a) + 1, len(b) + 1))
