@@ -53,6 +53,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)\\\\(.)", "$1")
 
 
+def _open(text: Column) -> Column:
+    """Whether the text ends in a backslash that has no partner."""
+    return F.endswith(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit("\\"))
+
+
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit(MIDDLE), text, F.lit(END))
 
@@ -79,8 +84,11 @@ def turns(conversations: DataFrame) -> DataFrame:
     forms = [lambda c: c, escape, escape_all]
 
     def same(form) -> Column:
-        got = parse(render(form(F.col("role")), form(F.col("text"))))
-        return F.coalesce((F.size(got) == 1) & (got[0]["role"] == F.col("role")) & (got[0]["text"] == F.col("text")), F.lit(False))
+        role, text = form(F.col("role")), form(F.col("text"))
+        got = parse(render(role, text))
+        back = (F.size(got) == 1) & (got[0]["role"] == F.col("role")) & (got[0]["text"] == F.col("text"))
+        # a backslash without partner would make the mark behind it literal
+        return F.coalesce(back & ~_open(role) & ~_open(text), F.lit(False))
 
     rows = rows.withColumn("escapes", F.when(same(forms[0]), 0).when(same(forms[1]), 1).otherwise(2))
     shown = lambda c: F.when(F.col("escapes") == 0, c).when(F.col("escapes") == 1, escape(c)).otherwise(escape_all(c))

@@ -11,7 +11,9 @@ its commit protocol and lost executors are covered.
 Parts are ascending ranges of doc_id, one for each task; within a part chunks
 and documents ascend. A null text counts as empty and becomes its end id alone.
 Documents with a null id are left out. Repeated ids stay, in the order of their
-texts. Other columns are ignored.
+texts. An empty table gives a folder without chunks, which reads back as no rows. A
+document's ids stand in one chunk however long it is; blocks bound what is compressed
+at once. Other columns are ignored.
 """
 
 from __future__ import annotations

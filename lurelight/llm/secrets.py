@@ -10,8 +10,9 @@ end of its last, unless an allow-list pattern matches it. All of it is DataFrame
 functions; texts are never shuffled, only the spans.
 
 Defined results: null counts as empty; empty texts have no span and the digest
-of the empty string. Repeated rows are scanned one by one. Other columns are
-ignored. Spans are in code points, the end is exclusive.
+of the empty string. Repeated rows and rows with a null id are scanned one by one, an
+empty table gives an empty result, and texts of any length are scanned whole, in one
+row. Spans with the same start go by kind. Other columns are ignored. Spans are in code points, the end is exclusive.
 """
 
 from __future__ import annotations

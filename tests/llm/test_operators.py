@@ -424,6 +424,10 @@ def test_chats(spark, sf):
     assert op6_chat(spark, sf).filter("conv_id = -7").first().loss_chars == 21
     every = d.limit(9).select(*[chat.unescape(f(F.coalesce("text", F.lit("")))).alias(n) for n, f in (("a", chat.escape), ("b", chat.escape_all), ("c", lambda c: chat.escape(chat.escape_all(c))))], F.coalesce("text", F.lit("")).alias("t")).collect()
     assert all(r.a == r.b == r.t for r in every)
+    # a reader for whom a backslash makes the next character literal ends every turn
+    last = spark.createDataFrame([(i, 0, role, "a" + "\\" * n) for i, (role, n) in enumerate([("user", 1), ("user", 2), ("user", 3), ("user\\", 0)])], d.drop("span").schema)
+    for r in chat.format_chats(last).collect():
+        assert r.identical and re.sub(r"(?s)\\.", "", r.formatted).count(chat.END) == 1 and re.sub(r"(?s)\\.", "", r.formatted).count(chat.MIDDLE) == 1
     broken = chat.format_chats(d).withColumn("identical", F.col("conv_id") != 3)
     with pytest.raises(Exception, match="no round trip: conversation 3"):
         chat.checked(broken).collect()
