@@ -81,18 +81,31 @@ def _at(values: list[str], i: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.pmod(i, F.lit(len(values))).cast("int"))
 
 
-def positives(spark: SparkSession) -> DataFrame:
-    """The 160 labelled phishing hosts: (domain, brand, category)."""
-    n, brand = spark.range(5 * len(PHISHED)), _at(PHISHED, F.floor(F.col("id") / 5))
-    i = F.col("id") % 5
-    token = F.when(F.floor(F.col("id") / 5) % len(PHISHED) == PHISHED.index("stanchart"), F.when(i % 2 == 0, "sc").otherwise("stanchart")).otherwise(brand)
-    phish = n.select(F.concat(token, F.lit("-"), _at(WORDS, i * 3), F.lit("-"), _at(WORDS, i * 3 + 1), F.lit("."), _at(RISKY, F.length(brand) + i)).alias("domain"), brand.alias("brand"), F.lit("credential_phish").alias("category"))
+def phished(ids: DataFrame) -> DataFrame:
+    """A host for each id (id) that joins a name to words: (domain, brand, category)."""
+    i, turn = F.col("id") % 5, F.floor(F.col("id") / 5)
+    brand = _at(PHISHED, turn)
+    token = F.when(turn % len(PHISHED) == PHISHED.index("stanchart"), F.when(i % 2 == 0, "sc").otherwise("stanchart")).otherwise(brand)
+    return ids.select(F.concat(token, F.lit("-"), _at(WORDS, i * 3), F.lit("-"), _at(WORDS, i * 3 + 1), F.lit("."), _at(RISKY, F.length(brand) + i)).alias("domain"), brand.alias("brand"), F.lit("credential_phish").alias("category"))
+
+
+def squatted(ids: DataFrame) -> DataFrame:
+    """One that has a name's own domain as its subdomain."""
     k = F.col("id")
     b = _at(PHISHED, k)
     legal = F.when(b.isin(GOVERNMENT), F.concat(b, F.lit(".gov.sg"))).when(b == "stanchart", "sc.com.sg").when(b.isin(PLAIN_COM), F.concat(b, F.lit(".com"))).otherwise(F.concat(b, F.lit(".com.sg")))
-    squat = spark.range(35).select(F.concat(legal, F.lit(".verify-login-portal-"), (k + 1).cast("string"), F.lit("."), _at(RISKY, k)).alias("domain"), b.alias("brand"), F.lit("subdomain_squat").alias("category"))
-    lure = spark.range(20).select(F.concat(_at([t for _, t in LURES], k), F.lit("-claim-portal-2026-"), (k + 1).cast("string"), F.lit("."), _at(RISKY, k)).alias("domain"), _at([s for s, _ in LURES], k).alias("brand"), F.lit("scheme_phish").alias("category"))
-    return phish.unionByName(squat).unionByName(lure)
+    return ids.select(F.concat(legal, F.lit(".verify-login-portal-"), (k + 1).cast("string"), F.lit("."), _at(RISKY, k)).alias("domain"), b.alias("brand"), F.lit("subdomain_squat").alias("category"))
+
+
+def lured(ids: DataFrame) -> DataFrame:
+    """One that promises a payment."""
+    k = F.col("id")
+    return ids.select(F.concat(_at([t for _, t in LURES], k), F.lit("-claim-portal-2026-"), (k + 1).cast("string"), F.lit("."), _at(RISKY, k)).alias("domain"), _at([s for s, _ in LURES], k).alias("brand"), F.lit("scheme_phish").alias("category"))
+
+
+def positives(spark: SparkSession) -> DataFrame:
+    """The 160 labelled phishing hosts: (domain, brand, category)."""
+    return phished(spark.range(5 * len(PHISHED))).unionByName(squatted(spark.range(35))).unionByName(lured(spark.range(20)))
 
 
 def _listed(spark: SparkSession, text: str, expected: str, label: str) -> DataFrame:

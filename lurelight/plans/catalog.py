@@ -465,13 +465,13 @@ def circuit_breaker(spark, sf_dir):
     return health.breakers(read(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "ok").select("user_id", "first", "last", "failures", "opened")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in logs.poll_tokens(REF)) + ") t(token)")
+@query("SELECT DISTINCT regexp_replace(lower(w), '[^a-z0-9]', '', 'g') AS token FROM (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_brand || ' x-', ' ')) AS w FROM part) WHERE length(regexp_replace(lower(w), '[^a-z0-9]', '', 'g')) >= CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END")
 def poll_tokens(spark, sf_dir):
-    """The vocabulary of the identity search, from the tables as DataFrames."""
-    from ..reference import frames
-
-    t = frames(spark, REF)
-    return logs.poll_token_frame(t["schemes"], t["brands"])
+    """The vocabulary of the identity search: lure tokens from one half of the parts,
+    brand tokens from the other."""
+    words = F.split(F.concat_ws(" ", "p_name", "p_brand", F.lit("x-")), " ").alias("tokens")
+    parts = read(spark, sf_dir, "part")
+    return logs.poll_token_frame(parts.filter("p_partkey % 2 = 0").select(words), parts.filter("p_partkey % 2 = 1").select(words))
 
 
 @query("WITH t AS (SELECT DISTINCT p_name AS token FROM part), o AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS place, count(*) OVER () AS n FROM t) SELECT token, place, (65 % n)::BIGINT AS next_index FROM o WHERE ((place - 60) % n + n) % n < least(5, n)")
@@ -552,23 +552,18 @@ def _in_sql(values: list[str], i: str) -> str:
     return f"({values!r})[({i}) % {len(values)} + 1]"
 
 
-_CORPUS = f"""SELECT CASE WHEN b = 'stanchart' THEN CASE WHEN i % 2 = 0 THEN 'sc' ELSE 'stanchart' END ELSE b END || '-' || {_in_sql(quality.WORDS, "i * 3")} || '-' || {_in_sql(quality.WORDS, "i * 3 + 1")} || '.' || {_in_sql(quality.RISKY, "length(b) + i")} AS domain, b AS brand, 'credential_phish' AS category
-FROM (SELECT {_in_sql(quality.PHISHED, "n // 5")} AS b, n % 5 AS i FROM range({5 * len(quality.PHISHED)}) r(n))
-UNION ALL SELECT CASE WHEN b IN ({", ".join(f"'{g}'" for g in quality.GOVERNMENT)}) THEN b || '.gov.sg' WHEN b = 'stanchart' THEN 'sc.com.sg' WHEN b IN ({", ".join(f"'{g}'" for g in quality.PLAIN_COM)}) THEN b || '.com' ELSE b || '.com.sg' END || '.verify-login-portal-' || (n + 1) || '.' || {_in_sql(quality.RISKY, "n")}, b, 'subdomain_squat' FROM (SELECT {_in_sql(quality.PHISHED, "n")} AS b, n FROM range(35) r(n))
-UNION ALL SELECT {_in_sql([t for _, t in quality.LURES], "n")} || '-claim-portal-2026-' || (n + 1) || '.' || {_in_sql(quality.RISKY, "n")}, {_in_sql([s for s, _ in quality.LURES], "n")}, 'scheme_phish' FROM range(20) r(n)"""
+_CORPUS = f"""WITH d AS (SELECT doc_id AS n FROM documents) SELECT CASE WHEN b = 'stanchart' THEN CASE WHEN i % 2 = 0 THEN 'sc' ELSE 'stanchart' END ELSE b END || '-' || {_in_sql(quality.WORDS, "i * 3")} || '-' || {_in_sql(quality.WORDS, "i * 3 + 1")} || '.' || {_in_sql(quality.RISKY, "length(b) + i")} AS domain, b AS brand, 'credential_phish' AS category
+FROM (SELECT {_in_sql(quality.PHISHED, "n // 5")} AS b, n % 5 AS i FROM d WHERE n % 3 = 0)
+UNION ALL SELECT CASE WHEN b IN ({", ".join(f"'{g}'" for g in quality.GOVERNMENT)}) THEN b || '.gov.sg' WHEN b = 'stanchart' THEN 'sc.com.sg' WHEN b IN ({", ".join(f"'{g}'" for g in quality.PLAIN_COM)}) THEN b || '.com' ELSE b || '.com.sg' END || '.verify-login-portal-' || (n + 1) || '.' || {_in_sql(quality.RISKY, "n")}, b, 'subdomain_squat' FROM (SELECT {_in_sql(quality.PHISHED, "n")} AS b, n FROM d WHERE n % 3 = 1)
+UNION ALL SELECT {_in_sql([t for _, t in quality.LURES], "n")} || '-claim-portal-2026-' || (n + 1) || '.' || {_in_sql(quality.RISKY, "n")}, {_in_sql([s for s, _ in quality.LURES], "n")}, 'scheme_phish' FROM d WHERE n % 3 = 2"""
 
 
 @query(_CORPUS)
 def corpus_generate(spark, sf_dir):
-    """The labelled phishing hosts, from their rules."""
-    return quality.positives(spark)
-
-
-@query(f"""WITH c(label, part, category, items) AS (VALUES {", ".join(f"('{label}', '{part}', '{c}', {sum(line.endswith('|' + c) for line in rows)})" for label, part, rows in (("positive", "adversarial", fixed.ADVERSARIAL.split()), ("negative", "constructed", fixed.CONSTRUCTED.split())) for c in sorted({line.split("|")[2] for line in rows}))}) SELECT * FROM c""")
-def corpus_hand_made(spark, sf_dir):
-    """The hand-made hosts of the labelled corpus by category."""
-    every = quality.adversarial(spark).withColumn("part", F.lit("adversarial")).unionByName(quality.constructed(spark).withColumn("part", F.lit("constructed")))
-    return every.groupBy("label", "part", "category").agg(F.count("*").cast("int").alias("items"))
+    """A labelled phishing host for each document, by the rules of the three kinds."""
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    kinds = [make(ids.filter(F.col("id") % 3 == n)) for n, make in enumerate((quality.phished, quality.squatted, quality.lured))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 # explorer and validation
@@ -610,14 +605,6 @@ def validate_tables(spark, sf_dir):
     return out
 
 
-@query("SELECT 1::BIGINT AS one WHERE false")
-def validate_reference(spark, sf_dir):
-    """Broken expectations of the built-in tables: none."""
-    from ..reference import default, frames
-
-    return validate.reference_report(frames(spark, default())).filter("broken > 0").select(F.col("broken").alias("one"))
-
-
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, arg_max(event_type, ts) AS last_type FROM events GROUP BY user_id")
 def state_merge(spark, sf_dir):
     """Two state maps of each user merged; the later patch wins."""

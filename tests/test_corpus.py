@@ -57,3 +57,13 @@ def test_metadata(spark):
     rows = [(1, True, "2026-08-14", "https://a"), (2, True, "", "https://a"), (3, True, "2026-08-14", "http://a"), (4, False, None, None), (5, None, None, None), (6, True, None, None)]
     d = spark.createDataFrame(rows, "i int, verified boolean, verified_at string, source string")
     assert sorted(r.i for r in validate.unverified_metadata(d).collect()) == [2, 3, 6]
+
+
+def test_hand_made_parts_and_built_in_tables(spark):
+    """Items by category as published, and no broken expectation of the built-in tables."""
+    count = lambda d: {r.category: r["count"] for r in d.groupBy("category").count().collect()}
+    assert count(quality.positives(spark)) == {"credential_phish": 105, "subdomain_squat": 35, "scheme_phish": 20}
+    assert sum(count(quality.adversarial(spark)).values()) == 60 and sum(count(quality.constructed(spark)).values()) == 21
+    assert validate.reference_report(frames(spark, default())).filter("broken > 0").count() == 0
+    first = [r.domain for r in quality.positives(spark).filter("brand = 'dbs' and category <> 'scheme_phish'").collect()]
+    assert first[0] == "dbs-login-verify.cfd" and "dbs.com.sg.verify-login-portal-1.xyz" in first
