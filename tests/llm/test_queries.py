@@ -18,7 +18,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = entry.queries()[name](spark, sf)
     names, want = sorted(got.columns), db.execute(entry.oracle_sql()[name])
