@@ -241,7 +241,7 @@ WEIGHTS = {
 }
 TOTAL_CAP = 150
 
-# Public suffixes: a curated part of the public list (rules of one label need no row)
+# Public suffixes, a curated part of the public list (rules of one label need no row)
 SUFFIXES = """\
 com.sg net.sg org.sg gov.sg edu.sg per.sg
 com.my net.my org.my gov.my edu.my
@@ -264,7 +264,7 @@ com.mx org.mx gob.mx edu.mx
 *.ck !www.ck *.kawasaki.jp !city.kawasaki.jp
 """
 
-# Hand-made hosts of the labelled corpus: domain|brand|category. Malicious ones in
+# Hand-made hosts of the labelled corpus: domain|brand|category. Malicious ones in
 # forms that are hard to catch, and benign ones that look like malicious ones.
 ADVERSARIAL = """
 xn--dbs-9ka.com|dbs|homoglyph
@@ -328,6 +328,7 @@ trutsbank.com|trustbank|typosquat
 mraibank.com|maribank|typosquat
 singpsto.com|singpost|typosquat
 """
+# The benign ones
 CONSTRUCTED = """
 carousel.com|none|constructed_fixture
 carouseldesigns.com|none|constructed_fixture
