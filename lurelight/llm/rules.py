@@ -1,18 +1,19 @@
-"""Quality rules: text statistics, fixed limits, and isolation forests.
-
-The statistics of every text are exact. Texts that the fixed limits pass get
-anomaly scores: mean path lengths over trees of random splits, each grown on
-``tree_rows`` rows drawn by the hash of their id, so that texts unlike the others
-end in short paths. One forest splits on all rule statistics together; one for
-each statistic splits on that alone, so that a text odd in one respect is not
-hidden by texts that are odd, but fine, in others.
-
-Each forest's limit is calibrated on labelled rows of both classes that pass the
-fixed limits: the lowest score that at most ``clean_loss`` of the clean rows
-(labels.quality = 1) exceed. Of the forests, that which rejects most bad rows is
-used first, and another only if it adds ``pays`` times as large a share of the bad
-rows as of the clean ones; the others reject nothing. A fold of the labelled rows
-(``apart``) takes no part in this; ``outcome`` tells what is rejected there.
+"""Quality rules: text statistics, fixed limits, and an isolation forest.
+
+The statistics of every text are exact. Texts that the fixed limits pass get an
+anomaly score: mean path lengths over trees of random splits on all statistics
+together, each tree grown on ``tree_rows`` rows drawn by the hash of their id, so
+that texts unlike the others end in short paths. Most statistics say nothing about
+quality, and splits on them hide the others, so a split takes a statistic in
+proportion to the square root of how far it separates the labelled rows of the two
+classes (squared distance of the means over the sum of the variances, over all
+such rows).
+
+The limit is calibrated on labelled rows that pass the fixed limits: the lowest
+score that at most ``clean_loss`` of the clean rows (labels.quality = 1) exceed. It
+is used if it rejects ``pays`` times as large a share of the bad rows as of the
+clean ones. A fold of the labelled rows (``apart``) takes no part in any of this;
+``outcome`` tells what is rejected there.
 
 Defined results: null, empty and blank texts have no words and fail. Without
 clean or without bad labelled rows nothing is rejected by its score. Repeated ids
@@ -45,15 +46,14 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 @dataclass
 class Forest:
-    """``trees`` (``single_trees`` for one statistic) grown on ``tree_rows`` rows
-    each; ``clean_loss``: share of the labelled clean rows that a limit may reject."""
+    """``trees`` grown on ``tree_rows`` rows each; ``clean_loss``: share of the
+    labelled clean rows that the limit may reject."""
 
     trees: int = 100
-    single_trees: int = 30
     tree_rows: int = 256
     clean_loss: float = 0.005
     pays: float = 5.0
-    #: One labelled id in so many takes no part in the calibration.
+    #: One labelled id in so many takes no part in weights and limit.
     apart: int = 4
     seed: int = 11
 
@@ -124,8 +124,6 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 #: The statistics that the forests split on.
 FEATURES = ["length", "word_length", "symbols", "duplicate_lines", "repeated_words", "distinct_words", "line_length", "upper_case", "digits", "punctuation"]
-#: Their places in each forest. Length alone says nothing about quality.
-FORESTS = {"all": list(range(len(FEATURES)))} | {name: [i] for i, name in enumerate(FEATURES) if not name.endswith("length") or name == "word_length"}
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
@@ -153,7 +151,7 @@ def _expected(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649 if n > 2 else 0.5) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grow(x: np.ndarray, rng: np.random.Generator, depth: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature or -1, threshold or path length, left child; the right one follows)."""
     feature, value, left = [], [], []
 
@@ -165,11 +163,11 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarra
     while todo:
         at, rows, d = todo.pop()
         lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
-        wide = np.flatnonzero(hi > lo)
-        if d >= depth or not len(wide):
+        chance = (hi > lo) * weights
+        if d >= depth or not chance.any():
             value[at] = d + _expected(len(rows))
             continue
-        f = rng.choice(wide)
+        f = rng.choice(len(chance), p=chance / chance.sum())
         cut = rng.uniform(lo[f], hi[f])
         below = x[rows, f] <= cut
         a, b = add(), add()
@@ -178,11 +176,13 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarra
     return np.array(feature), np.array(value), np.array(left)
 
 
-def grow_forest(x: np.ndarray, options: Forest, trees: int) -> list:
+def grow_forest(x: np.ndarray, options: Forest, trees: int, weights: np.ndarray | None = None) -> list:
+    """Trees whose splits take features by their weights, alike if there are none."""
+    weights = np.ones(x.shape[1]) if weights is None else weights
     rng = np.random.default_rng(options.seed)
     rows = min(options.tree_rows, len(x))
     depth = max(1, math.ceil(math.log2(max(2, rows))))
-    return [grow(x[rng.choice(len(x), rows, replace=False)], rng, depth) for _ in range(trees)] if len(x) else []
+    return [grow(x[rng.choice(len(x), rows, replace=False)], rng, depth, weights) for _ in range(trees)] if len(x) else []
 
 
 def anomaly(x: np.ndarray, forest: list, tree_rows: int) -> np.ndarray:
@@ -207,27 +207,36 @@ def _apart(o: Forest):
     return F.pmod(F.xxhash64(F.lit(o.seed + 1), F.col("doc_id")), F.lit(o.apart)) == 0
 
 
-def calibrated(scored: DataFrame, labels: DataFrame | None, o: Forest) -> list[float]:
-    """The forests' limits; 1, which no score exceeds, where one does not pay."""
-    never = [1.0] * len(FORESTS)
-    if labels is None:
-        return never
-    known = scored.filter("not base_failed").join(_labelled(labels).filter(~_apart(o)), "doc_id").select("quality", *[F.get("scores", F.lit(k)).alias(f"s{k}") for k in range(len(FORESTS))])
-    limits = known.filter("quality = 1").agg(*[F.percentile_approx(f"s{k}", 1 - o.clean_loss, 10000) for k in range(len(FORESTS))]).first()
-    if limits[0] is None:
-        return never
-    over = sum((F.when(F.col(f"s{k}") > x, 1 << k).otherwise(0) for k, x in enumerate(limits)), F.lit(0))
-    left = {(r["quality"], r["over"]): r["count"] for r in known.groupBy("quality", over.alias("over")).count().collect()}  # 2 ** forests masks at most
-    rows = [max(1, sum(n for (q, _), n in left.items() if q == quality)) for quality in (0, 1)]
-    used: set[int] = set()
-    while True:  # the forest that adds most, as long as it pays
-        gain = {k: [sum(n for (q, mask), n in left.items() if q == quality and mask >> k & 1) / rows[quality] for quality in (0, 1)] for k in range(len(FORESTS))}
-        best = max(gain, key=lambda k: (gain[k][0] - gain[k][1], -k))
-        bad, clean = gain[best]
-        if not bad or bad < o.pays * clean:
-            return [x if k in used else 1.0 for k, x in enumerate(limits)]
-        used.add(best)
-        left = {key: n for key, n in left.items() if not key[1] >> best & 1}
+def _features_of(b: pa.RecordBatch) -> np.ndarray:
+    return features({c: b.column(b.schema.get_field_index(c)).to_numpy() for c in COUNTS})
+
+
+def separation(known: DataFrame) -> np.ndarray | None:
+    """Weight of each statistic from ``known`` (quality, counts); null without
+    rows of both classes or where nothing separates them."""
+
+    def run(batches):
+        for b in batches:
+            x = _features_of(b)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("quality")), *map(pa.array, x.T)], names=["quality", *FEATURES])
+
+    kind = known.schema["quality"].dataType.simpleString()
+    rows = known.select("quality", *COUNTS).mapInArrow(run, ", ".join([f"quality {kind}", *(f"{f} double" for f in FEATURES)]))
+    by = {r["quality"]: r for r in rows.groupBy("quality").agg(*[F.struct(F.avg(f), F.var_pop(f)).alias(f) for f in FEATURES]).collect()}  # two rows
+    if set(by) != {0, 1}:
+        return None
+    weights = np.sqrt([(by[0][f][0] - by[1][f][0]) ** 2 / (by[0][f][1] + by[1][f][1] + 1e-12) for f in FEATURES])
+    return weights if weights.any() else None
+
+
+def calibrated(known: DataFrame, o: Forest) -> float:
+    """The limit over ``known`` (quality, anomaly); 1, which no score exceeds,
+    where it does not pay or a class is missing."""
+    limit = known.filter("quality = 1").agg(F.percentile_approx("anomaly", 1 - o.clean_loss, 10000)).first()[0]
+    if limit is None:
+        return 1.0
+    share = {r["quality"]: r["over"] for r in known.groupBy("quality").agg(F.avg((F.col("anomaly") > limit).cast("int")).alias("over")).collect()}  # two rows
+    return limit if share.get(0) and share[0] >= o.pays * share[1] else 1.0
 
 
 def outcome(judged: DataFrame, labels: DataFrame, options: Forest | None = None) -> DataFrame:
@@ -238,30 +247,29 @@ def outcome(judged: DataFrame, labels: DataFrame, options: Forest | None = None)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None = None, options: Forest | None = None) -> DataFrame:
-    """doc_id, the counts, base_failed, scores (one for each of ``FORESTS``),
-    anomaly (of the forest over all statistics) and kept of each row."""
+    """doc_id, the counts, base_failed, anomaly and kept of each row."""
     o = options or Forest()
     scratch = Scratch(docs.sparkSession, "rules")
     stats = scratch.table(statistics(docs))
     passed = stats.filter("not base_failed")
+    known = scratch.table(passed.join(_labelled(labels).filter(~_apart(o)), "doc_id")) if labels is not None else None
     n, want = passed.count(), o.trees * o.tree_rows
     at = F.pmod(F.xxhash64(F.lit(o.seed), F.col("doc_id")), F.lit(1 << 40))
     # distinct and limited in Spark: an id that repeats very often is no large sample
     some = passed.filter(at < int(min(1.0, want / max(n, 1)) * (1 << 40))).select("doc_id", *COUNTS).distinct().orderBy("doc_id", *COUNTS).limit(2 * want).toPandas()
     x = features({c: some[c].to_numpy() for c in COUNTS})
-    forests = [(places, grow_forest(x[:, places], o, o.trees if name == "all" else o.single_trees)) for name, places in FORESTS.items()]
+    forest = grow_forest(x, o, o.trees, separation(known) if known is not None else None)
     tree_rows = min(o.tree_rows, max(len(some), 1))
 
     def run(batches):
         for b in batches:
-            c = features({k: b.column(b.schema.get_field_index(k)).to_numpy() for k in COUNTS})
-            every = np.stack([anomaly(c[:, places], trees, tree_rows) for places, trees in forests], axis=1)
-            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(forests)), pa.array(every.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "scores"])
-
-    names = ["doc_id", *COUNTS, "base_failed"]
-    scored = scratch.table(stats.select(names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names[:-1]), "base_failed boolean", "scores array<double>"])))
-    limits = calibrated(scored, labels, o)
-    scratch.drop(stats)
-    odd = F.exists(F.zip_with("scores", F.lit(limits), lambda s, limit: s > limit), lambda x: x)
-    return scored.withColumns({"anomaly": F.get("scores", F.lit(0)), "kept": ~F.col("base_failed") & ~odd})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly(_features_of(b), forest, tree_rows))], names=[*b.schema.names, "anomaly"])
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "anomaly double"]))
+
+    limit = 1.0
+    if known is not None:
+        limit = calibrated(scored(known), o)
+        scratch.drop(known)
+    return scored(stats).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(limit)))

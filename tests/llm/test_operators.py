@@ -380,6 +380,35 @@ def test_quality_rules_on_rows_held_apart(spark):
     assert got[0].rejected > 0.9 * got[0]["rows"] and got[1].rejected < 0.02 * got[1]["rows"]
 
 
+def test_quality_rules_limit_against_brute_force(spark):
+    """One forest over all statistics rejects the bad rows; its weights and limit
+    are those of a plain computation over the labelled rows."""
+    sf, o = "/root/testdata/sf0.01", rules.Forest()
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged = rules.quality_rules(docs, labels, o)
+    p = judged.join(labels.select("doc_id", "quality", rules._apart(o).alias("apart")), "doc_id").filter("not base_failed").toPandas()
+    assert labels.count() == labels.select("doc_id").distinct().count()
+    used, apart = p[~p.apart], p[p.apart]
+    clean = np.sort(used[used.quality == 1].anomaly.to_numpy())
+    limit = min(v for v in clean if (clean > v).mean() <= o.clean_loss)
+    assert ((p.anomaly <= limit) == p.kept).all()
+    assert (~apart[apart.quality == 0].kept).mean() > 0.9 and (~apart[apart.quality == 1].kept).mean() < 0.04 and (apart.quality == 0).sum() > 5
+    x = rules.features({c: used[c].to_numpy() for c in rules.COUNTS})
+    bad, good = x[used.quality == 0], x[used.quality == 1]
+    want = np.sqrt((bad.mean(0) - good.mean(0)) ** 2 / (bad.var(0) + good.var(0) + 1e-12))
+    known = spark.createDataFrame(used[["quality", *rules.COUNTS]])
+    assert rules.separation(known) == pytest.approx(want, rel=1e-6) and (want > 0).sum() > 5
+    assert rules.separation(known.filter("quality = 1")) is None and rules.separation(known.filter("false")) is None
+
+
+def test_forest_splits_by_weights():
+    x = np.random.default_rng(3).normal(size=(200, 3))
+    used = np.concatenate([t[0] for t in rules.grow_forest(x, rules.Forest(tree_rows=64), 20, np.array([3.0, 1.0, 0.0]))])
+    n = np.bincount(used[used >= 0], minlength=3)
+    assert n[2] == 0 and n[0] > 2 * n[1] > 0
+    assert all(t[0][0] < 0 for t in rules.grow_forest(np.ones((5, 3)), rules.Forest(), 2))  # equal rows: nothing to split
+
+
 def test_forest_paths_against_a_walk():
     r = np.random.default_rng(8)
     x, options = r.normal(size=(300, 3)), rules.Forest(tree_rows=64)
