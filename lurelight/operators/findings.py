@@ -31,31 +31,31 @@ def first_by(value: Column, order: Column) -> Column:
     return F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), order))
 
 
-def union_in_order(rows: DataFrame, arrays: str, order: str) -> DataFrame:
-    """id and the distinct elements of the arrays of its rows, first appearance
-    first. Elements are reduced to one row each before they meet, so an id that
-    arrives very often is no large group."""
-    each = rows.select("id", F.col(order).alias("_o"), F.posexplode(arrays).alias("_p", "_v")).groupBy("id", "_v").agg(F.min(F.struct("_o", "_p")).alias("_at"))
-    return each.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(arrays))
-
-
 def unique_findings(findings: DataFrame, order: str = "arrival") -> DataFrame:
     """One row for each id: the first arrival's fields, but entry types and
-    domains in union, the earliest time, the first serial and issuer hash that are
-    there, and after a merge as many names as domains. All aggregates are partial,
-    so no id's rows are gathered."""
-    o = F.col(order)
-    kept = [c for c in findings.columns if c not in ("id", order, "entry_types", "domains", "observed_at", "san_count", "cert_serial", "cert_issuer_dn_sha256")]
-    out = findings.groupBy("id").agg(
-        F.min_by(F.struct(*kept, "san_count"), o).alias("_first"),
-        F.min("observed_at").alias("observed_at"),
-        first_by(text.truthy(F.col("cert_serial")), o).alias("cert_serial"),
-        first_by(text.truthy(F.col("cert_issuer_dn_sha256")), o).alias("cert_issuer_dn_sha256"),
-        F.count("*").alias("_n"),
+    domains in union by first appearance, the earliest time, the first serial and
+    issuer hash that are there, and after a merge as many names as domains.
+
+    A row and the elements of its lists travel as parts of one table: parts of an
+    id and a value are reduced to one before an id's parts meet, so an id that
+    arrives very often is no large group, and there are two exchanges in all."""
+    o, lists = F.col(order), ("entry_types", "domains")
+    own = ("observed_at", "cert_serial", "cert_issuer_dn_sha256")
+    kept = [c for c in findings.columns if c not in ("id", order, *own, *lists, "san_count")]
+    row = F.struct(*kept, "san_count", *own)
+    nothing, text_ = F.lit(None).cast(findings.select(row.alias("r")).schema["r"].dataType), "array<string>"
+    part = lambda name, v, at, r: F.struct(F.lit(name).cast("string").alias("list"), v.cast("string").alias("v"), at.cast("int").alias("at"), r.alias("row"))
+    elements = [F.transform(F.coalesce(c, F.array().cast(text_)), (lambda name: lambda v, i: part(name, v, i, nothing))(c)) for c in lists]
+    parts = findings.select("id", o.alias("_o"), F.explode(F.concat(F.array(part(None, F.lit(None), F.lit(0), row)), *elements)).alias("_e")).select("id", "_o", "_e.*")
+    reduced = parts.groupBy("id", "list", "v").agg(
+        F.min_by(F.when(F.col("row").isNotNull(), F.struct(*[F.col(f"row.{c}") for c in kept], "row.san_count")), F.col("_o")).alias("first"),
+        F.min("row.observed_at").alias("observed_at"),
+        *[first_by(text.truthy(F.col(f"row.{c}")), F.col("_o")).alias(c) for c in own[1:]],
+        F.count("row").alias("n"),
+        F.min(F.struct("_o", "at")).alias("at"),
     )
-    none = F.array().cast("array<string>")
-    for c in ("entry_types", "domains"):
-        out = out.join(union_in_order(findings, c, order), "id", "left").withColumn(c, F.coalesce(c, none))
+    union = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == name, F.struct("at", "v")))), lambda x: x["v"])
+    out = reduced.groupBy("id").agg(F.first("first", ignorenulls=True).alias("_first"), F.max("n").alias("_n"), *[F.max(c).alias(c) for c in own], *[union(c).alias(c) for c in lists])  # one part holds the rows
     many = F.when(F.col("_n") > 1, F.size("domains")).otherwise(F.col("_first.san_count"))
     made = {c: F.col(f"_first.{c}") for c in kept} | {"san_count": many.cast("int")}
     return out.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in findings.columns if c != order])

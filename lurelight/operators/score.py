@@ -95,16 +95,18 @@ def score_certificates(entries: DataFrame, ref: Reference, as_of: Column) -> Dat
     """Findings of ``entries`` (schemas.ENTRY; other columns stay): one row for
     each certificate with an active host. Names are exploded, each distinct host
     is scored once, and what it gives returns to the certificates by a digest of
-    their fields, so equal certificates share it."""
+    their fields, so equal certificates share it. Four exchanges: distinct hosts,
+    names to them, hits by digest, certificates to their hits. Repeated
+    certificates give equal hits, which a set keeps once before they are sent."""
     fields = [F.col(f.name) for f in schemas.ENTRY]
     named = entries.withColumns({"all_domains": text.extract_domains(entries), "_k1": F.xxhash64(*fields), "_k2": F.xxhash64(F.lit(1), *fields)})
     key = ["_k1", "_k2"]
-    hosts = named.select(*key, "all_domains").dropDuplicates(key).select(*key, F.posexplode("all_domains").alias("ord", "host"))
-    scored = score_distinct_hosts(hosts, ref, as_of).filter("not suppressed and score > 0")
+    names = named.select(*key, F.posexplode("all_domains").alias("ord", "host"))
+    active = score_hosts(names.select("host").distinct(), ref, as_of).filter("not suppressed and score > 0")
     one = F.struct("ord", "host", "registrable", "score", "severity", "signals")
-    per = scored.groupBy(*key).agg(
+    per = names.join(active, "host").groupBy(*key).agg(
         F.max_by(F.struct("host", "registrable", "score", "severity"), F.struct(F.col("score"), -F.col("ord"))).alias("top"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["signals"])).alias("signals"),
+        F.flatten(F.transform(F.sort_array(F.collect_set(one)), lambda x: x["signals"])).alias("signals"),
     )
     e = named.join(per, key)
     truthy_distinct = lambda name: F.array_distinct(F.filter(F.transform("signals", lambda s: s[name]), lambda x: x.isNotNull() & (x != "")))

@@ -85,6 +85,27 @@ def test_certificates(spark, ref):
     assert got[4].id == hashlib.sha256(b"posb-login.top|posb-login.top||2026-08-01").hexdigest()[:32]
 
 
+def test_certificates_in_four_exchanges(spark, ref, tmp_path):
+    """Repeated certificates give equal findings, each with its own columns."""
+    names = [["posb-login.top", "dbs-secure-login.example"], ["ordinary-example.com"], ["dbs-secure-login.example"], None, []]
+    d = spark.createDataFrame([(i, names[i % 5]) for i in range(50)], "i long, dns_names array<string>")
+    e = as_entries(d, {"entry_id": F.col("i") % 5, "dns_names": F.col("dns_names")}, ["i"]).toDF(*[f.name for f in schemas.ENTRY], "row")
+    e.write.parquet(f"{tmp_path}/e")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = score_certificates(spark.read.parquet(f"{tmp_path}/e"), ref, as_of_day())
+        got = {r.row: r for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == [i for i in range(50) if i % 5 in (0, 2)]
+    assert all(got[i].id == got[i % 5].id and got[i].signals == got[i % 5].signals for i in got)
+    assert {s.domain for s in got[0].signals} == set(names[0]) and [s.domain for s in got[0].signals] == sorted((s.domain for s in got[0].signals), key=names[0].index)
+    final = plan.split("== Initial Plan ==")[-1]
+    assert final.count("Exchange hashpartitioning") == 4 and final.count("FileScan") == 3
+
+
 def test_international_certificates(spark, ref):
     names = {1: ["ｐｏｓｂ-login.top", "posb-login.top"], 2: ["bücher.posb-login.top"], 3: ["*.bücher.example"]}
     d = spark.createDataFrame(list(names.items()), "entry_id long, dns_names array<string>")
