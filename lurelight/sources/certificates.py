@@ -147,7 +147,7 @@ def tile_records(tile: bytes) -> Iterator[tuple[int, int, str, bytes | None]]:
         return i + width + u(i, width) if i + width <= n else i
 
     while at + 10 <= n:
-        stamp, kind, at = u(at, 8), u(at + 8, 2), at + 10
+        stamp, kind, at = int.from_bytes(tile[at : at + 8], "big", signed=True), u(at + 8, 2), at + 10
         if kind not in (0, 1):
             return
         if kind == 1:

@@ -70,7 +70,7 @@ def test_tiles_of_a_column(spark, monkeypatch, together):
         for _ in range(r.randint(0, 9)):
             body = bytes(r.randrange(256) for _ in range(r.choice([0, 3, 200])))
             kind = r.choice([0, 0, 1, 1, 7]) if r.random() < 0.2 else r.randint(0, 1)
-            tile += u(r.randrange(1 << 62), 8) + u(kind, 2) + (b"k" * 32 if kind == 1 else b"") + u(len(body), 3) + body + u(2, 2) + b"xx"
+            tile += u(r.randrange(1 << 64), 8) + u(kind, 2) + (b"k" * 32 if kind == 1 else b"") + u(len(body), 3) + body + u(2, 2) + b"xx"
             tile += (u(4, 3) + b"full" if kind == 1 else b"") + u(1, 2) + b"c"
         tiles.append(tile[: r.randint(0, len(tile))] if r.random() < 0.3 else tile)
     tiles += [None, b""]
