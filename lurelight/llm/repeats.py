@@ -11,11 +11,15 @@ judged on the input.
    bucket's documents are compiled into that bucket's Aho-Corasick automaton
    over word codes, through which the bucket's documents are streamed: each shard
    holds what its documents can meet, and no document visits another shard.
-3. Windows in a row that name one located phrase form a run. Runs of the same
-   words are resolved by their smallest document id at once. Where a phrase has
-   several different runs (edges of passages, edits), the windows of one document
-   for each run are compared one by one. Both compare the words themselves, by
-   128-bit BLAKE2 digests of them: hashes of words only choose phrases.
+3. Windows in a row that name one located phrase form a run. Passages are
+   confirmed by their words, through 128-bit BLAKE2 digests: runs of the same words
+   in several documents, and, where a phrase has several different runs (edges of
+   passages, edits), the stretches of windows that recur, found from the windows of
+   one document for each run. Hashes of words only choose phrases.
+4. The confirmed passages whose phrase a bucket's documents name are compiled into
+   the bucket's second automaton, one letter a word, and its documents are streamed
+   through that. What it finds, at whatever place, with the same words and first met
+   in a smaller id, goes. Documents that name no phrase of several are not streamed.
 
 Defined results: null and empty texts have no words; nothing is removed and the
 digest is that of the empty string. Repeated ids are each judged against smaller
@@ -31,7 +35,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -176,65 +180,119 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
 STREAMED = "doc_id long, rid long, n_words long, sha string, text string, named array<long>, run array<binary>, start array<long>, length array<long>"
 
 
-def _cut(rows: DataFrame, window: int) -> DataFrame:
-    """n_removed and kept_sha256 of texts, given ranges of removed windows."""
+def _letter(h: np.ndarray) -> bytes:
+    """A letter of 6 bits for each word; passages are long, and their words are compared."""
+    return (h >> U64(58)).astype(np.uint8).tobytes()
+
+
+def _patterns(rows: DataFrame) -> DataFrame:
+    """(named, letters, digest, lo) of the passages of each row: ``rows`` (text of
+    words joined by one space, passages)."""
 
     def run(batches):
         for b in batches:
-            removed, sha = [], []
-            for text, ranges in zip(b.column(3), b.column(4)):
-                own, at = (text.as_py() or "").encode().split(), ranges.as_py() or []
-                edge = np.zeros(len(own) + 1, np.int64)
-                for r in at:  # windows start .. start + length - 1
-                    edge[r["start"]] += 1
-                    edge[r["start"] + r["length"] - 1 + window] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                removed.append(int(gone.sum()))
-                sha.append(hashlib.sha256(b" ".join([x for x, g in zip(own, gone.tolist()) if not g])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return rows.select("doc_id", "rid", "n_words", "text", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int = PHRASE, bucket_chars: int = BUCKET_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(documents with their runs, (doc_id, rid, ranges) of removed windows)."""
+            lists, out = b.column(1), []
+            for lo, hi, data, offsets in text_slices(b.column(0)):
+                w = words(data, offsets)
+                first, raw = runs(w.doc, hi - lo), data.tobytes()
+                for d in range(hi - lo):
+                    mine, at = lists[lo + d].as_py(), slice(first[d], first[d + 1])
+                    letters = _letter(w.hash[at])
+                    start, n = np.array([m["start"] for m in mine]), np.array([m["n_words"] for m in mine])
+                    digests = _digests(raw[offsets[d] : offsets[d + 1]], (w.end - w.start)[at], start, n)
+                    out += [(m["named"], letters[m["start"] : m["start"] + m["n_words"]], x, m["lo"]) for m, x in zip(mine, digests)]
+            names, kinds = ["named", "letters", "digest", "lo"], [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    return rows.select("text", "passages").mapInArrow(run, "named long, letters binary, digest binary, lo long")
+
+
+def _resolved(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """For cogroups of a bucket's documents (text of words joined by one space) and
+    the passages that they can hold: what is left of each document."""
+    by: dict[str, dict[bytes, int]] = {}
+    for letters, digest, lo in zip(*(found.column(c).to_pylist() for c in ("letters", "digest", "lo"))):
+        same = by.setdefault(letters.decode("latin-1"), {})
+        same[digest] = min(lo, same.get(digest, lo))
+    automaton = ahocorasick.Automaton()
+    for letters, same in by.items():
+        automaton.add_word(letters, (len(letters), min(same.values()), same))
+    if len(automaton):
+        automaton.make_automaton()
+    text, ids = docs.column("text").combine_chunks(), docs.column("doc_id").to_pylist()
+    counts, removed, sha = [], [], []
+    for lo, hi, data, offsets in text_slices(text):
+        w = words(data, offsets)
+        first, raw = runs(w.doc, hi - lo), data.tobytes()
+        for d in range(hi - lo):
+            at = slice(first[d], first[d + 1])
+            own, n, me = raw[offsets[d] : offsets[d + 1]], int(first[d + 1] - first[d]), ids[lo + d]
+            begin = np.concatenate([[0], np.cumsum((w.end - w.start)[at] + 1)]).tolist()
+            gone: list[list[int]] = []  # ranges of words that go, apart and in order
+            for end, (size, least, same) in automaton.iter(_letter(w.hash[at]).decode("latin-1")) if len(automaton) else ():
+                start = end + 1 - size
+                if least >= me or (gone and start >= gone[-1][0] and end < gone[-1][1]):
+                    continue
+                if same.get(hashlib.blake2b(own[begin[start] : begin[end + 1] - 1], digest_size=16).digest(), me) < me:
+                    while gone and start <= gone[-1][1]:
+                        start = min(start, gone.pop()[0])
+                    gone.append([start, end + 1])
+            kept = np.ones(n, bool)
+            for a, z in gone:
+                kept[a:z] = False
+            counts.append(n)
+            removed.append(n - int(kept.sum()))
+            left = [x for x, k in zip(own.split(b" "), kept.tolist()) if k] if gone else [own]
+            sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+
+
+def confirmed(docs: DataFrame, scratch: Scratch, window: int = WINDOW, phrase: int = PHRASE, bucket_chars: int = BUCKET_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(documents with their bucket and runs, (bucket, letters, digest, lo) of the
+    passages that the bucket's documents can hold, which ``lo`` holds first)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // bucket_chars))
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod(F.col("rid"), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.col("rid"), F.lit(buckets)).cast("int")
+    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("bucket", bucket)
 
     where = scratch.table(phrases(docs, window, phrase).groupBy("phrase", "bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
     recurring = where.groupBy("phrase").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
     found = where.select("phrase", "bucket").join(recurring.select("phrase"), "phrase")
     streamed = docs.select("bucket", "doc_id", "rid", "text").groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_streamed(window, phrase), STREAMED)
-    streamed = scratch.table(streamed)
+    streamed = scratch.table(streamed).withColumn("bucket", bucket)
 
-    one = streamed.filter("text is not null").select("doc_id", "rid", F.explode(F.arrays_zip("named", "run", "start", "length")).alias("r")).select("doc_id", "rid", "r.*")
+    one = streamed.filter("text is not null").select("doc_id", "rid", "bucket", F.explode(F.arrays_zip("named", "run", "start", "length")).alias("r")).select("doc_id", "rid", "bucket", "r.*")
     one = scratch.table(one)
-    first = one.groupBy("named", "run").agg(F.min(F.struct("doc_id", "rid", "start", "length")).alias("at")).select("named", "run", "at.*")
+    first = one.groupBy("named", "run").agg(F.min(F.struct("doc_id", "rid", "start", "length")).alias("at"), F.max("doc_id").alias("top")).select("named", "run", "at.*", "top")
     first = scratch.table(first)
-    lo = first.select("named", "run", F.col("doc_id").alias("lo"))
-    whole = one.join(lo, ["named", "run"]).filter("doc_id > lo").select("doc_id", "rid", "start", "length")
+    size = (F.col("length") + window - 1).alias("n_words")
+    whole = first.filter("doc_id < top").select("named", "doc_id", "rid", "start", size, F.col("doc_id").alias("lo"))
     # phrases with several runs: the windows of each run's smallest document
     several = first.groupBy("named").agg(F.count("*").alias("c")).filter("c > 1").select("named")
     mine = first.join(several, "named").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("named", "run", "start", "length")).alias("runs"))
-    single = streamed.filter("text is not null").select("doc_id", "rid", "text").join(mine, ["doc_id", "rid"])
-    single = scratch.table(_windows(single, window))
+    texts = streamed.filter("text is not null").select("doc_id", "rid", "text")
+    single = scratch.table(_windows(texts.join(mine, ["doc_id", "rid"]), window))
     least = single.groupBy("named", "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top")).filter("lo < top").select("named", "h1", "h2", "lo")
-    gone = single.join(least, ["named", "h1", "h2"]).filter("doc_id > lo").select("named", "run", "doc_id", "i").distinct()
-    parts = one.join(gone, ["named", "run", "doc_id"]).select("doc_id", "rid", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("long").alias("length"))
-    ranges = whole.unionByName(parts).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
-    ranges = scratch.table(ranges)
+    again = single.join(least, ["named", "h1", "h2"]).filter("doc_id > lo").select("named", "run", "i", "lo")
+    # windows in a row with one first document: at most a run's, which are few
+    row = F.row_number().over(Window.partitionBy("named", "run", "lo").orderBy("i"))
+    stretch = again.withColumn("island", F.col("i") - row).groupBy("named", "run", "lo", "island").agg(F.min("i").alias("i"), F.count("*").alias("length"))
+    parts = stretch.join(first.select("named", "run", "doc_id", "rid", "start"), ["named", "run"]).select("named", "doc_id", "rid", (F.col("start") + F.col("i")).alias("start"), size, "lo")
+    held = whole.unionByName(parts).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("named", "start", "n_words", "lo")).alias("passages"))
+    passages = _patterns(texts.join(held, ["doc_id", "rid"])).groupBy("named", "letters", "digest").agg(F.min("lo").alias("lo"))
+    reach = one.select("named", "bucket").distinct()
+    passages = scratch.table(passages.join(reach, "named").select("bucket", "letters", "digest", "lo"))
     scratch.drop(where, one, first, single)
-    return streamed, ranges
+    return streamed, passages
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by
     one space) of each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    streamed, ranges = removed_windows(docs, scratch, window, phrase, bucket_chars)
+    streamed, passages = confirmed(docs, scratch, window, phrase, bucket_chars)
     plain = streamed.filter("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    some = streamed.filter("text is not null").select("doc_id", "rid", "n_words", "text").join(ranges, ["doc_id", "rid"], "left")
-    return plain.unionByName(_cut(some, window))
+    some = streamed.filter("text is not null").select("bucket", "doc_id", "text")
+    return plain.unionByName(some.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(_resolved, "doc_id long, n_words long, n_removed long, kept_sha256 string"))

@@ -252,6 +252,29 @@ def test_repeats_with_one_hash_for_all_words(spark, monkeypatch):
             assert len(runs_of[a] & runs_of[b]) == len(spans(got[a], wa) & spans(got[b], wb))
 
 
+def test_repeats_are_what_the_automata_find(monkeypatch):
+    """Only confirmed passages go, wherever they stand, if their words are the same
+    and a smaller id holds them first; letters may tell nothing."""
+    digest = lambda t: hashlib.blake2b(t.encode(), digest_size=16).digest()
+    letters = lambda t: repeats._letter(repeats.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).hash)
+    texts = [(1, "a b c d e f"), (5, "x a b c d y a b c"), (6, "b c d e é"), (7, ""), (8, "a b c d e f")]
+    known = [("a b c", 1), ("a b c d", 1), ("c d e", 6), ("b c d e", 6), ("a b c", 4)]
+    want = [(1, 6, 0, "a b c d e f"), (5, 9, 7, "x y"), (6, 5, 0, "b c d e é"), (7, 0, 0, ""), (8, 6, 5, "f")]
+
+    def blind(data, offsets, hashed=True):
+        w = textbytes.words(data, offsets)
+        return w._replace(hash=np.full(len(w.doc), 7, np.uint64))
+
+    for find in (textbytes.words, blind):
+        monkeypatch.setattr(repeats, "words", find)
+        docs = pa.table({"doc_id": [d for d, _ in texts], "text": [t for _, t in texts]})
+        found = pa.table({"letters": [letters(t) for t, _ in known], "digest": [digest(t) for t, _ in known], "lo": [n for _, n in known]})
+        got = repeats._resolved(docs, found)
+        assert [tuple(r.values()) for r in got.to_pylist()] == [(*r[:3], hashlib.sha256(r[3].encode()).hexdigest()) for r in want]
+        assert repeats._resolved(docs, found.slice(0, 0)).column("n_removed").to_pylist() == [0] * 5
+        assert repeats._resolved(docs.slice(0, 0), found).num_rows == 0
+
+
 def hash_of_len(x):
     return hashlib.md5(x.encode()).hexdigest()[:8]
 
