@@ -7,18 +7,17 @@ judged on the input.
 1. Each window names one phrase: that run of ``phrase`` words inside it with the
    smallest hash, the first of equals. Equal windows name equal phrases, and only
    about 1 word in 22 starts one. Phrases of a single document are of no use.
-2. Documents are dealt to buckets of bounded size. The recurring phrases of a
-   bucket's documents are compiled into that bucket's Aho-Corasick automaton
-   over word codes, through which the bucket's documents are streamed: each shard
-   holds what its documents can meet, and no document visits another shard.
-3. Windows in a row that name one located phrase form a run. Passages are
+2. Documents are dealt to buckets of bounded size, each with the recurring phrases
+   that its documents name.
+3. Windows in a row that name one recurring phrase form a run. Passages are
    confirmed by their words, through 128-bit BLAKE2 digests: runs of the same words
    in several documents, and, where a phrase has several different runs (edges of
    passages, edits), the stretches of windows that recur, found from the windows of
    one document for each run. Hashes of words only choose phrases.
 4. The confirmed passages whose phrase a bucket's documents name are compiled into
-   the bucket's second automaton, one letter a word, and its documents are streamed
-   through that. What it finds, at whatever place, with the same words and first met
+   the bucket's Aho-Corasick automaton, one letter a word, and its documents are
+   streamed through that: each shard holds what its documents can meet, and no
+   document visits another shard. What it finds, at whatever place, with the same words and first met
    in a smaller id, goes. Documents that name no phrase of several are not streamed.
 
 Defined results: null and empty texts have no words; nothing is removed and the
@@ -62,8 +61,7 @@ def _named(h: np.ndarray, doc: np.ndarray, window: int, phrase: int) -> tuple[np
 
 
 def _letters(h: np.ndarray) -> np.ndarray:
-    """Three letters of 5 bits for each word: automata search a node's branches
-    one by one, so a large alphabet would make them slow."""
+    """Three letters of 5 bits for each word of a phrase."""
     out = np.empty((len(h), LETTERS), np.uint8)
     for i in range(LETTERS):
         out[:, i] = (h >> U64(59 - 5 * i)).astype(np.uint8) & 31
@@ -89,34 +87,23 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("doc_id", "bucket", "text").mapInArrow(run, "doc_id long, bucket int, phrase binary")
 
 
-def _located(letters: np.ndarray, automaton: ahocorasick.Automaton, phrase: int) -> np.ndarray:
-    """Whether a phrase of the automaton starts at each word of the slice."""
-    hit = np.zeros(len(letters), bool)
-    ends = np.array([end for end, _ in automaton.iter(letters.tobytes().decode("latin-1"))], np.int64) + 1
-    hit[ends[ends % LETTERS == 0] // LETTERS - phrase] = True
-    return hit
-
-
 def _streamed(window: int, phrase: int):
     """For cogroups of a bucket's documents and its recurring phrases."""
     schema = [("doc_id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string())]
     schema = pa.schema([*schema, ("named", pa.list_(pa.int64())), ("run", pa.list_(pa.binary())), ("start", pa.list_(pa.int64())), ("length", pa.list_(pa.int64()))])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in found.column("phrase").to_pylist():
-            automaton.add_word(p.decode("latin-1"))
-        if len(automaton):
-            automaton.make_automaton()
+        recurring = set(found.column("phrase").to_pylist())
         out, text, ids, rids = [], docs.column("text").combine_chunks(), docs.column("doc_id").to_pylist(), docs.column("rid").to_pylist()
         for lo, hi, data, offsets in text_slices(text):
             w = words(data, offsets)
             counts = np.bincount(w.doc, minlength=hi - lo)
             first = runs(w.doc, hi - lo)
             by: dict[int, list] = {}
-            if len(automaton):
+            if recurring:
                 starts, at = _named(w.hash, w.doc, window, phrase)
-                keep = _located(_letters(w.hash), automaton, phrase)[at]
+                places, which = np.unique(at, return_inverse=True)
+                keep = np.array([p in recurring for p in _phrases(_letters(w.hash), places, phrase)], bool)[which]
                 starts, at = starts[keep], at[keep]
                 if len(starts):
                     code = grams(w.hash, phrase)
