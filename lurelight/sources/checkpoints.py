@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,10 +65,16 @@ def _reason(note, key: str | None) -> str | None:
     return None if ok else "signature_mismatch"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to some tasks for each core. Spark counts bytes when it makes
+    tasks, but signatures are short and take a millisecond or more each."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def verified(notes: DataFrame, note: str = "note", key: str = "public_key_der") -> DataFrame:
     """``notes`` with ok, reason (null where it is ok), origin, tree_size and
     root_hash. A null note is malformed, a null key is missing."""
-    d = notes.withColumn("_note", binary.checkpoint(F.col(note)))
+    d = spread(notes).withColumn("_note", binary.checkpoint(F.col(note)))
     kept = [f for f in notes.schema if f.name not in ("ok", "reason", "origin", "tree_size", "root_hash")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +91,7 @@ def verified(notes: DataFrame, note: str = "note", key: str = "public_key_der")
     return d.select(*[F.col(f"`{f.name}`") for f in kept], "_note").mapInPandas(run, f"{ddl}, ok boolean, reason string, origin string, tree_size long, root_hash string")
 
 
-def static_poll(logs: DataFrame, notes: DataFrame, cursors: DataFrame, tiles: DataFrame, tail: int = 512, most: int = 20) -> dict[str, DataFrame]:
+def static_poll(logs: DataFrame, notes: DataFrame, cursors: DataFrame, tiles: DataFrame | Callable[[DataFrame], DataFrame], tail: int = 512, most: int = 20) -> dict[str, DataFrame]:
     """One poll of static logs, each by itself: a log whose checkpoint fails gives an
     error and keeps its cursor, the others go on.
 
@@ -93,8 +99,12 @@ def static_poll(logs: DataFrame, notes: DataFrame, cursors: DataFrame, tiles: Da
     public_key_der; ``notes``: log, note; ``cursors``: log, next_index; ``tiles``: log,
     tile_index, tile, of which a log's poll reads at most ``most`` from its cursor
     (from ``tail`` entries before the end at first) and stops before the first that is
-    missing. Gives entries (schemas.ENTRY), cursors (log, next_index, tree_size, lag)
-    of the logs that were read, and errors (log, message)."""
+    missing. Instead of a table ``tiles`` may be a function that fetches: it gets the rows
+    that are asked for (log, tile_index and others; one without an index for a log that
+    asks for none) and returns them with their tile, null where it is missing. Gives
+    entries (schemas.ENTRY), cursors (log, next_index, tree_size, lag) of the logs that
+    were read, and errors (log, message). The cursors take one pass: each checkpoint is
+    verified once for them."""
     heads = verified(logs.join(notes, "log", "left"))
     heads = heads.join(cursors.select("log", "next_index"), "log", "left")
     failed = heads.filter(~F.col("ok")).select("log", F.concat(F.lit("checkpoint_signature_invalid: "), "reason").alias("message"))
@@ -102,11 +112,17 @@ def static_poll(logs: DataFrame, notes: DataFrame, cursors: DataFrame, tiles: Da
     start = F.when(F.col("next_index").isNotNull(), F.least("next_index", "tree_size")).otherwise(F.greatest(F.lit(0), F.col("tree_size") - tail))
     good = heads.filter("ok").select("log", "tree_size", start.cast("long").alias("cursor"), span.alias("span"), "description", "operator", "submission_url", "monitoring_url")
     asked = F.when((F.col("cursor") < F.col("tree_size")) & (F.col("span.first") <= F.col("span.last")), F.sequence("span.first", "span.last")).otherwise(F.array().cast("array<bigint>"))
-    want = good.withColumn("tile_index", F.explode(asked)).drop("span").join(tiles.select("log", "tile_index", "tile"), ["log", "tile_index"], "left")
-    stop = want.filter("tile is null").groupBy("log").agg(F.min("tile_index").alias("stop"))
-    read = want.join(stop, "log", "left").filter("tile is not null and (stop is null or tile_index < stop)")
-    to = read.groupBy("log").agg(F.max("tile_index").alias("last"))
-    after = F.greatest("cursor", F.coalesce(F.least("tree_size", (F.col("last") + 1) * WIDTH), F.col("cursor")))
-    moved = good.select("log", "tree_size", "cursor").join(to, "log", "left").select("log", after.alias("next_index"), "tree_size", (F.col("tree_size") - after).alias("lag"))
+    want = good.withColumn("tile_index", F.explode_outer(asked)).drop("span")
+    if callable(tiles):
+        want = tiles(want).withColumn("_there", F.col("tile").isNotNull())
+    else:
+        have = tiles.select("log", "tile_index", "tile", F.col("tile").isNotNull().alias("_there"))
+        want = want.join(have, ["log", "tile_index"], "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    gap = F.min(F.when(~F.col("_there"), F.col("tile_index")))  # the first that is missing
+    to = want.groupBy("log", "tree_size", "cursor").agg(F.coalesce(gap, F.max("tile_index") + 1).alias("end"))
+    after = F.greatest("cursor", F.coalesce(F.least("tree_size", F.col("end") * WIDTH), F.col("cursor")))
+    moved = to.select("log", after.alias("next_index"), "tree_size", (F.col("tree_size") - after).alias("lag"))
+    stop = want.groupBy("log").agg(gap.alias("stop"))
+    read = want.join(stop, "log", "left").filter("_there and (stop is null or tile_index < stop)")
     rows = read.select("tile", (F.col("tile_index") * WIDTH).alias("base_index"), "cursor", "description", "operator", "submission_url", "monitoring_url")
     return {"entries": decode.log_tiles(rows), "cursors": moved, "errors": failed}

@@ -78,3 +78,26 @@ def test_static_poll(spark):
     for r in got["entries"].collect():
         found.setdefault(r.log_name, []).append(r.cert_index)
     assert {k: (min(v), max(v), len(v)) for k, v in found.items()} == {"Log new": (0, 257, 258), "Log kept": (255, 257, 3), "Log gap": (200, 255, 56)}
+
+
+def test_sums_of_multiples():
+    """Table and digits against one chain of doublings and additions."""
+
+    def plain(u, q):
+        at = (0, 1, 0)
+        for bit in bin(u)[2:]:
+            at = signing._double(at)
+            at = signing._add(at, (*q, 1)) if bit == "1" else at
+        return at
+
+    q = signing.combined(977, 0, signing.G)
+    for u, v in [(0, 0), (1, 0), (0, 1), (signing.N, 0), (signing.N - 977, 1), (signing.N - 1, signing.N - 1), (255 << 248, 31), ((1 << 256) - 1, 0xABCDEF << 200)]:
+        want = signing._add(plain(u, signing.G), plain(v, q))
+        assert signing.combined(u, v, q) == (signing._affine([want])[0] if want[2] else None)
+
+
+def test_notes_are_spread(spark):
+    """Short rows of one file go to all cores, by the number of rows in each."""
+    d = spark.range(400).coalesce(1).select(F.lit(None).cast("string").alias("note"), F.lit("k").alias("public_key_der"))
+    sizes = checkpoints.verified(d).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 100
