@@ -101,3 +101,20 @@ def test_notes_are_spread(spark):
     d = spark.range(400).coalesce(1).select(F.lit(None).cast("string").alias("note"), F.lit("k").alias("public_key_der"))
     sizes = checkpoints.verified(d).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 100
+
+
+def test_static_cursors_of_large_keys(spark, tmp_path):
+    """The tiles of a log grow with its key; a poll asks for three of them at most."""
+    from lurelight.plans import catalog
+
+    keys = [1, 8, 42, 3 * 10**12 + 1, 3 * 10**12 + 2, 7 * 10**12]
+    spark.createDataFrame([(k,) for k in [*keys, 3 * 10**12 + 4]], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    want = {}
+    for k in keys:
+        if k % 8 < 3:
+            size = k * 600
+            at = k * 100 if k % 5 else max(0, size - 512)
+            last = at // 256 if k % 7 == 0 else min(at // 256 + 2, (size - 1) // 256)
+            end = min(size, (last + 1) * 256)
+            want[f"log/{k}"] = (end, size, size - end)
+    assert {r.log: tuple(r)[1:] for r in catalog.static_cursors(spark, str(tmp_path)).collect()} == want and len(want) == 6
