@@ -11,7 +11,7 @@ up no other. With the options ``cursors`` (a file of its own for each query) and
 is written before Spark logs the offset, so a restart never goes back behind it. Without
 them a trigger takes all that is there. A file that cannot be read gives one row with
 the error instead of failing the batch. Files are opened in tasks, by any scheme that
-pyarrow knows; a page or tile is a partition.
+pyarrow knows; a partition holds up to PART_UNITS pages and tiles of about PART_BYTES.
 
     spark.dataSource.register(LandedLogs)
     spark.readStream.format("landed_logs").options(units=20, cursors=...).load(path)
@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +35,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from . import decode
 
 ROW = "log string, cert_index bigint, leaf_input binary, tile binary, cursor bigint, error string"
+_ARROW = pa.schema([("log", pa.string()), ("cert_index", pa.int64()), ("leaf_input", pa.binary()), ("tile", pa.binary()), ("cursor", pa.int64()), ("error", pa.string())])
 WIDTH = 256
+#: Of one partition; fewer units while there are less than PARTS full ones.
+PART_UNITS, PART_BYTES, PARTS = 200, 32 << 20, 32
+#: Of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 _PAGE = re.compile(r"(?:start=)?(\d+)(?:\.json|/part-[^/]*)$")
 _TILE = re.compile(r"tile/data/((?:x\d{3}/)*\d{3})(?:\.p/(\d+))?$")
 
 
 @dataclass
-class Unit(InputPartition):
+class Unit:
     """A page or tile: the log's entries from ``first`` to before ``end``. The end of
     a page is known only when it is read, so its first entry stands for it."""
 
@@ -49,6 +56,14 @@ class Unit(InputPartition):
     end: int
     tile: bool
     cursor: int = 0
+    size: int = 0
+
+
+@dataclass
+class Part(InputPartition):
+    """Units that one task reads."""
+
+    units: list[Unit]
 
 
 def unit(log: str, path: str, rest: str) -> Unit | None:
@@ -72,6 +87,7 @@ def landed(path: str) -> dict[str, list[Unit]]:
             continue
         log = parts[0].removeprefix("log=")
         if u := unit(log, f.path, "/".join(parts[1:])):
+            u.size = f.size or 0
             out.setdefault(log, []).append(u)
     for units in out.values():
         units.sort(key=lambda u: (u.first, u.end, u.path))
@@ -93,24 +109,71 @@ def between(units: dict[str, list[Unit]], start: dict[str, int], end: dict[str,
     out = []
     for log, to in end.items():
         at = start.get(log, 0)
-        out += [Unit(u.log, u.path, u.first, u.end, u.tile, at) for u in units.get(log, []) if at < u.end <= to]
+        out += [Unit(u.log, u.path, u.first, u.end, u.tile, at, u.size) for u in units.get(log, []) if at < u.end <= to]
     return out
 
 
-def rows(path: str, u: Unit) -> Iterator[tuple]:
+def dealt(units: list[Unit]) -> list[Part]:
+    """All units in partitions, in their order: a task for each of many small files would
+    take longer to start than to read them."""
+    most = min(PART_UNITS, math.ceil(len(units) / PARTS))
+    out, size = [], 0
+    for u in units:
+        if not out or len(out[-1].units) >= most or size + u.size > PART_BYTES:
+            out.append(Part([]))
+            size = 0
+        out[-1].units.append(u)
+        size += u.size
+    return out
+
+
+def rows(store: fs.FileSystem, u: Unit) -> list[tuple]:
     """The rows of one unit, or one that tells why there are none."""
     try:
-        store, _ = fs.FileSystem.from_uri(path)
         with store.open_input_stream(u.path) as f:
             content = f.read()
         if u.tile:
-            found = [(u.log, u.first, None, content, u.cursor, None)]
-        else:
-            entries = json.loads(content)["entries"]
-            found = [(u.log, u.first + i, base64.b64decode(e["leaf_input"], validate=True), None, u.cursor, None) for i, e in enumerate(entries)]
+            return [(u.log, u.first, None, content, u.cursor, None)]
+        entries = json.loads(content)["entries"]
+        return [(u.log, u.first + i, base64.b64decode(e["leaf_input"], validate=True), None, u.cursor, None) for i, e in enumerate(entries)]
     except (OSError, ValueError, KeyError, TypeError) as e:
-        found = [(u.log, u.first, None, None, u.cursor, f"{u.path.rsplit('/', 1)[-1]}: {type(e).__name__}: {str(e)[:200]}")]
-    yield from found
+        return [(u.log, u.first, None, None, u.cursor, f"{u.path.rsplit('/', 1)[-1]}: {type(e).__name__}: {str(e)[:200]}")]
+
+
+def batches(path: str, units: list[Unit]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition's units, in bounded batches."""
+    store, _ = fs.FileSystem.from_uri(path)
+    made = lambda some: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), _ARROW)], schema=_ARROW)
+    held, size = [], 0
+    for u in units:
+        for row in rows(store, u):
+            held.append(row)
+            size += len(row[2] or row[3] or b"")
+            if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield made(held)
+                held, size = [], 0
+    if held:
+        yield made(held)
+
+
+def land_pages(pages: DataFrame, path: str) -> None:
+    """Pages (log, start, value) as the files of a fetcher, written by the tasks, which
+    share all pages evenly. A task that runs again writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        known = set()
+        for batch in batches:
+            for log, start, value in zip(*(batch[c].to_pylist() for c in ("log", "start", "value"))):
+                if log not in known:
+                    store.create_dir(f"{root}/{log}", recursive=True)
+                    known.add(log)
+                with store.open_output_stream(f"{root}/{log}/{start}.json") as f:
+                    f.write(value.encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    parts = 4 * pages.sparkSession.sparkContext.defaultParallelism
+    pages.select("log", "start", "value").repartition(parts, "log", "start").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 class _Stream(DataSourceStreamReader):
@@ -120,6 +183,7 @@ class _Stream(DataSourceStreamReader):
         if self.most is not None and not self.store:
             raise ValueError("a limit of units needs a file for its cursors")
         self.cursors = self._stored()
+        self.listed: tuple[dict[str, int], dict[str, list[Unit]]] | None = None
 
     def _stored(self) -> dict[str, int]:
         if not self.store:
@@ -141,30 +205,33 @@ class _Stream(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        new = admitted(landed(self.path), self.cursors, self.most)
+        units = landed(self.path)
+        new = admitted(units, self.cursors, self.most)
+        self.listed = new, units  # the trigger that follows reads what this listing admitted
         if new != self.cursors:
             self.cursors = new
             if self.store:
                 self._keep()
         return self.cursors
 
-    def partitions(self, start: dict, end: dict) -> list[Unit]:
-        return between(landed(self.path), start, end)
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        units = self.listed[1] if self.listed and self.listed[0] == end else landed(self.path)
+        return dealt(between(units, start, end))
 
-    def read(self, partition: Unit) -> Iterator[tuple]:
-        return rows(self.path, partition)
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        return batches(self.path, partition.units)
 
 
 class _Batch(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
 
-    def partitions(self) -> list[Unit]:
+    def partitions(self) -> list[Part]:
         units = landed(self.path)
-        return between(units, {}, admitted(units, {}, None))
+        return dealt(between(units, {}, admitted(units, {}, None)))
 
-    def read(self, partition: Unit | None) -> Iterator[tuple]:  # Spark asks once where there are no partitions
-        return rows(self.path, partition) if partition is not None else iter(())
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:  # Spark asks once where there are no partitions
+        return batches(self.path, partition.units) if partition is not None else iter(())
 
 
 class LandedLogs(DataSource):

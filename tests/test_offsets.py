@@ -90,3 +90,33 @@ def test_batches_and_entries(spark, tmp_path):
     assert not run.ok and run.scanned_entries == 2 and len(run.errors) == 1
     d.unpersist()
     assert offsets.landed_logs(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_partitions_hold_many_units(spark, tmp_path, monkeypatch):
+    """A partition for each of many small files would be a task for each; large tiles
+    still go apart, and no unit is lost."""
+    of = lambda n, size: [offsets.Unit("l", str(i), i, i + 1, False, 0, size) for i in range(n)]
+    for n, size, parts in ((0, 1, 0), (1, 1, 1), (32, 1, 32), (33, 1, 17), (20_000, 1, 100), (64, 20 << 20, 64)):
+        got = offsets.dealt(of(n, size))
+        assert len(got) == parts and [u.first for p in got for u in p.units] == list(range(n))
+    monkeypatch.setattr(offsets, "BATCH_ROWS", 4)
+    for i in range(3):
+        put(tmp_path / "one" / f"{i * 3}.json", page(3))
+    put(tmp_path / "one" / "9.json", b"no page")
+    units = offsets.landed(str(tmp_path))["one"]
+    made = list(offsets.batches(str(tmp_path), units))
+    assert [b.num_rows for b in made] == [4, 4, 2] and [i for b in made for i in b["cert_index"].to_pylist()] == list(range(10))
+    assert made[-1]["error"].to_pylist()[0] is None and made[-1]["error"].to_pylist()[1].startswith("9.json: ")
+    for i in range(300):
+        put(tmp_path / "many" / f"{i}.json", page(1))
+    d = offsets.landed_logs(spark, str(tmp_path))
+    assert d.rdd.getNumPartitions() <= offsets.PARTS and d.filter("error is null").count() == 309
+
+
+def test_landed_pages_are_read_back(spark, tmp_path):
+    value = json.dumps(page(2))
+    pages = spark.range(30).select(F.concat(F.lit("l"), F.col("id") % 3).alias("log"), (F.col("id") * 2).alias("start"), F.lit(value).alias("value"))
+    for _ in range(2):  # again: the same files
+        offsets.land_pages(pages, str(tmp_path / "in"))
+    d = offsets.landed_logs(spark, str(tmp_path / "in"))
+    assert sorted((r.log, r.cert_index, r.error) for r in d.collect()) == sorted((f"l{i % 3}", i * 2 + k, None) for i in range(30) for k in range(2))
