@@ -97,19 +97,26 @@ def score_certificates(entries: DataFrame, ref: Reference, as_of: Column) -> Dat
     is scored once, and what it gives returns to the certificates by a digest of
     their fields, so equal certificates share it. Four exchanges: distinct hosts,
     names to them, hits by digest, certificates to their hits. Repeated
-    certificates give equal hits, which a set keeps once before they are sent."""
+    certificates give equal hits, which a set keeps once before they are sent. A hit is
+    sent without what its host repeats, and brands, schemes and signals apart, so those
+    that nobody reads are not sent at all."""
     fields = [F.col(f.name) for f in schemas.ENTRY]
     named = entries.withColumns({"all_domains": text.extract_domains(entries), "_k1": F.xxhash64(*fields), "_k2": F.xxhash64(F.lit(1), *fields)})
     key = ["_k1", "_k2"]
     names = named.select(*key, F.posexplode("all_domains").alias("ord", "host"))
+    truthy_distinct = lambda name: F.array_distinct(F.filter(F.transform("signals", lambda s: s[name]), lambda x: x.isNotNull() & (x != "")))
     active = score_hosts(names.select("host").distinct(), ref, as_of).filter("not suppressed and score > 0")
-    one = F.struct("ord", "host", "registrable", "score", "severity", "signals")
+    active = active.select("host", "registrable", "score", F.transform("signals", lambda s: s.dropFields("domain")).alias("_signals"), truthy_distinct("brand").alias("_brands"), truthy_distinct("scheme").alias("_schemes"))
+    # of each host of a certificate, in the order of its names; where it has none, nothing is sent
+    in_order = lambda c, *more: F.sort_array(F.collect_set(F.when(F.size(c) > 0, F.struct("ord", *more, c))))
+    flat = lambda c: F.array_distinct(F.flatten(in_order(c)[c]))
+    shape = next(f.dataType for f in schemas.FINDING if f.name == "signals")
     per = names.join(active, "host").groupBy(*key).agg(
-        F.max_by(F.struct("host", "registrable", "score", "severity"), F.struct(F.col("score"), -F.col("ord"))).alias("top"),
-        F.flatten(F.transform(F.sort_array(F.collect_set(one)), lambda x: x["signals"])).alias("signals"),
-    )
+        F.max_by(F.struct("host", "registrable", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("top"),
+        F.flatten(F.transform(in_order("_signals", "host"), lambda x: F.transform(x["_signals"], lambda s: s.withField("domain", x["host"])))).cast(shape).alias("signals"),
+        flat("_brands").alias("_brands"), flat("_schemes").alias("_schemes"),
+    )
     e = named.join(per, key)
-    truthy_distinct = lambda name: F.array_distinct(F.filter(F.transform("signals", lambda s: s[name]), lambda x: x.isNotNull() & (x != "")))
     kinds = F.coalesce("entry_types", F.array(F.lit("x509")))
     none_if_zero = F.when(F.col("cert_index") != 0, F.col("cert_index"))
     source = F.struct(
@@ -125,10 +132,10 @@ def score_certificates(entries: DataFrame, ref: Reference, as_of: Column) -> Dat
         "registrable": F.col("top.registrable"),
         "domains": F.col("all_domains"),
         "score": F.col("top.score"),
-        "severity": F.col("top.severity"),
+        "severity": severity(F.col("top.score"), ref.scoring),
         "signals": F.col("signals"),
-        "matched_brands": truthy_distinct("brand"),
-        "matched_schemes": truthy_distinct("scheme"),
+        "matched_brands": F.col("_brands"),
+        "matched_schemes": F.col("_schemes"),
         "issuer": F.coalesce(text.first_truthy(F.col("issuer_aggregated"), F.col("issuer_cn")), F.lit("")),
         "suppressed": F.lit(False),
         "cert_serial": text.truthy(F.col("cert_serial")),

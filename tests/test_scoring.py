@@ -148,3 +148,16 @@ def test_broken_tables_are_told(spark, ref):
     )
     broken = {r.expectation for r in validate.reference_report(reference.frames(spark, bad)).filter("broken > 0").collect()}
     assert broken >= {"brand_ids_unique", "brand_tokens", "brand_tokens_own", "brand_distance", "brand_tlds", "keywords_unique", "allowlist_registrable", "allowlist_brand", "weights_not_negative", "thresholds_ordered", "cap_above_top_three"}
+
+
+def test_unread_signals_are_not_sent(spark):
+    """What nobody reads of a hit stays out of the exchange by certificates."""
+    from lurelight.plans import neutral  # names of the driver's tables
+
+    d = spark.createDataFrame([(1, ["widget.promo.com", "old.sg"])], "n int, names array<string>")
+    found = score_certificates(as_entries(d, {"dns_names": F.col("names"), "source": F.lit("direct_ct")}, ["n"]), neutral.REFERENCE, as_of_day())
+    plan = found.select("n", "matched_brands")._jdf.queryExecution().optimizedPlan().toString()
+    sets = [line for line in plan.splitlines() if "collect_set(" in line]
+    assert len(sets) == 1 and "signals" not in sets[0] and "schemes" not in sets[0] and "brands" in sets[0]
+    r = found.first()
+    assert r.matched_brands == list(dict.fromkeys(s.brand for s in r.signals if s.brand)) and {s.domain for s in r.signals} <= {"widget.promo.com", "old.sg"} and r.signals
