@@ -69,3 +69,57 @@ def test_stream(spark, tmp_path):
     drain()
     put([("clock", 100_000, True)])
     assert drain() == plain(runs) == drain()
+
+
+def test_runs_of_a_batch_wait_as_one_value():
+    """However many runs come at once, the state gets one value of them."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.values, self.calls = [], 0
+
+        exists = lambda self: bool(self.values)
+        get = lambda self: list(self.values)
+
+        def update(self, v):
+            self.values = [v]
+
+        def appendValue(self, v):
+            self.values.append(v)
+            self.calls += 1
+
+        def appendList(self, vs):
+            self.values += vs
+            self.calls += len(vs)
+
+        def put(self, vs):
+            self.values = list(vs)
+
+        def clear(self):
+            self.values = []
+
+    class Value(State):
+        get = lambda self: self.values[0]
+
+    class Handle:
+        timers = []
+        listTimers = lambda self: list(self.timers)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    rng = random.Random(3)
+    runs = [("a", m, rng.random() < 0.4) for m in rng.sample(range(1, 900), 300)]
+    clock = clocks.Clock(3, 30 * 60_000, 20 * 60_000)
+    clock.handle, clock.circuit, clock.waiting = Handle(), Value(), State()
+    rows = pd.DataFrame({"checked_at": pd.to_datetime([at(m) for _, m, _ in runs]), "ok": [ok for _, _, ok in runs]})
+    zero = int(pd.Timestamp(ZERO).value // 1_000_000)
+    out = list(clock.handleInputRows(("a",), iter([rows[:120], rows[120:]]), Times(0)))
+    assert not out and clock.waiting.calls == 1
+    out = [x for minute in (200, 10**6) for x in clock.handleExpiredTimer(("a",), Times(zero + minute * 60_000), None)]
+    got = sorted((r.source, int((r.at - pd.Timestamp(ZERO)).total_seconds() // 60), r.state, r.by_run) for d in out for r in d.itertuples())
+    assert got == plain(runs) and not clock.waiting.values
