@@ -64,3 +64,14 @@ def test_three_forms_agree(spark, monkeypatch, tmp_path):
     assert {r.host: (r.suffix, r.registrable) for r in plan.collect()} == one
     (tmp_path / "list.dat").write_text("// public\n\nCOM  // note\n*.ck\n!www.ck\n公司.cn\nxn--\n")
     assert sorted(r.rule for r in suffix.rule_table(spark, str(tmp_path / "list.dat")).collect()) == ["!www.ck", "*.ck", "com", "xn--55qx5d.cn"]
+
+
+def test_tails_are_not_sent(spark):
+    """The join of tails and rules sends a host and a number of labels, no list of labels."""
+    hosts = spark.createDataFrame([("a.b.com",), ("x.ck",), ("com",), ("www.ck",), ("-.com",), (None,)], "host string")
+    rules = spark.createDataFrame([("com",), ("*.ck",), ("!www.ck",)], "rule string")
+    d = suffix.with_registrable(hosts, "host", rules)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "posexplode" not in plan
+    got = {r.host: (r.suffix, r.registrable) for r in d.collect()}
+    assert got == {"a.b.com": ("com", "b.com"), "x.ck": ("x.ck", None), "com": ("com", None), "www.ck": ("ck", "www.ck"), "-.com": (None, None), None: (None, None)}
