@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -79,6 +79,20 @@ def score_distinct_hosts(hosts: DataFrame, ref: Reference, as_of: Column, host:
     return hosts.join(once, host, "left")
 
 
+def top_hosts(names: DataFrame, key: str, ref: Reference) -> DataFrame:
+    """The top active host of each ``key``, and how many names it has, of rows with key,
+    host, registrable, score and suppressed, which may repeat. Rows are sent once, as
+    they come: to group them before would sort wide rows of whole inputs for nothing,
+    since a key's names seldom lie together. What is inactive is sent as a bare name."""
+    live = ~F.col("suppressed") & (F.col("score") > 0)
+    rows = names.select(key, "host", F.when(live, F.col("score")).alias("score"), F.when(live, F.col("registrable")).alias("registrable")).repartition(key)
+    of = Window.partitionBy(key)
+    order = of.orderBy(F.desc_nulls_last("score"), "host")  # a host has one score, so its repeats share a rank
+    ranked = rows.select("*", F.row_number().over(order).alias("_row"), F.dense_rank().over(order).alias("_rank"))
+    top = ranked.withColumn("names", F.max("_rank").over(of).cast("long")).filter("_row = 1 and score is not null")
+    return top.select(key, "host", "registrable", "score", severity(F.col("score"), ref.scoring).alias("severity"), "names")
+
+
 def finding_id(e: DataFrame, top_domain: Column, top_registrable: Column) -> Column:
     """32 hex digits: by issuer and serial, else by fingerprint, else by names
     and time. A null registrable reads "null" in the first two, "" in the last."""

@@ -53,3 +53,34 @@ def test_scoring_does_not_shuffle(spark, sf):
     d = score_hosts(neutral.part_hosts(catalog.read(spark, sf, "part")), neutral.REFERENCE, F.current_timestamp())
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_certificates_are_sent_once(spark, tmp_path):
+    """The top hosts of orders with repeated, tied, suppressed and scoreless names;
+    nothing sorts or groups the orders' rows before they are sent."""
+    from pyspark.sql import functions as F
+
+    from lurelight.operators.score import score_hosts
+    from lurelight.plans import neutral
+
+    parts = [(1, "widget red", "PROMO", 0), (2, "widget red", "PROMO", 5), (3, "new promo", "X", 0), (4, "hot promo", "X", 0), (5, "a standard", "SG", 0), (6, "plain", "Y", 1), (7, "red", "STANDARD", 2)]
+    lines = [(1, 1), (1, 2), (1, 6), (1, 6), (2, 3), (2, 4), (2, 4), (3, 6), (4, 7), (4, 6), (5, 7), (6, 99), (7, None), *[(8, p) for p in (7, 3, 1, 4, 2)]]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    hosts = {r.id: r.host for r in catalog.part_hosts(spark, tmp_path).collect()}
+    scores = {r.host: r for r in score_hosts(spark.createDataFrame([(h,) for h in set(hosts.values())], "host string"), neutral.REFERENCE, catalog.season()).collect()}
+    assert any(s.suppressed for s in scores.values()) and any(not s.suppressed and s.score == 0 for s in scores.values())
+    assert scores[hosts[3]].score == scores[hosts[4]].score > 0
+    want = set()
+    for order in {o for o, _ in lines}:
+        names = {hosts[p] for o, p in lines if o == order and p in hosts}
+        live = [scores[n] for n in names if not scores[n].suppressed and scores[n].score > 0]
+        if live:
+            top = min(live, key=lambda s: (-s.score, s.host))
+            want.add((order, top.host, top.registrable, top.score, top.severity, len(names)))
+    got = catalog.QUERIES["certificate_top_host"](spark, str(tmp_path)).select("l_orderkey", "host", "registrable", "score", "severity", "names")
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) >= 3 and dict(got.dtypes)["names"] == "bigint"
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    above, below = plan.split("REPARTITION_BY_COL")
+    assert "Aggregate" not in above and "l_orderkey" in above and "SortAggregate" not in below and "collect_set" not in below and "SortMergeJoin [l_partkey" not in below
