@@ -84,3 +84,12 @@ def test_certificates_are_sent_once(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     above, below = plan.split("REPARTITION_BY_COL")
     assert "Aggregate" not in above and "l_orderkey" in above and "SortAggregate" not in below and "collect_set" not in below and "SortMergeJoin [l_partkey" not in below
+
+
+def test_names_are_not_grouped_before_they_are_sent(spark, sf):
+    """Certificates are made of rows that were sent as they came, once for all that read them."""
+    d = catalog._certificates(spark, sf)
+    plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    above, below = plan.split("REPARTITION_BY_COL")
+    assert "collect_set" in above and "Aggregate" not in below
+    assert {r.entry_id: tuple(r.dns_names) for r in d.collect()} == {r.o: tuple(sorted(r.n)) for r in spark.sql(f"SELECT l_orderkey o, collect_set(host) n FROM parquet.`{sf}/lineitem.parquet` JOIN {{p}} ON l_partkey = id GROUP BY 1", p=catalog.part_hosts(spark, sf)).collect()}
